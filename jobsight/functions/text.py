@@ -40,10 +40,15 @@ def py_title(c) -> Column:
     upper-cased and the rest lower-cased.
     """
     runs = F.regexp_extract_all(F.lower(_col(c)), F.lit(f"[{_CASED}]+|[^{_CASED}]+"), 0)
+
+    def first_upper(x):
+        # letters whose upper case expands (e.g. a sharp s -> 'SS') title-case to 'Ss'
+        up = F.upper(F.substring(x, 1, 1))
+        return F.when(F.length(up) > 1, F.concat(F.substring(up, 1, 1), F.lower(F.substring(up, 2, 8))))\
+            .otherwise(up)
+
     return F.array_join(
-        F.transform(runs, lambda x: F.concat(F.upper(F.substring(x, 1, 1)),
-                                             F.substring(x, 2, 1 << 30))),
-        "")
+        F.transform(runs, lambda x: F.concat(first_upper(x), F.substring(x, 2, 1 << 30))), "")
 
 
 def _empty_to_blank(c: Column, result: Column) -> Column:

@@ -121,6 +121,13 @@ COMPANY_SUFFIXES = [
     r"\bCo\.?$",
 ]
 
+# --- fixed values: title case of letters whose upper case is two or more letters
+# (used by the SQL oracle; the Spark expression derives it from upper())
+TITLECASE_EXPANSIONS = [
+    ("\u00df", "Ss"), ("\ufb00", "Ff"), ("\ufb01", "Fi"), ("\ufb02", "Fl"),
+    ("\ufb03", "Ffi"), ("\ufb04", "Ffl"), ("\ufb05", "St"), ("\ufb06", "St"),
+]
+
 # --- fixed values: listing URL patterns in priority order ('' = base URL)
 LISTING_PATTERNS = ["/SearchJobs", "/JobSearch", "/FolderDetail", "/JobList", "/Opportunities", ""]
 
