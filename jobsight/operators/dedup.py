@@ -32,6 +32,7 @@ Plan, all on DataFrames:
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +41,7 @@ from jobsight.functions import text as T
 from jobsight.functions.similarity import (jaccard_size_ok, min_overlap_jaccard,
                                            min_overlap_ratio, ratio_length_ok, sequence_ratio)
 from jobsight.session import checkpoint_dir
+from jobsight.sources.tables import spread, spread_by
 
 DETAIL_COLS = ["title1", "title2", "location1", "location2", "title_similarity",
                "terms_similarity", "title_score", "location_score", "combined_score"]
@@ -82,26 +84,37 @@ def drop_exact_url_duplicates(df: DataFrame, seq: str = "seq") -> DataFrame:
 
 # ---- prefix tokens ------------------------------------------------------------
 
-def _char_prefix(strings: DataFrame, block: list[str], s: str, theta: float) -> DataFrame:
-    """(block, s, tok, slen) for the rarest characters of each distinct string.
+def _char_prefix(strings: DataFrame, sid: str, s: str, theta: float) -> DataFrame:
+    """(sid, slen, tok) for the rarest characters of each string.
 
     Tokens are (character, occurrence number), so a multiset overlap is a set
     overlap. If ratio(a, b) >= theta then the overlap is at least
     ceil(theta*len/(2-theta)) for each side, and the two prefixes of length
-    len - that + 1 in the global (frequency, char, occurrence) order share a
-    token.
+    len - that + 1 in one global token order (character frequency, character,
+    occurrence) share a token.
+
+    Per string: character counts (one hash aggregate), joined to the global
+    character frequencies (one row per distinct character: bounded by the
+    alphabet, so a broadcast at runtime), then the prefix is cut with array
+    functions on that string's distinct characters; no per-token window.
     """
-    base = strings.select(*block, s).distinct().withColumn("slen", F.length(F.lower(F.col(s))))
-    chars = base.select(*block, s, "slen",
-                        F.explode(F.regexp_extract_all(F.lower(F.col(s)), F.lit("(?s)."), 0)).alias("ch"))
-    counts = chars.groupBy(*block, s, "slen", "ch").agg(F.count(F.lit(1)).alias("n"))
-    toks = counts.select(*block, s, "slen", "ch", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k"))
-    freq = toks.groupBy("ch", "k").agg(F.count(F.lit(1)).alias("f"))
-    ranked = toks.join(freq, ["ch", "k"])
-    w = Window.partitionBy(*block, s).orderBy("f", "ch", "k")
-    keep = F.col("slen") - min_overlap_ratio(F.col("slen"), theta) + 1
-    return (ranked.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= keep)
-            .select(*block, s, "slen", F.struct("ch", "k").alias("tok")))
+    low = F.lower(F.col(s))
+    chars = strings.select(sid, F.length(low).alias("slen"), F.explode(F.split(low, "")).alias("ch"))
+    counts = (chars.filter(F.col("ch") != "").groupBy(sid, "slen", "ch")
+              .agg(F.count(F.lit(1)).alias("n")))
+    freq = counts.groupBy("ch").agg(F.sum("n").alias("f"))
+    ranked = counts.join(freq, "ch")
+    per = ranked.groupBy(sid, "slen").agg(
+        F.array_sort(F.collect_list(F.struct("f", "ch", "n"))).alias("arr"))
+    per = per.withColumn("keep", F.col("slen") - min_overlap_ratio(F.col("slen"), theta) + 1)
+    starts = F.transform("arr", lambda x, i: F.aggregate(
+        F.slice("arr", F.lit(1), i), F.lit(0).cast("bigint"), lambda acc, y: acc + y["n"]))
+    live = F.filter(F.arrays_zip(F.col("arr").alias("e"), starts.alias("st")),
+                    lambda z: z["st"] < F.col("keep"))
+    toks = F.flatten(F.transform(live, lambda z: F.transform(
+        F.sequence(F.lit(1).cast("bigint"), F.least(z["e"]["n"], F.col("keep") - z["st"])),
+        lambda k: F.struct(z["e"]["ch"].alias("ch"), k.alias("k")))))
+    return per.select(sid, "slen", F.explode(toks).alias("tok"))
 
 
 def _term_prefix(reps: DataFrame, theta: float) -> DataFrame:
@@ -118,15 +131,19 @@ def _term_prefix(reps: DataFrame, theta: float) -> DataFrame:
 
 def location_compat(reps: DataFrame, theta_l: float) -> DataFrame:
     """Directed (company_key, a, b, loc_ratio) with ratio(a, b) >= theta_l (or both Remote)."""
-    locs = reps.select("company_key", F.col("nl")).distinct()
-    pre = _char_prefix(locs, ["company_key"], "nl", theta_l)
+    locs = reps.select("company_key", F.col("nl")).distinct().withColumn(
+        "lid", F.monotonically_increasing_id()).checkpoint()
+    pre = _char_prefix(locs, "lid", "nl", theta_l).join(locs.select("lid", "company_key"), "lid")
     l, r = pre.alias("l"), pre.alias("r")
-    cand = (l.join(r, (F.col("l.company_key") == F.col("r.company_key"))
-                   & (F.col("l.tok") == F.col("r.tok")) & (F.col("l.nl") < F.col("r.nl")))
-            .filter(ratio_length_ok(F.col("l.slen"), F.col("r.slen"), theta_l))
-            .select(F.col("l.company_key").alias("company_key"), F.col("l.nl").alias("a"),
-                    F.col("r.nl").alias("b")).distinct())
-    both = cand.unionByName(cand.select("company_key", F.col("b").alias("a"), F.col("a").alias("b")))
+    ids = (l.join(r, (F.col("l.company_key") == F.col("r.company_key"))
+                  & (F.col("l.tok") == F.col("r.tok")) & (F.col("l.lid") < F.col("r.lid")))
+           .filter(ratio_length_ok(F.col("l.slen"), F.col("r.slen"), theta_l))
+           .select(F.col("l.lid").alias("la"), F.col("r.lid").alias("lb")).distinct())
+    cand = (ids.join(locs.select(F.col("lid").alias("la"), "company_key", F.col("nl").alias("a")), "la")
+            .join(locs.select(F.col("lid").alias("lb"), F.col("nl").alias("b")), "lb")
+            .select("company_key", "a", "b"))
+    both = spread_by(cand.unionByName(cand.select("company_key", F.col("b").alias("a"), F.col("a").alias("b"))),
+                     "a", "b")
     remote = (F.lower("a") == "remote") & (F.lower("b") == "remote")
     scored = both.withColumn("loc_ratio", F.when(remote, F.lit(1.0)).otherwise(sequence_ratio("a", "b")))
     same = locs.select("company_key", F.col("nl").alias("a"), F.col("nl").alias("b"),
@@ -136,8 +153,8 @@ def location_compat(reps: DataFrame, theta_l: float) -> DataFrame:
 
 def candidate_pairs(reps: DataFrame, compat: DataFrame, theta_t: float) -> DataFrame:
     """D4 with exact pruning: (i, j) representative URL pairs, i before j."""
-    tp = _char_prefix(reps, ["company_key"], "nt", theta_t)
-    rt = reps.join(tp, ["company_key", "nt"]).select("company_key", "url", "ord", "nl", "slen", "tok")
+    tp = _char_prefix(reps, "url", "nt", theta_t)
+    rt = reps.select("url", "company_key", "ord", "nl").join(tp, "url")
     left = (rt.join(compat.select("company_key", F.col("a").alias("nl"), "b"), ["company_key", "nl"])
             .select("company_key", "b", "tok", F.col("url").alias("i"), F.col("ord").alias("oi"),
                     F.col("slen").alias("li")))
@@ -159,14 +176,18 @@ def candidate_pairs(reps: DataFrame, compat: DataFrame, theta_t: float) -> DataF
 
 
 def score_pairs(pairs: DataFrame, reps: DataFrame, compat: DataFrame) -> DataFrame:
-    """D3 on candidate pairs (i before j): all detail columns, not yet thresholded."""
+    """D3 on candidate pairs (i before j): all detail columns, not yet thresholded.
+
+    D1 runs once per distinct title pair, hash-spread over the cluster so the
+    Python stage is never coalesced into a single task.
+    """
     ri = reps.select(F.col("url").alias("i"), F.col("company_key"), F.col("ord").alias("oi"),
                      F.col("nt").alias("title1"), F.col("nl").alias("location1"),
                      F.col("terms").alias("terms1"))
     rj = reps.select(F.col("url").alias("j"), F.col("ord").alias("oj"), F.col("nt").alias("title2"),
                      F.col("nl").alias("location2"), F.col("terms").alias("terms2"))
     p = pairs.join(ri, "i").join(rj, "j")
-    titles = p.select("title1", "title2").distinct()
+    titles = spread_by(p.select("title1", "title2"), "title1", "title2").dropDuplicates()
     titles = titles.withColumn("title_similarity", sequence_ratio("title1", "title2"))
     p = (p.join(titles, ["title1", "title2"])
          .join(compat.select("company_key", F.col("a").alias("location1"), F.col("b").alias("location2"),
@@ -222,11 +243,15 @@ def find_duplicates(postings: DataFrame,
     Input: unique ``url`` plus company, title, location. Output columns:
     company_key, canonical_url, duplicate_url, score and the detail columns.
     """
-    base = postings.select("url", "company", "title", "location").withColumn("ord", order_key(postings))
+    base = spread(postings.select("url", "company", "title", "location"))
+    base = base.withColumn("ord", order_key(base))
     base = base.select("url", "company", "ord",
                        T.normalize_company("company").alias("company_key"),
                        T.normalize_title("title").alias("nt"),
                        T.normalize_location("location").alias("nl"))
+    # materialize first: a filter on nt/nl would otherwise be pushed below the
+    # projection and evaluate the regex chains twice
+    base = base.persist(StorageLevel.MEMORY_AND_DISK)
     eligible = base.filter((F.col("nt") != "") & (F.col("nl") != ""))
     # exact collapse
     grp = eligible.groupBy("company_key", "nt", "nl").agg(F.min("ord").alias("rep_ord"))
@@ -235,7 +260,7 @@ def find_duplicates(postings: DataFrame,
                       T.key_terms("nt").alias("terms"))
     spark = postings.sparkSession
     checkpoint_dir(spark)
-    reps = reps.checkpoint()
+    reps = spread(reps.checkpoint())
     members = (eligible.join(grp, ["company_key", "nt", "nl"])
                .filter(F.col("ord") != F.col("rep_ord"))
                .select(F.col("url").alias("member"), F.col("rep_ord.u").alias("rep")))
@@ -245,7 +270,11 @@ def find_duplicates(postings: DataFrame,
     is_dup = ((F.col("title_score") >= title_threshold)
               & (F.col("location_score") >= location_threshold)
               & (F.col("combined_score") >= combined_threshold))
-    edges = scored.filter(is_dup).select(
+    edges = scored.filter(is_dup)
+    # pairs that passed on Jaccard alone skipped the ratio: report its exact value
+    edges = edges.withColumn("title_similarity", F.when(
+        F.col("title_similarity") < 0, sequence_ratio("title1", "title2")).otherwise(F.col("title_similarity")))
+    edges = edges.select(
         "company_key", F.col("i").alias("lo"), F.col("j").alias("hi"), F.col("oi"),
         *DETAIL_COLS).checkpoint()
     canon = greedy_canonicals(edges)

@@ -225,7 +225,7 @@ def smart_stop(listing: DataFrame, active: DataFrame, n: int = 5, max_pages: int
     the first empty page, after ``n`` consecutive pages without new
     postings (stopped early), or at ``max_pages``.
 
-    Output: site, pages_scanned, last_page, stopped_early.
+    Output: site, pages_scanned (the last page read), stopped_early.
     """
     pages = listing.filter(F.col("page") <= max_pages)
     fresh = pages.join(active.select("site", "url"), ["site", "url"], "left_anti")
@@ -248,7 +248,6 @@ def smart_stop(listing: DataFrame, active: DataFrame, n: int = 5, max_pages: int
     return out.select(
         "site",
         F.coalesce("stop_page", "end_page").cast("int").alias("pages_scanned"),
-        F.coalesce("stop_page", "end_page").cast("int").alias("last_page"),
         F.col("stop_page").isNotNull().alias("stopped_early"))
 
 

@@ -1 +1,129 @@
-"""Registered queries."""
+"""Registered duplicate-detection queries (N6, D2, D4-D9, D11) over doc_postings."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from jobsight import rules
+from jobsight.functions import sql_text as S
+from jobsight.functions import text as T
+from jobsight.operators import dedup as D
+from jobsight.plans.catalog import register
+from jobsight.sources.views import doc_postings, observations, with_views
+
+
+@register("exact_url_dedup", with_views("""
+    SELECT url, company, title, location, job_id, epoch_us(ts) AS ts_us, seq, run
+    FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY seq DESC) AS rn FROM observations)
+    WHERE rn = 1""", "observations"))
+def exact_url_dedup(spark, sf_dir):
+    d = D.drop_exact_url_duplicates(observations(spark, sf_dir), "seq")
+    return d.select("url", "company", "title", "location", "job_id",
+                    F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "seq", "run")
+
+
+@register("normalized_postings", with_views(f"""
+    SELECT url, {S.normalize_company('company')} AS company_key,
+           {S.normalize_title('title')} AS normalized_title,
+           {S.normalize_location('location')} AS normalized_location,
+           {S.seniority_level('title')} AS seniority_level,
+           {S.key_terms(S.normalize_title('title'))} AS key_terms
+    FROM doc_postings""", "doc_postings"))
+def normalized_postings(spark, sf_dir):
+    n = D.normalize_postings(doc_postings(spark, sf_dir))
+    return n.select("url", "company_key", "normalized_title", "normalized_location",
+                    "seniority_level", "key_terms")
+
+
+@register("candidate_pairs", with_views(f"""
+    SELECT company_key, CAST(count(*) AS BIGINT) AS postings,
+           CAST(count(*) * (count(*) - 1) / 2 AS BIGINT) AS block_pairs
+    FROM (SELECT {S.normalize_company('company')} AS company_key FROM doc_postings)
+    GROUP BY company_key HAVING count(*) > 1""", "doc_postings"))
+def candidate_pairs(spark, sf_dir):
+    """D4 block sizes: the pairs a plain company blocking would compare.
+
+    The pruned candidate set actually scored is `pruned_candidates`.
+    """
+    k = doc_postings(spark, sf_dir).select(T.normalize_company("company").alias("company_key"))
+    g = k.groupBy("company_key").agg(F.count(F.lit(1)).alias("postings")).filter(F.col("postings") > 1)
+    return g.select("company_key", F.col("postings").cast("bigint").alias("postings"),
+                    (F.col("postings") * (F.col("postings") - 1) / 2).cast("bigint").alias("block_pairs"))
+
+
+def _reps(spark, sf_dir):
+    p = doc_postings(spark, sf_dir)
+    b = p.select("url", T.normalize_company("company").alias("company_key"),
+                 T.normalize_title("title").alias("nt"), T.normalize_location("location").alias("nl"),
+                 D.order_key(p).alias("ord"))
+    return b.withColumn("terms", T.key_terms("nt"))
+
+
+@register("jaccard_pairs", with_views(f"""
+    , t AS (SELECT url, company, title, {S.normalize_company('company')} AS company_key,
+                   {S.key_terms(S.normalize_title('title'))} AS terms
+            FROM doc_postings)
+    SELECT a.url AS url1, b.url AS url2, a.company_key,
+           round(len(list_intersect(a.terms, b.terms)) / len(list_distinct(list_concat(a.terms, b.terms))), 6)
+               AS jaccard
+    FROM t a JOIN t b ON a.company_key = b.company_key
+         AND (a.company, a.title, a.url) < (b.company, b.title, b.url)
+    WHERE len(a.terms) > 0 AND len(b.terms) > 0
+      AND len(list_intersect(a.terms, b.terms)) >= {rules.TITLE_THRESHOLD}
+          * len(list_distinct(list_concat(a.terms, b.terms)))""", "doc_postings"))
+def jaccard_pairs(spark, sf_dir):
+    """Pairs inside a company whose key-term Jaccard reaches the title threshold.
+
+    Found with the exact term prefix filter, not by comparing all pairs.
+    """
+    theta = rules.TITLE_THRESHOLD
+    r = _reps(spark, sf_dir).filter(F.size("terms") > 0)
+    tp = D._term_prefix(r.select("url", "terms"), theta)
+    x = r.select("url", "company_key", "ord", "terms").join(tp, "url")
+    a = x.select(F.col("url").alias("url1"), "company_key", F.col("ord").alias("o1"), "term",
+                 F.col("terms").alias("t1"), F.col("tsize").alias("s1"))
+    b = x.select(F.col("url").alias("url2"), "company_key", F.col("ord").alias("o2"), "term",
+                 F.col("terms").alias("t2"), F.col("tsize").alias("s2"))
+    pairs = (a.join(b, ["company_key", "term"]).filter(F.col("o1") < F.col("o2"))
+             .select("url1", "url2", "company_key", "t1", "t2").dropDuplicates(["url1", "url2"]))
+    j = pairs.withColumn("jaccard", T.jaccard("t1", "t2"))
+    inter = F.size(F.array_intersect("t1", "t2"))
+    union = F.size(F.array_union("t1", "t2"))
+    return (j.filter(inter >= F.lit(theta) * union)
+            .select("url1", "url2", "company_key", F.round("jaccard", 6).alias("jaccard")))
+
+
+def _dups(spark, sf_dir):
+    return D.find_duplicates(doc_postings(spark, sf_dir))
+
+
+@register("fuzzy_duplicates")
+def fuzzy_duplicates(spark, sf_dir):
+    """D1+D3+D5: every duplicate with its canonical and score details (rows-only check)."""
+    return _dups(spark, sf_dir)
+
+
+@register("deduplicated")
+def deduplicated(spark, sf_dir):
+    """The postings that remain after removing duplicates (keep='first')."""
+    p = doc_postings(spark, sf_dir)
+    unique, _ = D.deduplicate(p, D.find_duplicates(p))
+    return unique
+
+
+@register("dedup_stats")
+def dedup_stats(spark, sf_dir):
+    p = doc_postings(spark, sf_dir)
+    return D.dedup_stats(p, D.find_duplicates(p))
+
+
+@register("company_dup_stats")
+def company_dup_stats(spark, sf_dir):
+    p = doc_postings(spark, sf_dir)
+    return D.company_dup_stats(p, D.find_duplicates(p))
+
+
+@register("duplicate_report")
+def duplicate_report(spark, sf_dir):
+    p = doc_postings(spark, sf_dir)
+    return D.duplicate_report(p, D.find_duplicates(p))

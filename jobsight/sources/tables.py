@@ -14,3 +14,30 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one driver table; lazily, so only referenced columns are scanned."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin the rows over the cluster before CPU-heavy per-row work.
+
+    Only when the input has fewer partitions than the cluster's parallelism
+    (a single-row-group file, a tiny table): a real dataset of many files is
+    left as it is, so no extra shuffle is paid at scale.
+    """
+    spark = df.sparkSession
+    want = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
+
+
+def spread_by(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash-partition rows for a CPU-heavy stage (a Python UDF).
+
+    A user-specified partition count is kept by AQE, so a small but
+    expensive table (candidate pairs) is not coalesced into one task; the
+    count follows the cluster's parallelism and the session's shuffle size.
+    """
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism * 2,
+            int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    return df.repartition(n, *cols)

@@ -61,7 +61,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("title"),
         F.get_json_object(F.col("props"), "$.k").alias("location"),
         F.col("user_id").cast("string").alias("job_id"),
-        F.col("ts"),
+        F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_id").alias("seq"),
         F.date_format(F.col("ts"), "yyyy-MM-dd").alias("run"))
 
