@@ -1 +1,31 @@
-"""Registered queries."""
+"""Registered streaming query (T1): crawl days replayed through Structured Streaming."""
+
+from __future__ import annotations
+
+import uuid
+
+from jobsight.plans.catalog import ORACLE, register
+from jobsight.plans.q_lifecycle import _state_us
+from jobsight.session import checkpoint_dir
+from jobsight.sources.views import observations
+from jobsight.streaming.ingest import read_state, stream_ingest
+
+
+@register("stream_ingest")
+def stream_ingest_q(spark, sf_dir):
+    """Observations written as one folder per day, ingested by an availableNow stream.
+
+    The result is the published snapshot: it must equal job_state.
+    """
+    src = checkpoint_dir(spark).rstrip("/") + f"/jobsight-observations-{uuid.uuid4().hex}"
+    observations(spark, sf_dir).write.partitionBy("run").parquet(src)
+    state_base = stream_ingest(spark, src)
+    return _state_us(read_state(spark, state_base))
+
+
+def _same_sql_as_job_state():
+    from jobsight.plans import q_lifecycle  # noqa: F401  (registers job_state)
+    ORACLE["stream_ingest"] = ORACLE["job_state"]
+
+
+_same_sql_as_job_state()
