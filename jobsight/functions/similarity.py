@@ -32,6 +32,27 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio_py(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
+def ratio_floor_py(a, b, floor: float) -> float:
+    """D1 when it can reach ``floor``, else -1.0 (known to be below it).
+
+    difflib's quick_ratio (a character-multiset bound, linear time) is an
+    upper bound of ratio, so skipping the full computation below the floor
+    loses no pair that could pass.
+    """
+    if not a or not b:
+        return 0.0
+    m = SequenceMatcher(None, a.lower(), b.lower())
+    if m.quick_ratio() < floor - 1e-12:
+        return -1.0
+    return m.ratio()
+
+
+@pandas_udf(DoubleType())
+def sequence_ratio_floor(a: pd.Series, b: pd.Series, floor: pd.Series) -> pd.Series:
+    """D1 with an exact early exit below ``floor`` (see ratio_floor_py)."""
+    return pd.Series([ratio_floor_py(x, y, f) for x, y, f in zip(a, b, floor)], dtype="float64")
+
+
 def register_sql(spark) -> None:
     """Make D1 callable from SQL as sequence_ratio(a, b)."""
     spark.udf.register("sequence_ratio", sequence_ratio)

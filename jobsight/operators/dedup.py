@@ -39,7 +39,8 @@ from pyspark.sql import functions as F
 from jobsight import rules
 from jobsight.functions import text as T
 from jobsight.functions.similarity import (jaccard_size_ok, min_overlap_jaccard,
-                                           min_overlap_ratio, ratio_length_ok, sequence_ratio)
+                                           min_overlap_ratio, ratio_length_ok, sequence_ratio,
+                                           sequence_ratio_floor)
 from jobsight.session import checkpoint_dir
 from jobsight.sources.tables import spread, spread_by
 
@@ -95,31 +96,34 @@ def _char_prefix(strings: DataFrame, sid: str, s: str, theta: float) -> DataFram
 
     Per string: character counts (one hash aggregate), joined to the global
     character frequencies (one row per distinct character: bounded by the
-    alphabet, so a broadcast at runtime), then the prefix is cut with array
-    functions on that string's distinct characters; no per-token window.
+    alphabet, so a broadcast at runtime), then the prefix is cut with a
+    running sum over the string's distinct characters; tokens are only
+    materialized for the kept prefix.
     """
-    low = F.lower(F.col(s))
-    chars = strings.select(sid, F.length(low).alias("slen"), F.explode(F.split(low, "")).alias("ch"))
+    # length computed below the explode: a column derived next to a generator is
+    # evaluated above it, which would drag the whole string along every character
+    low = strings.select(sid, F.lower(F.col(s)).alias("_low")).withColumn("slen", F.length("_low"))
+    chars = low.select(sid, "slen", F.explode(F.split("_low", "")).alias("ch"))
     counts = (chars.filter(F.col("ch") != "").groupBy(sid, "slen", "ch")
               .agg(F.count(F.lit(1)).alias("n")))
     freq = counts.groupBy("ch").agg(F.sum("n").alias("f"))
     ranked = counts.join(freq, "ch")
-    per = ranked.groupBy(sid, "slen").agg(
-        F.array_sort(F.collect_list(F.struct("f", "ch", "n"))).alias("arr"))
-    per = per.withColumn("keep", F.col("slen") - min_overlap_ratio(F.col("slen"), theta) + 1)
-    starts = F.transform("arr", lambda x, i: F.aggregate(
-        F.slice("arr", F.lit(1), i), F.lit(0).cast("bigint"), lambda acc, y: acc + y["n"]))
-    live = F.filter(F.arrays_zip(F.col("arr").alias("e"), starts.alias("st")),
-                    lambda z: z["st"] < F.col("keep"))
-    toks = F.flatten(F.transform(live, lambda z: F.transform(
-        F.sequence(F.lit(1).cast("bigint"), F.least(z["e"]["n"], F.col("keep") - z["st"])),
-        lambda k: F.struct(z["e"]["ch"].alias("ch"), k.alias("k")))))
-    return per.select(sid, "slen", F.explode(toks).alias("tok"))
+    # running count of tokens before each (string, character) in the global order:
+    # a window over one row per distinct character of a string, not per token
+    w = (Window.partitionBy(sid).orderBy("f", "ch")
+         .rowsBetween(Window.unboundedPreceding, -1))
+    keep = F.col("slen") - min_overlap_ratio(F.col("slen"), theta) + 1
+    runs = ranked.withColumn("start", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    runs = runs.filter(F.col("start") < keep)
+    last = F.least(F.col("n"), keep - F.col("start"))
+    return runs.select(sid, "slen", F.explode(F.sequence(F.lit(1).cast("bigint"), last.cast("bigint")))
+                       .alias("k"), "ch").select(sid, "slen", F.struct("ch", "k").alias("tok"))
 
 
 def _term_prefix(reps: DataFrame, theta: float) -> DataFrame:
     """(url, term, tsize) for the rarest key terms of each representative."""
-    ex = reps.select("url", F.size("terms").alias("tsize"), F.explode("terms").alias("term"))
+    sized = reps.select("url", "terms").withColumn("tsize", F.size("terms"))
+    ex = sized.select("url", "tsize", F.explode("terms").alias("term"))
     freq = ex.groupBy("term").agg(F.count(F.lit(1)).alias("f"))
     w = Window.partitionBy("url").orderBy("f", "term")
     keep = F.col("tsize") - min_overlap_jaccard(F.col("tsize"), theta) + 1
@@ -175,11 +179,15 @@ def candidate_pairs(reps: DataFrame, compat: DataFrame, theta_t: float) -> DataF
     return seq_c.unionByName(jac_c).distinct()
 
 
-def score_pairs(pairs: DataFrame, reps: DataFrame, compat: DataFrame) -> DataFrame:
+def score_pairs(pairs: DataFrame, reps: DataFrame, compat: DataFrame,
+                title_floor: float | None = None) -> DataFrame:
     """D3 on candidate pairs (i before j): all detail columns, not yet thresholded.
 
     D1 runs once per distinct title pair, hash-spread over the cluster so the
-    Python stage is never coalesced into a single task.
+    Python stage is never coalesced into a single task. With ``title_floor``
+    a pair whose multiset bound is below the floor gets title_similarity
+    -1.0 (exactly: it cannot reach the floor); callers that report details
+    recompute it for the pairs they keep.
     """
     ri = reps.select(F.col("url").alias("i"), F.col("company_key"), F.col("ord").alias("oi"),
                      F.col("nt").alias("title1"), F.col("nl").alias("location1"),
@@ -188,7 +196,11 @@ def score_pairs(pairs: DataFrame, reps: DataFrame, compat: DataFrame) -> DataFra
                      F.col("nl").alias("location2"), F.col("terms").alias("terms2"))
     p = pairs.join(ri, "i").join(rj, "j")
     titles = spread_by(p.select("title1", "title2"), "title1", "title2").dropDuplicates()
-    titles = titles.withColumn("title_similarity", sequence_ratio("title1", "title2"))
+    if title_floor is None:
+        titles = titles.withColumn("title_similarity", sequence_ratio("title1", "title2"))
+    else:
+        titles = titles.withColumn("title_similarity",
+                                   sequence_ratio_floor("title1", "title2", F.lit(float(title_floor))))
     p = (p.join(titles, ["title1", "title2"])
          .join(compat.select("company_key", F.col("a").alias("location1"), F.col("b").alias("location2"),
                              F.col("loc_ratio").alias("location_score")),
@@ -266,7 +278,7 @@ def find_duplicates(postings: DataFrame,
                .select(F.col("url").alias("member"), F.col("rep_ord.u").alias("rep")))
     compat = location_compat(reps, location_threshold).checkpoint()
     pairs = candidate_pairs(reps, compat, title_threshold)
-    scored = score_pairs(pairs, reps, compat)
+    scored = score_pairs(pairs, reps, compat, title_floor=title_threshold)
     is_dup = ((F.col("title_score") >= title_threshold)
               & (F.col("location_score") >= location_threshold)
               & (F.col("combined_score") >= combined_threshold))

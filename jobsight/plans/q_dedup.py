@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from jobsight import rules
 from jobsight.functions import sql_text as S
 from jobsight.functions import text as T
+from jobsight.functions.similarity import jaccard_size_ok
 from jobsight.operators import dedup as D
 from jobsight.plans.catalog import register
+from jobsight.session import checkpoint_dir
+from jobsight.sources.tables import spread
 from jobsight.sources.views import doc_postings, observations, with_views
 
 
@@ -30,7 +33,7 @@ def exact_url_dedup(spark, sf_dir):
            {S.key_terms(S.normalize_title('title'))} AS key_terms
     FROM doc_postings""", "doc_postings"))
 def normalized_postings(spark, sf_dir):
-    n = D.normalize_postings(doc_postings(spark, sf_dir))
+    n = D.normalize_postings(spread(doc_postings(spark, sf_dir)))
     return n.select("url", "company_key", "normalized_title", "normalized_location",
                     "seniority_level", "key_terms")
 
@@ -52,11 +55,13 @@ def candidate_pairs(spark, sf_dir):
 
 
 def _reps(spark, sf_dir):
-    p = doc_postings(spark, sf_dir)
+    """Normalized postings with key terms, computed once (spread, then checkpointed)."""
+    checkpoint_dir(spark)
+    p = spread(doc_postings(spark, sf_dir))
     b = p.select("url", T.normalize_company("company").alias("company_key"),
                  T.normalize_title("title").alias("nt"), T.normalize_location("location").alias("nl"),
                  D.order_key(p).alias("ord"))
-    return b.withColumn("terms", T.key_terms("nt"))
+    return b.withColumn("terms", T.key_terms("nt")).checkpoint()
 
 
 @register("jaccard_pairs", with_views(f"""
@@ -79,18 +84,21 @@ def jaccard_pairs(spark, sf_dir):
     theta = rules.TITLE_THRESHOLD
     r = _reps(spark, sf_dir).filter(F.size("terms") > 0)
     tp = D._term_prefix(r.select("url", "terms"), theta)
-    x = r.select("url", "company_key", "ord", "terms").join(tp, "url")
+    x = r.select("url", "company_key", "ord").join(tp, "url")
     a = x.select(F.col("url").alias("url1"), "company_key", F.col("ord").alias("o1"), "term",
-                 F.col("terms").alias("t1"), F.col("tsize").alias("s1"))
+                 F.col("tsize").alias("s1"))
     b = x.select(F.col("url").alias("url2"), "company_key", F.col("ord").alias("o2"), "term",
-                 F.col("terms").alias("t2"), F.col("tsize").alias("s2"))
-    pairs = (a.join(b, ["company_key", "term"]).filter(F.col("o1") < F.col("o2"))
-             .select("url1", "url2", "company_key", "t1", "t2").dropDuplicates(["url1", "url2"]))
-    j = pairs.withColumn("jaccard", T.jaccard("t1", "t2"))
+                 F.col("tsize").alias("s2"))
+    ids = (a.join(b, ["company_key", "term"])
+           .filter((F.col("o1") < F.col("o2")) & jaccard_size_ok(F.col("s1"), F.col("s2"), theta))
+           .select("url1", "url2", "company_key").distinct())
+    terms = r.select("url", "terms")
+    pairs = (ids.join(terms.select(F.col("url").alias("url1"), F.col("terms").alias("t1")), "url1")
+             .join(terms.select(F.col("url").alias("url2"), F.col("terms").alias("t2")), "url2"))
     inter = F.size(F.array_intersect("t1", "t2"))
     union = F.size(F.array_union("t1", "t2"))
-    return (j.filter(inter >= F.lit(theta) * union)
-            .select("url1", "url2", "company_key", F.round("jaccard", 6).alias("jaccard")))
+    return (pairs.filter(inter >= F.lit(theta) * union)
+            .select("url1", "url2", "company_key", F.round(T.jaccard("t1", "t2"), 6).alias("jaccard")))
 
 
 def _dups(spark, sf_dir):

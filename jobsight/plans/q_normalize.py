@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from jobsight.functions import sql_text as S
 from jobsight.functions import text as T
 from jobsight.plans.catalog import register
-from jobsight.sources.tables import table
+from jobsight.sources.tables import spread, table
 from jobsight.sources.views import doc_postings, with_views
 
 
@@ -33,7 +33,7 @@ _TITLE_INPUTS_SQL = """
     f", {_TITLE_INPUTS_SQL.strip()}\nSELECT key, title, {S.normalize_title('title')} AS normalized_title "
     "FROM title_inputs", "doc_postings").replace("\n, ", ",\n", 1))
 def normalized_titles(spark, sf_dir):
-    df = _title_inputs(spark, sf_dir)
+    df = spread(_title_inputs(spark, sf_dir))
     return df.select("key", "title", T.normalize_title("title").alias("normalized_title"))
 
 
@@ -59,7 +59,7 @@ _LOCATION_INPUTS_SQL = """
     f"{S.normalize_location('location')} AS normalized_location FROM location_inputs",
     "doc_postings").replace("\n, ", ",\n", 1))
 def normalized_locations(spark, sf_dir):
-    df = _location_inputs(spark, sf_dir)
+    df = spread(_location_inputs(spark, sf_dir))
     return df.select("key", "location", T.normalize_location("location").alias("normalized_location"))
 
 
@@ -91,7 +91,7 @@ _COMPANY_INPUTS_SQL = """
     f"{S.normalize_company('company')} AS normalized_company FROM company_inputs",
     "doc_postings").replace("\n, ", ",\n", 1))
 def normalized_companies(spark, sf_dir):
-    df = _company_inputs(spark, sf_dir)
+    df = spread(_company_inputs(spark, sf_dir))
     return df.select("key", "company", T.normalize_company("company").alias("normalized_company"))
 
 
@@ -99,12 +99,12 @@ def normalized_companies(spark, sf_dir):
     f"SELECT url, title, {S.seniority_level('title')} AS seniority_level FROM doc_postings",
     "doc_postings"))
 def seniority_levels(spark, sf_dir):
-    df = doc_postings(spark, sf_dir)
+    df = spread(doc_postings(spark, sf_dir))
     return df.select("url", "title", T.seniority_level("title").alias("seniority_level"))
 
 
 @register("key_terms", with_views(
     f"SELECT url, {S.key_terms('title')} AS key_terms FROM doc_postings", "doc_postings"))
 def key_terms(spark, sf_dir):
-    df = doc_postings(spark, sf_dir)
+    df = spread(doc_postings(spark, sf_dir))
     return df.select("url", T.key_terms("title").alias("key_terms"))
