@@ -231,3 +231,16 @@ def validate_postings(spark, sf_dir):
 from jobsight.plans.catalog import ORACLE as _ORACLE  # noqa: E402
 
 _ORACLE["validate_postings"] = with_views(_ORACLE["validate_postings"], "page_postings")
+
+
+@register("cycle_report")
+def cycle_report(spark, sf_dir):
+    """P1 over the pages: extract, ingest as one run, dedup the active jobs, report (rows-only)."""
+    import datetime as dt
+
+    from jobsight.operators import lifecycle as L
+    from jobsight.plans.cycle import run_cycle
+    p = spread(_pages(spark, sf_dir)).select("url", "html", X.site_of(F.col("url")).alias("site_url"))
+    out = run_cycle(p, L.empty_state(spark), "run-1", scraped_at=dt.datetime(2024, 1, 1),
+                    link_pattern=None, title_tag="h1")
+    return out["report"]
