@@ -19,8 +19,8 @@ in that run and deactivates nothing.
 
 Skew: per-company run ranks are computed on the distinct (company, run)
 table, never with a window over all rows of a company; the fold is a hash
-aggregate with map-side combine; only the previous-observation lookup is a
-window partitioned by URL.
+aggregate with map-side combine; the previous-observation lookup is a window
+per (url, run) plus a window over one row per run of a URL.
 """
 
 from __future__ import annotations
@@ -58,31 +58,46 @@ def classify_changes(jobs: DataFrame, batch: DataFrame) -> DataFrame:
 
     updated = title or location differ (null-safe) from the row as stored just
     before this observation, or the row was inactive then (reactivation).
+
+    The previous observation is found in two levels so that a URL seen very
+    often is spread over tasks: a window per (url, run) for observations
+    inside one run, and for the first one of a run the last values of the
+    URL's previous run (a max_by aggregate per (url, run), then a window over
+    one row per run of the URL) or else the stored state row.
     """
     b = _ranked(batch)
-    known = jobs.join(batch.select("url").distinct(), "url", "left_semi")
-    prior = known.select(
-        "url", "title", "location",
-        F.lit(0).alias("src"), F.lit(None).cast(b.schema["run"].dataType).alias("run"),
-        F.lit(None).cast(b.schema["seq"].dataType).alias("seq"),
-        F.lit(0).alias("crank"), F.col("is_active").alias("state_active"))
-    obs = b.select("url", "title", "location", F.lit(1).alias("src"), "run", "seq", "crank",
-                   F.lit(None).cast("boolean").alias("state_active"),
-                   "company", "job_id", "ts")
-    both = obs.unionByName(prior, allowMissingColumns=True)
-    w = Window.partitionBy("url").orderBy("src", "run", "seq")
-    prev = {c: F.lag(c).over(w) for c in ["src", "title", "location", "run", "crank", "state_active"]}
-    active_before = (F.when(prev["src"] == 0, F.coalesce(prev["state_active"], F.lit(False))
-                            & (F.col("crank") == 1))
-                     .otherwise((prev["run"] == F.col("run"))
-                                | (F.col("crank") - prev["crank"] == 1)))
-    changed = (~F.col("title").eqNullSafe(prev["title"])
-               | ~F.col("location").eqNullSafe(prev["location"])
+    w_in = Window.partitionBy("url", "run").orderBy("seq")
+    b = (b.withColumn("p_title", F.lag("title").over(w_in))
+         .withColumn("p_location", F.lag("location").over(w_in))
+         .withColumn("first_in_run", F.lag("seq").over(w_in).isNull()))
+    last = b.groupBy("url", "run").agg(F.max_by("title", "seq").alias("l_title"),
+                                       F.max_by("location", "seq").alias("l_location"),
+                                       F.max("crank").alias("l_crank"))
+    w_runs = Window.partitionBy("url").orderBy("run")
+    prev_run = last.select(
+        "url", "run", F.lag("l_title").over(w_runs).alias("r_title"),
+        F.lag("l_location").over(w_runs).alias("r_location"),
+        F.lag("l_crank").over(w_runs).alias("r_crank"),
+        F.lag("run").over(w_runs).isNotNull().alias("has_prev_run"))
+    known = (jobs.join(batch.select("url").distinct(), "url", "left_semi")
+             .select("url", F.col("title").alias("s_title"), F.col("location").alias("s_location"),
+                     F.col("is_active").alias("s_active"), F.lit(True).alias("s_exists")))
+    x = b.join(prev_run, ["url", "run"]).join(known, "url", "left")
+    inside = ~F.col("first_in_run")
+    from_run = F.col("has_prev_run")
+    prev_title = (F.when(inside, F.col("p_title")).when(from_run, F.col("r_title"))
+                  .otherwise(F.col("s_title")))
+    prev_location = (F.when(inside, F.col("p_location")).when(from_run, F.col("r_location"))
+                     .otherwise(F.col("s_location")))
+    seen_before = inside | from_run | F.coalesce(F.col("s_exists"), F.lit(False))
+    active_before = (F.when(inside, F.lit(True))
+                     .when(from_run, F.col("crank") - F.col("r_crank") == 1)
+                     .otherwise(F.coalesce(F.col("s_active"), F.lit(False)) & (F.col("crank") == 1)))
+    changed = (~F.col("title").eqNullSafe(prev_title) | ~F.col("location").eqNullSafe(prev_location)
                | ~active_before)
-    action = (F.when(prev["src"].isNull(), F.lit("new"))
-              .when(changed, F.lit("updated"))
+    action = (F.when(~seen_before, F.lit("new")).when(changed, F.lit("updated"))
               .otherwise(F.lit("unchanged")))
-    out = both.withColumn("action", action).filter(F.col("src") == 1)
+    out = x.withColumn("action", action)
     return out.select("url", "company", "title", "location", "job_id", "ts", "seq", "run",
                       "action", (F.col("action") != "unchanged").alias("changed"))
 
