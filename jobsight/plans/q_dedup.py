@@ -135,3 +135,63 @@ def company_dup_stats(spark, sf_dir):
 def duplicate_report(spark, sf_dir):
     p = doc_postings(spark, sf_dir)
     return D.duplicate_report(p, D.find_duplicates(p))
+
+
+def _jaccard_graph_sql():
+    theta = rules.TITLE_THRESHOLD
+    nt = S.normalize_title("title")
+    return ("WITH RECURSIVE doc_postings AS (" + with_views("SELECT 1", "doc_postings")
+            .split("doc_postings AS (", 1)[1].rsplit(")\nSELECT 1", 1)[0] + f""")
+, n0 AS (SELECT url, company, title, {S.normalize_company('company')} AS company_key, {nt} AS nt,
+                {S.normalize_location('location')} AS nl FROM doc_postings)
+, t AS (SELECT *, {S.key_terms('nt')} AS terms FROM n0 WHERE nt <> '' AND nl <> '')
+, o AS (SELECT *, row_number() OVER (PARTITION BY company_key ORDER BY company, title, url) AS k FROM t)
+, e AS (SELECT a.company_key, a.k AS ka, b.k AS kb FROM o a JOIN o b
+          ON a.company_key = b.company_key AND a.nl = b.nl AND a.k < b.k
+        WHERE len(a.terms) > 0 AND len(b.terms) > 0
+          AND len(list_intersect(a.terms, b.terms)) >= {theta} * len(list_distinct(list_concat(a.terms, b.terms))))
+, nb AS (SELECT company_key, kb AS k, list(ka) AS lower FROM e GROUP BY company_key, kb)
+, seq AS (SELECT o.company_key, o.k, coalesce(nb.lower, []) AS lower FROM o LEFT JOIN nb USING (company_key, k))
+, r AS (SELECT company_key, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS canon FROM (SELECT DISTINCT company_key FROM o)
+        UNION ALL
+        SELECT r.company_key, r.k + 1,
+               CASE WHEN list_has_any(s.lower, r.canon) THEN r.canon ELSE list_append(r.canon, r.k + 1) END
+        FROM r JOIN seq s ON s.company_key = r.company_key AND s.k = r.k + 1)
+, fin AS (SELECT company_key, arg_max(canon, k) AS canon FROM r GROUP BY company_key)
+, d AS (SELECT e.company_key, e.kb, min(e.ka) AS ka FROM e JOIN fin USING (company_key)
+        WHERE list_contains(fin.canon, e.ka) AND NOT list_contains(fin.canon, e.kb)
+        GROUP BY e.company_key, e.kb)
+SELECT od.url AS duplicate_url, oc.url AS canonical_url, d.company_key
+FROM d JOIN o od ON od.company_key = d.company_key AND od.k = d.kb
+       JOIN o oc ON oc.company_key = d.company_key AND oc.k = d.ka""")
+
+
+@register("deduplicated_exact_terms", _jaccard_graph_sql())
+def deduplicated_exact_terms(spark, sf_dir):
+    """D5 on a Jaccard-only graph: similar = same company and location, key-term Jaccard >= threshold.
+
+    Edges come from the exact term prefix join keyed by (company, location,
+    term); canonicals from the same greedy rounds as fuzzy_duplicates. The
+    oracle is the literal sequential greedy scan as a recursive CTE.
+    """
+    theta = rules.TITLE_THRESHOLD
+    r = _reps(spark, sf_dir).filter((F.col("nt") != "") & (F.col("nl") != "") & (F.size("terms") > 0))
+    tp = D._term_prefix(r.select("url", "terms"), theta)
+    x = r.select("url", "company_key", "nl", "ord").join(tp, "url")
+    a = x.select(F.col("url").alias("lo"), "company_key", "nl", F.col("ord").alias("oi"), "term",
+                 F.col("tsize").alias("si"))
+    b = x.select(F.col("url").alias("hi"), "company_key", "nl", F.col("ord").alias("oj"), "term",
+                 F.col("tsize").alias("sj"))
+    ids = (a.join(b, ["company_key", "nl", "term"])
+           .filter((F.col("oi") < F.col("oj")) & jaccard_size_ok(F.col("si"), F.col("sj"), theta))
+           .select("lo", "hi", "oi", "company_key").distinct())
+    terms = r.select("url", "terms")
+    e = (ids.join(terms.select(F.col("url").alias("lo"), F.col("terms").alias("t1")), "lo")
+         .join(terms.select(F.col("url").alias("hi"), F.col("terms").alias("t2")), "hi"))
+    inter = F.size(F.array_intersect("t1", "t2"))
+    union = F.size(F.array_union("t1", "t2"))
+    edges = e.filter(inter >= F.lit(theta) * union).select("lo", "hi", "oi", "company_key").checkpoint()
+    canon = D.greedy_canonicals(edges)
+    best = (edges.join(canon.select(F.col("node").alias("lo")), "lo", "left_semi")
+            .groupBy("hi", "company_key").agg(F.min_by("lo", "oi").alias("canonical_url")))
+    return best.select(F.col("hi").alias("duplicate_url"), "canonical_url", "company_key")
