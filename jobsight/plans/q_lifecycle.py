@@ -272,3 +272,14 @@ def run_report(spark, sf_dir):
     """Q14: the run report as (section, ord, key, value) rows (rows-only check)."""
     (state, _, _, stats, ledger), _ = _ingest(spark, sf_dir)
     return Q.run_report(ledger, stats, state)
+
+
+@register("deactivate_duplicates")
+def deactivate_duplicates(spark, sf_dir):
+    """The job state after switching every non-canonical duplicate to inactive (rows-only)."""
+    from jobsight.operators import dedup as D
+    from jobsight.session import checkpoint_dir
+    checkpoint_dir(spark)
+    state = _state(spark, sf_dir).checkpoint()
+    dups = D.find_duplicates(Q.active_jobs(state))
+    return _state_us(D.deactivate_duplicates(state, dups))
