@@ -116,8 +116,9 @@ def _char_prefix(strings: DataFrame, sid: str, s: str, theta: float) -> DataFram
     runs = ranked.withColumn("start", F.coalesce(F.sum("n").over(w), F.lit(0)))
     runs = runs.filter(F.col("start") < keep)
     last = F.least(F.col("n"), keep - F.col("start"))
-    return runs.select(sid, "slen", F.explode(F.sequence(F.lit(1).cast("bigint"), last.cast("bigint")))
-                       .alias("k"), "ch").select(sid, "slen", F.struct("ch", "k").alias("tok"))
+    return (runs.select(sid, "slen", "start", F.explode(F.sequence(F.lit(1).cast("bigint"), last.cast("bigint")))
+                        .alias("k"), "ch")
+            .select(sid, "slen", F.struct("ch", "k").alias("tok"), (F.col("start") + F.col("k")).alias("pos")))
 
 
 def _term_prefix(reps: DataFrame, theta: float) -> DataFrame:
@@ -128,7 +129,7 @@ def _term_prefix(reps: DataFrame, theta: float) -> DataFrame:
     w = Window.partitionBy("url").orderBy("f", "term")
     keep = F.col("tsize") - min_overlap_jaccard(F.col("tsize"), theta) + 1
     return (ex.join(freq, "term").withColumn("r", F.row_number().over(w))
-            .filter(F.col("r") <= keep).select("url", "term", "tsize"))
+            .filter(F.col("r") <= keep).select("url", "term", "tsize", F.col("r").alias("pos")))
 
 
 # ---- D3 pieces -----------------------------------------------------------------
@@ -139,9 +140,11 @@ def location_compat(reps: DataFrame, theta_l: float) -> DataFrame:
         "lid", F.monotonically_increasing_id()).checkpoint()
     pre = _char_prefix(locs, "lid", "nl", theta_l).join(locs.select("lid", "company_key"), "lid")
     l, r = pre.alias("l"), pre.alias("r")
+    pos_ok = (F.least(F.col("l.slen") - F.col("l.pos"), F.col("r.slen") - F.col("r.pos")) + 1
+              >= F.lit(theta_l) * (F.col("l.slen") + F.col("r.slen")) / 2.0 - F.lit(1e-9))
     ids = (l.join(r, (F.col("l.company_key") == F.col("r.company_key"))
                   & (F.col("l.tok") == F.col("r.tok")) & (F.col("l.lid") < F.col("r.lid")))
-           .filter(ratio_length_ok(F.col("l.slen"), F.col("r.slen"), theta_l))
+           .filter(ratio_length_ok(F.col("l.slen"), F.col("r.slen"), theta_l) & pos_ok)
            .select(F.col("l.lid").alias("la"), F.col("r.lid").alias("lb")).distinct())
     cand = (ids.join(locs.select(F.col("lid").alias("la"), "company_key", F.col("nl").alias("a")), "la")
             .join(locs.select(F.col("lid").alias("lb"), F.col("nl").alias("b")), "lb")
@@ -161,20 +164,30 @@ def candidate_pairs(reps: DataFrame, compat: DataFrame, theta_t: float) -> DataF
     rt = reps.select("url", "company_key", "ord", "nl").join(tp, "url")
     left = (rt.join(compat.select("company_key", F.col("a").alias("nl"), "b"), ["company_key", "nl"])
             .select("company_key", "b", "tok", F.col("url").alias("i"), F.col("ord").alias("oi"),
-                    F.col("slen").alias("li")))
+                    F.col("slen").alias("li"), F.col("pos").alias("pi")))
     right = rt.select("company_key", F.col("nl").alias("b"), "tok", F.col("url").alias("j"),
-                      F.col("ord").alias("oj"), F.col("slen").alias("lj"))
+                      F.col("ord").alias("oj"), F.col("slen").alias("lj"), F.col("pos").alias("pj"))
+    # positional filter: after the first shared token at (pi, pj) at most
+    # min(li - pi, lj - pj) more tokens can be shared; ratio >= theta needs
+    # an overlap of theta * (li + lj) / 2
+    seq_pos_ok = (F.least(F.col("li") - F.col("pi"), F.col("lj") - F.col("pj")) + 1
+                  >= F.lit(theta_t) * (F.col("li") + F.col("lj")) / 2.0 - F.lit(1e-9))
     seq_c = (left.join(right, ["company_key", "b", "tok"])
-             .filter((F.col("oi") < F.col("oj")) & ratio_length_ok(F.col("li"), F.col("lj"), theta_t))
+             .filter((F.col("oi") < F.col("oj")) & ratio_length_ok(F.col("li"), F.col("lj"), theta_t)
+                     & seq_pos_ok)
              .select("i", "j"))
     tr = reps.select("company_key", "url", "ord", "nl").join(_term_prefix(reps, theta_t), "url")
     left2 = (tr.join(compat.select("company_key", F.col("a").alias("nl"), "b"), ["company_key", "nl"])
              .select("company_key", "b", "term", F.col("url").alias("i"), F.col("ord").alias("oi"),
-                     F.col("tsize").alias("si")))
+                     F.col("tsize").alias("si"), F.col("pos").alias("pi")))
     right2 = tr.select("company_key", F.col("nl").alias("b"), "term", F.col("url").alias("j"),
-                       F.col("ord").alias("oj"), F.col("tsize").alias("sj"))
+                       F.col("ord").alias("oj"), F.col("tsize").alias("sj"), F.col("pos").alias("pj"))
+    # Jaccard >= theta needs an overlap of theta * (si + sj) / (1 + theta)
+    jac_pos_ok = (F.least(F.col("si") - F.col("pi"), F.col("sj") - F.col("pj")) + 1
+                  >= F.lit(theta_t) * (F.col("si") + F.col("sj")) / (1.0 + theta_t) - F.lit(1e-9))
     jac_c = (left2.join(right2, ["company_key", "b", "term"])
-             .filter((F.col("oi") < F.col("oj")) & jaccard_size_ok(F.col("si"), F.col("sj"), theta_t))
+             .filter((F.col("oi") < F.col("oj")) & jaccard_size_ok(F.col("si"), F.col("sj"), theta_t)
+                     & jac_pos_ok)
              .select("i", "j"))
     return seq_c.unionByName(jac_c).distinct()
 
