@@ -86,11 +86,12 @@ def jaccard_pairs(spark, sf_dir):
     tp = D._term_prefix(r.select("url", "terms"), theta)
     x = r.select("url", "company_key", "ord").join(tp, "url")
     a = x.select(F.col("url").alias("url1"), "company_key", F.col("ord").alias("o1"), "term",
-                 F.col("tsize").alias("s1"))
+                 F.col("tsize").alias("s1"), F.col("pos").alias("p1"))
     b = x.select(F.col("url").alias("url2"), "company_key", F.col("ord").alias("o2"), "term",
-                 F.col("tsize").alias("s2"))
+                 F.col("tsize").alias("s2"), F.col("pos").alias("p2"))
     ids = (a.join(b, ["company_key", "term"])
-           .filter((F.col("o1") < F.col("o2")) & jaccard_size_ok(F.col("s1"), F.col("s2"), theta))
+           .filter((F.col("o1") < F.col("o2")) & jaccard_size_ok(F.col("s1"), F.col("s2"), theta)
+                   & _jaccard_pos_ok("s1", "p1", "s2", "p2", theta))
            .select("url1", "url2", "company_key").distinct())
     terms = r.select("url", "terms")
     pairs = (ids.join(terms.select(F.col("url").alias("url1"), F.col("terms").alias("t1")), "url1")
@@ -101,6 +102,13 @@ def jaccard_pairs(spark, sf_dir):
             .select("url1", "url2", "company_key", F.round(T.jaccard("t1", "t2"), 6).alias("jaccard")))
 
 
+def _jaccard_pos_ok(sa, pa, sb, pb, theta):
+    """Positional bound: after the first shared term at (pa, pb) the overlap can
+    grow by at most min(sa - pa, sb - pb); Jaccard >= theta needs theta*(sa+sb)/(1+theta)."""
+    return (F.least(F.col(sa) - F.col(pa), F.col(sb) - F.col(pb)) + 1
+            >= F.lit(theta) * (F.col(sa) + F.col(sb)) / (1.0 + theta) - F.lit(1e-9))
+
+
 def _dups(spark, sf_dir):
     return D.find_duplicates(doc_postings(spark, sf_dir))
 
@@ -179,11 +187,12 @@ def deduplicated_exact_terms(spark, sf_dir):
     tp = D._term_prefix(r.select("url", "terms"), theta)
     x = r.select("url", "company_key", "nl", "ord").join(tp, "url")
     a = x.select(F.col("url").alias("lo"), "company_key", "nl", F.col("ord").alias("oi"), "term",
-                 F.col("tsize").alias("si"))
+                 F.col("tsize").alias("si"), F.col("pos").alias("pi"))
     b = x.select(F.col("url").alias("hi"), "company_key", "nl", F.col("ord").alias("oj"), "term",
-                 F.col("tsize").alias("sj"))
+                 F.col("tsize").alias("sj"), F.col("pos").alias("pj"))
     ids = (a.join(b, ["company_key", "nl", "term"])
-           .filter((F.col("oi") < F.col("oj")) & jaccard_size_ok(F.col("si"), F.col("sj"), theta))
+           .filter((F.col("oi") < F.col("oj")) & jaccard_size_ok(F.col("si"), F.col("sj"), theta)
+                   & _jaccard_pos_ok("si", "pi", "sj", "pj", theta))
            .select("lo", "hi", "oi", "company_key").distinct())
     terms = r.select("url", "terms")
     e = (ids.join(terms.select(F.col("url").alias("lo"), F.col("terms").alias("t1")), "lo")
