@@ -100,3 +100,28 @@ def test_io_roundtrip(spark, tmpdir_fresh):
     io.write_postings_csv(df, os.path.join(tmpdir_fresh, "csv"))
     io.write_postings_json(df, os.path.join(tmpdir_fresh, "json"))
     assert spark.read.option("header", True).csv(os.path.join(tmpdir_fresh, "csv")).count() == 1
+
+
+RICH = """<html><head><meta name="x" content="/careers/SearchJobs?x=1">
+<script type="application/ld+json">{"@type": "JobPosting", "title": "T", "hiringOrganization": "O"}</script>
+<script src="/static/job-search.js"></script>
+<script>fetch('/api/jobs/list'); $.ajax({type: 'GET', url: '/careers/JobDetail/7'}); var d = 'data.json?v=2';</script>
+</head><body><div class="job-description">Line one<br>Line two</div>
+<a class="result__a" href="https://acme.example.net/careers/x">r</a></body></html>"""
+
+
+def test_scripts_json_ld_descriptions_links(spark):
+    p = spark.createDataFrame([(1, "https://acme.example.net/careers/SearchJobs", RICH)],
+                              "page_id int, url string, html string")
+    eps = {(r["kind"], r["endpoint"]) for r in X.extract_endpoints(p).collect()}
+    assert ("url0", "/api/jobs/list'") not in eps and ("url0", "/api/jobs/list") in eps
+    assert ("url1", "/careers/SearchJobs?x=1") in eps and ("url3", "JobDetail") in eps
+    assert ("call1", "/api/jobs/list") in eps and ("call2", "/careers/JobDetail/7") in eps
+    ld = X.extract_json_ld(p).collect()
+    assert len(ld) == 1 and ld[0]["is_job_posting"] and ld[0]["keys"] == ["@type", "title", "hiringOrganization"]
+    prof = X.profile_pages(p).collect()[0]
+    assert prof["n_ext_script"] == 1 and prof["n_rel_script"] == 1 and prof["n_ajax"] == 1
+    d = X.extract_descriptions(p.select("url", "html")).collect()[0]
+    assert d["description_tag"] == "div" and d["description_text"] == "Line one\nLine two"
+    links = [r["site_url"] for r in C.sites_from_links(p, "example.net").collect()]
+    assert links == ["https://acme.example.net/careers"]
