@@ -17,7 +17,7 @@ from jobsight.operators import queries as Q
 from jobsight.plans.catalog import register
 from jobsight.sources.views import observations, with_views
 
-AS_OF = dt.datetime(2024, 1, 31, 0, 0, 0)
+AS_OF = dt.datetime(2024, 1, 31, 0, 0, 0, tzinfo=dt.timezone.utc)
 RECENT_DAYS = 7
 LOOKUP_URL = "job/7"
 

@@ -33,6 +33,12 @@ def unescape_basic(c):
     return c
 
 
+def utc_instant(ts_ntz):
+    """A wall-clock timestamp (TIMESTAMP_NTZ) read as UTC, whatever the session time zone."""
+    text = F.date_format(ts_ntz, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return F.to_timestamp(F.concat(text, F.lit("Z")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSX")
+
+
 def doc_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select(
@@ -61,7 +67,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("title"),
         F.get_json_object(F.col("props"), "$.k").alias("location"),
         F.col("user_id").cast("string").alias("job_id"),
-        F.col("ts").cast("timestamp").alias("ts"),
+        utc_instant(F.col("ts")).alias("ts"),
         F.col("event_id").alias("seq"),
         F.date_format(F.col("ts"), "yyyy-MM-dd").alias("run"))
 
