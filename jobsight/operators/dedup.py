@@ -227,10 +227,12 @@ def score_pairs(pairs: DataFrame, reps: DataFrame, compat: DataFrame,
 
 # ---- D5 greedy rounds ------------------------------------------------------------
 
-def greedy_canonicals(edges: DataFrame, max_rounds: int = 100000) -> DataFrame:
+def greedy_canonicals(edges: DataFrame) -> DataFrame:
     """Lexicographically-first MIS of a DAG given as (lo, hi) edges, lo before hi.
 
-    Returns (node, canonical boolean) for every node on an edge.
+    Returns the canonical nodes (column ``node``) among the nodes on an edge.
+    Every round decides at least the smallest undecided node, so the loop
+    ends without any round cap.
     """
     spark = edges.sparkSession
     checkpoint_dir(spark)
@@ -238,9 +240,7 @@ def greedy_canonicals(edges: DataFrame, max_rounds: int = 100000) -> DataFrame:
     undecided = e.select(F.col("lo").alias("node")).union(e.select(F.col("hi").alias("node"))) \
         .distinct().checkpoint()
     canon_parts = []
-    rounds = 0
-    while rounds < max_rounds:
-        rounds += 1
+    while True:
         blocked = e.select(F.col("hi").alias("node")).distinct()
         new_canon = undecided.join(blocked, "node", "left_anti").checkpoint()
         canon_parts.append(new_canon)

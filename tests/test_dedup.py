@@ -99,3 +99,19 @@ def test_stats_and_split(spark):
     cs = {r["company"]: (r["total"], r["duplicates"]) for r in D.company_dup_stats(df, dups).collect()}
     assert cs == {"TechCorp": (4, 2), "OtherCorp": (1, 0)}
     assert D.duplicate_report(df, dups).count() == 3
+
+
+def test_keep_most_recent_and_deactivate(spark):
+    import datetime as dt
+    rows = [("a", "Co", "Data Scientist", "Austin, TX", dt.datetime(2024, 1, 1), True),
+            ("b", "Co", "Data Scientist", "Austin, TX", dt.datetime(2024, 1, 5), True),
+            ("c", "Co", "Data Scientist", "Austin, TX", dt.datetime(2024, 1, 5), True),
+            ("d", "Co", "Nurse", "Austin, TX", dt.datetime(2024, 1, 2), True)]
+    df = spark.createDataFrame(rows, "url string, company string, title string, location string, "
+                                     "last_seen timestamp, is_active boolean")
+    dups = D.find_duplicates(df)
+    uniq, removed = D.deduplicate(df, dups, keep="most_recent")
+    assert sorted(r["url"] for r in uniq.collect()) == ["b", "d"]
+    assert sorted(r["url"] for r in removed.collect()) == ["a", "c"]
+    flags = {r["url"]: r["is_active"] for r in D.deactivate_duplicates(df, dups).collect()}
+    assert flags == {"a": True, "b": False, "c": False, "d": True}
