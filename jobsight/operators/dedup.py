@@ -288,7 +288,9 @@ def find_duplicates(postings: DataFrame,
     reps = spread(reps.checkpoint())
     members = (eligible.join(grp, ["company_key", "nt", "nl"])
                .filter(F.col("ord") != F.col("rep_ord"))
-               .select(F.col("url").alias("member"), F.col("rep_ord.u").alias("rep")))
+               .select(F.col("url").alias("member"), F.col("rep_ord.u").alias("rep"))).checkpoint()
+    # everything downstream reads checkpoints, so the cached rows can go now
+    base.unpersist()
     compat = location_compat(reps, location_threshold).checkpoint()
     pairs = candidate_pairs(reps, compat, title_threshold)
     scored = score_pairs(pairs, reps, compat, title_floor=title_threshold)
