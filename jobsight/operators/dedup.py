@@ -418,7 +418,14 @@ def duplicate_report(postings: DataFrame, duplicates: DataFrame) -> DataFrame:
         F.format_string("  - %s | %s | similarity %.2f%% | %s", F.coalesce("title", F.lit("N/A")),
                         F.coalesce("location", F.lit("N/A")), F.col("score") * 100,
                         F.col("duplicate_url")).alias("line"))
-    return head.unionByName(lines)
+    # "No duplicates found." exactly when there is no duplicate: a constant row
+    # anti-joined with one marker row of the duplicates
+    spark = postings.sparkSession
+    none = spark.range(1).select(F.lit(1).alias("k")).join(
+        duplicates.select(F.lit(1).alias("k")).limit(1), "k", "left_anti")
+    empty = none.select(F.lit(None).cast(head.schema["sort_key"].dataType).alias("sort_key"),
+                        F.lit("No duplicates found.").alias("line"))
+    return head.unionByName(lines).unionByName(empty)
 
 
 def deactivate_duplicates(jobs: DataFrame, duplicates: DataFrame) -> DataFrame:

@@ -221,6 +221,29 @@ def start_run(ledger: DataFrame, run_id: str, started_at) -> DataFrame:
     return ledger.unionByName(row)
 
 
+def complete_run(ledger: DataFrame, run_id: str, totals: DataFrame, completed_at,
+                 status: str = "completed", error_message: str | None = None) -> DataFrame:
+    """Append the finished row of ``run_id`` from one ``run_totals`` row (missing counters are 0).
+
+    Rows are only appended; ``fold_ledger`` gives the latest row per run, so a
+    crashed run simply keeps its 'running' row.
+    """
+    started = ledger.filter((F.col("run_id") == run_id) & (F.col("status") == "running")) \
+        .groupBy().agg(F.min("started_at").alias("started_at"))
+    counters = ["sites_scraped", "jobs_found", "jobs_new", "jobs_updated", "jobs_unchanged", "jobs_deactivated"]
+    t = totals.groupBy().agg(*[F.sum(c).alias(c) for c in counters])
+    # two one-row aggregates, combined by a union + max (no cross join)
+    s_row = started.select(F.col("started_at"), *[F.lit(None).cast("long").alias(c) for c in counters])
+    t_row = t.select(F.lit(None).cast("timestamp").alias("started_at"), *counters)
+    both = s_row.unionByName(t_row).agg(F.max("started_at").alias("started_at"),
+                                        *[F.max(c).alias(c) for c in counters])
+    row = both.select(
+        F.lit(run_id).alias("run_id"), "started_at", F.lit(completed_at).cast("timestamp").alias("completed_at"),
+        *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in counters],
+        F.lit(status).alias("status"), F.lit(error_message).cast("string").alias("error_message"))
+    return ledger.unionByName(row.select(*ledger.columns))
+
+
 def fold_ledger(ledger_log: DataFrame) -> DataFrame:
     """Latest row per run_id of an append-only ledger log (completed beats running)."""
     prio = F.when(F.col("status") == "running", 0).otherwise(1)

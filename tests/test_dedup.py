@@ -115,3 +115,9 @@ def test_keep_most_recent_and_deactivate(spark):
     assert sorted(r["url"] for r in removed.collect()) == ["a", "c"]
     flags = {r["url"]: r["is_active"] for r in D.deactivate_duplicates(df, dups).collect()}
     assert flags == {"a": True, "b": False, "c": False, "d": True}
+
+
+def test_report_without_duplicates(spark):
+    df = spark.createDataFrame([("a", "Co", "Nurse", "Austin"), ("b", "Co", "Teacher", "Austin")], SCHEMA)
+    lines = [r["line"] for r in D.duplicate_report(df, D.find_duplicates(df)).collect()]
+    assert lines == ["No duplicates found."]

@@ -121,3 +121,20 @@ def test_snapshot_versions_and_replay(spark, tmpdir_fresh):
     st = {r["url"]: (r["scrape_count"], r["is_active"]) for r in
           io.load_snapshot(spark, base, L.empty_state(spark)).collect()}
     assert st == {"1": (2, True), "2": (1, False)}
+
+
+def test_run_ledger_start_complete_fold(spark):
+    schema = ("run_id string, started_at timestamp, completed_at timestamp, sites_scraped long, jobs_found long, "
+              "jobs_new long, jobs_updated long, jobs_unchanged long, jobs_deactivated long, status string, "
+              "error_message string")
+    log = L.start_run(spark.createDataFrame([], schema), "r1", t(1))
+    log = L.start_run(log, "r2", t(2))
+    totals = spark.createDataFrame([("r1", 2, 2, 0, 5, 3, 1, 1, 0)],
+                                   "run string, sites_scraped long, sites_succeeded long, sites_failed long, "
+                                   "jobs_found long, jobs_new long, jobs_updated long, jobs_unchanged long, "
+                                   "jobs_deactivated long")
+    log = L.complete_run(log, "r1", totals, t(9))
+    runs = {r["run_id"]: r for r in L.fold_ledger(log).collect()}
+    assert runs["r1"]["status"] == "completed" and runs["r1"]["jobs_new"] == 3 and runs["r1"]["started_at"] == t(1)
+    assert runs["r2"]["status"] == "running"  # crashed runs stay running
+    assert Q.last_completed_run(L.fold_ledger(log)).collect()[0]["run_id"] == "r1"
