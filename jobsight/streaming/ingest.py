@@ -23,13 +23,34 @@ OBS_SCHEMA = ("url string, company string, title string, location string, job_id
               "ts timestamp, seq long, run string")
 
 
+class LateRunError(ValueError):
+    """A micro-batch holds a run that is not after the runs already applied."""
+
+
+def last_applied_run(spark: SparkSession, state_base: str):
+    try:
+        ledger = spark.read.parquet(state_base.rstrip("/") + "/ledger")
+    except Exception:  # nothing applied yet
+        return None
+    return ledger.agg(F.max("run_id")).first()[0]
+
+
 def apply_batch(spark: SparkSession, batch: DataFrame, batch_id: int, state_base: str) -> bool:
-    """Ingest one micro-batch; returns False when the batch id was already published."""
+    """Ingest one micro-batch; returns False when the batch id was already published.
+
+    Runs must arrive in order (run ids compare as strings: ISO dates, padded
+    numbers); a batch that reaches back before the last applied run raises
+    LateRunError instead of silently folding history in the wrong order.
+    """
     _, published = io.latest_pointer(spark, state_base)
     if batch_id <= published:
         return False
     if batch.isEmpty():
         return False
+    last = last_applied_run(spark, state_base)
+    first = batch.agg(F.min(F.col("run").cast("string"))).first()[0]
+    if last is not None and first <= last:
+        raise LateRunError(f"batch {batch_id} starts at run {first}, not after the applied run {last}")
     state = io.load_snapshot(spark, state_base, L.empty_state(spark))
     new_state, _actions, _gone, _stats, ledger = L.ingest(state, batch)
     ledger.withColumn("batch_id", F.lit(batch_id).cast("long")) \

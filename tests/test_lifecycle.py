@@ -138,3 +138,12 @@ def test_run_ledger_start_complete_fold(spark):
     assert runs["r1"]["status"] == "completed" and runs["r1"]["jobs_new"] == 3 and runs["r1"]["started_at"] == t(1)
     assert runs["r2"]["status"] == "running"  # crashed runs stay running
     assert Q.last_completed_run(L.fold_ledger(log)).collect()[0]["run_id"] == "r1"
+
+
+def test_late_run_rejected(spark, tmpdir_fresh):
+    import pytest
+    from jobsight.streaming.ingest import LateRunError
+    base = tmpdir_fresh + "/state"
+    assert apply_batch(spark, obs(spark, [A(url="1", seq=5, run="r2")]), 0, base)
+    with pytest.raises(LateRunError):
+        apply_batch(spark, obs(spark, [A(url="1", seq=1, run="r1")]), 1, base)
