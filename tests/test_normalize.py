@@ -70,3 +70,21 @@ def test_random_titles_match_python_model(spark):
     locs = [" ".join(rnd.choice(words + ["la", "sf", ", WA", ",TX", "wfh"]) for _ in range(rnd.randint(0, 4)))
             for _ in range(300)]
     assert norm(spark, T.normalize_location, locs) == [BF.norm_location(v) for v in locs]
+
+
+def test_driver_titles_match_python_model(spark):
+    """Every document first line of the sf0.001 tables, through all five normalizers."""
+    from conftest import SF001
+    from jobsight.sources.views import doc_postings
+    rows = doc_postings(spark, SF001).select(
+        "title", T.normalize_title("title").alias("nt"), T.normalize_location("title").alias("nl"),
+        T.normalize_company("title").alias("nc"), T.key_terms("title").alias("kt"),
+        T.seniority_level("title").alias("sl")).collect()
+    assert rows
+    for r in rows:
+        t = r["title"]
+        assert r["nt"] == BF.norm_title(t)
+        assert r["nl"] == BF.norm_location(t)
+        assert r["nc"] == BF.norm_company(t)
+        assert list(r["kt"]) == sorted(BF.key_terms(t))
+        assert r["sl"] == (BF.seniority(t) if t is not None else None)
