@@ -121,3 +121,14 @@ def test_report_without_duplicates(spark):
     df = spark.createDataFrame([("a", "Co", "Nurse", "Austin"), ("b", "Co", "Teacher", "Austin")], SCHEMA)
     lines = [r["line"] for r in D.duplicate_report(df, D.find_duplicates(df)).collect()]
     assert lines == ["No duplicates found."]
+
+
+def test_driver_postings_against_greedy_scan(spark):
+    """Whole sf0.001 doc_postings (real multilingual text) vs the literal greedy scan."""
+    from conftest import SF001
+    from jobsight.sources.views import doc_postings
+    p = doc_postings(spark, SF001)
+    rows = [(r["url"], r["company"], r["title"], r["location"]) for r in p.collect()]
+    got = {r["duplicate_url"]: (r["canonical_url"], round(r["score"], 9)) for r in D.find_duplicates(p).collect()}
+    assert got == _bf(rows)
+    assert len(got) > 0
