@@ -241,18 +241,22 @@ def greedy_canonicals(edges: DataFrame) -> DataFrame:
         .distinct().checkpoint()
     canon_parts = []
     while True:
+        # canonical: undecided with no undecided lower neighbour. Built lazily from
+        # this round's checkpointed inputs, so its lineage stays one round deep.
         blocked = e.select(F.col("hi").alias("node")).distinct()
-        new_canon = undecided.join(blocked, "node", "left_anti").checkpoint()
+        new_canon = undecided.join(blocked, "node", "left_anti")
         canon_parts.append(new_canon)
         new_dup = (e.join(new_canon.select(F.col("node").alias("lo")), "lo", "left_semi")
                    .select(F.col("hi").alias("node")).distinct())
         undecided = (undecided.join(new_canon, "node", "left_anti")
                      .join(new_dup, "node", "left_anti").checkpoint())
-        if undecided.isEmpty():
-            break
         # keep only edges between undecided nodes: decided ones never matter again
         e = (e.join(undecided.select(F.col("node").alias("lo")), "lo", "left_semi")
              .join(undecided.select(F.col("node").alias("hi")), "hi", "left_semi").checkpoint())
+        if e.isEmpty():
+            # no constraint left: every remaining undecided node is canonical
+            canon_parts.append(undecided)
+            break
     canon = canon_parts[0]
     for part in canon_parts[1:]:
         canon = canon.unionByName(part)
