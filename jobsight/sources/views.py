@@ -34,9 +34,12 @@ def unescape_basic(c):
 
 
 def utc_instant(ts_ntz):
-    """A wall-clock timestamp (TIMESTAMP_NTZ) read as UTC, whatever the session time zone."""
-    text = F.date_format(ts_ntz, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    return F.to_timestamp(F.concat(text, F.lit("Z")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSX")
+    """A wall-clock timestamp (TIMESTAMP_NTZ) read as UTC, whatever the session time zone.
+
+    Microseconds since the wall-clock epoch, then an instant: arithmetic only.
+    """
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, ts_ntz))
 
 
 def doc_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
