@@ -125,3 +125,9 @@ def test_scripts_json_ld_descriptions_links(spark):
     assert d["description_tag"] == "div" and d["description_text"] == "Line one\nLine two"
     links = [r["site_url"] for r in C.sites_from_links(p, "example.net").collect()]
     assert links == ["https://acme.example.net/careers"]
+
+
+def test_invalidate_patterns(spark):
+    pats = spark.createDataFrame([("s1", "/SearchJobs"), ("s2", "")], "site string, pattern string")
+    assert [r["site"] for r in X.invalidate_patterns(pats, "s1").collect()] == ["s2"]
+    assert X.invalidate_patterns(pats).count() == 0
