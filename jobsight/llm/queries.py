@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobsight.llm import bpe, line_dedup
+from jobsight.llm import bpe, decontaminate, line_dedup, near_dedup
 
 QUERIES = {}
 ORACLE = {}
@@ -46,6 +46,61 @@ def op4_line_dedup(spark, sf_dir):
                          F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+@register("op3_hyperminhash", rf"""
+    WITH RECURSIVE words AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x20\x09-\x0D]+') AS w
+        FROM documents),
+    sets AS (
+        SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w
+            ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s
+        FROM words),
+    items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+    common AS (
+        SELECT a.doc_id AS u, b.doc_id AS v, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c
+        FROM items a JOIN items b ON a.x = b.x AND a.doc_id <> b.doc_id
+            AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+        GROUP BY a.doc_id, b.doc_id),
+    links AS (SELECT u, v FROM common WHERE 100 * c >= 80 * (n + m - c)),
+    reach(u, v) AS (SELECT u, v FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u)
+    SELECT s.doc_id, len(s.s) AS n_shingles, least(s.doc_id, coalesce(min(r.v), s.doc_id)) AS component_id,
+           s.doc_id = least(s.doc_id, coalesce(min(r.v), s.doc_id)) AS kept
+    FROM sets s LEFT JOIN reach r ON s.doc_id = r.u GROUP BY s.doc_id, s.s""")
+def op3_hyperminhash(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, threshold=80)
+
+
+@register("op5_fm_index", rf"""
+    WITH docs AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}),
+                                          '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    items AS (
+        SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}),
+                                           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    cut AS (SELECT item_id, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i
+            FROM items WHERE len(w) > 0),
+    phrases AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS p FROM cut),
+    places AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i
+               FROM docs, (SELECT DISTINCT k FROM phrases) WHERE len(w) >= k),
+    found AS (SELECT doc_id, i, pl.k AS k, item_id FROM places pl JOIN phrases ph
+              ON pl.k = ph.k AND array_to_string(pl.w[pl.i:pl.i + pl.k - 1], ' ') = ph.p),
+    hit AS (SELECT doc_id, count(DISTINCT place) AS n FROM (
+                SELECT doc_id, unnest(range(i, i + k)) AS place FROM found) GROUP BY doc_id),
+    named AS (SELECT doc_id, count(*) AS n, string_agg(x, ',' ORDER BY x) AS x FROM (
+                  SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM found) GROUP BY doc_id)
+    SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(i.n, 0) AS n_items,
+           sha256(coalesce(i.x, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+    FROM docs d LEFT JOIN hit h USING (doc_id) LEFT JOIN named i USING (doc_id)""")
+def op5_fm_index(spark, sf_dir):
+    found = decontaminate.find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"),
+                                         window=10)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
 @register("op9_merge_replay")
 def op9_merge_replay(spark, sf_dir):
     return bpe.encode_digest(table(spark, sf_dir, "documents"),
