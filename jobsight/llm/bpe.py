@@ -233,20 +233,40 @@ def _table(shared) -> Merges:
     return _cache["merges"]
 
 
+def _gather(docs: list[list[int]], ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts, bounds): the units' ids, laid one after the other for each text."""
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
+    units = np.fromiter(chain.from_iterable(docs), np.int64, sum(map(len, docs)))
+    each = sizes[units]
+    ends = np.cumsum(each)
+    total = int(ends[-1]) if len(ends) else 0
+    at = np.arange(total) + np.repeat((np.cumsum(sizes) - sizes)[units] - (ends - each), each)
+    of_doc = np.concatenate(([0], np.cumsum(np.fromiter(map(len, docs), np.int64, len(docs)))))
+    return flat[at], np.concatenate(([0], ends))[of_doc]
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>): the token ids of each text. A null text has none; other columns are left out."""
+    """(id, n_tokens, ids array<int>, round_trip): the token ids of each text, and whether they decode to it.
+    A null text has no ids; other columns are left out."""
     shared = _merges(docs.sparkSession, path)
 
     def run(batches):
         m, cut = _table(shared), regex.compile(pattern)
         for key, texts in _shards(batches):
-            docs, ids = encode_shard(texts, m, cut)
+            units, ids = encode_shard(texts, m, cut)
+            back = [decode(x, m.tokens) for x in ids]
+            same = [b"".join([back[u] for u in d]) == t.encode("utf-8", "surrogatepass")
+                    for d, t in zip(units, texts)]
+            flat, bounds = _gather(units, ids)
             yield pa.RecordBatch.from_arrays(
-                [key, pa.array([list(chain.from_iterable([ids[u] for u in d])) for d in docs],
-                               pa.list_(pa.int32()))], names=["id", "ids"])
+                [key, pa.array(np.diff(bounds)), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()),
+                                                                          pa.array(flat)),
+                 pa.array(same, pa.bool_())], names=["id", "n_tokens", "ids", "round_trip"])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    out = docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, ids array<int>")
+    out = docs.select(id_col, text_col).mapInArrow(
+        run, f"id {kind}, n_tokens long, ids array<int>, round_trip boolean")
     return out.withColumnRenamed("id", id_col)
 
 

@@ -13,7 +13,8 @@ case. Keys move as hashes (64 + 32 bits), never as text:
 
 Edge cases: a null or empty text is one empty line, and stays null or empty; a key of fewer than ``min_chars``
 code points is never dropped; rows with equal (doc_id, text), null ids included, are one document, and each of
-them is returned; other columns of the input, whatever their names, are returned as they are by ``drop_lines``.
+them is returned; with ``copies_once`` equal texts count as one document whatever their ids, so that a group of
+copies does not lose its own lines; other columns of the input, whatever their names, are returned as they are by ``drop_lines``.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ def _identity(id_col: str, text_col: str) -> list[Column]:
     return [F.col(id_col).alias("__id"), F.xxhash64(text).alias("__t")]
 
 
-def repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
+def repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, copies_once: bool = False,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(__id, __t, drop): for every document that loses lines, their positions."""
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
@@ -46,21 +47,22 @@ def repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     pairs = (docs.select(*_identity(id_col, text_col), F.posexplode(keys).alias("pos", "key"))
              .where(F.col("key").isNotNull())
              .select("__id", "__t", "pos", F.col("key.a").alias("a"), F.col("key.b").alias("b")))
-    common = (pairs.groupBy("a", "b").agg(F.count_distinct(F.struct("__id", "__t")).alias("n"))
+    common = (pairs.groupBy("a", "b").agg(F.count_distinct("__t" if copies_once else F.struct("__id", "__t")).alias("n"))
               .where(F.col("n") >= min_docs).select("a", "b").checkpoint())
     return (pairs.join(common, ["a", "b"])
             .groupBy("__id", "__t").agg(F.collect_list("pos").alias("drop")))
 
 
-def line_report(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
+def line_report(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, copies_once: bool = False,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` in the struct ``row``, with n_lines, n_dropped and the ``kept`` text."""
     checkpoint_dir(docs.sparkSession)
-    drops = repeated_lines(docs, min_docs, min_chars, id_col, text_col)
+    drops = repeated_lines(docs, min_docs, min_chars, copies_once, id_col, text_col)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                        *_identity(id_col, text_col))
     drops = drops.withColumnsRenamed({"__id": "__i", "__t": "__u"})
-    joined = rows.join(drops, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__t") == F.col("__u")), "left")
+    # the small side is hashed, so that the texts need no sort
+    joined = rows.join(drops.hint("shuffle_hash"), F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__t") == F.col("__u")), "left")
     text = F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))
     lines = F.split(text, "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drop"))
@@ -73,10 +75,10 @@ def line_report(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
                     .otherwise(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n")).alias("kept")))
 
 
-def drop_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
+def drop_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, copies_once: bool = False,
                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated lines gone from the text; null texts stay null, no row is lost."""
-    report = line_report(docs, min_docs, min_chars, id_col, text_col)
+    report = line_report(docs, min_docs, min_chars, copies_once, id_col, text_col)
     return report.select(*[
         F.when(F.col("n_dropped") > 0, F.col("kept")).otherwise(F.col(f"row.`{c}`")).alias(c) if c == text_col
         else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

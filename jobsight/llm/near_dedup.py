@@ -266,3 +266,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: int = 80
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"),
         F.lit(True).alias("kept"))
     return named.union(nameless)
+
+
+def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: int = 80,
+                         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group, the one with the least id, with all its columns. Of rows that repeat an id one
+    stays; rows without an id stay."""
+    report = near_duplicates(docs, shingle_words, threshold, id_col, text_col)
+    kept = report.where(F.col(id_col).isNotNull() & F.col("kept")).select(id_col)
+    named = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    return named.select(*[F.col(f"`{c}`") for c in docs.columns]).union(docs.where(F.col(id_col).isNull()))

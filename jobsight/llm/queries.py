@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobsight.llm import bpe, decontaminate, line_dedup, near_dedup
+from jobsight.llm import bpe, decontaminate, line_dedup, near_dedup, quality_rules
 
 QUERIES = {}
 ORACLE = {}
@@ -107,6 +107,19 @@ def op9_merge_replay(spark, sf_dir):
                              public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@register("op10_risk_controlled")
+def op10_risk_controlled(spark, sf_dir):
+    report = quality_rules.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return report.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         "base_failed", "kept", "n_lines", "failed")
+
+
+@register("pipeline")
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -91,11 +91,12 @@ def word_blocks(column: pa.Array, word: np.ndarray, lower: bool,
     lo = 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + block_bytes, side="right")) - 1)
-        yield _block(raw[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], lo, hi, word, lower)
+        yield cut(raw[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], lo, hi, word, lower)
         lo = hi
 
 
-def _block(data, offsets, lo, hi, word, lower) -> Block:
+def cut(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, word: np.ndarray, lower: bool) -> Block:
+    """The maximal runs of word bytes in each document; document i is data[offsets[i]:offsets[i + 1]]."""
     n = len(data)
     if n == 0:
         none = np.zeros(0, np.int64)
