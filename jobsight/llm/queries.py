@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobsight.llm import bpe, decontaminate, line_dedup, near_dedup, quality_rules
+from jobsight.llm import bpe, decontaminate, html_extract, line_dedup, near_dedup, quality_rules
 
 QUERIES = {}
 ORACLE = {}
@@ -101,6 +101,11 @@ def op5_fm_index(spark, sf_dir):
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+@register("op6_line_blocks")
+def op6_line_blocks(spark, sf_dir):
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 @register("op9_merge_replay")
 def op9_merge_replay(spark, sf_dir):
     return bpe.encode_digest(table(spark, sf_dir, "documents"),
