@@ -161,7 +161,7 @@ def replay(words: list[bytes], m: Merges) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.concatenate(([0], np.cumsum(alive[:n])))[begin]
 
 
-def _units(texts: list[str], pattern) -> tuple[list[list[int]], list[list[str]]]:
+def units(texts: list[str], pattern) -> tuple[list[list[int]], list[list[str]]]:
     """(units of each text, pretokens of each distinct unit).
 
     A single space between two other characters always begins a pretoken, so a text is first split there and the
@@ -192,7 +192,7 @@ def _units(texts: list[str], pattern) -> tuple[list[list[int]], list[list[str]]]
 
 def encode_shard(texts: list[str], m: Merges, pattern) -> tuple[list[list[int]], list[list[int]]]:
     """(units of each text, ids of each unit): a text's ids are those of its units, one after the other."""
-    docs, pretokens = _units(texts, pattern)
+    docs, pretokens = units(texts, pattern)
     number = defaultdict(count().__next__)
     parts = [list(map(number.__getitem__, p)) for p in pretokens]
     ids, bounds = replay([w.encode("utf-8", "surrogatepass") for w in number], m)
@@ -205,7 +205,7 @@ def decode(ids, tokens: list[bytes]) -> bytes:
     return b"".join([tokens[i] for i in ids])
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
+def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
     """(ids, texts) of about SHARD_BYTES, or of one longer text."""
     for batch in batches:
         texts, lo, size = batch.column(1), 0, 0
@@ -253,7 +253,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     def run(batches):
         m, cut = _table(shared), regex.compile(pattern)
-        for key, texts in _shards(batches):
+        for key, texts in shards(batches):
             units, ids = encode_shard(texts, m, cut)
             back = [decode(x, m.tokens) for x in ids]
             same = [b"".join([back[u] for u in d]) == t.encode("utf-8", "surrogatepass")
@@ -278,7 +278,7 @@ def encode_digest(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
 
     def run(batches):
         m, cut = _table(shared), regex.compile(pattern)
-        for key, texts in _shards(batches):
+        for key, texts in shards(batches):
             docs, ids = encode_shard(texts, m, cut)
             sizes = [len(x) for x in ids]
             shown = [",".join(map(str, x)).encode() for x in ids]

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobsight.llm import bpe, decontaminate, html_extract, line_dedup, near_dedup, quality_rules
+from jobsight.llm import bpe, decontaminate, html_extract, language_id, license_scan, line_dedup, near_dedup
+from jobsight.llm import quality_rules, token_rollups, warc
+from jobsight.session import checkpoint_dir
 
 QUERIES = {}
 ORACLE = {}
@@ -49,6 +53,23 @@ def op4_line_dedup(spark, sf_dir):
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 
+@register("op1_license_scan")
+def op1_license_scan(spark, sf_dir):
+    templates = spark.createDataFrame(license_scan.TEMPLATES, "license string, template string")
+    return license_scan.scan(table(spark, sf_dir, "documents"), templates, least=0.8)
+
+
+@register("op2_warc_derivatives")
+def op2_warc_derivatives(spark, sf_dir):
+    # the pages carry no crawl date
+    responses = warc.page_responses(table(spark, sf_dir, "pages"), date="2024-01-01T00:00:00Z")
+    records = warc.derive(responses)
+    return records.select("record_id", "record_type", "refers_to", F.col("headers")["WARC-Target-URI"].alias("url"),
+                          F.col("headers")["WARC-Source-Payload-Digest"].alias("source_payload_digest"),
+                          F.col("headers")["WARC-Block-Digest"].alias("block_digest"),
+                          F.col("headers")["Content-Length"].cast("long").alias("content_length"), "block")
+
+
 @register("op3_hyperminhash", rf"""
     WITH RECURSIVE words AS (
         SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x20\x09-\x0D]+') AS w
@@ -106,6 +127,33 @@ def op6_line_blocks(spark, sf_dir):
     return html_extract.main_text(table(spark, sf_dir, "pages"))
 
 
+@register("op7_language_fusion")
+def op7_language_fusion(spark, sf_dir):
+    return language_id.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+@register("op8_token_rollups")
+def op8_token_rollups(spark, sf_dir):
+    """Four commits: all documents; toxic ones are deleted; the texts of bad ones lose their symbols and are counted
+    again; the deletion arrives a second time and is skipped."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    names = {"byte_bpe_50k": "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k": "byte_bpe_multi_50k.tiktoken"}
+    files = {v: public_tokenizers.path(f) for v, f in names.items()}
+    store = token_rollups.RollupStore(spark, f"{checkpoint_dir(spark)}/rollups-{uuid.uuid4().hex}")
+    store.commit("load", token_rollups.changes(
+        token_rollups.count_tokens(docs, files, public_tokenizers.PATTERN), "insert"))
+    toxic = labels.where("toxic = 1").select("doc_id", F.explode(F.array(*map(F.lit, names))).alias("version"),
+                                             F.lit(None).cast("string").alias("source"),
+                                             F.lit(None).cast("string").alias("lang"), F.lit(0).alias("n_tokens"))
+    store.commit("takedown", token_rollups.changes(toxic, "delete"))
+    bad = docs.join(labels.where("quality = 0 and toxic = 0").select("doc_id"), "doc_id", "left_semi")
+    bad = bad.withColumn("text", F.regexp_replace("text", "[#*$%&|<>]", ""))
+    store.commit("rewrite", token_rollups.changes(
+        token_rollups.count_tokens(bad, files, public_tokenizers.PATTERN), "revise"))
+    store.commit("takedown", token_rollups.changes(toxic, "delete"))
+    return store.totals()
+
+
 @register("op9_merge_replay")
 def op9_merge_replay(spark, sf_dir):
     return bpe.encode_digest(table(spark, sf_dir, "documents"),
