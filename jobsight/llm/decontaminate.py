@@ -186,6 +186,10 @@ _SPAN = pa.struct([("word", pa.int64()), ("n_words", pa.int64()), ("start", pa.i
 _SPAN_SQL = "array<struct<word:bigint,n_words:bigint,start:bigint,end:bigint>>"
 
 
+def _span_array(rows: list[list]) -> pa.Array:
+    return pa.array([[dict(zip(("word", "n_words", "start", "end"), s)) for s in own] for own in rows], pa.list_(_SPAN))
+
+
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id",
                    text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, n_words, n_hit, items, spans): spans in word numbers and UTF-8 byte positions [start, end)."""
@@ -207,9 +211,8 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_c
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0), texts, pa.array(n_words, pa.int64()),
                     pa.array([sorted({*own_items[i], *items.get(i, ())}) for i in range(n)], pa.list_(pa.string())),
-                    pa.array([[dict(zip(("word", "n_words", "start", "end"), s)) for s in _merge(
-                        [tuple(x.values()) for x in own_spans[i]] + spans.get(i, []))] for i in range(n)],
-                        pa.list_(_SPAN))], names=["id", "text", "n_words", "items", "spans"])
+                    _span_array([_merge([tuple(x.values()) for x in own_spans[i]] + spans.get(i, []))
+                                 for i in range(n)])], names=["id", "text", "n_words", "items", "spans"])
 
         df = df.mapInArrow(run, schema)
         if not last:
@@ -222,27 +225,32 @@ def remove_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, te
                      item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``docs`` with every occurrence of a benchmark phrase cut out of the text; rows and columns as they were."""
     checkpoint_dir(docs.sparkSession)
-    at, df = docs.columns.index(text_col), docs
+    at, name = docs.columns.index(text_col), "spans"
+    while name in docs.columns:
+        name = "_" + name
+    df = docs.withColumn(name, F.array().cast(_SPAN_SQL))
     blocks = list(_blocks(benchmark, window, item_col, item_text_col))
     for k, shared in enumerate(blocks):
+        last = k == len(blocks) - 1
 
-        def run(batches, shared=shared):
+        def run(batches, shared=shared, last=last):
             for batch, _, spans, _ in _scan(batches, at, shared):
-                if spans:
-                    column = batch.column(at)
-                    texts = column.to_pylist()
-                    for i, own in spans.items():
-                        raw = texts[i].encode("utf-8")
-                        cuts = [0, *(x for s in own for x in s[2:]), len(raw)]
-                        texts[i] = b"".join(raw[a:b] for a, b in zip(cuts[::2], cuts[1::2])).decode("utf-8")
-                    batch = pa.RecordBatch.from_arrays(
-                        [pa.array(texts, column.type) if j == at else c for j, c in enumerate(batch.columns)],
-                        schema=batch.schema)
-                yield batch
-
-        df = df.mapInArrow(run, docs.schema)
-        if k < len(blocks) - 1:
+                before = [[tuple(x.values()) for x in own] for own in batch.column(len(batch.columns) - 1).to_pylist()]
+                merged = [_merge(own + spans.get(i, [])) for i, own in enumerate(before)]
+                columns = batch.columns[:-1]
+                if not last:
+                    columns.append(_span_array(merged))
+                elif any(merged):
+                    texts = columns[at].to_pylist()
+                    for i, own in enumerate(merged):
+                        if own:
+                            raw = texts[i].encode("utf-8")
+                            cuts = [0, *(x for s in own for x in s[2:]), len(raw)]
+                            texts[i] = b"".join(raw[a:b] for a, b in zip(cuts[::2], cuts[1::2])).decode("utf-8")
+                    columns[at] = pa.array(texts, columns[at].type)
+                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:len(columns)])
+
+        df = df.mapInArrow(run, docs.schema if last else df.schema)
+        if not last:
             df = df.checkpoint()
     return df
-
-

@@ -170,11 +170,11 @@ def extract(page: str | None) -> str:
 def main_text(pages: DataFrame, id_cols: tuple[str, ...] = ("page_id", "url"), html_col: str = "html") -> DataFrame:
     """The id columns, ``text`` and ``n_chars`` of each page."""
     own = [F.col(c).alias(f"k{i}") for i, c in enumerate(id_cols)]
-    narrow = pages.select(*own, F.col(html_col).alias("html"))
+    narrow, n = pages.select(*own, F.col(html_col).alias("html")), len(own)
 
     def run(batches):
         for batch in batches:
-            texts = [extract(p) for p in batch.column(len(own)).to_pylist()]
+            texts = [extract(p) for p in batch.column(n).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                 names=[*batch.schema.names[:-1], "text", "n_chars"])
