@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 MAX_RANKS = 1 << 20
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 10 << 20
 NONE = np.int32(2 ** 31 - 1)
 
 
@@ -251,18 +251,19 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     A null text has no ids; other columns are left out."""
     shared = _merges(docs.sparkSession, path)
 
+    def shard(key, texts, m, cut):
+        parts, ids = encode_shard(texts, m, cut)
+        back = [decode(x, m.tokens) for x in ids]
+        same = [b"".join([back[u] for u in d]) == t.encode("utf-8", "surrogatepass") for d, t in zip(parts, texts)]
+        flat, bounds = _gather(parts, ids)
+        return pa.RecordBatch.from_arrays(
+            [key, pa.array(np.diff(bounds)), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat)),
+             pa.array(same, pa.bool_())], names=["id", "n_tokens", "ids", "round_trip"])
+
     def run(batches):
         m, cut = _table(shared), regex.compile(pattern)
         for key, texts in shards(batches):
-            units, ids = encode_shard(texts, m, cut)
-            back = [decode(x, m.tokens) for x in ids]
-            same = [b"".join([back[u] for u in d]) == t.encode("utf-8", "surrogatepass")
-                    for d, t in zip(units, texts)]
-            flat, bounds = _gather(units, ids)
-            yield pa.RecordBatch.from_arrays(
-                [key, pa.array(np.diff(bounds)), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()),
-                                                                          pa.array(flat)),
-                 pa.array(same, pa.bool_())], names=["id", "n_tokens", "ids", "round_trip"])
+            yield shard(key, texts, m, cut)  # a shard's tables go before the next one's are made
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     out = docs.select(id_col, text_col).mapInArrow(
@@ -276,24 +277,26 @@ def encode_digest(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     compare; the ids themselves never leave the task."""
     shared = _merges(docs.sparkSession, path)
 
+    def shard(key, texts, m, cut):
+        parts, ids = encode_shard(texts, m, cut)
+        sizes = [len(x) for x in ids]
+        shown = [",".join(map(str, x)).encode() for x in ids]
+        back = [decode(x, m.tokens) for x in ids]
+        sums, a, b, same = [], [], [], []
+        for d, t in zip(parts, texts):
+            sums.append(sum([sizes[u] for u in d]))
+            a.append(hashlib.sha256(b",".join([shown[u] for u in d])).hexdigest())
+            decoded = b"".join([back[u] for u in d])
+            b.append(hashlib.sha256(decoded).hexdigest())
+            same.append(decoded == t.encode("utf-8", "surrogatepass"))
+        return pa.RecordBatch.from_arrays(
+            [key, pa.array(sums, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()),
+             pa.array(same, pa.bool_())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
+
     def run(batches):
         m, cut = _table(shared), regex.compile(pattern)
         for key, texts in shards(batches):
-            docs, ids = encode_shard(texts, m, cut)
-            sizes = [len(x) for x in ids]
-            shown = [",".join(map(str, x)).encode() for x in ids]
-            back = [decode(x, m.tokens) for x in ids]
-            sums, a, b, same = [], [], [], []
-            for d, t in zip(docs, texts):
-                sums.append(sum([sizes[u] for u in d]))
-                a.append(hashlib.sha256(b",".join([shown[u] for u in d])).hexdigest())
-                decoded = b"".join([back[u] for u in d])
-                b.append(hashlib.sha256(decoded).hexdigest())
-                same.append(decoded == t.encode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays(
-                [key, pa.array(sums, pa.int64()), pa.array(a, pa.string()),
-                 pa.array(b, pa.string()), pa.array(same, pa.bool_())],
-                names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
+            yield shard(key, texts, m, cut)  # a shard's tables go before the next one's are made
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     out = docs.select(id_col, text_col).mapInArrow(

@@ -1,8 +1,8 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
 Every step is a join and an aggregate over edges; labels never reach the driver, only a checksum per round does.
-The minima are written to the checkpoint folder before they are joined with the edges, so that both sides of
-that join are plain exchanges and a node with very many edges is split.
+A node's least neighbour is joined with its edges by (node, salt), so a node with very many edges is dealt to SALTS
+tasks, and those partitions can be split again. Edges are written to the checkpoint folder after every round.
 """
 
 from __future__ import annotations
@@ -10,12 +10,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+SALTS = 4
+
+
+def salted_join(rows: DataFrame, looked_up: DataFrame, key: str, by: str) -> DataFrame:
+    """``rows`` inner joined with ``looked_up`` (one row per key), a hot key's rows dealt to SALTS tasks by ``by``."""
+    copies = looked_up.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    return dealt.join(copies.hint("merge"), [key, "salt"]).drop("salt")
+
 
 def _with_least(edges: DataFrame) -> DataFrame:
     """Edges (u, v) with the least node m among u and all its neighbours."""
     least = edges.groupBy("u").agg(F.min("v").alias("w"))
-    least = least.select("u", F.least("u", "w").alias("m")).checkpoint()
-    return edges.join(least, "u")
+    return salted_join(edges, least.select("u", F.least("u", "w").alias("m")), "u", "v")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

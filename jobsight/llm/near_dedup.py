@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobsight.llm.components import components
+from jobsight.llm.components import components, salted_join
 from jobsight.llm.words import SPACED, Block, mix, shingles, word_blocks
 from jobsight.session import checkpoint_dir
 
@@ -118,7 +118,9 @@ def signatures(docs: DataFrame, shingle_words: int, id_col: str, text_col: str)
 
 def _sets(docs: DataFrame, wanted: DataFrame, shingle_words: int, id_col: str, text_col: str) -> DataFrame:
     """(node, shingles) of the wanted nodes (node, a, b)."""
-    texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).join(wanted, "node")
+    # the small side is hashed, so that the texts need no sort
+    texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).join(
+        wanted.hint("shuffle_hash"), "node")
     kind = wanted.select("node").schema[0].dataType.simpleString()
 
     def run(batches):
@@ -152,8 +154,9 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (u, v) with their estimate and set sizes."""
     kind = pairs.select("u").schema[0].dataType.simpleString()
     one = classes.select("node", "n", "registers")
-    both = (pairs.join(one.withColumnsRenamed({"node": "u", "n": "nu", "registers": "ru"}), "u")
-            .join(one.withColumnsRenamed({"node": "v", "n": "nv", "registers": "rv"}), "v")
+    # merge joins: no hash table of document data is built on the driver, and hot centres can be split
+    both = (pairs.join(one.withColumnsRenamed({"node": "u", "n": "nu", "registers": "ru"}).hint("merge"), "u")
+            .join(one.withColumnsRenamed({"node": "v", "n": "nv", "registers": "rv"}).hint("merge"), "v")
             .select("u", "v", "nu", "nv", "ru", "rv"))
 
     def run(batches):
@@ -172,8 +175,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, least: floa
     """(u, v, similarity): exact for pairs whose estimate reaches ``least``, else null."""
     est = _estimated(pairs, classes).checkpoint()
     near = est.where(F.col("s") >= least).select("u", "v", "nu", "nv")
-    exact = (near.join(sets.withColumnsRenamed({"node": "u", "shingles": "x"}), "u")
-             .join(sets.withColumnsRenamed({"node": "v", "shingles": "y"}), "v")
+    exact = (near.join(sets.withColumnsRenamed({"node": "u", "shingles": "x"}).hint("merge"), "u")
+             .join(sets.withColumnsRenamed({"node": "v", "shingles": "y"}).hint("merge"), "v")
              .select("u", "v", F.size(F.array_intersect("x", "y")).cast("long").alias("common"), "nu", "nv")
              .select("u", "v", "common", (F.col("nu") + F.col("nv") - F.col("common")).alias("united")))
     far = est.where(F.col("s") < least).select("u", "v", F.lit(None).cast("long").alias("common"),
@@ -205,9 +208,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: int = 80
     bands = classes.select("node", F.explode(F.expr(
         f"transform(sequence(0, {BUCKETS // ROWS - 1}), "
         f"i -> xxhash64(i, substring(registers, i * {size} + 1, {size})))")).alias("band"))
-    shared = (bands.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("band").checkpoint())
-    members = bands.join(shared, "band").checkpoint()
-    wanted = members.select("node").distinct().join(classes.select("node", "a", "b"), "node")
+    shared = bands.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("band")
+    members = salted_join(bands, shared, "band", "node").checkpoint()
+    wanted = members.select("node").distinct().join(classes.select("node", "a", "b").hint("merge"), "node")
     sets = _sets(docs, wanted, shingle_words, id_col, text_col).checkpoint()
 
     compared = links = None
@@ -215,8 +218,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: int = 80
     for turn in range(CENTRE_ROUNDS):
         order = F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "label")
         centres = (labelled.groupBy("band").agg(F.min(order).alias("c"))
-                   .select("band", F.col("c.node").alias("centre"), F.col("c.label").alias("c_label")).checkpoint())
-        pairs = (labelled.join(centres, "band").where("label <> c_label")
+                   .select("band", F.col("c.node").alias("centre"), F.col("c.label").alias("c_label")))
+        pairs = (salted_join(labelled, centres, "band", "node").where("label <> c_label")
                  .select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct())
         new = _verified(pairs, classes, sets, 2 * (threshold / 100) - 1 - MARGIN).checkpoint()
         compared = new if compared is None else compared.union(new)
@@ -225,7 +228,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: int = 80
             F.col("node").alias("u"), F.col("component").alias("v")).checkpoint()
         labels = links.withColumnsRenamed({"u": "node", "v": "label"})
         # buckets with members in different components stay open
-        labelled = members.join(labels, "node", "left").select(
+        labelled = members.join(labels.hint("merge"), "node", "left").select(
             "band", "node", F.coalesce("label", "node").alias("label"))
         per_label = labelled.groupBy("band", "label").agg(F.count("*").alias("n"))
         spread = (per_label.groupBy("band")
@@ -233,15 +236,15 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: int = 80
                        F.count("*").alias("labels"))
                   .where(F.col("labels") > 1)
                   .select("band", "n", ((F.col("n") * F.col("n") - F.col("within")) / 2).alias("across")).checkpoint())
-        labelled = labelled.join(spread.select("band"), "band").checkpoint()
+        labelled = labelled.join(spread.select("band").hint("merge"), "band").checkpoint()
         n, across = spread.agg(F.sum("n"), F.sum("across")).first()
         if not across or across <= 4 * n:
             break
     # what is left: members of one bucket in different components
     seen = compared.groupBy("u").agg(F.min("v").alias("v0"), F.min_by(F.struct("common", "united"), "v").alias("c"))
     seen = seen.select(F.col("u").alias("node"), F.col("v0").alias("centre"),
-                       (F.col("c.common") / F.col("c.united")).alias("s")).checkpoint()
-    side = labelled.join(seen, "node", "left").checkpoint()
+                       (F.col("c.common") / F.col("c.united")).alias("s"))
+    side = labelled.join(seen.hint("merge"), "node", "left").checkpoint()
     x, y = side.alias("x"), side.alias("y")
     # distances to one centre that differ by more than the allowed distance exclude a link; a null is under
     # 2 * threshold - 1, so it is excluded beside a member that is linked to the centre
@@ -250,15 +253,15 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: int = 80
         | (F.col("x.s").isNull() & (F.col("y.s") >= 1 - distance))
         | (F.col("y.s").isNull() & (F.col("x.s") >= 1 - distance)))
     excluded = excluded | (F.col("x.centre") == F.col("y.node")) | (F.col("y.centre") == F.col("x.node"))
-    rest = (x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.label") < F.col("y.label"))
+    rest = (x.join(y.hint("merge"), (F.col("x.band") == F.col("y.band")) & (F.col("x.label") < F.col("y.label"))
                    & ~F.coalesce(excluded, F.lit(False)))
             .select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct())
     last = _verified(rest, classes, sets, threshold / 100 - MARGIN)
     groups = components(links.union(_links(last, threshold)))
 
-    by_class = (classes.join(groups, "node", "left")
+    by_class = (classes.join(groups.hint("merge"), "node", "left")
                 .select("a", "b", "n", F.coalesce("component", "node").alias("component")).checkpoint())
-    named = (found.join(by_class, ["a", "b", "n"], "left")
+    named = (found.join(by_class.hint("merge"), ["a", "b", "n"], "left")
              .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
                      F.coalesce("component", "id").alias("component_id")))
     named = named.withColumn("kept", F.col(id_col) == F.col("component_id"))

@@ -134,22 +134,21 @@ def op7_language_fusion(spark, sf_dir):
 
 @register("op8_token_rollups")
 def op8_token_rollups(spark, sf_dir):
-    """Four commits: all documents; toxic ones are deleted; the texts of bad ones lose their symbols and are counted
-    again; the deletion arrives a second time and is skipped."""
+    """Four commits: all documents; those whose texts hold symbols lose them and are counted again; toxic ones are
+    deleted; the deletion arrives a second time and is skipped."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     names = {"byte_bpe_50k": "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k": "byte_bpe_multi_50k.tiktoken"}
     files = {v: public_tokenizers.path(f) for v, f in names.items()}
     store = token_rollups.RollupStore(spark, f"{checkpoint_dir(spark)}/rollups-{uuid.uuid4().hex}")
     store.commit("load", token_rollups.changes(
         token_rollups.count_tokens(docs, files, public_tokenizers.PATTERN), "insert"))
+    plain = docs.where(F.col("text").rlike("[#*$%&|<>]")).withColumn("text", F.regexp_replace("text", "[#*$%&|<>]", ""))
+    store.commit("rewrite", token_rollups.changes(
+        token_rollups.count_tokens(plain, files, public_tokenizers.PATTERN), "revise"))
     toxic = labels.where("toxic = 1").select("doc_id", F.explode(F.array(*map(F.lit, names))).alias("version"),
                                              F.lit(None).cast("string").alias("source"),
                                              F.lit(None).cast("string").alias("lang"), F.lit(0).alias("n_tokens"))
     store.commit("takedown", token_rollups.changes(toxic, "delete"))
-    bad = docs.join(labels.where("quality = 0 and toxic = 0").select("doc_id"), "doc_id", "left_semi")
-    bad = bad.withColumn("text", F.regexp_replace("text", "[#*$%&|<>]", ""))
-    store.commit("rewrite", token_rollups.changes(
-        token_rollups.count_tokens(bad, files, public_tokenizers.PATTERN), "revise"))
     store.commit("takedown", token_rollups.changes(toxic, "delete"))
     return store.totals()
 
