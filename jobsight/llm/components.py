@@ -2,7 +2,7 @@
 
 Every step is a join and an aggregate over edges; labels never reach the driver, only a checksum per round does.
 A node's least neighbour is joined with its edges by (node, salt), so a node with very many edges is dealt to SALTS
-tasks, and those partitions can be split again. Edges are written to the checkpoint folder after every round.
+tasks, and those partitions can be split again. Edges are written to the shared folder after every round.
 """
 
 from __future__ import annotations
@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobsight.llm.tables import written
+
 SALTS = 4
 
 
 def salted_join(rows: DataFrame, looked_up: DataFrame, key: str, by: str) -> DataFrame:
-    """``rows`` inner joined with ``looked_up`` (one row per key), a hot key's rows dealt to SALTS tasks by ``by``."""
+    """``rows`` inner joined with ``looked_up`` (few rows per key), a hot key's rows dealt to SALTS tasks by ``by``."""
     copies = looked_up.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
     return dealt.join(copies.hint("merge"), [key, "salt"]).drop("salt")
@@ -41,10 +43,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (u, v); component is the least node it can reach."""
-    edges = edges.where("u <> v").checkpoint()
+    edges = written(edges.where("u <> v"))
     before = None
     while True:
-        edges = _small_star(_large_star(edges)).checkpoint()
+        edges = written(_small_star(_large_star(edges)))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -10,10 +10,11 @@ shingles (as 64-bit hashes), or its whole word sequence as one if it has fewer w
 2. Documents with equal sets are one class from here on (a partial aggregate); the least id stands for it.
 3. Bands of ROWS compressed registers are hashed. At similarity 0.8 a pair misses all 32 bands of 4 with
    probability 5e-8.
-4. Within a band's bucket nothing is paired with everything. Members are compared with one centre, components are
-   taken, and as long as buckets hold many pairs across components, with another centre. What is then left (members
-   of one bucket in different components, never compared with the bucket's centre) is compared pair by pair, but
-   for pairs that the triangle inequality of the Jaccard distance excludes. So no link between different texts
+4. Within a band's bucket nothing is paired with everything. Members are compared with one centre and components are
+   taken; as long as buckets hold many pairs across components, the members outside a bucket's largest component are
+   compared with CENTRES of its members. What is left after CENTRE_ROUNDS rounds at most (members of one bucket in
+   different components) is compared exactly, each member outside the bucket's largest component with all others,
+   but for pairs that the triangle inequality of the Jaccard distance excludes. So no link between different texts
    is lost, and a group of copies costs a few comparisons per member.
 5. A comparison first estimates the similarity from registers, less the collisions that registers of different
    hashes have by chance; pairs more than 5 standard deviations under the threshold are dropped. All others are
@@ -33,13 +34,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobsight.llm.components import components, salted_join
+from jobsight.llm.tables import written
 from jobsight.llm.words import SPACED, Block, mix, shingles, word_blocks
-from jobsight.session import checkpoint_dir
 
 BUCKETS = 128
 ROWS = 4
 MANTISSA = 8
-CENTRE_ROUNDS = 6
+CENTRE_ROUNDS = 4
+#: centres of a bucket in the rounds after the first
+CENTRES = 6
+#: stands for a similarity under 2 * threshold - 1 that was not measured
+FAR = -1.0
+#: the last comparisons take sets of at most SMALL_SET shingles in tiles of TILE times TILE documents
+SMALL_SET = 2048
+TILE = 512
 #: registers estimate a similarity s with variance s (1 - s) / BUCKETS
 MARGIN = 5 * (0.25 / BUCKETS) ** 0.5 * 0.8
 _MULTIPLIERS = mix(np.arange(1, BUCKETS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
@@ -173,7 +181,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """(u, v, similarity): exact for pairs whose estimate reaches ``least``, else null."""
-    est = _estimated(pairs, classes).checkpoint()
+    est = written(_estimated(pairs, classes))
     near = est.where(F.col("s") >= least).select("u", "v", "nu", "nv")
     exact = (near.join(sets.withColumnsRenamed({"node": "u", "shingles": "x"}).hint("merge"), "u")
              .join(sets.withColumnsRenamed({"node": "v", "shingles": "y"}).hint("merge"), "v")
@@ -188,6 +196,55 @@ def _links(compared: DataFrame, threshold: int) -> DataFrame:
     return compared.where(100 * F.col("common") >= threshold * F.col("united")).select("u", "v")
 
 
+def _tile_links(known: DataFrame, threshold: int) -> DataFrame:
+    """Links (u, v) between members of one centre in different components, one of them outside the largest.
+
+    Members outside the largest component are dealt to ``xs`` blocks, all members to ``ys`` blocks of about TILE; a
+    task compares one block with another, on full sets, by one product of their incidence matrices. Only sets of at
+    most SMALL_SET shingles are compared here.
+    """
+    small = known.where(F.col("n") <= SMALL_SET).select("centre", "node", "label", "n", "shingles", "largest", "xs", "ys")
+    x = small.where("label <> largest").select(
+        "centre", F.pmod(F.xxhash64("node"), "xs").cast("int").alias("xb"),
+        F.explode(F.sequence(F.lit(0), F.col("ys") - 1)).alias("yb"), F.lit(True).alias("outside"), "node", "label", "n", "shingles")
+    y = small.select(
+        "centre", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("xb"),
+        F.pmod(F.xxhash64("node"), "ys").cast("int").alias("yb"), F.lit(False).alias("outside"), "node", "label", "n", "shingles")
+
+    def compare(tile: pa.Table) -> pa.Table:
+        tile = tile.combine_chunks()
+        out = tile["outside"].to_numpy(zero_copy_only=False)
+        label, n, node = (tile[c].to_numpy() for c in ("label", "n", "node"))
+        lists = tile["shingles"].combine_chunks()
+        values, sizes = lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
+        row = np.repeat(np.arange(len(out)), sizes)
+        mine = out[row]
+        shared = np.intersect1d(values[mine], values[~mine])
+        at = np.searchsorted(shared, values)
+        held = (at < len(shared))
+        held[held] = shared[at[held]] == values[held]
+        row, at = row[held], at[held]
+        place = np.empty(len(out), np.int64)
+        place[out], place[~out] = np.arange(out.sum()), np.arange((~out).sum())
+        common = np.zeros((int(out.sum()), int((~out).sum())), np.float32)
+        for lo in range(0, len(shared), 4096):
+            part = (at >= lo) & (at < lo + 4096)
+            width = min(4096, len(shared) - lo)
+            sides = []
+            for flag, k in ((True, common.shape[0]), (False, common.shape[1])):
+                own = part & (out[row] == flag)
+                m = np.zeros((k, width), np.float32)
+                m[place[row[own]], at[own] - lo] = 1
+                sides.append(m)
+            common += sides[0] @ sides[1].T
+        union = n[out][:, None] + n[~out][None, :] - common
+        i, j = np.nonzero((100 * common >= threshold * union) & (label[out][:, None] != label[~out][None, :]))
+        return pa.table({"u": node[out][i], "v": node[~out][j]})
+
+    kind = known.select("node").schema[0].dataType.simpleString()
+    return x.union(y).groupBy("centre", "xb", "yb").applyInArrow(compare, f"u {kind}, v {kind}")
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: int = 80,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept): the group of each document; ``kept`` is its least id.
@@ -196,71 +253,104 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: int = 80
     """
     if not 80 <= threshold <= 100:
         raise ValueError("threshold must be from 80 to 100")
-    checkpoint_dir(docs.sparkSession)
     distance = 1 - threshold / 100
-    rows = signatures(docs, shingle_words, id_col, text_col).checkpoint()
+    rows = written(signatures(docs, shingle_words, id_col, text_col))
     # one document per id; equal sets are one class
-    found = (rows.where(F.col("id").isNotNull()).groupBy("id")
-             .agg(F.min(F.struct("n", "a", "b", "registers")).alias("s")).select("id", "s.*").checkpoint())
-    classes = (found.where(F.col("n") > 0).groupBy("a", "b", "n")
-               .agg(F.min("id").alias("node"), F.first("registers").alias("registers")).checkpoint())
+    found = written(rows.where(F.col("id").isNotNull()).groupBy("id")
+             .agg(F.min(F.struct("n", "a", "b", "registers")).alias("s")).select("id", "s.*"))
+    classes = written(found.where(F.col("n") > 0).groupBy("a", "b", "n")
+               .agg(F.min("id").alias("node"), F.first("registers").alias("registers")))
     size = 2 * ROWS
-    bands = classes.select("node", F.explode(F.expr(
-        f"transform(sequence(0, {BUCKETS // ROWS - 1}), "
-        f"i -> xxhash64(i, substring(registers, i * {size} + 1, {size})))")).alias("band"))
-    shared = bands.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("band")
-    members = salted_join(bands, shared, "band", "node").checkpoint()
-    wanted = members.select("node").distinct().join(classes.select("node", "a", "b").hint("merge"), "node")
-    sets = _sets(docs, wanted, shingle_words, id_col, text_col).checkpoint()
-
-    compared = links = None
-    labelled = members.withColumn("label", F.col("node"))
+    keys = F.expr(f"transform(sequence(0, {BUCKETS // ROWS - 1}), "
+                  f"i -> xxhash64(i, substring(registers, i * {size} + 1, {size})))")
+    bands = classes.select("node", F.explode(keys).alias("band"))
+    shared = bands.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    members = written(salted_join(bands, shared, "band", "node"))
+    scores = members.groupBy("node").agg(F.sum("n").alias("score")).join(
+        classes.select("node", "a", "b").hint("merge"), "node")
+    sets = written(_sets(docs, scores.select("node", "a", "b"), shingle_words, id_col, text_col))
+
+    # first centre of a bucket: the member whose buckets are the fullest, as an original among its copies
+    order = F.struct(F.col("score"), F.xxhash64("node"))
+    centres = (members.join(scores.select("node", "score").hint("merge"), "node").groupBy("band")
+               .agg(F.max_by("node", order).alias("centre"))
+               .select("band", "centre", F.col("centre").alias("c_label")))
+    labelled = members.select("band", "node", F.col("node").alias("label"))
+    first_turn = links = last = None
     for turn in range(CENTRE_ROUNDS):
-        order = F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "label")
-        centres = (labelled.groupBy("band").agg(F.min(order).alias("c"))
-                   .select("band", F.col("c.node").alias("centre"), F.col("c.label").alias("c_label")))
         pairs = (salted_join(labelled, centres, "band", "node").where("label <> c_label")
                  .select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct())
-        new = _verified(pairs, classes, sets, 2 * (threshold / 100) - 1 - MARGIN).checkpoint()
-        compared = new if compared is None else compared.union(new)
+        new = written(_verified(pairs, classes, sets, 2 * (threshold / 100) - 1 - MARGIN))
+        first_turn = first_turn or new
         more = _links(new, threshold)
-        links = components(more if links is None else links.union(more)).select(
-            F.col("node").alias("u"), F.col("component").alias("v")).checkpoint()
-        labels = links.withColumnsRenamed({"u": "node", "v": "label"})
-        # buckets with members in different components stay open
-        labelled = members.join(labels.hint("merge"), "node", "left").select(
+        links = written(components(more if links is None else links.union(more)).select(
+            F.col("node").alias("u"), F.col("component").alias("v")))
+        labelled = members.select("band", "node").join(
+            links.withColumnsRenamed({"u": "node", "v": "label"}).hint("merge"), "node", "left").select(
             "band", "node", F.coalesce("label", "node").alias("label"))
-        per_label = labelled.groupBy("band", "label").agg(F.count("*").alias("n"))
-        spread = (per_label.groupBy("band")
-                  .agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"),
-                       F.count("*").alias("labels"))
-                  .where(F.col("labels") > 1)
-                  .select("band", "n", ((F.col("n") * F.col("n") - F.col("within")) / 2).alias("across")).checkpoint())
-        labelled = labelled.join(spread.select("band").hint("merge"), "band").checkpoint()
-        n, across = spread.agg(F.sum("n"), F.sum("across")).first()
-        if not across or across <= 4 * n:
+        # buckets with members in different components stay open; next centres: members of the largest component
+        picks = F.array(*[F.min(F.struct(F.xxhash64(F.lit(turn), F.lit(k), "node"), "node"))["node"]
+                          for k in range(CENTRES)])
+        per_label = labelled.groupBy("band", "label").agg(F.count("*").alias("n"), picks.alias("centres"))
+        top = written(per_label.groupBy("band").agg(
+            F.max_by(F.struct("label", "centres"), F.struct("n", "label")).alias("c"), F.sum("n").alias("n"),
+            F.sum(F.col("n") * F.col("n")).alias("within"), F.count("*").alias("labels"))
+            .where(F.col("labels") > 1)
+            .select("band", "c.label", "c.centres", "n", ((F.col("n") * F.col("n") - F.col("within")) / 2)
+                    .alias("across")))
+        labelled = written(salted_join(labelled, top.select("band"), "band", "node"))
+        centres = top.select("band", F.col("label").alias("c_label"), "centres")
+        n, across = top.agg(F.sum("n"), F.sum("across")).first()
+        if not across or across <= 2 * n or (turn and across > last / 2):
             break
-    # what is left: members of one bucket in different components
-    seen = compared.groupBy("u").agg(F.min("v").alias("v0"), F.min_by(F.struct("common", "united"), "v").alias("c"))
-    seen = seen.select(F.col("u").alias("node"), F.col("v0").alias("centre"),
-                       (F.col("c.common") / F.col("c.united")).alias("s"))
-    side = labelled.join(seen.hint("merge"), "node", "left").checkpoint()
+        last = across
+        centres = centres.withColumn("centre", F.explode(F.array_distinct("centres"))).drop("centres")
+    # what is left: members of open buckets that are in different components. Those whose similarity to the same
+    # first centre is known are compared once per centre, all others once per pair in the first bucket they share
+    popular = first_turn.groupBy("v").agg(F.count("*").alias("popular"))
+    near = salted_join(first_turn, popular, "v", "u").groupBy("u").agg(F.max(F.struct(
+        "popular", F.col("v").alias("centre"),
+        F.coalesce(F.col("common") / F.col("united"), F.lit(FAR)).alias("s"))).alias("c"))
+    nodes = written(labelled.select("node", "label").distinct()
+             .join(near.select(F.col("u").alias("node"), "c.s", "c.centre").hint("merge"), "node", "left")
+             .join(classes.select("node", "n", keys.alias("keys")).hint("merge"), "node")
+             .join(sets.where(F.size("shingles") <= SMALL_SET).hint("merge"), "node", "left"))
+    sized = 100 * F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n")
+    known = nodes.where(F.col("s") > FAR).drop("keys")
+    biggest = (known.groupBy("centre", "label").agg(F.count("*").alias("n")).groupBy("centre")
+               .agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.max("n").alias("most"),
+                    F.sum("n").alias("members"))
+               .where("most < members")
+               .select("centre", "largest", F.ceil((F.col("members") - F.col("most")) / TILE).cast("int").alias("xs"),
+                       F.ceil(F.col("members") / TILE).cast("int").alias("ys")))
+    known = written(salted_join(known, biggest, "centre", "node"))
+    direct = _tile_links(known, threshold)
+    # distances to the centre that differ by more than the allowed distance exclude a link
+    x, y = known.where("label <> largest").drop("shingles"), known.drop("shingles")
+    both = [F.col("x.node").alias("u"), F.col("y.node").alias("v")]
+    big = (F.col("x.n") > SMALL_SET) | (F.col("y.n") > SMALL_SET)
+    rest = x.alias("x").join(y.alias("y").hint("merge"), (F.col("x.centre") == F.col("y.centre")) & big & sized
+                             & (F.col("x.label") != F.col("y.label"))
+                             & ((F.col("y.label") == F.col("y.largest")) | (F.col("x.node") < F.col("y.node")))
+                             & (F.abs(F.col("x.s") - F.col("y.s")) <= distance + 1e-9)).select(*both)
+
+    side = labelled.select("band", "node").join(nodes.drop("shingles").hint("merge"), "node")
     x, y = side.alias("x"), side.alias("y")
-    # distances to one centre that differ by more than the allowed distance exclude a link; a null is under
-    # 2 * threshold - 1, so it is excluded beside a member that is linked to the centre
-    excluded = (F.col("x.centre") == F.col("y.centre")) & (
-        (F.abs(F.col("x.s") - F.col("y.s")) > distance + 1e-9)
-        | (F.col("x.s").isNull() & (F.col("y.s") >= 1 - distance))
-        | (F.col("y.s").isNull() & (F.col("x.s") >= 1 - distance)))
-    excluded = excluded | (F.col("x.centre") == F.col("y.node")) | (F.col("y.centre") == F.col("x.node"))
-    rest = (x.join(y.hint("merge"), (F.col("x.band") == F.col("y.band")) & (F.col("x.label") < F.col("y.label"))
-                   & ~F.coalesce(excluded, F.lit(False)))
-            .select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct())
-    last = _verified(rest, classes, sets, threshold / 100 - MARGIN)
-    groups = components(links.union(_links(last, threshold)))
-
-    by_class = (classes.join(groups.hint("merge"), "node", "left")
-                .select("a", "b", "n", F.coalesce("component", "node").alias("component")).checkpoint())
+    met = F.coalesce((F.col("x.centre") == F.col("y.centre")) & (
+        ((F.col("x.s") > FAR) & (F.col("y.s") > FAR))
+        # a similarity under 2 * threshold - 1 beside one of the threshold or more
+        | ((F.col("x.s") == FAR) & (F.col("y.s") >= 1 - distance))
+        | ((F.col("y.s") == FAR) & (F.col("x.s") >= 1 - distance))), F.lit(False))
+    same = F.zip_with("x.keys", "y.keys", lambda a, b: a == b)
+    first = F.col("x.keys")[(F.array_position(same, F.lit(True)) - 1).cast("int")] == F.col("x.band")
+    others = x.join(y.hint("merge"), (F.col("x.band") == F.col("y.band")) & (F.col("x.label") < F.col("y.label"))
+                    & sized & ~met & (F.col("x.centre").isNull() | (F.col("x.centre") != F.col("y.node")))
+                    & (F.col("y.centre").isNull() | (F.col("y.centre") != F.col("x.node"))) & first).select(*both)
+    found_last = _verified(rest.union(others).distinct(), classes, sets, threshold / 100 - MARGIN)
+    groups = components(links.union(direct).union(_links(found_last, threshold)))
+
+    by_class = written(classes.join(groups.hint("merge"), "node", "left")
+                .select("a", "b", "n", F.coalesce("component", "node").alias("component")))
     named = (found.join(by_class.hint("merge"), ["a", "b", "n"], "left")
              .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
                      F.coalesce("component", "id").alias("component_id")))
