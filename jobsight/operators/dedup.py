@@ -32,7 +32,6 @@ Plan, all on DataFrames:
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -280,21 +279,18 @@ def find_duplicates(postings: DataFrame,
                        T.normalize_location("location").alias("nl"))
     # materialize first: a filter on nt/nl would otherwise be pushed below the
     # projection and evaluate the regex chains twice
-    base = base.persist(StorageLevel.MEMORY_AND_DISK)
+    checkpoint_dir(postings.sparkSession)
+    base = base.checkpoint()
     eligible = base.filter((F.col("nt") != "") & (F.col("nl") != ""))
     # exact collapse
     grp = eligible.groupBy("company_key", "nt", "nl").agg(F.min("ord").alias("rep_ord"))
     reps = grp.select("company_key", "nt", "nl", F.col("rep_ord.u").alias("url"),
                       F.col("rep_ord").alias("ord"),
                       T.key_terms("nt").alias("terms"))
-    spark = postings.sparkSession
-    checkpoint_dir(spark)
-    reps = spread(reps.checkpoint())
+    reps = reps.checkpoint()
     members = (eligible.join(grp, ["company_key", "nt", "nl"])
                .filter(F.col("ord") != F.col("rep_ord"))
                .select(F.col("url").alias("member"), F.col("rep_ord.u").alias("rep"))).checkpoint()
-    # everything downstream reads checkpoints, so the cached rows can go now
-    base.unpersist()
     compat = location_compat(reps, location_threshold).checkpoint()
     pairs = candidate_pairs(reps, compat, title_threshold)
     scored = score_pairs(pairs, reps, compat, title_floor=title_threshold)

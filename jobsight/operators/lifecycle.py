@@ -109,9 +109,8 @@ def upsert(jobs: DataFrame, batch: DataFrame) -> DataFrame:
     ts, last value by (run, seq)); the state is merged by a full outer join
     on url. ``now`` of the source is the observation's ts.
     """
-    b = _ranked(batch)
     okey = F.struct("run", "seq")
-    folded = b.groupBy("url").agg(
+    folded = batch.groupBy("url").agg(
         F.count(F.lit(1)).alias("n_obs"),
         F.min("ts").alias("b_first"),
         F.max("ts").alias("b_last"),
@@ -119,9 +118,9 @@ def upsert(jobs: DataFrame, batch: DataFrame) -> DataFrame:
         F.max_by("location", okey).alias("b_location"),
         F.max_by("job_id", okey).alias("b_job_id"),
         F.min_by("company", okey).alias("b_company"),
-        F.max("crank").alias("b_crank"))
-    last_rank = company_runs(batch).groupBy("company").agg(F.max("crank").alias("c_last"))
-    scraped = last_rank.select(F.col("company").alias("s_company"), F.lit(True).alias("scraped"))
+        F.max("run").alias("b_run"))
+    # the last run of every scraped company; a URL belongs to the company it is stored under
+    last_run = batch.groupBy("company").agg(F.max("run").alias("c_run"))
     s = jobs.alias("s")
     f = folded.alias("f")
     merged = s.join(f, F.col("s.url") == F.col("f.url"), "full_outer")
@@ -136,13 +135,11 @@ def upsert(jobs: DataFrame, batch: DataFrame) -> DataFrame:
         F.when(inb, F.col("f.b_last")).otherwise(F.col("s.last_seen")).alias("last_seen"),
         (F.coalesce(F.col("s.scrape_count"), F.lit(0))
          + F.coalesce(F.col("f.n_obs"), F.lit(0))).cast("bigint").alias("scrape_count"),
-        F.col("s.is_active").alias("s_active"), inb.alias("in_batch"),
-        F.col("f.b_crank").alias("b_crank"))
-    merged = (merged.join(last_rank, "company", "left")
-              .join(scraped, F.col("company") == F.col("s_company"), "left"))
-    is_active = (F.when(F.col("in_batch"), F.col("b_crank") == F.col("c_last"))
-                 .otherwise(F.coalesce(F.col("s_active"), F.lit(False))
-                            & F.col("scraped").isNull()))
+        F.col("s.is_active").alias("s_active"), F.col("f.b_run").alias("b_run"))
+    merged = merged.join(last_run, "company", "left")
+    # seen: active unless the stored company was scraped again later; not seen: inactive once it was scraped
+    is_active = (F.when(F.col("b_run").isNotNull(), F.coalesce(F.col("b_run") >= F.col("c_run"), F.lit(True)))
+                 .otherwise(F.coalesce(F.col("s_active"), F.lit(False)) & F.col("c_run").isNull()))
     return merged.select(*STATE_COLS[:-1], is_active.alias("is_active"))
 
 
@@ -254,18 +251,18 @@ def fold_ledger(ledger_log: DataFrame) -> DataFrame:
     return agg.select(*ledger_log.columns)
 
 
-def smart_stop(listing: DataFrame, active: DataFrame, n: int = 5, max_pages: int = 100) -> DataFrame:
+def smart_stop(listing: DataFrame, active: DataFrame, n: int = 5, max_pages: int | None = 100) -> DataFrame:
     """Where a site scan stops with smart stopping, in closed form.
 
     ``listing`` is (site, page, url) as the pages would be read; ``active``
     is the (site, url) snapshot of active postings. A page is new when one
     of its URLs is neither active nor on an earlier page. The scan ends at
     the first empty page, after ``n`` consecutive pages without new
-    postings (stopped early), or at ``max_pages``.
+    postings (stopped early), or at ``max_pages`` (None: no limit).
 
     Output: site, pages_scanned (the last page read), stopped_early.
     """
-    pages = listing.filter(F.col("page") <= max_pages)
+    pages = listing if max_pages is None else listing.filter(F.col("page") <= max_pages)
     fresh = pages.join(active.select("site", "url"), ["site", "url"], "left_anti")
     first_page = fresh.groupBy("site", "url").agg(F.min("page").alias("page"))
     new_pages = first_page.groupBy("site", "page").agg(F.count(F.lit(1)).alias("n_new"))

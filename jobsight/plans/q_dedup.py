@@ -44,10 +44,7 @@ def normalized_postings(spark, sf_dir):
     FROM (SELECT {S.normalize_company('company')} AS company_key FROM doc_postings)
     GROUP BY company_key HAVING count(*) > 1""", "doc_postings"))
 def candidate_pairs(spark, sf_dir):
-    """D4 block sizes: the pairs a plain company blocking would compare.
-
-    The pruned candidate set actually scored is `pruned_candidates`.
-    """
+    """D4 block sizes: the pairs a plain company blocking would compare."""
     k = doc_postings(spark, sf_dir).select(T.normalize_company("company").alias("company_key"))
     g = k.groupBy("company_key").agg(F.count(F.lit(1)).alias("postings")).filter(F.col("postings") > 1)
     return g.select("company_key", F.col("postings").cast("bigint").alias("postings"),
@@ -174,8 +171,7 @@ FROM d JOIN o od ON od.company_key = d.company_key AND od.k = d.kb
        JOIN o oc ON oc.company_key = d.company_key AND oc.k = d.ka""")
 
 
-@register("deduplicated_exact_terms", _jaccard_graph_sql())
-def deduplicated_exact_terms(spark, sf_dir):
+def _exact_terms(spark, sf_dir):
     """D5 on a Jaccard-only graph: similar = same company and location, key-term Jaccard >= threshold.
 
     Edges come from the exact term prefix join keyed by (company, location,
@@ -204,3 +200,56 @@ def deduplicated_exact_terms(spark, sf_dir):
     best = (edges.join(canon.select(F.col("node").alias("lo")), "lo", "left_semi")
             .groupBy("hi", "company_key").agg(F.min_by("lo", "oi").alias("canonical_url")))
     return best.select(F.col("hi").alias("duplicate_url"), "canonical_url", "company_key")
+
+
+@register("deduplicated_exact_terms", _jaccard_graph_sql())
+def deduplicated_exact_terms(spark, sf_dir):
+    return _exact_terms(spark, sf_dir)
+
+
+def _on_exact_terms(sql):
+    """SQL over ``dup`` (the rows of deduplicated_exact_terms) and doc_postings."""
+    head, _, last = _jaccard_graph_sql().rpartition("\nSELECT od.url")
+    return f"{head}\n, dup AS (SELECT od.url{last})\n{sql}"
+
+
+@register("deduplicated_terms_first", _on_exact_terms(
+    "SELECT url, company, title FROM doc_postings WHERE url NOT IN (SELECT duplicate_url FROM dup)"))
+def deduplicated_terms_first(spark, sf_dir):
+    """D6, keep='first', on the key-term graph."""
+    p = doc_postings(spark, sf_dir)
+    return D.deduplicate(p, _exact_terms(spark, sf_dir))[0].select("url", "company", "title")
+
+
+@register("deduplicated_terms_last", _on_exact_terms("""
+, grp AS (SELECT canonical_url, duplicate_url AS url FROM dup UNION SELECT canonical_url, canonical_url FROM dup)
+, ranked AS (SELECT g.url, row_number() OVER (PARTITION BY canonical_url
+                 ORDER BY coalesce(company, '') DESC, coalesce(title, '') DESC, g.url DESC) AS k
+             FROM grp g JOIN doc_postings p ON p.url = g.url)
+SELECT url, company, title FROM doc_postings WHERE url NOT IN (SELECT url FROM ranked WHERE k > 1)"""))
+def deduplicated_terms_last(spark, sf_dir):
+    """D6, keep='last': of each group the last posting in (company, title, url) order stays."""
+    p = doc_postings(spark, sf_dir)
+    return D.deduplicate(p, _exact_terms(spark, sf_dir), keep="last")[0].select("url", "company", "title")
+
+
+@register("dedup_stats_terms", _on_exact_terms("""
+SELECT CAST(p.n AS BIGINT) AS total_jobs, CAST(p.n - d.n AS BIGINT) AS unique_jobs,
+       CAST(d.g AS BIGINT) AS duplicate_groups, CAST(d.n AS BIGINT) AS total_duplicates,
+       CASE WHEN p.n > 0 THEN round(d.n / p.n, 6) ELSE 0.0 END AS duplicate_rate
+FROM (SELECT count(*) AS n FROM doc_postings) p,
+     (SELECT count(*) AS n, count(DISTINCT canonical_url) AS g FROM dup) d"""))
+def dedup_stats_terms(spark, sf_dir):
+    """D7 on the key-term graph."""
+    return D.dedup_stats(doc_postings(spark, sf_dir), _exact_terms(spark, sf_dir))
+
+
+@register("company_dup_stats_terms", _on_exact_terms("""
+, per AS (SELECT p.company, count(*) AS n FROM dup JOIN doc_postings p ON p.url = dup.canonical_url GROUP BY p.company)
+SELECT t.company, CAST(t.n AS BIGINT) AS total, CAST(coalesce(per.n, 0) AS BIGINT) AS duplicates,
+       round(coalesce(per.n, 0) / t.n, 6) AS duplicate_rate
+FROM (SELECT company, count(*) AS n FROM doc_postings GROUP BY company) t
+LEFT JOIN per ON per.company IS NOT DISTINCT FROM t.company"""))
+def company_dup_stats_terms(spark, sf_dir):
+    """D8 on the key-term graph."""
+    return D.company_dup_stats(doc_postings(spark, sf_dir), _exact_terms(spark, sf_dir))

@@ -182,7 +182,7 @@ def last_completed_run(spark, sf_dir):
     FROM ends e LEFT JOIN stops s USING (site)""", """
 , pg AS (SELECT run, dense_rank() OVER (ORDER BY run) AS page FROM (SELECT DISTINCT run FROM observations))
 , lst AS (SELECT o.company AS site, CAST(pg.page AS INTEGER) AS page, o.url
-          FROM observations o JOIN pg USING (run) WHERE pg.page <= 100)
+          FROM observations o JOIN pg USING (run))
 , fp AS (SELECT site, url, min(page) AS page FROM lst GROUP BY site, url)
 , np AS (SELECT site, page, count(*) AS n_new FROM fp GROUP BY site, page)
 , pl AS (SELECT DISTINCT site, page FROM lst)
@@ -199,7 +199,7 @@ def smart_stop_pages(spark, sf_dir):
     pages = days.withColumn("page", F.dense_rank().over(Window.orderBy("run")).cast("int"))
     listing = obs.join(pages, "run").select(F.col("company").alias("site"), "page", "url")
     active = spark.createDataFrame([], "site string, url string")
-    return L.smart_stop(listing, active, n=5, max_pages=100)
+    return L.smart_stop(listing, active, n=5, max_pages=None)
 
 
 @register("active_jobs", _sql("""

@@ -91,12 +91,12 @@ def live_sites(spark, sf_dir):
                 WHEN contains(search_url, '?') THEN search_url || '&page=' || CAST(page AS VARCHAR)
                 ELSE search_url || '?page=' || CAST(page AS VARCHAR) END AS page_url
     FROM (SELECT DISTINCT 'https://' || {_host_sql()} || '/careers/SearchJobs' AS search_url FROM pages),
-         (SELECT unnest(range(1, 6)) AS page)""")
+         (SELECT unnest(range(1, 101)) AS page)""")
 def plan_page_urls(spark, sf_dir):
     p = _pages(spark, sf_dir)
     sites = p.select(F.concat(F.lit("https://"), host_of(F.col("url")), F.lit("/careers/SearchJobs"))
                      .alias("search_url")).distinct()
-    return X.plan_page_urls(sites, 5)
+    return X.plan_page_urls(sites, 100)
 
 
 @register("listing_indicators", "SELECT page_id, url, " + ", ".join(f"{v} AS {k}" for k, v in _flags_sql().items())

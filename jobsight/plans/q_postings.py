@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from jobsight.operators import queries as Q
 from jobsight.plans.catalog import register
+from jobsight.session import checkpoint_dir
+from jobsight.sources import io
 from jobsight.sources.views import doc_postings, page_postings, with_views
 
 
@@ -45,3 +49,12 @@ def posting_summary(spark, sf_dir):
     ORDER BY company, title, url LIMIT 5""", "page_postings"))
 def sample_postings(spark, sf_dir):
     return Q.sample_postings(page_postings(spark, sf_dir), 5)
+
+
+@register("postings_json_roundtrip", with_views("""
+    SELECT url, job_id, title, location, company FROM doc_postings""", "doc_postings"))
+def postings_json_roundtrip(spark, sf_dir):
+    """S3 then S2: every posting written as JSON lines and read back."""
+    path = f"{checkpoint_dir(spark)}/jobsight-postings-{uuid.uuid4().hex}"
+    io.write_postings_json(doc_postings(spark, sf_dir), path)
+    return io.read_postings_json(spark, path).select("url", "job_id", "title", "location", "company")

@@ -1,14 +1,15 @@
 """Sources and sinks.
 
 Snapshots of the job-state table are versioned Parquet directories: a new
-version is written next to the old one, then a one-row pointer naming it is
-appended; readers take the highest published pointer. Nothing is ever
-overwritten in place, so a failed or replayed write cannot corrupt what
-readers see, and the path being read is never the path being written.
+version is written to a folder of its own, then a one-row pointer naming it
+is appended; readers take the highest published pointer. Nothing is ever
+overwritten, so a failed or replayed write cannot corrupt what readers see.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +24,13 @@ def read_site_list(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(v.alias("site_url")).filter(F.col("site_url") != "")
 
 
-def read_postings_json(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array (or JSON lines) of postings with a fixed schema."""
-    df = spark.read.schema(POSTING_SCHEMA).option("multiLine", True).json(path)
+def read_postings_json(spark: SparkSession, path: str, json_array: bool = False) -> DataFrame:
+    """Postings with a fixed schema, from JSON lines (as S3 writes them).
+
+    ``json_array`` says that each file holds one JSON array instead; such a
+    file is read by one task, JSON lines are split.
+    """
+    df = spark.read.schema(POSTING_SCHEMA).option("multiLine", json_array).json(path)
     return df.withColumn("scraped_at", F.to_timestamp("scraped_at"))
 
 
@@ -60,41 +65,61 @@ def write_report(lines: DataFrame, path: str, sort_col: str = "sort_key", mode:
 
 
 # ---- S7 versioned snapshots ------------------------------------------------------------
+#
+# base/data/<uuid>/state, .../ledger, .../open, .../tail   one folder per attempt, never written twice
+# base/_pointers                                           (version, batch_id, path, last_run) rows
+
+_POINTER = "version int, batch_id long, path string, last_run string"
+
 
 def _pointer_path(base: str) -> str:
     return base.rstrip("/") + "/_pointers"
 
 
-def _data_path(base: str, version: int) -> str:
-    return base.rstrip("/") + f"/data/v={version}"
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def pointers(spark: SparkSession, base: str) -> DataFrame:
+    """All published versions. Only a missing folder means that there is none; a failed read is an error."""
+    if not path_exists(spark, _pointer_path(base)):
+        return spark.createDataFrame([], _POINTER)
+    return spark.read.schema(_POINTER).parquet(_pointer_path(base))
+
+
+def latest(spark: SparkSession, base: str):
+    """The newest pointer row, or None."""
+    row = pointers(spark, base).agg(F.max_by(F.struct("version", "batch_id", "path", "last_run"), "version")
+                                    .alias("p")).first()
+    return row["p"] if row else None
 
 
 def latest_pointer(spark: SparkSession, base: str):
     """(version, batch_id) of the newest published snapshot, or (0, -1)."""
-    try:
-        ptr = spark.read.parquet(_pointer_path(base))
-    except Exception:  # nothing published yet
-        return 0, -1
-    row = ptr.agg(F.max_by(F.struct("version", "batch_id"), "version").alias("p")).first()
-    if row is None or row["p"] is None:
-        return 0, -1
-    return int(row["p"]["version"]), int(row["p"]["batch_id"])
-
-
-def load_snapshot(spark: SparkSession, base: str, empty: DataFrame) -> DataFrame:
-    """The newest published state table (``empty`` when none)."""
-    version, _ = latest_pointer(spark, base)
-    if version == 0:
+    p = latest(spark, base)
+    return (p["version"], p["batch_id"]) if p else (0, -1)
+
+
+def load_snapshot(spark: SparkSession, base: str, empty: DataFrame, part: str = "state") -> DataFrame:
+    """The newest published state table, or another part of the snapshot (``empty`` when none)."""
+    p = latest(spark, base)
+    if p is None:
         return empty
-    return spark.read.schema(empty.schema).parquet(_data_path(base, version))
+    return spark.read.schema(empty.schema).parquet(f"{p['path']}/{part}")
+
 
+def save_snapshot(state: DataFrame, base: str, batch_id: int, last_run: str | None = None, **parts: DataFrame) -> int:
+    """Write version n+1 to a folder of its own, then publish its pointer; version n stays readable.
 
-def save_snapshot(state: DataFrame, base: str, batch_id: int) -> int:
-    """Write version n+1, then publish its pointer; version n stays readable."""
+    Nothing that exists is written again: a failed attempt leaves a folder no
+    pointer names. ``parts`` (ledger rows, ...) are published with the state.
+    """
     spark = state.sparkSession
     version, _ = latest_pointer(spark, base)
-    new = version + 1
-    state.write.mode("overwrite").parquet(_data_path(base, new))  # a fresh, unpublished directory
-    ptr = spark.createDataFrame([(new, int(batch_id))], "version int, batch_id long")
-    ptr.write.mode("append").parquet(_pointer_path(base))
-    return new
+    path = f"{base.rstrip('/')}/data/{uuid.uuid4().hex}"
+    for name, df in {"state": state, **parts}.items():
+        df.write.mode("errorifexists").parquet(f"{path}/{name}")
+    row = spark.createDataFrame([(version + 1, int(batch_id), path, last_run)], _POINTER)
+    row.write.mode("append").parquet(_pointer_path(base))
+    return version + 1

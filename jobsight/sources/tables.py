@@ -16,22 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin the rows over the cluster before CPU-heavy per-row work.
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Round-robin the rows over ``partitions`` before CPU-heavy per-row work.
 
-    Only when the input has fewer partitions than the cluster's parallelism
-    (a single-row-group file, a tiny table): a real dataset of many files is
-    left as it is, so no extra shuffle is paid at scale.
+    The count is the caller's choice: the argument, or the session's
+    ``spark.jobsight.inputPartitions`` (set for tables of one large file).
+    With neither the input's own splits stay; nothing depends on its size.
     """
-    spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    # a frame that already comes out of a shuffle has the session's partitioning;
-    # only scan-like plans are inspected, so asking for the partition count runs nothing
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-        return df
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+    n = partitions or int(df.sparkSession.conf.get("spark.jobsight.inputPartitions", "0"))
+    return df.repartition(n) if n else df
 
 
 def spread_by(df: DataFrame, *cols: str) -> DataFrame:

@@ -5,8 +5,9 @@ real inputs that grow with the tables. Each view exists twice: as a Spark
 DataFrame (used by the queries) and as DuckDB SQL text (used by the oracle),
 kept side by side so they cannot drift apart.
 
-* doc_postings  documents -> url 'doc/<id>', company = source, title = first
-                line of the text (whole line), location = lang
+* doc_postings  documents -> one posting per non-blank line of the text: url
+                'doc/<id>/<n>' (n: line number from 1), company = source,
+                title = the whole line, location = lang
 * page_postings pages -> url, company = first host label, title = <title>
                 text, location = language segment of the path
 * observations  events -> one observation of URL 'job/<user_id>' per event;
@@ -44,12 +45,13 @@ def utc_instant(ts_ntz):
 
 def doc_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return d.select(
-        F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("url"),
-        F.col("doc_id").cast("string").alias("job_id"),
-        F.substring_index(F.col("text"), "\n", 1).alias("title"),
-        F.col("lang").alias("location"),
-        F.col("source").alias("company"))
+    lines = d.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("pos", "title"))
+    n = (F.col("pos") + 1).cast("string")
+    doc = F.col("doc_id").cast("string")
+    return lines.filter(F.btrim("title", F.lit(" \t\r")) != "").select(
+        F.concat(F.lit("doc/"), doc, F.lit("/"), n).alias("url"),
+        F.concat(doc, F.lit("-"), n).alias("job_id"),
+        "title", F.col("lang").alias("location"), F.col("source").alias("company"))
 
 
 def page_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,9 +81,13 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_VIEWS = {
     "doc_postings": """
-        SELECT 'doc/' || CAST(doc_id AS VARCHAR) AS url, CAST(doc_id AS VARCHAR) AS job_id,
-               split_part(text, chr(10), 1) AS title, lang AS location, source AS company
-        FROM documents""",
+        SELECT 'doc/' || CAST(doc_id AS VARCHAR) || '/' || CAST(n AS VARCHAR) AS url,
+               CAST(doc_id AS VARCHAR) || '-' || CAST(n AS VARCHAR) AS job_id,
+               title, lang AS location, source AS company
+        FROM (SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS title,
+                     generate_subscripts(string_split(text, chr(10)), 1) AS n
+              FROM documents)
+        WHERE trim(title, ' ' || chr(9) || chr(13)) <> ''""",
     "page_postings": r"""
         SELECT url,
                NULLIF(regexp_extract(url, '/(\d+)$', 1), '') AS job_id,

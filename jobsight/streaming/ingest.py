@@ -22,50 +22,80 @@ from jobsight.sources import io
 OBS_SCHEMA = ("url string, company string, title string, location string, job_id string, "
               "ts timestamp, seq long, run string")
 
+OBS_COLUMNS = [c.split()[0] for c in OBS_SCHEMA.split(", ")]
+
 
 class LateRunError(ValueError):
     """A micro-batch holds a run that is not after the runs already applied."""
 
 
 def last_applied_run(spark: SparkSession, state_base: str):
-    try:
-        ledger = spark.read.parquet(state_base.rstrip("/") + "/ledger")
-    except Exception:  # nothing applied yet
-        return None
-    return ledger.agg(F.max("run_id")).first()[0]
+    p = io.latest(spark, state_base)
+    return p["last_run"] if p else None
 
 
 def apply_batch(spark: SparkSession, batch: DataFrame, batch_id: int, state_base: str) -> bool:
     """Ingest one micro-batch; returns False when the batch id was already published.
 
+    State, ledger rows and what is needed to go on with the last run are
+    published by one pointer, so a crash before it leaves nothing behind that
+    a replay could trip over.
+
     Runs must arrive in order (run ids compare as strings: ISO dates, padded
-    numbers); a batch that reaches back before the last applied run raises
-    LateRunError instead of silently folding history in the wrong order.
+    numbers). The last run may go on in the next batch: each snapshot keeps
+    the state before its last run (``open``) and that run's observations
+    (``tail``), and the run is then folded again as a whole. A batch that
+    reaches further back raises LateRunError.
     """
-    _, published = io.latest_pointer(spark, state_base)
-    if batch_id <= published:
+    checkpoint_dir(spark)
+    known = io.latest(spark, state_base)
+    if known is not None and batch_id <= known["batch_id"]:
         return False
-    if batch.isEmpty():
+    batch = batch.select(*OBS_COLUMNS)
+    first, last = batch.agg(F.min(F.col("run").cast("string")), F.max(F.col("run").cast("string"))).first()
+    if first is None:
         return False
-    last = last_applied_run(spark, state_base)
-    first = batch.agg(F.min(F.col("run").cast("string"))).first()[0]
-    if last is not None and first <= last:
-        raise LateRunError(f"batch {batch_id} starts at run {first}, not after the applied run {last}")
-    state = io.load_snapshot(spark, state_base, L.empty_state(spark))
+    empty = L.empty_state(spark)
+    if known is None:
+        state = empty
+    elif first < known["last_run"]:
+        raise LateRunError(f"batch {batch_id} starts at run {first}, before the applied run {known['last_run']}")
+    elif first == known["last_run"]:
+        state = io.load_snapshot(spark, state_base, empty, "open")
+        tail = io.load_snapshot(spark, state_base, spark.createDataFrame([], OBS_SCHEMA), "tail")
+        batch = batch.unionByName(tail)
+    else:
+        state = io.load_snapshot(spark, state_base, empty)
+    batch = batch.checkpoint()
+    before = L.upsert(state, batch.where(F.col("run") < last)) if first < last else state
     new_state, _actions, _gone, _stats, ledger = L.ingest(state, batch)
-    ledger.withColumn("batch_id", F.lit(batch_id).cast("long")) \
-        .write.mode("append").parquet(state_base.rstrip("/") + "/ledger")
-    io.save_snapshot(new_state, state_base, batch_id)
+    io.save_snapshot(new_state, state_base, batch_id, last, ledger=ledger, open=before,
+                     tail=batch.where(F.col("run") == last))
     return True
 
 
+def read_ledger(spark: SparkSession, state_base: str) -> DataFrame:
+    """One row per run from all published versions; a run that went on in a later batch has that version's row."""
+    paths = [(r["version"], r["path"]) for r in io.pointers(spark, state_base).select("version", "path").collect()]
+    rows = None
+    for version, path in paths:
+        part = spark.read.parquet(f"{path}/ledger").withColumn("version", F.lit(version))
+        rows = part if rows is None else rows.unionByName(part)
+    if rows is None:
+        raise ValueError("nothing published yet")
+    cols = [c for c in rows.columns if c != "version"]
+    return rows.groupBy("run_id").agg(F.max_by(F.struct(*cols), "version").alias("r")).select("r.*")
+
+
 def stream_ingest(spark: SparkSession, source_dir: str, state_base: str | None = None,
                   max_files_per_trigger: int | None = None) -> str:
     """Run the stream over ``source_dir`` until no data is left (availableNow).
 
     Returns the state folder; read it with ``read_state``. Files must arrive
-    in run order when ``max_files_per_trigger`` splits them over batches.
+    in run order when ``max_files_per_trigger`` splits them over batches; a
+    run may be split.
     """
+    # the checkpoint folder must be known before foreachBatch runs
     base = checkpoint_dir(spark).rstrip("/") + f"/jobsight-stream-{uuid.uuid4().hex}"
     state_base = state_base or base + "/state"
     reader = spark.readStream.schema(OBS_SCHEMA)

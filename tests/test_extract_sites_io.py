@@ -95,10 +95,12 @@ def test_io_roundtrip(spark, tmpdir_fresh):
         json.dump([{"title": "T", "url": "u", "job_id": None, "location": None, "company_url": SITE,
                     "company": "bloomberg", "scraped_at": "2024-01-01T00:00:00", "metadata": {"date_posted": "d"},
                     "description": None}], f)
-    df = io.read_postings_json(spark, post)
+    df = io.read_postings_json(spark, post, json_array=True)
     assert df.collect()[0]["metadata"] == {"date_posted": "d"}
     io.write_postings_csv(df, os.path.join(tmpdir_fresh, "csv"))
-    io.write_postings_json(df, os.path.join(tmpdir_fresh, "json"))
+    many = df.select("*").unionByName(df).unionByName(df)
+    io.write_postings_json(many, os.path.join(tmpdir_fresh, "json"))
+    assert io.read_postings_json(spark, os.path.join(tmpdir_fresh, "json")).collect() == many.collect()
     assert spark.read.option("header", True).csv(os.path.join(tmpdir_fresh, "csv")).count() == 1
 
 

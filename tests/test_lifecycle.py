@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from jobsight.operators import lifecycle as L
 from jobsight.operators import queries as Q
 from jobsight.sources import io
-from jobsight.streaming.ingest import apply_batch
+from jobsight.streaming.ingest import apply_batch, read_ledger, read_state
 
 OBS = "url string, company string, title string, location string, job_id string, ts timestamp, seq long, run string"
 
@@ -147,3 +147,63 @@ def test_late_run_rejected(spark, tmpdir_fresh):
     assert apply_batch(spark, obs(spark, [A(url="1", seq=5, run="r2")]), 0, base)
     with pytest.raises(LateRunError):
         apply_batch(spark, obs(spark, [A(url="1", seq=1, run="r1")]), 1, base)
+
+
+def test_failed_pointer_read_is_an_error(spark, tmpdir_fresh, monkeypatch):
+    import pytest
+    base = tmpdir_fresh + "/state"
+    assert apply_batch(spark, obs(spark, [A(url="1", seq=1)]), 0, base)
+    assert apply_batch(spark, obs(spark, [A(url="1", seq=2, run="r2")]), 1, base)
+    real = io.pointers
+
+    def broken(*_):
+        raise OSError("store not reachable")
+
+    monkeypatch.setattr(io, "pointers", broken)
+    with pytest.raises(OSError):
+        apply_batch(spark, obs(spark, [A(url="1", seq=3, run="r3")]), 2, base)
+    monkeypatch.setattr(io, "pointers", real)
+    assert io.latest_pointer(spark, base) == (2, 1)
+    assert read_state(spark, base).collect()[0]["scrape_count"] == 2
+
+
+def test_crash_before_the_pointer_and_replay(spark, tmpdir_fresh, monkeypatch):
+    import pytest
+    base = tmpdir_fresh + "/state"
+    b = obs(spark, [A(url="1", seq=1), A(url="2", seq=2)])
+    real = io._pointer_path
+
+    def crash(_):
+        raise KeyboardInterrupt
+
+    assert apply_batch(spark, obs(spark, [A(url="0", seq=0, run="r0")]), 0, base)
+    calls = []
+    monkeypatch.setattr(io, "_pointer_path", lambda p: crash(p) if len(calls) > 5 else calls.append(1) or real(p))
+    with pytest.raises(KeyboardInterrupt):
+        apply_batch(spark, b, 1, base)  # state and ledger are written, the pointer is not
+    monkeypatch.setattr(io, "_pointer_path", real)
+    assert io.latest_pointer(spark, base) == (1, 0)
+    assert apply_batch(spark, b, 1, base)
+    assert sorted(r["run_id"] for r in read_ledger(spark, base).collect()) == ["r0", "r1"]
+    assert {r["url"]: r["scrape_count"] for r in read_state(spark, base).collect()} == {"0": 1, "1": 1, "2": 1}
+
+
+def test_run_split_over_batches(spark, tmpdir_fresh):
+    rows = [A(url="1", seq=1, run="r1"), A(url="2", seq=2, run="r1"), A(url="1", seq=3, run="r2"),
+            A(url="3", seq=4, run="r2"), A(url="2", seq=5, run="r2"), A(url="3", seq=6, run="r3")]
+    base = tmpdir_fresh + "/state"
+    for k, part in enumerate((rows[:3], rows[3:4], rows[4:])):
+        assert apply_batch(spark, obs(spark, part), k, base)
+    whole = L.upsert(L.empty_state(spark), obs(spark, rows))
+    assert sorted(map(tuple, read_state(spark, base).collect())) == sorted(map(tuple, whole.collect()))
+    ledger = {r["run_id"]: (r["jobs_found"], r["jobs_new"], r["jobs_deactivated"]) for r in read_ledger(spark, base).collect()}
+    assert ledger == {"r1": (2, 2, 0), "r2": (3, 1, 0), "r3": (1, 0, 2)}
+
+
+def test_url_seen_under_another_company(spark):
+    e = L.empty_state(spark)
+    state = L.upsert(e, obs(spark, [A(url="1", seq=1, company="a"), A(url="2", seq=2, company="a")]))
+    moved = L.upsert(state, obs(spark, [A(url="1", seq=3, run="r2", company="b")]))
+    assert {r["url"]: (r["company"], r["is_active"]) for r in moved.collect()} == {"1": ("a", True), "2": ("a", True)}
+    both = L.upsert(state, obs(spark, [A(url="1", seq=3, run="r2", company="b"), A(url="2", seq=4, run="r3", company="a")]))
+    assert {r["url"]: r["is_active"] for r in both.collect()} == {"1": False, "2": True}
