@@ -203,40 +203,24 @@ def attach_descriptions(postings: DataFrame, descriptions: DataFrame) -> DataFra
 
 # ---- regex-level page analysis (JVM) ----------------------------------------------
 
-CLS = r"""class\s*=\s*["'][^"']*"""
-PAT = {
-    "article": r"(?i)<article[\s>/]",
-    "job_class": r"(?i)" + CLS + "job",
-    "job_link": r"""(?i)<a\s[^>]*href\s*=\s*["'][^"']*(JobDetail|FolderDetail)""",
-    "listing_text": r"(?i)" + rules.LISTING_TEXT_PATTERN,
-    "search_class": r"(?i)" + CLS + "(search|filter)",
-    "next_link": r"(?i)<a\s[^>]*" + CLS + "(next|pagination)",
-    "page_href": r"""(?i)<a\s[^>]*href\s*=\s*["'][^"']*page=\d+""",
-    "job_div": r"(?i)<div\s[^>]*" + CLS + "job",
-    "job_li": r"(?i)<li\s[^>]*" + CLS + "job",
-    "pagination": r"(?i)" + CLS + "pag",
-    "ext_script": r"(?i)<script\s[^>]*src\s*=",
-    "rel_script": r"""(?i)<script\s[^>]*src\s*=\s*["'][^"']*(job|search|career|data)""",
-    "data_job": r"(?i)\sdata-job(\s*=|[\s>/])",
-    "job_title_class": r"(?i)" + CLS + "job[^\"']*title",
-    "job_list_class": r"(?i)" + CLS + "(job[^\"']*list|search[^\"']*result)",
-    "ajax": r"(?s)\$.ajax\s*\(\s*\{[^}]+\}",
-    "link": r"(?i)<a[\s>]",
-    "script_body": r"(?is)<script[^>]*>(.*?)</script>",
-    "meta_content": r"""(?i)<meta\s[^>]*content\s*=\s*"([^"]*)\"""",
-    "ld_json": r"""(?is)<script[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>""",
-}
+PAT = rules.PAGE_PATTERNS
+
+
+def markup(html):
+    """The page without comments and script bodies, where tags and attributes are looked for."""
+    bare = F.regexp_replace(html, rules.COMMENT_PATTERN, "")
+    return F.regexp_replace(bare, rules.SCRIPT_BODY_PATTERN, "$1$2")
 
 
 def listing_indicators(pages: DataFrame, status_col: str | None = None) -> DataFrame:
     """The five listing flags and is_listing (status 200 and any flag)."""
-    h = F.col("html")
+    m = markup(F.col("html"))
     flags = {
-        "has_article": h.rlike(PAT["article"]),
-        "has_job_class": h.rlike(PAT["job_class"]),
-        "has_job_link": h.rlike(PAT["job_link"]),
-        "has_listing_text": h.rlike(PAT["listing_text"]),
-        "has_search_class": h.rlike(PAT["search_class"]),
+        "has_article": m.rlike(PAT["article"]),
+        "has_job_class": m.rlike(PAT["job_class"]),
+        "has_job_link": m.rlike(PAT["job_link"]),
+        "has_listing_text": F.col("html").rlike(PAT["listing_text"]),
+        "has_search_class": m.rlike(PAT["search_class"]),
     }
     ok = (F.col(status_col) == 200) if status_col else F.lit(True)
     anyf = flags["has_article"] | flags["has_job_class"] | flags["has_job_link"] | \
@@ -257,11 +241,11 @@ PROFILE_COUNTS = ["article", "job_div", "job_li", "job_link", "pagination", "ext
 
 
 def profile_pages(pages: DataFrame) -> DataFrame:
-    """Element counts of a page (regexp_count of each pattern)."""
-    h = F.col("html")
+    """Element counts of a page (regexp_count of each pattern); calls are counted in scripts, too."""
+    m = markup(F.col("html"))
     return pages.select(*[c for c in pages.columns if c != "html"],
-                        *[F.regexp_count(h, F.lit(PAT[k])).cast("bigint").alias("n_" + k)
-                          for k in PROFILE_COUNTS])
+                        *[F.regexp_count(F.col("html") if k == "ajax" else m, F.lit(PAT[k])).cast("bigint")
+                          .alias("n_" + k) for k in PROFILE_COUNTS])
 
 
 def declared_total(pages: DataFrame) -> DataFrame:
@@ -274,23 +258,20 @@ def declared_total(pages: DataFrame) -> DataFrame:
 
 
 def extract_endpoints(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """Distinct (key, kind, endpoint) found in inline scripts and meta contents."""
+    """Distinct (key, kind, endpoint) found in inline scripts and meta contents; one pass over the pages."""
     h = F.col("html")
-    bodies = F.concat(F.regexp_extract_all(h, F.lit(PAT["script_body"]), 1),
-                      F.regexp_extract_all(h, F.lit(PAT["meta_content"]), 1))
-    blocks = pages.select(key, F.explode(bodies).alias("block"))
-    parts = []
-    for i, pat in enumerate(rules.ENDPOINT_PATTERNS):
-        parts.append(blocks.select(key, F.lit(f"url{i}").alias("kind"),
-                                   F.explode(F.regexp_extract_all("block", F.lit(pat), 0)).alias("endpoint")))
-    scripts = pages.select(key, F.explode(F.regexp_extract_all(h, F.lit(PAT["script_body"]), 1)).alias("block"))
-    for i, pat in enumerate(rules.API_CALL_PATTERNS):
-        parts.append(scripts.select(key, F.lit(f"call{i}").alias("kind"),
-                                    F.explode(F.regexp_extract_all("block", F.lit(pat), 1)).alias("endpoint")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+
+    def found(blocks, pattern, group, kind):
+        hits = F.flatten(F.transform(blocks, lambda b: F.regexp_extract_all(b, F.lit(pattern), group)))
+        return F.transform(hits, lambda e: F.struct(F.lit(kind).alias("kind"), e.alias("endpoint")))
+
+    scripts, blocks = F.col("scripts"), F.concat("scripts", "metas")
+    all_found = F.concat(*[found(blocks, p, 0, f"url{i}") for i, p in enumerate(rules.ENDPOINT_PATTERNS)],
+                         *[found(scripts, p, 1, f"call{i}") for i, p in enumerate(rules.API_CALL_PATTERNS)])
+    parts = pages.select(key, F.regexp_extract_all(h, F.lit(PAT["script_body"]), 1).alias("scripts"),
+                         F.regexp_extract_all(h, F.lit(PAT["meta_content"]), 1).alias("metas"))
+    # array_distinct makes a page's rows distinct without a shuffle: the key is unique
+    return parts.select(key, F.explode(F.array_distinct(all_found)).alias("e")).select(key, "e.kind", "e.endpoint")
 
 
 def extract_json_ld(pages: DataFrame, key: str = "page_id") -> DataFrame:

@@ -27,14 +27,18 @@ def _host_sql(x="url"):
     return f"regexp_extract({x}, {S.lit(HOST_RX)}, 1)"
 
 
+_MARKUP = (f"regexp_replace(regexp_replace(html, {S.lit(rules.COMMENT_PATTERN)}, '', 'g'), "
+           f"{S.lit(rules.SCRIPT_BODY_PATTERN)}, '\\1\\2', 'g')")
+
+
 def _flags_sql():
     p = X.PAT
     return {
-        "has_article": f"regexp_matches(html, {S.lit(p['article'])})",
-        "has_job_class": f"regexp_matches(html, {S.lit(p['job_class'])})",
-        "has_job_link": f"regexp_matches(html, {S.lit(p['job_link'])})",
+        "has_article": f"regexp_matches({_MARKUP}, {S.lit(p['article'])})",
+        "has_job_class": f"regexp_matches({_MARKUP}, {S.lit(p['job_class'])})",
+        "has_job_link": f"regexp_matches({_MARKUP}, {S.lit(p['job_link'])})",
         "has_listing_text": f"regexp_matches(html, {S.lit(p['listing_text'])})",
-        "has_search_class": f"regexp_matches(html, {S.lit(p['search_class'])})",
+        "has_search_class": f"regexp_matches({_MARKUP}, {S.lit(p['search_class'])})",
     }
 
 
@@ -113,7 +117,8 @@ def has_next_page(spark, sf_dir):
 
 
 @register("page_profile", "SELECT page_id, url, " + ", ".join(
-    f"CAST(len(regexp_extract_all(html, {S.lit(X.PAT[k])})) AS BIGINT) AS n_{k}" for k in X.PROFILE_COUNTS)
+    f"CAST(len(regexp_extract_all({'html' if k == 'ajax' else _MARKUP}, {S.lit(X.PAT[k])})) AS BIGINT) AS n_{k}"
+    for k in X.PROFILE_COUNTS)
     + " FROM pages")
 def page_profile(spark, sf_dir):
     return X.profile_pages(_pages(spark, sf_dir))
@@ -154,11 +159,9 @@ def json_ld_blocks(spark, sf_dir):
 
 
 def _candidates(spark, sf_dir):
-    p = _pages(spark, sf_dir)
-    flags = X.listing_indicators(p).select("page_id", "is_listing")
-    cand = p.select("page_id", X.site_of(F.col("url")).alias("site"),
-                    F.regexp_extract("url", SEG_RX, 1).alias("pattern"))
-    return cand.join(flags, "page_id")
+    p = _pages(spark, sf_dir).withColumns({"site": X.site_of(F.col("url")),
+                                           "pattern": F.regexp_extract("url", SEG_RX, 1)})
+    return X.listing_indicators(p).select("page_id", "site", "pattern", "is_listing")
 
 
 _CAND_SQL = (f", cand AS (SELECT regexp_extract(url, {S.lit(SCHEME_RX)}, 1) || '://' || {_host_sql()} AS site, "

@@ -167,3 +167,34 @@ def seniority_by_length():
 def regex_escape(word: str) -> str:
     """Escape a literal word for Java and RE2 patterns alike."""
     return "".join(ch if ch.isalnum() or ch == " " else "\\" + ch for ch in word)
+
+
+# ---- fixed values: patterns of page markup (element, class and attribute names must match) ----
+
+CLS = r"""class\s*=\s*(?:["'][^"']*|[^\s"'>]*)"""
+PAGE_PATTERNS = {
+    "article": r"(?i)<article[\s>/]",
+    "job_class": r"(?i)" + CLS + "job",
+    "job_link": r"""(?i)<a\s[^>]*href\s*=\s*["'][^"']*(JobDetail|FolderDetail)""",
+    "listing_text": r"(?i)" + LISTING_TEXT_PATTERN,
+    "search_class": r"(?i)" + CLS + "(search|filter)",
+    "next_link": r"(?i)<a\s[^>]*" + CLS + "(next|pagination)",
+    "page_href": r"""(?i)<a\s[^>]*href\s*=\s*["'][^"']*page=\d+""",
+    "job_div": r"(?i)<div\s[^>]*" + CLS + "job",
+    "job_li": r"(?i)<li\s[^>]*" + CLS + "job",
+    "pagination": r"(?i)" + CLS + "pag",
+    "ext_script": r"(?i)<script\s[^>]*src\s*=",
+    "rel_script": r"""(?i)<script\s[^>]*src\s*=\s*["'][^"']*(job|search|career|data)""",
+    "data_job": r"(?i)\sdata-job(\s*=|[\s>/])",
+    "job_title_class": r"(?i)" + CLS + "job[^\"']*title",
+    "job_list_class": r"(?i)" + CLS + "(job[^\"']*list|search[^\"']*result)",
+    "ajax": r"(?s)\$.ajax\s*\(\s*\{[^}]+\}",
+    "link": r"(?i)<a[\s>]",
+    "script_body": r"(?is)<script[^>]*>(.*?)</script>",
+    "meta_content": r"""(?i)<meta\s[^>]*content\s*=\s*"([^"]*)\"""",
+    "ld_json": r"""(?is)<script[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>""",
+}
+
+#: parts of a page that are no markup: comments, and what stands inside a script element
+COMMENT_PATTERN = r"(?s)<!--.*?-->"
+SCRIPT_BODY_PATTERN = r"(?is)(<script[^>]*>).*?(</script>)"
