@@ -34,12 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobsight.llm.components import components, salted_join
-from jobsight.llm.tables import written
+from jobsight.llm.tables import arrow_rows, written
 from jobsight.llm.words import SPACED, Block, mix, shingles, word_blocks
 
 BUCKETS = 128
 ROWS = 4
 MANTISSA = 8
+BATCH_ROWS = 1000
 CENTRE_ROUNDS = 4
 #: centres of a bucket in the rounds after the first
 CENTRES = 6
@@ -254,7 +255,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: int = 80
     if not 80 <= threshold <= 100:
         raise ValueError("threshold must be from 80 to 100")
     distance = 1 - threshold / 100
-    rows = written(signatures(docs, shingle_words, id_col, text_col))
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        rows = written(signatures(docs, shingle_words, id_col, text_col))
     # one document per id; equal sets are one class
     found = written(rows.where(F.col("id").isNotNull()).groupBy("id")
              .agg(F.min(F.struct("n", "a", "b", "registers")).alias("s")).select("id", "s.*"))
@@ -268,7 +270,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: int = 80
     members = written(salted_join(bands, shared, "band", "node"))
     scores = members.groupBy("node").agg(F.sum("n").alias("score")).join(
         classes.select("node", "a", "b").hint("merge"), "node")
-    sets = written(_sets(docs, scores.select("node", "a", "b"), shingle_words, id_col, text_col))
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        sets = written(_sets(docs, scores.select("node", "a", "b"), shingle_words, id_col, text_col))
 
     # first centre of a bucket: the member whose buckets are the fullest, as an original among its copies
     order = F.struct(F.col("score"), F.xxhash64("node"))

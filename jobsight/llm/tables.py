@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from jobsight.session import checkpoint_dir
 
@@ -13,8 +14,21 @@ def written(df: DataFrame) -> DataFrame:
     """``df``, written as Parquet to the folder of spark.checkpoint.dir and read again.
 
     Cuts the lineage as checkpoint() does, and also drops what the optimizer knows of the rows: a checkpoint keeps
-    the constraints of its plan, which loops of joins pile up until planning takes minutes.
+    the constraints of its plan, which loops of joins pile up until planning takes minutes. Not compressed: hashes
+    do not shrink, and the codecs' direct buffers stay until a full collection.
     """
     path = f"{checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "none").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, n: int):
+    """Arrow batches of ``n`` rows for what is written inside: 10,000 long texts at once are hundreds of MB."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, n)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
