@@ -240,7 +240,8 @@ def _tile_links(known: DataFrame, threshold: int) -> DataFrame:
             common += sides[0] @ sides[1].T
         union = n[out][:, None] + n[~out][None, :] - common
         i, j = np.nonzero((100 * common >= threshold * union) & (label[out][:, None] != label[~out][None, :]))
-        return pa.table({"u": node[out][i], "v": node[~out][j]})
+        kept = tile.schema.field("node").type
+        return pa.table({"u": pa.array(node[out][i], kept), "v": pa.array(node[~out][j], kept)})
 
     kind = known.select("node").schema[0].dataType.simpleString()
     return x.union(y).groupBy("centre", "xb", "yb").applyInArrow(compare, f"u {kind}, v {kind}")
