@@ -28,6 +28,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from jobsight.session import checkpoint_dir
+
 STATE_COLS = ["url", "company", "title", "location", "job_id", "first_seen",
               "last_seen", "scrape_count", "is_active"]
 
@@ -287,9 +289,15 @@ def smart_stop(listing: DataFrame, active: DataFrame, n: int = 5, max_pages: int
 
 
 def ingest(jobs: DataFrame, batch: DataFrame):
-    """One batch (one or more runs) -> (new_state, actions, deactivated, site_stats, ledger)."""
-    actions = classify_changes(jobs, batch)
-    gone = deactivations(jobs, batch)
+    """One batch (one or more runs) -> (new_state, actions, deactivated, site_stats, ledger).
+
+    The batch is read once; actions and deactivations are cut with checkpoint(), as the counters, the ledger and
+    the report all read them.
+    """
+    checkpoint_dir(batch.sparkSession)
+    batch = batch.checkpoint()
+    actions = classify_changes(jobs, batch).checkpoint()
+    gone = deactivations(jobs, batch).checkpoint()
     state = upsert(jobs, batch)
     stats = site_stats(actions, gone)
     ledger = run_ledger(run_totals(stats), batch)
