@@ -41,9 +41,9 @@ BUCKETS = 128
 ROWS = 4
 MANTISSA = 8
 BATCH_ROWS = 1000
-CENTRE_ROUNDS = 4
+CENTRE_ROUNDS = 2
 #: centres of a bucket in the rounds after the first
-CENTRES = 6
+CENTRES = 4
 #: stands for a similarity under 2 * threshold - 1 that was not measured
 FAR = -1.0
 #: the last comparisons take sets of at most SMALL_SET shingles in tiles of TILE times TILE documents
