@@ -1,14 +1,17 @@
 """Main text of HTML pages by line-block distribution.
 
 The markup is stripped to one line of text per block. Elements that never hold the article give no lines: scripts,
-styles, menus, forms, page headers and footers, sidebars, and elements whose class, id or role names an advert, a
-notice, a menu, a sidebar or reader comments. A line's weight is its length; lines outside <article> or <main>, where
+styles, menus, forms, page headers and footers, sidebars, and elements with a whole class, id or role that names an
+advert, a notice, a menu, a sidebar or reader comments. A form, a page header or an element hidden by such a name other
+than that of comments is kept if it holds more than half of the page's text outside links; headings are always kept,
+and ids count on plain containers only, as elsewhere they mark places in the text. A line's weight is its length; lines outside <article> or <main>, where
 the page has one with text, and lines that are mostly links weigh nothing. Weights are summed over sliding windows
 of WINDOW lines. Where the sum rises to the level of body text is a surge, where it falls below it a dive; of the
 stretches between a surge and its dive the heaviest is the article, and all its text is kept, short lines included.
 
-Rules for damaged markup: an element of the kinds above that is never closed hides nothing; end tags without a start
-are ignored; a text without markup is one line. Each page is handled alone, in one pass over its characters, so
+Rules for damaged markup: an element of the kinds above that is never closed hides nothing, but p, li, dt, dd, option
+and the parts of tables end at the next sibling or with their parent, as HTML has it; a link that is never closed is
+none; end tags without a start are ignored; a text without markup is one line. Each page is handled alone, in one pass over its characters, so
 nothing is shuffled and a task holds one Arrow batch.
 
 Edge cases: a null or empty page gives an empty text; repeated rows are treated one by one; other columns are left
@@ -39,29 +42,60 @@ _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "da
            "ins", "kbd", "label", "mark", "q", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup",
            "time", "tt", "u", "var", "wbr", "img"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-_NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|newsletter|subscribe"
-    r"|popup|modal|sidebar|side|menu|nav|navigation|navbar|breadcrumbs?|footer|header|masthead|comments?|commentlist"
-    r"|disqus|replies|related|share|sharing|social|toolbar|search|login|contentinfo|complementary)(?=$|[\s_-])", re.I)
+#: a class, id or role is matched as a whole, with these parts and nothing else
+_NOISE = (r"(?:ads?|advert[^\W_]*|sponsor[^\W_]*|promo[^\W_]*|banner|cookies?|consent|gdpr|notices?|newsletter|subscribe|popup|modal"
+          r"|sidebar|side|menu|nav|navigation|navbar|breadcrumbs?|footer|masthead|related|share|sharing|social|toolbar"
+          r"|search|login|contentinfo|complementary)")
+_FILLER = (r"(?:site|page|main|global|top|bottom|left|right|primary|secondary|list|links?|buttons?|bar|box|block|wrap"
+           r"|wrapper|container|inner|outer|area|widgets?|items?|group|posts|articles|stories|signup|form|icons?|tools?"
+           r"|overlay|unit|slot|google|media|this|\d[^\W_]*)")
+_NAMED = re.compile(rf"(?:{_FILLER}[_-]+)*{_NOISE}(?:[_-]+(?:{_NOISE}|{_FILLER}))*", re.I)
+_HEADER = re.compile(r"(?:(?:site|global|top)[_-]+)?header", re.I)
+_COMMENTS = re.compile(r"(?:(?:user|reader|post|article)[_-]+)?comments?(?:[_-]+(?:list|section|area|body|box|form|wrapper"
+                       r"|container|thread|\d+))*|commentlist|disqus(?:[_-]+thread)?|replies", re.I)
+#: the id of another element is the mark of a link to a place in the text
+_ID_NAMES = {"div", "ul", "ol", "dl", "table", "center"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
+#: end tags that may be left out: the element ends at the next sibling's start or at its parent's end
+_OPTIONAL = {"p", "li", "dt", "dd", "tr", "td", "th", "tbody", "thead", "tfoot", "option", "optgroup"}
+_ENDS_P = {"address", "article", "aside", "blockquote", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset",
+           "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "li",
+           "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
+_ROWS = {"tbody", "thead", "tfoot"}
+_SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr"},
+             **{t: _ROWS | {"tr"} for t in _ROWS}, "option": {"option"}, "optgroup": {"option", "optgroup"}}
+_CELLS = {"table", "td", "th"}
+_PARENTS = {"article", "aside", "blockquote", "dl", "fieldset", "footer", "form", "main", "menu", "nav", "ol", "section",
+            "ul"} | _CELLS
 _OPAQUE_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in _OPAQUE}
 
 
-def _hides(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in _HIDDEN or (tag == "header" and not in_article):
-        return True
-    if tag in ("html", "body", "article", "main") and not re.search(r"comment", attributes, re.I):
-        return False
-    return any(_NAMED.search(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes))
+def _hides(tag: str, attributes: str, in_article: bool) -> int:
+    """0: not hidden; 1: hidden unless the element holds most of the page's text; 2: hidden."""
+    if tag in _HIDDEN:
+        return 1 if tag == "form" else 2
+    if tag in _HEADINGS or tag in ("html", "body"):
+        return 0
+    own = 1 if tag == "header" and not in_article else 0
+    for m in _ATTRIBUTE.finditer(attributes):
+        for name in (m[2] or m[3] or m[4] or "").split():
+            if tag not in _INLINE and _COMMENTS.fullmatch(name):
+                return 2
+            if tag in ("article", "main") or (m[1].lower() == "id" and tag not in _ID_NAMES):
+                continue
+            if _NAMED.fullmatch(name) or (not in_article and _HEADER.fullmatch(name)):
+                own = 1
+    return own
 
 
-def text_lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters of it in links, inside <article> or <main>) of each block that is not hidden."""
+def _tokens(page: str) -> list[tuple[str, str, str]]:
+    """Start tags as (<, tag, attributes), end tags as (/, tag, ..) and the texts between them."""
     tokens, at = [], 0
-    while True:  # start and end tags, and the texts between them
+    while True:
         m = _TOKEN.search(page, at)
         if m is None:
             tokens.append(("", page[at:], ""))
-            break
+            return tokens
         if m.start() > at:
             tokens.append(("", page[at:m.start()], ""))
         at = m.end()
@@ -71,15 +105,80 @@ def text_lines(page: str) -> list[tuple[str, int, bool]]:
             if not m[1] and tag in _OPAQUE_END and not m[3].rstrip().endswith("/"):
                 end = _OPAQUE_END[tag].search(page, at)
                 at = end.end() if end else len(page) if tag in ("script", "style") else at
-    ends: dict[str, int] = {}
-    for kind, tag, _ in tokens:
-        if kind == "/":
-            ends[tag] = ends.get(tag, 0) + 1
-    later = sum(1 for kind, tag, _ in tokens if kind == "<" and tag in ("article", "main"))
+
+
+def _ends(tokens: list) -> list[int]:
+    """For each start tag the token at which its element ends, 0 where it is never closed."""
+    ends = [0] * len(tokens)
+    stack: list[tuple[str, int]] = []
+    opened: dict[str, int] = {}
+
+    def pop(k: int, at: int):  # the k-th open element and those in it end before token ``at``
+        for tag, i in stack[k:]:
+            opened[tag] -= 1
+            if tag in _OPTIONAL:
+                ends[i] = at
+        del stack[k:]
+
+    def innermost(tags, stops) -> int:
+        if any(opened.get(t) for t in tags):
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] in tags:
+                    return k
+                if stops is None and stack[k][0] not in _INLINE or stops and stack[k][0] in stops:
+                    break
+        return -1
+
+    for i, (kind, tag, _) in enumerate(tokens):
+        if kind == "<":
+            if tag in _ENDS_P and (k := innermost(("p",), None)) >= 0:
+                pop(k, i)
+            if tag in _SIBLINGS:
+                stops = _PARENTS if tag in ("li", "dt", "dd") else {"table", "select"}
+                while (k := innermost(_SIBLINGS[tag], stops)) >= 0:
+                    pop(k, i)
+            if tag not in _VOID and tag not in _OPAQUE_END:
+                stack.append((tag, i))
+                opened[tag] = opened.get(tag, 0) + 1
+        elif kind == "/" and tag not in ("html", "body"):
+            stops = (None if tag in _INLINE else {"table"} if tag in _SIBLINGS and tag not in ("li", "dt", "dd")
+                     else _CELLS | {"ul", "ol", "menu"} if tag == "li" else _CELLS)
+            k = innermost((tag,), stops)
+            if k >= 0:
+                start = stack[k][1]
+                pop(k, i)
+                ends[start] = i
+    pop(0, len(tokens))
+    return ends
+
+
+def text_lines(page: str) -> list[tuple[str, int, bool]]:
+    """(text, characters of it in links, inside <article> or <main>) of each block that is not hidden."""
+    tokens = _tokens(page)
+    ends = _ends(tokens)
+    articles = [0]  # starts of <article> and <main>, those of comments aside, before each token
+    for kind, tag, rest in tokens:
+        articles.append(articles[-1] + (kind == "<" and tag in ("article", "main") and not _hides(tag, rest, True)))
+
+    # what each start tag's name says, and the characters before each token that are in no link and not surely hidden
+    kinds, plain = [0] * len(tokens), [0]
+    article = until = linked_until = 0
+    for i, (kind, tag, rest) in enumerate(tokens):
+        if kind == "<" and i >= until:
+            if ends[i] and (article or articles[ends[i]] == articles[i + 1]):
+                kinds[i] = _hides(tag, rest, article > 0)
+            if kinds[i] == 2:
+                until = ends[i] + (ends[i] < len(tokens) and tokens[ends[i]][:2] == ("/", tag))
+            elif tag == "a":
+                linked_until = ends[i]
+        if kind and i >= until and tag in ("article", "main"):
+            article = max(0, article + (1 if kind == "<" else -1))
+        counted = not kind and i >= until and i >= linked_until
+        plain.append(plain[-1] + (len(tag.strip()) if counted else 0))
+
     lines: list[tuple[str, int, bool]] = []
     parts: list[str] = []
-    links = article = link = 0
-    hidden, depth = "", 0  # the hiding element's tag, and how many of that tag are open in it
+    links = article = until = linked_until = 0
 
     def close():
         nonlocal links
@@ -90,49 +189,26 @@ def text_lines(page: str) -> list[tuple[str, int, bool]]:
         links = 0
 
     for i, (kind, tag, rest) in enumerate(tokens):
-        if kind == "/":
-            ends[tag] -= 1
-        elif kind == "<" and tag in ("article", "main"):
-            later -= 1
-        if hidden:
-            if tag == hidden and kind == "<":
-                depth += 1
-            elif tag == hidden and kind == "/":
-                depth -= 1
-                if not depth:
-                    hidden = ""
+        if i < until:
             continue
         if not kind:
             parts.append(tag)
-            links += len(tag) if link else 0
+            links += len(tag) if i < linked_until else 0
             continue
         if tag not in _INLINE:
             close()
-        if kind == "<" and tag not in _VOID and ends.get(tag) and _hides(tag, rest, article > 0):
-            if not (later and not article and _contains_article(tokens, i)):
-                hidden, depth = tag, 1
-                continue
-        if tag == "a":
-            link = kind == "<"
+        if kind == "<" and kinds[i] and (kinds[i] == 2 or 2 * (plain[ends[i]] - plain[i]) <= plain[-1]):
+            # an end tag of its own belongs to the hidden element, a sibling's start does not
+            until = ends[i] + (ends[i] < len(tokens) and tokens[ends[i]][:2] == ("/", tag))
+            continue
+        if tag == "a" and kind == "<":
+            linked_until = ends[i]
         elif tag in ("article", "main"):
             article = max(0, article + (1 if kind == "<" else -1))
     close()
     return lines
 
 
-def _contains_article(tokens: list, i: int) -> bool:
-    """Whether the element that token i opens holds an <article> or <main>."""
-    tag, depth = tokens[i][1], 0
-    for kind, name, _ in tokens[i:]:
-        if name == tag and kind:
-            depth += 1 if kind == "<" else -1
-            if not depth:
-                return False
-        elif kind == "<" and name in ("article", "main"):
-            return True
-    return True
-
-
 def stretches(weights: list[int], level: int) -> list[tuple[int, int]]:
     """[surge, dive) of the windows whose sum reaches ``level``, without weightless lines at either end."""
     sums = [sum(weights[i:i + WINDOW]) for i in range(len(weights))]

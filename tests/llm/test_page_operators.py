@@ -46,6 +46,37 @@ def test_damaged_pages(page, text):
     assert html_extract.extract(page) == text
 
 
+BODY = "<p>" + "long text here " * 20 + "</p><p>" + "more words go " * 15 + "</p>"
+BODY_TEXT = ("long text here " * 20 + "more words go " * 15).strip()
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<div class='wrap sidebar-right'>" + BODY + "</div>", BODY_TEXT),
+    ("<div id=page class='has-sidebar'>" + BODY + "<div class='sidebar'>about us</div></div>", BODY_TEXT),
+    ("<form action=x>" + BODY + "<form>mail me</form></form>", BODY_TEXT),
+    ("<div class='has-sidebar'>" + BODY + "<div id=comments>" + "<p>" + "nice " * 300 + "</p></div></div>", BODY_TEXT),
+    (f"<article><h2 id='related-work'>Related work</h2>{BODY}</article>", "Related work " + BODY_TEXT),
+    (f"<article>{BODY}<section id='social-impact'><p>Impact</p></section></article>", BODY_TEXT + " Impact"),
+    (f"<article>{BODY}<section id='search'><p>Search</p></section></article>", BODY_TEXT + " Search"),
+    (f"<article><div class='entry-header'><h1>Head</h1></div>{BODY}</article>", "Head " + BODY_TEXT),
+    (f"<article>{BODY}<div class='side-by-side'>both</div></article>", BODY_TEXT + " both"),
+    (f"<article>{BODY}<div class='share-buttons'>Tweet</div><div id=related_posts>x</div></article>", BODY_TEXT),
+    (f"<article>{BODY}</article><div id=comments><article class='comment-body'>{BODY}</article></div>", BODY_TEXT),
+    ("<article><p class='ad'>Buy<p>one</p><p>two</p></article>", "one two"),
+    ("<article><ul><li class='share'>Tweet<li>one<ul><li>in</li></ul></li><li>two</li></ul></article>", "one in two"),
+    ("<article><table><tr><td class=ad>Buy<td>one<tr><td>two</table>end</article>", "one two end"),
+    ("<article><div><p class='ad'>Buy</div>one</article>", "one"),
+    ("<a name=top>" + BODY, BODY_TEXT)])
+def test_hiding_leaves_the_main_text(page, text):
+    assert html_extract.extract(page) == text
+
+
+def test_hiding_by_long_names_ends():
+    name = "ad_" + "1_" * 5000 + "x!"
+    assert html_extract.extract(f"<div class='{name}'>" + BODY + "</div>") == BODY_TEXT
+    assert html_extract.extract("<b>" * 50_000 + "<p>x" * 1000) == " ".join("x" * 1000)
+
+
 def test_html_query(spark):
     rows = [(1, "u", PAGE, 5), (1, "u", PAGE, 5), (2, None, None, 5), (None, "v", "<p>" + "wört " * 50_000, 5)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
