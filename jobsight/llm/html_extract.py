@@ -4,10 +4,14 @@ The markup is stripped to one line of text per block. Elements that never hold t
 styles, menus, forms, page headers and footers, sidebars, and elements with a whole class, id or role that names an
 advert, a notice, a menu, a sidebar or reader comments. A form, a page header or an element hidden by such a name other
 than that of comments is kept if it holds more than half of the page's text outside links; headings are always kept,
-and ids count on plain containers only, as elsewhere they mark places in the text. A line's weight is its length; lines outside <article> or <main>, where
-the page has one with text, and lines that are mostly links weigh nothing. Weights are summed over sliding windows
-of WINDOW lines. Where the sum rises to the level of body text is a surge, where it falls below it a dive; of the
-stretches between a surge and its dive the heaviest is the article, and all its text is kept, short lines included.
+and ids count on plain containers only, as elsewhere they mark places in the text. Where <article> and <main> hold
+at least half of the text, they are the article, with every line in them. On other pages a line's weight is its length;
+lines that are mostly links weigh nothing. Weights are summed over sliding windows of WINDOW lines. Where the sum rises
+to the level of body text is a surge, where it falls below it a dive. These give the outer bounds only: a dive and the
+next surge are joined where no line between them is mostly links, or where both sides lie in the same container (the
+innermost element with more than half of a side's text), and of the joined stretches the heaviest is the article. It
+goes on over the lines before and after it in its container, up to one that is mostly links, and every line within
+these bounds is kept, short lines and links included.
 
 Rules for damaged markup: an element of the kinds above that is never closed hides nothing, but p, li, dt, dd, option
 and the parts of tables end at the next sibling or with their parent, as HTML has it; a link that is never closed is
@@ -20,6 +24,7 @@ out by ``main_text``.
 
 from __future__ import annotations
 
+import heapq
 import html
 import re
 
@@ -30,6 +35,8 @@ from pyspark.sql import functions as F
 WINDOW = 3
 #: a window of body text holds at least this many characters, or a quarter of the page's heaviest window
 BODY = 120
+#: containers nested deeper than this count as part of the last one
+DEPTH = 256
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -65,6 +72,8 @@ _ROWS = {"tbody", "thead", "tfoot"}
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr"},
              **{t: _ROWS | {"tr"} for t in _ROWS}, "option": {"option"}, "optgroup": {"option", "optgroup"}}
 _CELLS = {"table", "td", "th"}
+_CONTAINERS = {"article", "blockquote", "center", "details", "div", "dl", "fieldset", "figure", "form", "main", "ol",
+               "section", "table", "tbody", "td", "th", "tr", "ul"}
 _PARENTS = {"article", "aside", "blockquote", "dl", "fieldset", "footer", "form", "main", "menu", "nav", "ol", "section",
             "ul"} | _CELLS
 _OPAQUE_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in _OPAQUE}
@@ -152,8 +161,9 @@ def _ends(tokens: list) -> list[int]:
     return ends
 
 
-def text_lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters of it in links, inside <article> or <main>) of each block that is not hidden."""
+def text_lines(page: str) -> tuple[list[tuple[str, int, bool, int]], list[int]]:
+    """(text, characters of it in links, inside <article> or <main>, container) of each block that is not hidden, and
+    the parent of each container; container 0 is the page."""
     tokens = _tokens(page)
     ends = _ends(tokens)
     articles = [0]  # starts of <article> and <main>, those of comments aside, before each token
@@ -176,7 +186,8 @@ def text_lines(page: str) -> list[tuple[str, int, bool]]:
         counted = not kind and i >= until and i >= linked_until
         plain.append(plain[-1] + (len(tag.strip()) if counted else 0))
 
-    lines: list[tuple[str, int, bool]] = []
+    lines: list[tuple[str, int, bool, int]] = []
+    parents, within = [0], [(0, len(tokens) + 1)]  # open containers, and where they end
     parts: list[str] = []
     links = article = until = linked_until = 0
 
@@ -184,7 +195,7 @@ def text_lines(page: str) -> list[tuple[str, int, bool]]:
         nonlocal links
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
-            lines.append((text, links, article > 0))
+            lines.append((text, links, article > 0, within[-1][0]))
         parts.clear()
         links = 0
 
@@ -197,16 +208,21 @@ def text_lines(page: str) -> list[tuple[str, int, bool]]:
             continue
         if tag not in _INLINE:
             close()
+        while within[-1][1] <= i:
+            within.pop()
         if kind == "<" and kinds[i] and (kinds[i] == 2 or 2 * (plain[ends[i]] - plain[i]) <= plain[-1]):
             # an end tag of its own belongs to the hidden element, a sibling's start does not
             until = ends[i] + (ends[i] < len(tokens) and tokens[ends[i]][:2] == ("/", tag))
             continue
+        if kind == "<" and tag in _CONTAINERS and ends[i] and len(within) < DEPTH:
+            parents.append(within[-1][0])
+            within.append((len(parents) - 1, ends[i]))
         if tag == "a" and kind == "<":
             linked_until = ends[i]
         elif tag in ("article", "main"):
             article = max(0, article + (1 if kind == "<" else -1))
     close()
-    return lines
+    return lines, parents
 
 
 def stretches(weights: list[int], level: int) -> list[tuple[int, int]]:
@@ -230,17 +246,80 @@ def stretches(weights: list[int], level: int) -> list[tuple[int, int]]:
     return out
 
 
+def _container(weights: list[int], own: list[int], parents: list[int]) -> int:
+    """The innermost container that holds more than half of the weight."""
+    held = dict.fromkeys(own, 0)
+    for w, c in zip(weights, own):
+        held[c] += w
+    total = sum(weights)
+    left = [-c for c in held]
+    heapq.heapify(left)
+    while left:  # a container's parent has a lesser number
+        c = -heapq.heappop(left)
+        if not c or 2 * held[c] > total:
+            return c
+        if parents[c] not in held:
+            held[parents[c]] = 0
+            heapq.heappush(left, -parents[c])
+        held[parents[c]] += held[c]
+    return 0
+
+
+def _holds(outer: int, inner: int, parents: list[int]) -> bool:
+    while inner > outer:
+        inner = parents[inner]
+    return inner == outer
+
+
+def body_bounds(weights: list[int], own: list[int], parents: list[int]) -> tuple[int, int]:
+    """[first, end) line of the main text, by the lines' weights and containers."""
+    heaviest = max(sum(weights[i:i + WINDOW]) for i in range(len(weights)))
+    count = [0] * len(parents)  # lines in each container; one that holds a single line is no container
+    for c in own:
+        count[c] += 1
+    for c in range(len(parents) - 1, 0, -1):
+        count[parents[c]] += count[c]
+    inner = list(range(len(parents)))
+    for c in range(1, len(parents)):
+        if count[c] < 2:
+            inner[c] = inner[parents[c]]
+    own = [inner[c] for c in own]
+    plain: list[tuple[int, int]] = []  # joined where no line between is mostly links
+    for a, b in stretches(weights, min(BODY, heaviest // 4 + 1)):
+        if plain and all(weights[plain[-1][1]:a]):
+            plain[-1] = plain[-1][0], b
+        else:
+            plain.append((a, b))
+    joined: list[tuple[int, int, int]] = []
+    for a, b in plain:
+        c = _container(weights[a:b], own[a:b], parents)
+        if joined:
+            first, _, other = joined[-1]
+            outer, inside = min(c, other), max(c, other)
+            if c == other or outer and _holds(outer, inside, parents):
+                joined[-1] = first, b, outer
+                continue
+        joined.append((a, b, c))
+    a, b, _ = max(joined, key=lambda s: (sum(weights[s[0]:s[1]]), -s[0]))
+    c = _container(weights[a:b], own[a:b], parents)
+    while a and weights[a - 1] and _holds(c, own[a - 1], parents):
+        a -= 1
+    while b < len(weights) and weights[b] and _holds(c, own[b], parents):
+        b += 1
+    return a, b
+
+
 def extract(page: str | None) -> str:
     """The main text of one page."""
-    lines = text_lines(page or "")
-    marked = any(inside for _, _, inside in lines)
-    weights = [len(t) if (inside if marked else 2 * linked <= len(t)) else 0 for t, linked, inside in lines]
+    lines, parents = text_lines(page or "")
+    weights = [len(t) if 2 * linked <= len(t) else 0 for t, linked, _, _ in lines]
+    marked = [t for t, _, inside, _ in lines if inside]
+    if marked and 2 * sum(w for w, line in zip(weights, lines) if line[2]) >= sum(weights):
+        return " ".join(marked)
     if not any(weights):
         return ""
-    heaviest = max(sum(weights[i:i + WINDOW]) for i in range(len(weights)))
-    found = stretches(weights, 1 if marked else min(BODY, heaviest // 4 + 1))
-    a, b = max(found, key=lambda s: (sum(weights[s[0]:s[1]]), -s[0]))
-    return " ".join(t for (t, _, _), w in zip(lines[a:b], weights[a:b]) if w)
+    a, b = body_bounds(weights, [line[3] for line in lines], parents)
+    return " ".join(line[0] for line in lines[a:b])
 
 
 def main_text(pages: DataFrame, id_cols: tuple[str, ...] = ("page_id", "url"), html_col: str = "html") -> DataFrame:

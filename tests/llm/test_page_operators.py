@@ -71,12 +71,51 @@ def test_hiding_leaves_the_main_text(page, text):
     assert html_extract.extract(page) == text
 
 
+def _block(*texts, tag="p"):
+    return "".join(f"<{tag}>{t}</{tag}>" for t in texts)
+
+
+LONG = [("w%d " % i * 133).strip() for i in range(4)]  # four paragraphs of about 400 characters
+ITEMS = ["list item number %d" % i for i in range(4)]
+LINKS = "<ul>" + "".join(f"<li><a href={i}>see also this page {i}</a></li>" for i in range(5)) + "</ul>"
+LINK_TEXT = " ".join(f"see also this page {i}" for i in range(5))
+
+
+@pytest.mark.parametrize("page, text", [
+    (_block(*LONG[:2]) + "<ul>" + _block(*ITEMS, tag="li") + "</ul>" + _block(*LONG[2:]),
+     " ".join(LONG[:2] + ITEMS + LONG[2:])),
+    (_block(*LONG[:2]) + _block(*["- Yes?", "- No."] * 20) + _block(*LONG[2:]),
+     " ".join(LONG[:2] + ["- Yes?", "- No."] * 20 + LONG[2:])),
+    (_block(LONG[0]) + "<p><a href=x>one link alone</a></p>" + _block(LONG[1]),
+     LONG[0] + " one link alone " + LONG[1]),
+    ("<section>" + _block(*LONG[:2], *ITEMS) + "</section><section>" + _block(*LONG[2:]) + "</section>",
+     " ".join(LONG[:2] + ITEMS + LONG[2:])),
+    ("<div>" + _block(*LONG[:2]) + LINKS + _block(*LONG[2:]) + "</div>", " ".join(LONG[:2] + [LINK_TEXT] + LONG[2:])),
+    ("<div><div>" + _block(LONG[0]) + "</div>" + LINKS + "<div>" + _block(LONG[1]) + "</div></div>",
+     " ".join([LONG[0], LINK_TEXT, LONG[1]])),
+    ("<div>" + _block("Head", "by me", "today", "in town") + _block(*LONG) + _block(*ITEMS, tag="li") + "</div>"
+     + "<div>Copyright</div>", " ".join(["Head", "by me", "today", "in town"] + LONG + ITEMS)),
+    ("<article>Teaser</article>" + _block(*LONG), " ".join(["Teaser"] + LONG)),
+    (_block(*LONG) + "<div>" + LINKS + "<article>Teaser</article></div>", " ".join(LONG)),
+    ("<article>" + _block(*LONG[:2]) + "</article>" + LINKS + "<article>" + _block(*LONG[2:]) + "</article>",
+     " ".join(LONG)),
+    ("<div>" + _block(*LONG) + "</div><div>" + LINKS + "</div><div>" + _block("terms " * 30) + "</div>",
+     " ".join(LONG))])
+def test_unmarked_pages_are_kept_whole(page, text):
+    assert html_extract.extract(page) == text
+
+
 def test_hiding_by_long_names_ends():
     name = "ad_" + "1_" * 5000 + "x!"
     assert html_extract.extract(f"<div class='{name}'>" + BODY + "</div>") == BODY_TEXT
     assert html_extract.extract("<b>" * 50_000 + "<p>x" * 1000) == " ".join("x" * 1000)
 
 
+def test_large_pages_of_many_stretches():
+    page = ("<div>" * 3 + "<p>" + "x" * 200 + "</p>" + LINKS + "</div>" * 3) * 2000
+    assert html_extract.extract("<div>" * 20_000 + page + "</div>" * 20_000).count("x" * 200) == 2000
+
+
 def test_html_query(spark):
     rows = [(1, "u", PAGE, 5), (1, "u", PAGE, 5), (2, None, None, 5), (None, "v", "<p>" + "wört " * 50_000, 5)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
