@@ -6,7 +6,13 @@ and a document that share GRAM + WINNOW - 1 words in a row share a fingerprint.
 inverted index, fingerprint -> (template, position). A document's hits name candidate templates and, by the difference
 of positions, places. Hits of a template whose places lie within BAND words belong together, and each such place is
 aligned once: word by word, match 1, mismatch and gap -1, in a band of BAND words around the diagonal, with the
-document's ends free. The alignment gives coverage (matched words / words of the template) and the span.
+document's ends free. The alignment gives coverage (matched words / words of the template) and the span. A place where
+too few of the template's words occur in the band at all is left out before. Templates of at most NOTICE words must be
+found with all their deciding words (names, NC/SA/ND, versions), and with none that make another license of them, so
+that a notice of a license without a template is not reported as its sibling.
+
+The registered query takes ``library()``: short notices and, in the folder ``licenses``, full texts. "BSD" is a notice
+that does not say which BSD license is meant.
 
 Documents are scanned where they lie, in one pass without a shuffle; the templates' index is broadcast in blocks of at
 most MAX_WORDS words of templates, and more templates mean more passes. Of overlapping finds in a document the one with
@@ -19,6 +25,8 @@ that; repeated rows are scanned one by one; other columns of the input are left
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,11 +56,86 @@ TEMPLATES = [
      "your option) any later version."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted "
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted "
      "provided that the following conditions are met"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
 
+#: words that tell a license from its siblings: a notice that has one is found only with it
+DECIDING = set("""apache mit bsd isc mozilla gpl lgpl agpl mpl gfdl epl lesser affero documentation cc cc0 zero attribution nc
+    sa nd noncommercial commercial sharealike alike noderivatives noderivs derivatives derivative derivs eclipse artistic
+    unlicense zlib boost v1 v2 v3""".split())
+#: words that make another license of a notice without them
+FOREIGN = set("""lesser affero documentation lgpl agpl gfdl nc sa nd noncommercial commercial sharealike alike noderivatives
+    noderivs derivatives derivative derivs""".split())
+NUMBERS = {str(i) for i in range(1, 100)}
+#: the deciding words count in templates of at most this many words; longer ones are told apart by their text
+NOTICE = 100
+
+
+def notices() -> list[tuple[str, str]]:
+    """Short notices of the licenses that are not in TEMPLATES, and other wordings of those that are."""
+    out = [("BSD", "Licensed under the BSD License."), ("MIT", "Licensed under the MIT License."),
+           ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU "
+            "General Public License as published by the Free Software Foundation; either version 2 of the License, or "
+            "(at your option) any later version."),
+           ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring "
+            "rights to this work under CC0 1.0.")]
+    for v in ("2.1", "3"):
+        out.append((f"LGPL-{v}" if "." in v else f"LGPL-{v}.0", "This library is free software; you can redistribute it "
+                    "and/or modify it under the terms of the GNU Lesser General Public License as published by the Free "
+                    f"Software Foundation; either version {v} of the License, or (at your option) any later version."))
+    out.append(("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the "
+                "GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the "
+                "License, or (at your option) any later version."))
+    for name, title in (("GPL-1.0", "General Public License"), ("GPL-2.0", "General Public License"),
+                        ("GPL-3.0", "General Public License"), ("LGPL-2.0", "Library General Public License"),
+                        ("LGPL-2.1", "Lesser General Public License"), ("LGPL-3.0", "Lesser General Public License"),
+                        ("AGPL-3.0", "Affero General Public License"), ("GFDL-1.2", "Free Documentation License"),
+                        ("GFDL-1.3", "Free Documentation License")):
+        short, v = name.split("-")
+        v = v.removesuffix(".0")
+        out += [(name, f"This work is licensed under the GNU {title}, version {v}."),
+                (name, f"Licensed under the GNU {title} v{v}."), (name, f"Licensed under the GNU {short}, version {v}."),
+                (name, f"Licensed under the GNU {short} v{v}.")]
+    for name, title in (("ISC", "ISC License"), ("BSD-2-Clause", "BSD 2-Clause License"),
+                        ("BSD-3-Clause", "BSD 3-Clause License"), ("BSD-2-Clause", "2-Clause BSD License"),
+                        ("BSD-3-Clause", "3-Clause BSD License"), ("0BSD", "0BSD License"), ("Zlib", "zlib License"),
+                        ("BSL-1.0", "Boost Software License, Version 1.0"), ("Unlicense", "Unlicense"),
+                        ("MPL-1.1", "Mozilla Public License, Version 1.1"), ("EPL-1.0", "Eclipse Public License, v1.0"),
+                        ("MPL-2.0", "Mozilla Public License, Version 2.0"), ("EPL-2.0", "Eclipse Public License, v2.0"),
+                        ("EPL-1.0", "Eclipse Public License, Version 1.0"), ("Artistic-2.0", "Artistic License 2.0"),
+                        ("EPL-2.0", "Eclipse Public License, Version 2.0")):
+        out.append((name, f"Licensed under the {title}."))
+    kinds = {"BY": ["Attribution"], "BY-SA": ["Attribution-ShareAlike", "Attribution-Share Alike"],
+             "BY-ND": ["Attribution-NoDerivatives", "Attribution-NoDerivs", "Attribution-No Derivative Works"],
+             "BY-NC": ["Attribution-NonCommercial", "Attribution-Non-Commercial"],
+             "BY-NC-SA": ["Attribution-NonCommercial-ShareAlike", "Attribution-Noncommercial-Share Alike",
+                          "Attribution-Non-Commercial-Share Alike"],
+             "BY-NC-ND": ["Attribution-NonCommercial-NoDerivatives", "Attribution-NonCommercial-NoDerivs",
+                          "Attribution-Noncommercial-No Derivative Works"]}
+    for kind, titles in kinds.items():
+        for v, region in (("4.0", "International"), ("3.0", "Unported"), ("2.5", "Generic"), ("2.0", "Generic")):
+            name = f"CC-{kind}-{v}"
+            out += [(name, f"Licensed under CC {kind} {v}."), (name, f"creativecommons.org/licenses/{kind}/{v}")]
+            out += [(name, f"This work is licensed under a Creative Commons {t} {v} {region} License.") for t in titles]
+    spdx = {n for n, _ in out + TEMPLATES if n != "BSD"}
+    return out + [(n, f"SPDX-License-Identifier: {n}") for n in sorted(spdx)]
+
+
+def library() -> list[tuple[str, str]]:
+    """The templates of the registered query: TEMPLATES, notices() and the full texts in the folder ``licenses``, each
+    named by what precedes .txt or .holder.txt."""
+    texts = sorted((Path(__file__).parent / "licenses").glob("*.txt"))
+    known = {(n, t) for n, t in TEMPLATES}
+    return (TEMPLATES + [x for x in notices() if x not in known]
+            + [(f.name.removesuffix(".txt").removesuffix(".holder"), f.read_text("utf-8")) for f in texts])
+
+
+def _hashes(words) -> np.ndarray:
+    block = next(word_blocks(pa.array([" ".join(sorted(words))], pa.large_string()), ALNUM, True))
+    return np.sort(block.hashes)
+
 
 def winnow(grams: np.ndarray) -> np.ndarray:
     """Positions of the winnowed fingerprints of one text."""
@@ -84,6 +167,45 @@ class Index:
         self.hashes = np.array([p[0] for p in prints], np.uint64)
         self.template = np.array([p[1] for p in prints], np.int64)
         self.position = np.array([p[2] for p in prints], np.int64)
+        deciding, self.foreign, self.numbers = _hashes(DECIDING | NUMBERS), _hashes(FOREIGN), _hashes(NUMBERS)
+        self.deciding = [np.unique(w[np.isin(w, deciding)]) if len(w) <= NOTICE else None for w in self.words]
+
+    def decided(self, t: int, words: np.ndarray, a: int, b: int) -> bool:
+        """Whether the words at [a, b) have all deciding words of the template, and none of another license."""
+        own, template = self.deciding[t], self.words[t]
+        if own is None:
+            return True
+        # a word that stands where the template's first or last words are missing counts too
+        lo, hi = max(0, min(a, b - len(template))), min(len(words), max(b, a + len(template)))
+        if not np.isin(own, words[a:b]).all():
+            return False
+        if not len(own):
+            return True
+        other = words[lo:hi][~np.isin(words[lo:hi], template)]
+        if np.isin(other, self.foreign).any():
+            return False
+        # a number next to one of the template's makes another version: 1.3 is not 3
+        number = np.isin(words[lo:hi], self.numbers)
+        mine = number & np.isin(words[lo:hi], own)
+        beside = np.zeros(hi - lo, bool)
+        beside[1:] |= mine[:-1]
+        beside[:-1] |= mine[1:]
+        return not (number & ~mine & beside).any()
+
+    def possible(self, t: int, words: np.ndarray, place: int, least: float) -> bool:
+        """False if too few of the template's words occur in the band around ``place`` for ``least`` to be reached."""
+        template = self.words[t]
+        n, need = len(template), least * len(template)
+        if min(len(words), place + n + BAND) - max(0, place - BAND) < need:
+            return False
+        if n < NOTICE:
+            return True
+        near = np.zeros(n, bool)
+        for shift in range(place - BAND, place + BAND + 1):
+            lo, hi = max(0, -shift), min(n, len(words) - shift)
+            if lo < hi:
+                near[lo:hi] |= words[lo + shift:hi + shift] == template[lo:hi]
+        return int(near.sum()) >= need
 
     def candidates(self, words: np.ndarray) -> list[tuple[int, int]]:
         """(template, place of its first word in the document), hits within BAND words taken as one place."""
@@ -137,8 +259,10 @@ def find(index: Index, words: np.ndarray, least: float) -> list[tuple[str, float
     """(name, coverage, matched, first word, end word) of the notices in one text."""
     found = []
     for t, place in index.candidates(words):
+        if not index.possible(t, words, place, least):
+            continue
         got, a, b = align(index.words[t], words, place)
-        if got >= least * len(index.words[t]) and b > a:
+        if got >= least * len(index.words[t]) and b > a and index.decided(t, words, a, b):
             found.append((-got, -got / len(index.words[t]), index.names[t], a, b))
     out: list = []
     for got, coverage, name, a, b in sorted(found):

@@ -55,7 +55,7 @@ _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 @register("op1_license_scan")
 def op1_license_scan(spark, sf_dir):
-    templates = spark.createDataFrame(license_scan.TEMPLATES, "license string, template string")
+    templates = spark.createDataFrame(license_scan.library(), "license string, template string")
     return license_scan.scan(table(spark, sf_dir, "documents"), templates, least=0.8)
 
 

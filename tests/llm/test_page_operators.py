@@ -238,6 +238,55 @@ def test_license_scan(spark, monkeypatch):
     assert license_scan.scan(df, templates.limit(0)).count() == 0
 
 
+CC = "This work is licensed under a Creative Commons Attribution"
+NEAR_MISSES = [  # (notice, license by the whole library, by TEMPLATES alone)
+    (CC + "-NonCommercial-NoDerivatives 4.0 International License", ["CC-BY-NC-ND-4.0"], []),
+    (CC + "-ShareAlike 4.0 International License", ["CC-BY-SA-4.0"], []),
+    (CC + "-Share Alike 3.0 Unported License", ["CC-BY-SA-3.0"], []),
+    (CC + " 4.0 International License", ["CC-BY-4.0"], ["CC-BY-4.0"]),
+    (CC + " 9.0 International License", [], []),
+    ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0"], []),
+    ("This work is licensed under the GNU General Public License, version 3.", ["GPL-3.0"], ["GPL-3.0"]),
+    ("This work is licensed under the terms and conditions of the GNU General Public License, version 3.", ["GPL-3.0"],
+     ["GPL-3.0"]),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", ["LGPL-3.0"], []),
+    ("This work is licensed under the GNU Affero General Public License, version 3.", ["AGPL-3.0"], []),
+    ("This work is licensed under the GNU Free Documentation License, version 1.3.", ["GFDL-1.3"], []),
+    ("Licensed under CC BY 4.0", ["CC-BY-4.0"], []), ("Licensed under CC BY-NC 4.0", ["CC-BY-NC-4.0"], ["CC-BY-NC-4.0"]),
+    ("Licensed under CC BY-NC-SA 4.0", ["CC-BY-NC-SA-4.0"], []), ("Licensed under CC BY-NC-SA 8.0", [], []),
+    ("Released under the BSD License", ["BSD"], []), ("Released under the ISC License", ["ISC"], []),
+    ("Released under the XYZ License", [], []),
+    ("Licensed under the Apache License, Version 2.0.", ["Apache-2.0"], ["Apache-2.0"]),
+    ("Licensed under the Apache License, Version 2", ["Apache-2.0"], ["Apache-2.0"]),
+    ("Licensed under the Apache License, Version 1.1.", [], []), ("Licensed under the Apache License, Version 2.1", [], []),
+    ("SPDX-License-Identifier: LGPL-2.1", ["LGPL-2.1"], [])]
+
+
+def _found(templates, texts):
+    import pyarrow as pa
+    index, out = license_scan.Index(templates), []
+    for b in license_scan.word_blocks(pa.array(texts, pa.large_string()), license_scan.ALNUM, True):
+        out += [license_scan.find(index, b.hashes[b.bounds[d]:b.bounds[d + 1]], 0.8) for d in range(b.hi - b.lo)]
+    return out
+
+
+def test_license_siblings():
+    texts = [f"some words before. {t} And some after it." for t, _, _ in NEAR_MISSES]
+    for templates, k in ((license_scan.library(), 1), (license_scan.TEMPLATES, 2)):
+        got = [[x[0] for x in found] for found in _found(templates, texts)]
+        assert got == [m[k] for m in NEAR_MISSES]
+
+
+def test_full_license_texts():
+    own = license_scan.library()
+    full = [(n, t) for n, t in own if len(t) > 600]
+    assert {n for n, _ in full} >= {"MIT", "MIT-0", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0",
+                                    "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense", "Zlib", "CC0-1.0"}
+    for (name, _), found in zip(full, _found(own, ["Intro words. " + t for _, t in full])):
+        assert [(x[0], x[1]) for x in found if x[2] > 80] == [(name, 1)], name
+    assert [n for n, _ in own].count("AGPL-3.0") >= 5
+
+
 def test_winnowing_finds_every_long_enough_run():
     import numpy as np
     rng = np.random.default_rng(0)
