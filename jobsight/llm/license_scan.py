@@ -15,7 +15,8 @@ The registered query takes ``library()``: short notices and, in the folder ``lic
 that does not say which BSD license is meant.
 
 Documents are scanned where they lie, in one pass without a shuffle; the templates' index is broadcast in blocks of at
-most MAX_WORDS words of templates, and more templates mean more passes. Of overlapping finds in a document the one with
+most MAX_WORDS words of templates, and more templates mean more passes, whose finds meet by document (its id and the
+MD5 of its text) in one shuffle, so that the blocks do not show in the result. Of overlapping finds in a document the one with
 more matched words is reported (ties: higher coverage, then the lesser name).
 
 Edge cases: null or empty texts and templates without words match nothing; a template of fewer than
@@ -255,8 +256,8 @@ def align(template: np.ndarray, words: np.ndarray, place: int) -> tuple[int, int
     return matched[best], start[best], min(len(words), place + len(template) + best - BAND)
 
 
-def find(index: Index, words: np.ndarray, least: float) -> list[tuple[str, float, int, int, int]]:
-    """(name, coverage, matched, first word, end word) of the notices in one text."""
+def hits(index: Index, words: np.ndarray, least: float) -> list[tuple[int, float, str, int, int]]:
+    """(-matched, -coverage, name, first word, end word) of the notices in one text, overlapping ones too."""
     found = []
     for t, place in index.candidates(words):
         if not index.possible(t, words, place, least):
@@ -264,13 +265,23 @@ def find(index: Index, words: np.ndarray, least: float) -> list[tuple[str, float
         got, a, b = align(index.words[t], words, place)
         if got >= least * len(index.words[t]) and b > a and index.decided(t, words, a, b):
             found.append((-got, -got / len(index.words[t]), index.names[t], a, b))
-    out: list = []
-    for got, coverage, name, a, b in sorted(found):
-        if all(b <= x[3] or a >= x[4] for x in out):
-            out.append((name, -coverage, -got, a, b))
+    return found
+
+
+def resolve(found: list[tuple]) -> list[tuple]:
+    """Of overlapping hits the one with more matched words, in the order of the text."""
+    out: list[tuple] = []
+    for x in sorted(found):
+        if all(x[4] <= y[3] or x[3] >= y[4] for y in out):
+            out.append(x)
     return sorted(out, key=lambda x: x[3])
 
 
+def find(index: Index, words: np.ndarray, least: float) -> list[tuple[str, float, int, int, int]]:
+    """(name, coverage, matched, first word, end word) of the notices in one text."""
+    return [(name, -coverage, -got, a, b) for got, coverage, name, a, b in resolve(hits(index, words, least))]
+
+
 def scan(docs: DataFrame, templates: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text",
          name_col: str = "license", template_col: str = "template") -> DataFrame:
     """(id, license, coverage, matched, start_word, end_word, start, end): a row for each notice found; start and end
@@ -280,35 +291,78 @@ def scan(docs: DataFrame, templates: DataFrame, least: float = 0.8, id_col: str
     n = size // (4 * MAX_WORDS) + 1  # a word and its gap take four bytes or more, as a rule
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    names = ["id", "license", "coverage", "matched", "start_word", "end_word", "start", "end"]
+    names = ["license", "coverage", "matched", "start_word", "end_word", "start", "end"]
+    kinds = [pa.string(), pa.float64()] + [pa.int64()] * 5
+    fields = "license string, coverage double, matched long, start_word long, end_word long, start long, `end` long"
+    finds = "array<struct<negative: long, minus: double, license: string, a: long, b: long, start: long, end: long>>"
+    if n > 1:  # rows of the same id and text have the same finds
+        narrow = narrow.withColumn("same", F.md5("text"))
     out = None
     for k in range(n):
         rows = templates.where(F.pmod(F.xxhash64(name_col, template_col), F.lit(n)) == k)
         index = Index(sorted((str(a), b) for a, b in rows.select(name_col, template_col).collect() if b is not None))
         shared = spark.sparkContext.broadcast(index)
 
+        def texts(column, own):
+            """(row, [hit with its bytes]) of each text with a hit."""
+            for b in word_blocks(column, ALNUM, True):
+                # blocks without any indexed fingerprint are done at once
+                if not len(b.hashes) or not any(np.isin(shingles(b.hashes, s), own.hashes).any() for s in own.sizes):
+                    continue
+                for d in range(b.hi - b.lo):
+                    lo, hi = b.bounds[d], b.bounds[d + 1]
+                    found = [(*x, int(b.starts[lo + x[3]] - b.offsets[d]), int(b.ends[lo + x[4] - 1] - b.offsets[d]))
+                             for x in hits(own, b.hashes[lo:hi], least)]
+                    if found:
+                        yield b.lo + d, found
+
         def run(batches, shared=shared):
-            own = shared.value
             for batch in batches:
                 keys, found = [], []
-                for b in word_blocks(batch.column(1), ALNUM, True):
-                    # blocks without any indexed fingerprint are done at once
-                    if not len(b.hashes) or not any(
-                            np.isin(shingles(b.hashes, s), own.hashes).any() for s in own.sizes):
-                        continue
-                    for d in range(b.hi - b.lo):
-                        lo, hi = b.bounds[d], b.bounds[d + 1]
-                        for name, coverage, got, a, z in find(own, b.hashes[lo:hi], least):
-                            keys.append(b.lo + d)
-                            found.append((name, round(coverage, 6), got, a, z, int(b.starts[lo + a] - b.offsets[d]),
-                                          int(b.ends[lo + z - 1] - b.offsets[d])))
-                columns = list(zip(*found)) or [()] * 7
-                kinds = [pa.string(), pa.float64()] + [pa.int64()] * 5
+                for row, own in texts(batch.column(1), shared.value):
+                    for x in resolve(own):
+                        keys.append(row)
+                        found.append(_row(x))
+                yield _batch(batch.column(0), keys, found, names, kinds)
+
+        def run_block(batches, shared=shared, k=k):
+            kind_of = pa.list_(pa.struct(list(zip(("negative", "minus", "license", "a", "b", "start", "end"),
+                                                  [pa.int64(), pa.float64(), pa.string()] + [pa.int64()] * 4))))
+            for batch in batches:
+                found = list(texts(batch.column(1), shared.value))
+                at = pa.array([row for row, _ in found], pa.int64())
+                keys = ("negative", "minus", "license", "a", "b", "start", "end")
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(keys, pa.int64())),
-                     *[pa.array(list(c), t) for c, t in zip(columns, kinds)]], names=names)
+                    [batch.column(0).take(at), batch.column(2).take(at), pa.array([k] * len(found), pa.int64()),
+                     pa.array([[dict(zip(keys, x)) for x in own] for _, own in found], kind_of)],
+                    names=["id", "same", "block", "finds"])
 
-        part = narrow.mapInArrow(run, f"id {kind}, license string, coverage double, matched long, start_word long, "
-                                      f"end_word long, start long, `end` long")
+        part = (narrow.mapInArrow(run, f"id {kind}, {fields}") if n == 1 else
+                narrow.mapInArrow(run_block, f"id {kind}, same string, block long, finds {finds}"))
         out = part if out is None else out.union(part)
+    if n > 1:
+        def settle(batches):
+            for batch in batches:
+                keys, found = [], []
+                for row, parts in enumerate(batch.column(1).to_pylist()):
+                    blocks = {p["block"]: p["finds"] for p in parts}
+                    own = [_row(x) for x in resolve([tuple(f.values()) for p in blocks.values() for f in p])]
+                    for _ in range(len(parts) // len(blocks)):  # once for each of the equal rows
+                        keys += [row] * len(own)
+                        found += own
+                yield _batch(batch.column(0), keys, found, names, kinds)
+
+        out = (out.groupBy("id", "same").agg(F.collect_list(F.struct("block", "finds")).alias("parts"))
+               .select("id", "parts").mapInArrow(settle, f"id {kind}, {fields}"))
     return out.withColumnRenamed("id", id_col)
+
+
+def _row(x: tuple) -> tuple:
+    got, coverage, name, a, b, start, end = x
+    return name, round(-coverage, 6), -got, a, b, start, end
+
+
+def _batch(ids: pa.Array, keys: list[int], found: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
+    columns = list(zip(*found)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(keys, pa.int64())),
+                                       *[pa.array(list(c), t) for c, t in zip(columns, kinds)]], names=["id", *names])

@@ -287,6 +287,24 @@ def test_full_license_texts():
     assert [n for n, _ in own].count("AGPL-3.0") >= 5
 
 
+def test_blocks_of_templates_do_not_show(spark, monkeypatch):
+    words = [f"w{i}" for i in range(40)]
+    templates = spark.createDataFrame([(f"{a}-{b}", " ".join(words[a:b])) for a, b in
+                                       [(0, 10), (8, 20), (18, 40), (0, 40), (3, 12), (12, 21), (20, 30)]],
+                                      "license string, template string")
+    text = " ".join(words)
+    docs = [(1, text), (1, text), (1, " ".join(words[:20])), (2, " ".join(words[3:24])), (None, "x " + " ".join(words[8:30])),
+            (None, None), (3, text + " x " + text), (4, "nothing")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    results = []
+    for limit in (license_scan.MAX_WORDS, 20, 5):  # 1, 6 and 21 blocks
+        monkeypatch.setattr(license_scan, "MAX_WORDS", limit)
+        results.append(sorted(map(str, license_scan.scan(df, templates).collect())))
+    assert results[0] == results[1] == results[2]
+    assert sum("doc_id=1," in x and "license='0-40'" in x for x in results[0]) == 2
+    assert sum("doc_id=3," in x for x in results[0]) == 2
+
+
 def test_winnowing_finds_every_long_enough_run():
     import numpy as np
     rng = np.random.default_rng(0)
