@@ -367,9 +367,28 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: int = 80
 
 def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: int = 80,
                          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, the one with the least id, with all its columns. Of rows that repeat an id one
-    stays; rows without an id stay."""
+    """One document of each group, the one with the least id, with all its columns. Of rows that repeat an id the one
+    whose set was compared stays (of rows with equal sets the one with the least hash); rows without an id stay."""
     report = near_duplicates(docs, shingle_words, threshold, id_col, text_col)
     kept = report.where(F.col(id_col).isNotNull() & F.col("kept")).select(id_col)
-    named = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return named.select(*[F.col(f"`{c}`") for c in docs.columns]).union(docs.where(F.col(id_col).isNull()))
+    named = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").select(
+        *[F.col(f"`{c}`") for c in docs.columns])
+    nameless = docs.where(F.col(id_col).isNull())
+    repeated = written(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n"))
+                       .where("n > 1").select(F.col(id_col).alias("again_id")))
+    if repeated.isEmpty():
+        return named.union(nameless)
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    again = docs.join(repeated, F.col(f"`{id_col}`") == F.col("again_id"), "left_semi").select(
+        F.struct(F.col(id_col).alias("id"), F.md5(text_col).alias("text"), F.xxhash64(*plain).alias("row")).alias("key"),
+        F.col(text_col).alias("text"))
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        found = written(signatures(again, shingle_words, "key", "text").select("id", "n", "a", "b"))
+    least = (found.groupBy(F.col("id.id").alias("best_id"))
+             .agg(F.min(F.struct("n", "a", "b", "id.text", "id.row")).alias("s"))
+             .select("best_id", F.col("s.text").alias("best_text"), F.col("s.row").alias("best_row")))
+    single = named.join(repeated, F.col(f"`{id_col}`") == F.col("again_id"), "left_anti")
+    own = (F.col(f"`{id_col}`") == F.col("best_id")) & F.md5(text_col).eqNullSafe(F.col("best_text")) & (
+        F.xxhash64(*plain) == F.col("best_row"))
+    several = named.join(least, own, "left_semi").dropDuplicates([id_col])  # only equal rows are left under an id
+    return single.union(several).union(nameless)

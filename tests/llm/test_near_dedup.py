@@ -69,6 +69,16 @@ def test_repeated_rows_null_ids_and_long_text(spark):
     assert ids.count(None) == 2
 
 
+def test_the_compared_row_of_an_id_stays(spark):
+    """The group is told from the smallest set under an id, so the row that stays must be the one with that set."""
+    rows = [(i, f"long{i} text of many more words than the other one {i}") for i in range(40)]
+    rows += [(i, f"short{i} {i}") for i in range(40)] + [(i, f"short{i} {i}") for i in range(0, 40, 3)] + [(50, "one row")]
+    for parts in (1, 3, 7):
+        df = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in rows], SCHEMA).repartition(parts)
+        got = sorted((r[0], r[1]) for r in near_dedup.drop_near_duplicates(df).collect())
+        assert got == sorted([(i, f"short{i} {i}") for i in range(40)] + [(50, "one row")])
+
+
 def test_empty_table_and_threshold(spark):
     assert _report(spark, []) == []
     with pytest.raises(ValueError):
