@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobsight.llm import bpe, decontaminate, html_extract, language_id, license_scan, line_dedup, near_dedup
-from jobsight.llm import quality_rules, token_rollups, warc
+from jobsight.llm import bpe, decontaminate, filter_audit, html_extract, language_id, license_scan, line_dedup
+from jobsight.llm import near_dedup, packing, quality_rules, resampling, token_rollups, warc
 from jobsight.session import checkpoint_dir
 
 QUERIES = {}
@@ -166,6 +166,88 @@ def op10_risk_controlled(spark, sf_dir):
                          "base_failed", "kept", "n_lines", "failed")
 
 
+@register("op11_packing")
+def op11_packing(spark, sf_dir):
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), seq_len=1024)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
+                         "offset")
+
+
+@register("op12_filter_audit", r"""
+    WITH texts AS (
+        SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+               regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    marked AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good,
+                      max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+    failed AS (
+        SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+               (CASE WHEN len(w) < 50 THEN 'A' ELSE '' END)
+            || (CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END)
+            || (CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text)
+                THEN 'C' ELSE '' END)
+            || (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END)
+            || (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END) AS fails
+        FROM texts LEFT JOIN marked USING (doc_id)),
+    counted AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY ALL),
+    f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+    orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM f a, f b, f c, f d, f e
+               WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+    steps AS (SELECT o, k, o[k] AS f, o[1:k - 1] AS done FROM orders, range(1, 6) r(k)),
+    rows AS (
+        SELECT part, o, k, f,
+               sum(n) FILTER (fails = '' OR NOT regexp_matches(fails, '[' || done || f || ']')) AS kept,
+               sum(n) FILTER (contains(fails, f) AND (done = '' OR NOT regexp_matches(fails, '[' || done || '0]'))) AS removed,
+               sum(n) FILTER (contains(fails, f) AND regexp_matches(fails, '[' || done || '0]')) AS redundant,
+               sum(n) FILTER (fails = f) AS unique_fails,
+               sum(good) FILTER (contains(fails, f) AND NOT regexp_matches(fails, '[' || done || '0]')) AS good_lost,
+               sum(toxic) FILTER (contains(fails, f) AND NOT regexp_matches(fails, '[' || done || '0]')) AS toxic_lost
+        FROM counted, steps GROUP BY part, o, k, f)
+    SELECT part, o AS filter_order, CAST(k AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept,
+           CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+           CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost,
+           CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+           CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+    FROM rows""")
+def op12_filter_audit(spark, sf_dir):
+    return filter_audit.audit(filter_audit.failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+@register("op13_resampling", rf"""
+    WITH crc AS (
+        SELECT list_transform(range(256), lambda i: list_reduce(range(8),
+            lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+    docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}),
+                                               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    aims AS (SELECT regexp_extract_all(translate(coalesce(text, ''), {_LOWER}),
+                                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    own AS (SELECT doc_id, unnest(w) AS x FROM docs),
+    wanted AS (SELECT unnest(w) AS x FROM aims),
+    words AS (SELECT DISTINCT x FROM (SELECT x FROM own UNION ALL SELECT x FROM wanted)),
+    placed AS (
+        SELECT x, xor(list_reduce(list_transform(range(0, length(hex(x)), 2),
+                   lambda k: CAST('0x' || substr(hex(x), k + 1, 2) AS BIGINT)),
+               lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 10000 AS b
+        FROM words, crc),
+    s AS (SELECT b, count(*) AS n FROM own JOIN placed USING (x) GROUP BY b),
+    t AS (SELECT b, count(*) AS n FROM wanted JOIN placed USING (x) GROUP BY b),
+    gain AS (
+        SELECT p.b, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM own) + 10000)
+                   / ((coalesce(s.n, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM wanted) + 10000)))) AS BIGINT) AS g
+        FROM (SELECT DISTINCT b FROM placed) p LEFT JOIN s USING (b) LEFT JOIN t USING (b)),
+    scored AS (
+        SELECT doc_id, len(any_value(w)) AS n, CAST(coalesce(floor(sum(g)::DOUBLE / count(g)), 0) AS BIGINT) AS weight
+        FROM docs LEFT JOIN own USING (doc_id) LEFT JOIN placed USING (x) LEFT JOIN gain USING (b) GROUP BY doc_id),
+    noised AS (
+        SELECT *, weight + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE)
+                                               / 4294967296))) AS BIGINT) AS score FROM scored),
+    drawn AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM noised WHERE n >= 20)
+    SELECT doc_id, CAST(n AS BIGINT) AS n_features, weight, score,
+           CASE WHEN rank <= 10 * (SELECT count(*) FROM drawn) // 100 THEN rank END AS rank
+    FROM noised LEFT JOIN drawn USING (doc_id)""")
+def op13_resampling(spark, sf_dir):
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @register("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
