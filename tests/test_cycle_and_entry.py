@@ -1,7 +1,7 @@
 import datetime as dt
 
 import __spark_entry__ as E
-from conftest import SF001
+from paths import SF001
 from jobsight.operators import lifecycle as L
 from jobsight.plans.cycle import run_cycle, summary_cycle
 from test_extract_sites_io import SITE, TWO

@@ -117,7 +117,7 @@ def test_report_without_duplicates(spark):
 
 def test_driver_postings(spark):
     """Every line of the sf0.001 documents (real multilingual text)."""
-    from conftest import SF001
+    from paths import SF001
     from jobsight.sources.views import doc_postings
     p = doc_postings(spark, SF001)
     rows = [(r["url"], r["company"], r["title"], r["location"]) for r in p.collect()]
