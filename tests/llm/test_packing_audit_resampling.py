@@ -76,6 +76,7 @@ def test_pack(spark, parts, monkeypatch):
     rows = _corpus(2, 120) + EDGES
     out = packing.pack(_table(spark, rows, parts), TOKENIZER, seq_len=256).collect()
     coder = Tokenizer.from_file(TOKENIZER)
+    coder.encode_special_tokens = True
     want = Counter((i, tuple([*coder.encode(t or "", add_special_tokens=False).ids, 0])) for i, t, _ in rows)
     ids = {r: np.frombuffer(r["ids"], "<u4").tolist() for r in out}
     assert all(len(v) == r["length"] for r, v in ids.items())
@@ -106,6 +107,26 @@ def test_pack(spark, parts, monkeypatch):
     assert padding == 0 and set(by_doc) == {i for i, _, _ in rows}
 
 
+def test_encoder_equals_tokenizers_on_every_code_point():
+    import tiktoken
+    tokens, pattern = packing.vocabulary(TOKENIZER)
+    fast = tiktoken.Encoding("t", pat_str=pattern, special_tokens={}, mergeable_ranks={t: i for i, t in enumerate(tokens)})
+    coder = Tokenizer.from_file(TOKENIZER)
+    coder.encode_special_tokens = True
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for lo in range(0, len(points), 50_000):
+        texts = [f"ab{c}cd {c} 1{c}2 !{c}? {c}\n{c}  {c}'s" for c in map(chr, points[lo:lo + 50_000])]
+        for t, e in zip(texts, coder.encode_batch_fast(texts, add_special_tokens=False)):
+            assert fast.encode_ordinary(t) == e.ids, t
+    for t in (LONG, "<|endoftext|>", "a" * 50_000, " " * 50_000 + "x"):
+        assert fast.encode_ordinary(t) == coder.encode(t, add_special_tokens=False).ids
+
+
+def test_other_vocabularies_are_refused():
+    with pytest.raises(ValueError):
+        packing.vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def test_pack_empty_and_wrong_length(spark):
     assert packing.pack(_table(spark, []), TOKENIZER).count() == 0
     with pytest.raises(ValueError):
