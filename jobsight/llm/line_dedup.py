@@ -3,7 +3,8 @@
 DataFrame functions only. A line's key is the line, stripped of [\\x20\\x09-\\x0D] at both ends, with A-Z in lower
 case. Keys move as hashes (64 + 32 bits), never as text:
 
-1. each document gives its positions and key hashes, ``posexplode``d;
+1. each document gives its positions and key hashes, ``posexplode``d and written once to the shared folder, as the
+   count and the join both read them;
 2. distinct documents per key hash: Spark's two-step distinct count, first by (hash, document), so that a key
    found in every document is counted by many tasks;
 3. keys at or over the threshold are written once to the checkpoint folder and joined with the exploded lines;
@@ -22,14 +23,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobsight.llm.tables import written
 from jobsight.session import checkpoint_dir
 
 STRIP = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def line_key(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(STRIP)), UPPER, UPPER.lower())
+def line_keys(lines: Column) -> Column:
+    """The keys of an array of lines. lower() of ASCII text is the translation, at a fraction of its cost."""
+    bare = F.transform(lines, lambda x: F.btrim(x, F.lit(STRIP)))
+    return F.transform(bare, lambda x: F.when(F.octet_length(x) == F.char_length(x), F.lower(x)).otherwise(
+        F.translate(x, UPPER, UPPER.lower())))
 
 
 def _identity(id_col: str, text_col: str) -> list[Column]:
@@ -41,12 +46,12 @@ def repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, copi
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(__id, __t, drop): for every document that loses lines, their positions."""
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    keys = F.transform(lines, lambda x: F.when(
-        F.char_length(line_key(x)) >= min_chars,
-        F.struct(F.xxhash64(line_key(x)).alias("a"), F.hash(line_key(x)).alias("b"))))
-    pairs = (docs.select(*_identity(id_col, text_col), F.posexplode(keys).alias("pos", "key"))
-             .where(F.col("key").isNotNull())
-             .select("__id", "__t", "pos", F.col("key.a").alias("a"), F.col("key.b").alias("b")))
+    # the keys in transforms of their own: a key is made once for each line
+    keys = F.transform(line_keys(lines), lambda k: F.when(
+        F.char_length(k) >= min_chars, F.struct(F.xxhash64(k).alias("a"), F.hash(k).alias("b"))))
+    pairs = written(docs.select(*_identity(id_col, text_col), F.posexplode(keys).alias("pos", "key"))
+                    .where(F.col("key").isNotNull())
+                    .select("__id", "__t", "pos", F.col("key.a").alias("a"), F.col("key.b").alias("b")))
     common = (pairs.groupBy("a", "b").agg(F.count_distinct("__t" if copies_once else F.struct("__id", "__t")).alias("n"))
               .where(F.col("n") >= min_docs).select("a", "b").checkpoint())
     return (pairs.join(common, ["a", "b"])
