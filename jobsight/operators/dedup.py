@@ -14,35 +14,56 @@ Plan, all on DataFrames:
    normalization keep one representative; the others inherit its fate with
    score 1.0 (or the representative's score). One group of copies holding a
    third of all rows becomes one row here: a partial aggregate;
-3. location compatibility: distinct (company_key, location) strings, exact
+3. representatives are numbered in the order of their block by one range sort
+   (``k``): from here on they travel as longs;
+4. location compatibility: distinct (company_key, location) strings, exact
    character-multiset prefix filtering, difflib ratio on survivors, both
    directions (the ratio is asymmetric);
-4. title candidates: two exact prefix filters OR-ed, one for the sequence
-   ratio (character multiset tokens, rarest first) and one for Jaccard of key
-   terms (rarest terms first), each joined through the location table, so the
-   join key is (company_key, compatible location, token): never all pairs of
-   a company;
-5. verification of candidates (pandas UDF for D1 on distinct title pairs);
-6. greedy order by parallel rounds (Blelloch, Fineman, Shun, SPAA 2012): an
-   undecided node with no undecided lower neighbour is canonical, its
-   undecided higher neighbours are duplicates; repeat. Each round is cut from
-   lineage with checkpoint() in the session's checkpoint folder and the loop
-   collects one count per round.
+5. title candidates for the sequence ratio: representatives of compatible
+   locations meet in tiles (blocks of at most TILE, of near lengths where a
+   block is large). A tile drops pairs by two exact bounds of the ratio,
+   characters in common and the length of the longest common subsequence
+   (functions/lcs.py), and gives out the few that are left. A hot company is
+   dealt to as many tasks as it has tiles;
+6. title candidates for Jaccard: a prefix filter on the rarest key terms, as
+   an equi-join; a term that more than HEAVY postings of a block share is dealt
+   to row blocks x column blocks, so that no reducer holds it alone;
+7. verification of candidates (pandas UDF for D1 on distinct title pairs);
+8. greedy order: a block with at most LOCAL_EDGES open links is scanned in
+   order by one task; of a larger one a whole prefix of the order is decided at
+   once, together with all nodes that have no lower neighbour. A chain of
+   links thus costs one round per LOCAL_EDGES, not one per link.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobsight import rules
 from jobsight.functions import text as T
+from jobsight.functions.lcs import Strings, near_pairs
 from jobsight.functions.similarity import (jaccard_size_ok, min_overlap_jaccard,
                                            min_overlap_ratio, ratio_length_ok, sequence_ratio,
                                            sequence_ratio_floor)
+from jobsight.operators.joins import dealt_join
 from jobsight.session import checkpoint_dir
 from jobsight.sources.tables import spread, spread_by
 
+#: titles in a block of a tile, on either side
+TILE = 1024
+#: length bands of blocks that do not fit one tile
+BAND = 1.15
+#: a key term shared by more postings of a block is dealt to several reducers, each with at most HEAVY of either side
+HEAVY = 2000
+#: open links that one task scans in order (16 bytes each)
+LOCAL_EDGES = 500_000
+
 DETAIL_COLS = ["title1", "title2", "location1", "location2", "title_similarity",
                "terms_similarity", "title_score", "location_score", "combined_score"]
 
@@ -121,14 +142,29 @@ def _char_prefix(strings: DataFrame, sid: str, s: str, theta: float) -> DataFram
 
 
 def _term_prefix(reps: DataFrame, theta: float) -> DataFrame:
-    """(url, term, tsize) for the rarest key terms of each representative."""
-    sized = reps.select("url", "terms").withColumn("tsize", F.size("terms"))
-    ex = sized.select("url", "tsize", F.explode("terms").alias("term"))
+    """(k, term, tsize, pos) for the rarest key terms of each posting (k, terms)."""
+    sized = reps.select("k", "terms").withColumn("tsize", F.size("terms"))
+    ex = sized.select("k", "tsize", F.explode("terms").alias("term"))
     freq = ex.groupBy("term").agg(F.count(F.lit(1)).alias("f"))
-    w = Window.partitionBy("url").orderBy("f", "term")
+    w = Window.partitionBy("k").orderBy("f", "term")
     keep = F.col("tsize") - min_overlap_jaccard(F.col("tsize"), theta) + 1
     return (ex.join(freq, "term").withColumn("r", F.row_number().over(w))
-            .filter(F.col("r") <= keep).select("url", "term", "tsize", F.col("r").alias("pos")))
+            .filter(F.col("r") <= keep).select("k", "term", "tsize", F.col("r").alias("pos")))
+
+
+def term_pairs(left: DataFrame, right: DataFrame, keys: list[str], theta: float) -> DataFrame:
+    """(i, j, ``keys``), i before j, of postings that may reach a Jaccard of ``theta``: no such pair is missed.
+
+    Both sides hold ``keys``, k, term, tsize and pos (see ``_term_prefix``).
+    """
+    a = left.select(*keys, "term", F.col("k").alias("i"), F.col("tsize").alias("si"), F.col("pos").alias("pi"))
+    b = right.select(*keys, "term", F.col("k").alias("j"), F.col("tsize").alias("sj"), F.col("pos").alias("pj"))
+    # after the first shared term at (pi, pj) at most min(si - pi, sj - pj) more can be shared; Jaccard >= theta
+    # needs an overlap of theta * (si + sj) / (1 + theta)
+    pos_ok = (F.least(F.col("si") - F.col("pi"), F.col("sj") - F.col("pj")) + 1
+              >= F.lit(theta) * (F.col("si") + F.col("sj")) / (1.0 + theta) - F.lit(1e-9))
+    fits = (F.col("i") < F.col("j")) & jaccard_size_ok(F.col("si"), F.col("sj"), theta) & pos_ok
+    return dealt_join(a, b, [*keys, "term"], "i", "j", HEAVY, fits).select("i", "j", *keys).distinct()
 
 
 # ---- D3 pieces -----------------------------------------------------------------
@@ -157,43 +193,73 @@ def location_compat(reps: DataFrame, theta_l: float) -> DataFrame:
     return scored.filter(F.col("loc_ratio") >= theta_l).unionByName(same)
 
 
+def ratio_pairs(reps: DataFrame, compat: DataFrame, theta: float) -> DataFrame:
+    """(i, j), i before j, of representatives in compatible locations whose title ratio may reach ``theta``.
+
+    Exact bounds only (functions/lcs.py). A location with at most TILE representatives is one block; a larger one
+    falls into bands of length, and these into blocks, and blocks meet where their lengths allow the ratio.
+    """
+    near = math.log((2 - theta) / theta) if theta > 0 else math.inf
+    width = math.log(BAND)
+    n_loc = reps.groupBy("company_key", "nl").agg(F.count(F.lit(1)).alias("n_loc"))
+    band = F.when(F.col("n_loc") > TILE, F.floor(F.log(F.length(F.lower("nt")).cast("double")) / width)).otherwise(-1)
+    placed = (reps.select("company_key", "nl", "k", "nt").join(n_loc, ["company_key", "nl"])
+              .select("company_key", "nl", "k", "nt", band.cast("int").alias("band")))
+    blocks = placed.groupBy("company_key", "nl", "band").agg(F.count(F.lit(1)).alias("n")).select(
+        "company_key", "nl", "band", "n", F.ceil(F.col("n") / TILE).cast("int").alias("nb"))
+    cells = compat.select("company_key", F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")).distinct()
+
+    def side(c):
+        return blocks.select("company_key", F.col("nl").alias(c), F.col("band").alias("band_" + c),
+                             F.col("n").alias("n_" + c), F.col("nb").alias("nb_" + c))
+
+    apart = (F.abs(F.col("band_p") - F.col("band_q")) - 1) * width
+    same = F.col("p") == F.col("q")
+    tiles = (cells.join(side("p"), ["company_key", "p"]).join(side("q"), ["company_key", "q"])
+             .filter((F.col("band_p") < 0) | (F.col("band_q") < 0) | (apart <= near + 1e-9))
+             .filter(~same | (F.col("band_p") < F.col("band_q"))
+                     | ((F.col("band_p") == F.col("band_q")) & (F.col("n_p") > 1))))
+    mirror = same & (F.col("band_p") == F.col("band_q"))  # a band with itself: row block <= column block
+    keys = ["company_key", "p", "q", "band_p", "band_q", "x", "y"]
+    titles = placed.withColumn("h", F.xxhash64("k"))
+    left = (titles.withColumnsRenamed({"nl": "p", "band": "band_p"}).join(tiles, ["company_key", "p", "band_p"])
+            .withColumn("x", F.pmod("h", "nb_p").cast("int"))
+            .withColumn("y", F.explode(F.sequence(F.when(mirror, F.col("x")).otherwise(0), F.col("nb_q") - 1))))
+    right = (titles.withColumnsRenamed({"nl": "q", "band": "band_q"}).join(tiles, ["company_key", "q", "band_q"])
+             .withColumn("y", F.pmod("h", "nb_q").cast("int"))
+             .withColumn("x", F.explode(F.sequence(F.lit(0), F.when(mirror, F.col("y")).otherwise(F.col("nb_p") - 1))))
+             # the block itself comes from the left
+             .filter(~(mirror & (F.col("x") == F.col("y")))))
+    rows = left.select(*keys, F.lit(True).alias("first"), "k", "nt").union(
+        right.select(*keys, F.lit(False).alias("first"), "k", "nt"))
+
+    def compare(tile: pa.Table) -> pa.Table:
+        first = tile["first"].to_numpy()
+        k = tile["k"].to_numpy()
+        strings = Strings([t.lower() for t in tile["nt"].to_pylist()])
+        a, b = np.flatnonzero(first), np.flatnonzero(~first)
+        wanted = None
+        if not len(b):
+            b, wanted = a, np.triu(np.ones((len(a), len(a)), bool), 1)
+        i, j = near_pairs(strings, a, b, theta, wanted)
+        u, v = k[a[i]], k[b[j]]
+        return pa.table({"i": np.minimum(u, v), "j": np.maximum(u, v)})
+
+    return rows.groupBy(*keys).applyInArrow(compare, "i long, j long")
+
+
 def candidate_pairs(reps: DataFrame, compat: DataFrame, theta_t: float) -> DataFrame:
-    """D4 with exact pruning: (i, j) representative URL pairs, i before j."""
-    tp = _char_prefix(reps, "url", "nt", theta_t)
-    rt = reps.select("url", "company_key", "ord", "nl").join(tp, "url")
-    left = (rt.join(compat.select("company_key", F.col("a").alias("nl"), "b"), ["company_key", "nl"])
-            .select("company_key", "b", "tok", F.col("url").alias("i"), F.col("ord").alias("oi"),
-                    F.col("slen").alias("li"), F.col("pos").alias("pi")))
-    right = rt.select("company_key", F.col("nl").alias("b"), "tok", F.col("url").alias("j"),
-                      F.col("ord").alias("oj"), F.col("slen").alias("lj"), F.col("pos").alias("pj"))
-    # positional filter: after the first shared token at (pi, pj) at most
-    # min(li - pi, lj - pj) more tokens can be shared; ratio >= theta needs
-    # an overlap of theta * (li + lj) / 2
-    seq_pos_ok = (F.least(F.col("li") - F.col("pi"), F.col("lj") - F.col("pj")) + 1
-                  >= F.lit(theta_t) * (F.col("li") + F.col("lj")) / 2.0 - F.lit(1e-9))
-    seq_c = (left.join(right, ["company_key", "b", "tok"])
-             .filter((F.col("oi") < F.col("oj")) & ratio_length_ok(F.col("li"), F.col("lj"), theta_t)
-                     & seq_pos_ok)
-             .select("i", "j"))
-    tr = reps.select("company_key", "url", "ord", "nl").join(_term_prefix(reps, theta_t), "url")
-    left2 = (tr.join(compat.select("company_key", F.col("a").alias("nl"), "b"), ["company_key", "nl"])
-             .select("company_key", "b", "term", F.col("url").alias("i"), F.col("ord").alias("oi"),
-                     F.col("tsize").alias("si"), F.col("pos").alias("pi")))
-    right2 = tr.select("company_key", F.col("nl").alias("b"), "term", F.col("url").alias("j"),
-                       F.col("ord").alias("oj"), F.col("tsize").alias("sj"), F.col("pos").alias("pj"))
-    # Jaccard >= theta needs an overlap of theta * (si + sj) / (1 + theta)
-    jac_pos_ok = (F.least(F.col("si") - F.col("pi"), F.col("sj") - F.col("pj")) + 1
-                  >= F.lit(theta_t) * (F.col("si") + F.col("sj")) / (1.0 + theta_t) - F.lit(1e-9))
-    jac_c = (left2.join(right2, ["company_key", "b", "term"])
-             .filter((F.col("oi") < F.col("oj")) & jaccard_size_ok(F.col("si"), F.col("sj"), theta_t)
-                     & jac_pos_ok)
-             .select("i", "j"))
-    return seq_c.unionByName(jac_c).distinct()
+    """D4 with exact pruning: (i, j) pairs of representatives by their number ``k``, i before j."""
+    terms = reps.select("company_key", "k", "nl").join(_term_prefix(reps, theta_t), "k")
+    left = (terms.withColumnRenamed("nl", "a").join(compat.select("company_key", "a", "b"), ["company_key", "a"])
+            .drop("a"))
+    by_terms = term_pairs(left, terms.withColumnRenamed("nl", "b"), ["company_key", "b"], theta_t)
+    return ratio_pairs(reps, compat, theta_t).unionByName(by_terms.select("i", "j")).distinct()
 
 
 def score_pairs(pairs: DataFrame, reps: DataFrame, compat: DataFrame,
                 title_floor: float | None = None) -> DataFrame:
-    """D3 on candidate pairs (i before j): all detail columns, not yet thresholded.
+    """D3 on candidate pairs (i before j, by number ``k``): all detail columns, not yet thresholded.
 
     D1 runs once per distinct title pair, hash-spread over the cluster so the
     Python stage is never coalesced into a single task. With ``title_floor``
@@ -201,10 +267,9 @@ def score_pairs(pairs: DataFrame, reps: DataFrame, compat: DataFrame,
     -1.0 (exactly: it cannot reach the floor); callers that report details
     recompute it for the pairs they keep.
     """
-    ri = reps.select(F.col("url").alias("i"), F.col("company_key"), F.col("ord").alias("oi"),
-                     F.col("nt").alias("title1"), F.col("nl").alias("location1"),
-                     F.col("terms").alias("terms1"))
-    rj = reps.select(F.col("url").alias("j"), F.col("ord").alias("oj"), F.col("nt").alias("title2"),
+    ri = reps.select(F.col("k").alias("i"), F.col("company_key"), F.col("nt").alias("title1"),
+                     F.col("nl").alias("location1"), F.col("terms").alias("terms1"))
+    rj = reps.select(F.col("k").alias("j"), F.col("nt").alias("title2"),
                      F.col("nl").alias("location2"), F.col("terms").alias("terms2"))
     p = pairs.join(ri, "i").join(rj, "j")
     titles = spread_by(p.select("title1", "title2"), "title1", "title2").dropDuplicates()
@@ -224,42 +289,78 @@ def score_pairs(pairs: DataFrame, reps: DataFrame, compat: DataFrame,
     return p
 
 
-# ---- D5 greedy rounds ------------------------------------------------------------
+# ---- D5 greedy order ------------------------------------------------------------
+
+def numbered(postings: DataFrame) -> DataFrame:
+    """``postings`` (company_key, ord, ...) with ``k``, which rises with the order inside every company_key.
+
+    One range sort; the number is the place in the sorted partitions, written before anything reads it.
+    """
+    checkpoint_dir(postings.sparkSession)
+    return postings.orderBy("company_key", "ord").withColumn("k", F.monotonically_increasing_id()).checkpoint()
+
+
+def _scan(edges: pa.Table) -> pa.Table:
+    """The sequential scan over the links (lo, hi) of one company: (k, canonical) for each of their nodes."""
+    lo, hi = edges["lo"].to_numpy(), edges["hi"].to_numpy()
+    nodes = np.union1d(lo, hi)
+    order = np.argsort(hi, kind="stable")
+    lo, hi = np.searchsorted(nodes, lo[order]), np.searchsorted(nodes, hi[order])
+    bounds = np.searchsorted(hi, np.arange(len(nodes) + 1)).tolist()
+    lower = lo.tolist()
+    canonical = bytearray(len(nodes))
+    for k in range(len(nodes)):
+        canonical[k] = not any(canonical[x] for x in lower[bounds[k]:bounds[k + 1]])
+    return pa.table({"company_key": pa.repeat(edges["company_key"][0], len(nodes)), "k": nodes,
+                     "canonical": np.frombuffer(bytes(canonical), np.uint8).astype(bool)})
+
 
 def greedy_canonicals(edges: DataFrame) -> DataFrame:
-    """Lexicographically-first MIS of a DAG given as (lo, hi) edges, lo before hi.
+    """Duplicates among the nodes of ``edges`` (company_key, lo, hi; lo before hi): those the scan marks.
 
-    Returns the canonical nodes (column ``node``) among the nodes on an edge.
-    Every round decides at least the smallest undecided node, so the loop
-    ends without any round cap.
+    Nodes that are no duplicate are canonical: together the lexicographically-first MIS of each company's graph. The
+    rounds write the nodes they mark to one folder, which is read as one table at the end.
     """
     spark = edges.sparkSession
-    checkpoint_dir(spark)
-    e = edges.select("lo", "hi").distinct().checkpoint()
-    undecided = e.select(F.col("lo").alias("node")).union(e.select(F.col("hi").alias("node"))) \
-        .distinct().checkpoint()
-    canon_parts = []
+    base = f"{checkpoint_dir(spark)}/greedy-{uuid.uuid4().hex}"
+    left = edges.select("company_key", "lo", "hi").distinct().checkpoint()
+    schema = left.select("company_key", F.col("lo").alias("k")).schema
+    halves = [0.5 ** n for n in range(1, 41)]
+    turn = 0
     while True:
-        # canonical: undecided with no undecided lower neighbour. Built lazily from
-        # this round's checkpointed inputs, so its lineage stays one round deep.
-        blocked = e.select(F.col("hi").alias("node")).distinct()
-        new_canon = undecided.join(blocked, "node", "left_anti")
-        canon_parts.append(new_canon)
-        new_dup = (e.join(new_canon.select(F.col("node").alias("lo")), "lo", "left_semi")
-                   .select(F.col("hi").alias("node")).distinct())
-        undecided = (undecided.join(new_canon, "node", "left_anti")
-                     .join(new_dup, "node", "left_anti").checkpoint())
-        # keep only edges between undecided nodes: decided ones never matter again
-        e = (e.join(undecided.select(F.col("node").alias("lo")), "lo", "left_semi")
-             .join(undecided.select(F.col("node").alias("hi")), "hi", "left_semi").checkpoint())
-        if e.isEmpty():
-            # no constraint left: every remaining undecided node is canonical
-            canon_parts.append(undecided)
-            break
-    canon = canon_parts[0]
-    for part in canon_parts[1:]:
-        canon = canon.unionByName(part)
-    return canon
+        # the prefix: all nodes of a company with few open links, else up to the hi under which LOCAL_EDGES links lie
+        sizes = left.groupBy("company_key").agg(
+            F.count(F.lit(1)).alias("n"), F.percentile_approx("hi", halves, F.lit(10_000)).alias("cuts"))
+        cuts = sizes.select("company_key", F.when(F.col("n") > LOCAL_EDGES, F.element_at(
+            "cuts", F.least(F.lit(len(halves)), F.ceil(F.log2(F.col("n") / LOCAL_EDGES)).cast("int")))).alias("cut"))
+        prefix = left.join(cuts, "company_key").filter(F.col("cut").isNull() | (F.col("hi") <= F.col("cut")))
+        scanned = prefix.select("company_key", "lo", "hi").groupBy("company_key").applyInArrow(
+            _scan, "company_key string, k long, canonical boolean").checkpoint()
+        # beyond the prefix: nodes without a lower neighbour
+        lowest = left.select("company_key", F.col("lo").alias("k")).distinct().join(
+            left.select("company_key", F.col("hi").alias("k")), ["company_key", "k"], "left_anti")
+        canon = scanned.filter("canonical").select("company_key", "k").union(lowest).distinct()
+        marked = (left.join(canon.withColumnRenamed("k", "lo"), ["company_key", "lo"], "left_semi")
+                  .select("company_key", F.col("hi").alias("k")).distinct())
+        path = f"{base}/turn={turn}"
+        marked.write.parquet(path)
+        now = spark.read.schema(schema).parquet(path)
+        left = (left.join(now.withColumnRenamed("k", "lo"), ["company_key", "lo"], "left_anti")
+                .join(now.withColumnRenamed("k", "hi"), ["company_key", "hi"], "left_anti").checkpoint())
+        turn += 1
+        if left.isEmpty():
+            return spark.read.schema(schema).parquet(base).select("company_key", "k")
+
+
+def smallest_canonicals(edges: DataFrame) -> DataFrame:
+    """The links (lo, hi, ...) from each duplicate (hi) to its smallest similar canonical (lo)."""
+    keys = ["company_key", "lo"]
+    edges = edges.checkpoint()
+    marked = greedy_canonicals(edges)
+    from_canon = edges.join(marked.withColumnRenamed("k", "lo"), keys, "left_anti")
+    rest = [c for c in edges.columns if c not in ("company_key", "hi")]
+    return from_canon.groupBy("company_key", "hi").agg(F.min_by(F.struct(*rest), "lo").alias("b")).select(
+        "company_key", "hi", *[F.col("b." + c).alias(c) for c in rest])
 
 
 def find_duplicates(postings: DataFrame,
@@ -287,7 +388,7 @@ def find_duplicates(postings: DataFrame,
     reps = grp.select("company_key", "nt", "nl", F.col("rep_ord.u").alias("url"),
                       F.col("rep_ord").alias("ord"),
                       T.key_terms("nt").alias("terms"))
-    reps = reps.checkpoint()
+    reps = numbered(reps)
     members = (eligible.join(grp, ["company_key", "nt", "nl"])
                .filter(F.col("ord") != F.col("rep_ord"))
                .select(F.col("url").alias("member"), F.col("rep_ord.u").alias("rep"))).checkpoint()
@@ -301,17 +402,12 @@ def find_duplicates(postings: DataFrame,
     # pairs that passed on Jaccard alone skipped the ratio: report its exact value
     edges = edges.withColumn("title_similarity", F.when(
         F.col("title_similarity") < 0, sequence_ratio("title1", "title2")).otherwise(F.col("title_similarity")))
-    edges = edges.select(
-        "company_key", F.col("i").alias("lo"), F.col("j").alias("hi"), F.col("oi"),
-        *DETAIL_COLS).checkpoint()
-    canon = greedy_canonicals(edges)
-    # each duplicate -> its smallest similar canonical
-    best = (edges.join(canon.select(F.col("node").alias("lo")), "lo", "left_semi")
-            .groupBy("hi").agg(F.min_by(F.struct("lo", "company_key", *DETAIL_COLS), F.col("oi")).alias("b")))
-    rep_dups = best.select(F.col("b.company_key").alias("company_key"), F.col("b.lo").alias("canonical_url"),
-                           F.col("hi").alias("duplicate_url"),
-                           F.col("b.combined_score").alias("score"),
-                           *[F.col("b." + c).alias(c) for c in DETAIL_COLS])
+    best = smallest_canonicals(edges.select("company_key", F.col("i").alias("lo"), F.col("j").alias("hi"), *DETAIL_COLS))
+    urls = reps.select("k", "url")
+    rep_dups = (best.join(urls.select(F.col("k").alias("lo"), F.col("url").alias("canonical_url")), "lo")
+                .join(urls.select(F.col("k").alias("hi"), F.col("url").alias("duplicate_url")), "hi")
+                .select("company_key", "canonical_url", "duplicate_url", F.col("combined_score").alias("score"),
+                        *DETAIL_COLS))
     # members of a canonical representative: duplicates with score 1.0
     # (equal strings: ratio 1.0, Jaccard 1.0 unless the term set is empty)
     rep_info = reps.select(F.col("url").alias("rep"), "company_key", "nt", "nl", "terms")

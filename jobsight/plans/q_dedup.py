@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from jobsight import rules
 from jobsight.functions import sql_text as S
 from jobsight.functions import text as T
-from jobsight.functions.similarity import jaccard_size_ok
 from jobsight.operators import dedup as D
 from jobsight.plans.catalog import register
 from jobsight.session import checkpoint_dir
@@ -52,13 +51,24 @@ def candidate_pairs(spark, sf_dir):
 
 
 def _reps(spark, sf_dir):
-    """Normalized postings with key terms, computed once (spread, then checkpointed)."""
+    """Normalized postings with key terms, numbered in order (spread, then one range sort)."""
     checkpoint_dir(spark)
     p = spread(doc_postings(spark, sf_dir))
     b = p.select("url", T.normalize_company("company").alias("company_key"),
                  T.normalize_title("title").alias("nt"), T.normalize_location("location").alias("nl"),
                  D.order_key(p).alias("ord"))
-    return b.withColumn("terms", T.key_terms("nt")).checkpoint()
+    return D.numbered(b.withColumn("terms", T.key_terms("nt")))
+
+
+def _jaccard_links(reps, keys, theta):
+    """(i, j, ``keys``, jaccard): pairs of postings with equal keys whose key-term Jaccard reaches ``theta``."""
+    x = reps.select("k", *keys).join(D._term_prefix(reps, theta), "k")
+    ids = D.term_pairs(x, x, keys, theta)
+    terms = reps.select("k", "terms")
+    pairs = (ids.join(terms.select(F.col("k").alias("i"), F.col("terms").alias("t1")), "i")
+             .join(terms.select(F.col("k").alias("j"), F.col("terms").alias("t2")), "j"))
+    inter, union = F.size(F.array_intersect("t1", "t2")), F.size(F.array_union("t1", "t2"))
+    return pairs.filter(inter >= F.lit(theta) * union).select("i", "j", *keys, T.jaccard("t1", "t2").alias("jaccard"))
 
 
 @register("jaccard_pairs", with_views(f"""
@@ -78,32 +88,12 @@ def jaccard_pairs(spark, sf_dir):
 
     Found with the exact term prefix filter, not by comparing all pairs.
     """
-    theta = rules.TITLE_THRESHOLD
     r = _reps(spark, sf_dir).filter(F.size("terms") > 0)
-    tp = D._term_prefix(r.select("url", "terms"), theta)
-    x = r.select("url", "company_key", "ord").join(tp, "url")
-    a = x.select(F.col("url").alias("url1"), "company_key", F.col("ord").alias("o1"), "term",
-                 F.col("tsize").alias("s1"), F.col("pos").alias("p1"))
-    b = x.select(F.col("url").alias("url2"), "company_key", F.col("ord").alias("o2"), "term",
-                 F.col("tsize").alias("s2"), F.col("pos").alias("p2"))
-    ids = (a.join(b, ["company_key", "term"])
-           .filter((F.col("o1") < F.col("o2")) & jaccard_size_ok(F.col("s1"), F.col("s2"), theta)
-                   & _jaccard_pos_ok("s1", "p1", "s2", "p2", theta))
-           .select("url1", "url2", "company_key").distinct())
-    terms = r.select("url", "terms")
-    pairs = (ids.join(terms.select(F.col("url").alias("url1"), F.col("terms").alias("t1")), "url1")
-             .join(terms.select(F.col("url").alias("url2"), F.col("terms").alias("t2")), "url2"))
-    inter = F.size(F.array_intersect("t1", "t2"))
-    union = F.size(F.array_union("t1", "t2"))
-    return (pairs.filter(inter >= F.lit(theta) * union)
-            .select("url1", "url2", "company_key", F.round(T.jaccard("t1", "t2"), 6).alias("jaccard")))
-
-
-def _jaccard_pos_ok(sa, pa, sb, pb, theta):
-    """Positional bound: after the first shared term at (pa, pb) the overlap can
-    grow by at most min(sa - pa, sb - pb); Jaccard >= theta needs theta*(sa+sb)/(1+theta)."""
-    return (F.least(F.col(sa) - F.col(pa), F.col(sb) - F.col(pb)) + 1
-            >= F.lit(theta) * (F.col(sa) + F.col(sb)) / (1.0 + theta) - F.lit(1e-9))
+    urls = r.select("k", "url")
+    return (_jaccard_links(r, ["company_key"], rules.TITLE_THRESHOLD)
+            .join(urls.select(F.col("k").alias("i"), F.col("url").alias("url1")), "i")
+            .join(urls.select(F.col("k").alias("j"), F.col("url").alias("url2")), "j")
+            .select("url1", "url2", "company_key", F.round("jaccard", 6).alias("jaccard")))
 
 
 def _dups(spark, sf_dir):
@@ -178,28 +168,13 @@ def _exact_terms(spark, sf_dir):
     term); canonicals from the same greedy rounds as fuzzy_duplicates. The
     oracle is the literal sequential greedy scan as a recursive CTE.
     """
-    theta = rules.TITLE_THRESHOLD
     r = _reps(spark, sf_dir).filter((F.col("nt") != "") & (F.col("nl") != "") & (F.size("terms") > 0))
-    tp = D._term_prefix(r.select("url", "terms"), theta)
-    x = r.select("url", "company_key", "nl", "ord").join(tp, "url")
-    a = x.select(F.col("url").alias("lo"), "company_key", "nl", F.col("ord").alias("oi"), "term",
-                 F.col("tsize").alias("si"), F.col("pos").alias("pi"))
-    b = x.select(F.col("url").alias("hi"), "company_key", "nl", F.col("ord").alias("oj"), "term",
-                 F.col("tsize").alias("sj"), F.col("pos").alias("pj"))
-    ids = (a.join(b, ["company_key", "nl", "term"])
-           .filter((F.col("oi") < F.col("oj")) & jaccard_size_ok(F.col("si"), F.col("sj"), theta)
-                   & _jaccard_pos_ok("si", "pi", "sj", "pj", theta))
-           .select("lo", "hi", "oi", "company_key").distinct())
-    terms = r.select("url", "terms")
-    e = (ids.join(terms.select(F.col("url").alias("lo"), F.col("terms").alias("t1")), "lo")
-         .join(terms.select(F.col("url").alias("hi"), F.col("terms").alias("t2")), "hi"))
-    inter = F.size(F.array_intersect("t1", "t2"))
-    union = F.size(F.array_union("t1", "t2"))
-    edges = e.filter(inter >= F.lit(theta) * union).select("lo", "hi", "oi", "company_key").checkpoint()
-    canon = D.greedy_canonicals(edges)
-    best = (edges.join(canon.select(F.col("node").alias("lo")), "lo", "left_semi")
-            .groupBy("hi", "company_key").agg(F.min_by("lo", "oi").alias("canonical_url")))
-    return best.select(F.col("hi").alias("duplicate_url"), "canonical_url", "company_key")
+    links = _jaccard_links(r, ["company_key", "nl"], rules.TITLE_THRESHOLD)
+    best = D.smallest_canonicals(links.select("company_key", F.col("i").alias("lo"), F.col("j").alias("hi"), "jaccard"))
+    urls = r.select("k", "url")
+    return (best.join(urls.select(F.col("k").alias("hi"), F.col("url").alias("duplicate_url")), "hi")
+            .join(urls.select(F.col("k").alias("lo"), F.col("url").alias("canonical_url")), "lo")
+            .select("duplicate_url", "canonical_url", "company_key"))
 
 
 @register("deduplicated_exact_terms", _jaccard_graph_sql())
