@@ -245,7 +245,8 @@ def ratio_pairs(reps: DataFrame, compat: DataFrame, theta: float) -> DataFrame:
         u, v = k[a[i]], k[b[j]]
         return pa.table({"i": np.minimum(u, v), "j": np.maximum(u, v)})
 
-    return rows.groupBy(*keys).applyInArrow(compare, "i long, j long")
+    # dealt by hand: the tiles are few bytes and much work, which must not be put into one task
+    return spread_by(rows, *keys).groupBy(*keys).applyInArrow(compare, "i long, j long")
 
 
 def candidate_pairs(reps: DataFrame, compat: DataFrame, theta_t: float) -> DataFrame:

@@ -35,6 +35,21 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
+ARROW_BYTES = 12 << 20
+_ARROW_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+_NO_LIMIT = (1 << 31) - 1
+
+
+def limit_arrow_batches(spark: SparkSession, limit: int = ARROW_BYTES) -> None:
+    """Arrow batches to Python hold at most about ``limit`` bytes, unless the session names a limit itself.
+
+    By default a batch holds 10,000 rows whatever their size: 10 GB of 1 MB pages. The setting must hold when the
+    DataFrame runs, which may be long after it was built, so it stays set in the session.
+    """
+    if int(spark.conf.get(_ARROW_LIMIT, str(_NO_LIMIT))) >= _NO_LIMIT:
+        spark.conf.set(_ARROW_LIMIT, limit)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names in spark.checkpoint.dir.
 

@@ -1,9 +1,15 @@
+import os
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import properties as P
+from jobsight.functions.lcs import Strings, lcs_lengths, near_pairs
 from jobsight.operators import dedup as D
+from jobsight.operators.joins import dealt_join
+from jobsight.session import checkpoint_dir
 
 SCHEMA = "url string, company string, title string, location string"
 
@@ -122,3 +128,97 @@ def test_driver_postings(spark):
     p = doc_postings(spark, SF001)
     rows = [(r["url"], r["company"], r["title"], r["location"]) for r in p.collect()]
     assert len(_dups(spark, rows)) > 0
+
+
+# ---- the parts of the plan ------------------------------------------------------
+
+def _lcs(x, y):
+    row = [0] * (len(y) + 1)
+    for c in x:
+        new = [0]
+        for k, d in enumerate(y):
+            new.append(row[k] + 1 if c == d else max(new[-1], row[k + 1]))
+        row = new
+    return row[-1]
+
+
+@pytest.mark.parametrize("few,batch", [(1, 64), (1, 1 << 14), (10_000, 1)])
+def test_lcs_lengths(monkeypatch, few, batch):
+    """Batches of several words, of one pair, and strings one by one."""
+    from jobsight.functions import lcs
+    monkeypatch.setattr(lcs, "FEW", few)
+    monkeypatch.setattr(lcs, "BATCH", batch)
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("aabcdé ß日😀") for _ in range(rnd.choice([0, 1, 5, 63, 64, 65, 130, 200]))) for _ in range(30)]
+    strings = Strings(texts)
+    a, b = (np.array([rnd.randrange(30) for _ in range(200)]) for _ in range(2))
+    assert lcs_lengths(strings, a, b).tolist() == [_lcs(texts[x], texts[y]) for x, y in zip(a, b)]
+
+
+def test_near_pairs_miss_none():
+    from difflib import SequenceMatcher
+    rnd = random.Random(4)
+    base = ["".join(rnd.choice("abcde ") for _ in range(rnd.choice([3, 20, 40, 220]))) for _ in range(12)]
+    texts = base + [t[:k] + rnd.choice("xy") + t[k + rnd.randint(0, 2):] for t in base for k in (0, len(t) // 2)]
+    everyone = np.arange(len(texts))
+    for theta in (0.6, 0.85, 1.0):
+        i, j = near_pairs(Strings(texts), everyone, everyone, theta)
+        found = set(zip(i.tolist(), j.tolist()))
+        for x in range(len(texts)):
+            for y in range(len(texts)):
+                if SequenceMatcher(None, texts[x], texts[y]).ratio() >= theta:
+                    assert (x, y) in found
+
+
+def test_small_blocks_give_the_same(spark, monkeypatch):
+    """Many tiles, length bands, dealt terms and several greedy rounds."""
+    rnd = random.Random(11)
+    rows = [(f"s{i:03d}", rnd.choice(["A", "A", "B"]), " ".join(rnd.choice(WORDS) for _ in range(rnd.randint(1, 5))),
+             rnd.choice(LOCS)) for i in range(90)]
+    want = _dups(spark, rows, title_threshold=0.7)
+    monkeypatch.setattr(D, "TILE", 6)
+    monkeypatch.setattr(D, "HEAVY", 3)
+    monkeypatch.setattr(D, "LOCAL_EDGES", 4)
+    assert _dups(spark, rows, title_threshold=0.7) == want
+
+
+def test_a_long_chain_needs_few_rounds(spark, monkeypatch):
+    """10,000 postings, each similar to the next one: 5,000 dependent decisions."""
+    monkeypatch.setattr(D, "LOCAL_EDGES", 1000)
+    base = checkpoint_dir(spark)
+    local = base.removeprefix("file:")
+    before = set(os.listdir(local))
+    n = 10_000
+    chain = spark.range(n - 1).select(F.lit("c").alias("company_key"), F.col("id").alias("lo"), (F.col("id") + 1).alias("hi"))
+    marked = sorted(r["k"] for r in D.greedy_canonicals(chain).collect())
+    assert marked == list(range(1, n, 2))
+    folder, = [f for f in set(os.listdir(local)) - before if f.startswith("greedy-")]
+    assert len([t for t in os.listdir(f"{local}/{folder}") if t.startswith("turn=")]) <= 20
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_greedy_order_on_random_graphs(spark, monkeypatch, seed):
+    monkeypatch.setattr(D, "LOCAL_EDGES", 20)
+    rnd = random.Random(seed)
+    edges = {(c, *sorted(rnd.sample(range(60), 2))) for c in ("x", "y", None) for _ in range(80)}
+    marked = {(r["company_key"], r["k"]) for r in D.greedy_canonicals(
+        spark.createDataFrame(sorted(edges, key=str), "company_key string, lo long, hi long").filter("company_key is not null")).collect()}
+    for c in ("x", "y"):
+        canonical = []
+        for k in sorted({n for e in edges if e[0] == c for n in e[1:]}):
+            if any((c, x, k) in edges for x in canonical):
+                assert (c, k) in marked
+            else:
+                canonical.append(k)
+                assert (c, k) not in marked
+
+
+def test_a_hot_key_is_dealt(spark):
+    """One key holds all rows but a few: no task gets much more than the others."""
+    left = spark.range(2000).select(F.lit("hot").alias("key"), F.col("id").alias("i"))
+    left = left.union(spark.createDataFrame([("cold", 5000)], "key string, i long"))
+    right = left.withColumnRenamed("i", "j")
+    near = dealt_join(left, right, ["key"], "i", "j", 100, (F.col("i") < F.col("j")) & (F.col("j") - F.col("i") < 3))
+    assert {(r["i"], r["j"]) for r in near.collect()} == {(i, i + d) for i in range(2000) for d in (1, 2) if i + d < 2000}
+    sizes = sorted(r["count"] for r in dealt_join(left, right, ["key"], "i", "j", 100).groupBy(F.spark_partition_id()).count().collect())
+    assert sum(sizes) == 2000 * 2000 + 1 and sizes[-1] <= 5 * sizes[len(sizes) // 2]
