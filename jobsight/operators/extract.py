@@ -1,8 +1,8 @@
 """Extraction from raw pages.
 
 E1 / E8 need a real (forgiving) HTML tree: they run the stdlib html.parser
-inside ``mapInPandas``, one Arrow batch of pages at a time, emitting N
-postings per page. Everything else (listing indicators, profiles, totals,
+inside ``mapInArrow``, over batches of bounded bytes, emitting N postings and
+one outcome per page. Everything else (listing indicators, profiles, totals,
 endpoints, patterns, page plans, validation) is regex and array columns that
 stay in the JVM. Patterns are written so Java and RE2 read them alike.
 """
@@ -10,15 +10,17 @@ stay in the JVM. Patterns are written so Java and RE2 read them alike.
 from __future__ import annotations
 
 import re
+from html import escape
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobsight import rules
 from jobsight.functions.text import company_from_url, host_of, job_id_from_url
+from jobsight.session import limit_arrow_batches
 
 # ---- a minimal DOM on top of html.parser --------------------------------------
 
@@ -59,6 +61,22 @@ class _Node:
     def text(self, sep=""):
         return sep.join(t.strip() for t in self.texts() if t.strip())
 
+    def markup(self):
+        """The element as HTML: attributes in quotes, text escaped, void elements closed."""
+        out, stack = [], [(self, False)]
+        while stack:
+            n, raw = stack.pop()
+            if isinstance(n, str):
+                out.append(n if raw else escape(n, quote=False))
+                continue
+            attrs = "".join(f' {k}="{escape(v, quote=False).replace(chr(34), "&quot;")}"' for k, v in n.attrs.items())
+            out.append(f"<{n.tag}{attrs}/>" if n.tag in _VOID else f"<{n.tag}{attrs}>")
+            if n.tag not in _VOID:
+                raw = n.tag in ("script", "style")
+                stack.append((f"</{n.tag}>", True))
+                stack.extend((c, raw) for c in reversed(n.children))
+        return "".join(out)
+
 
 class _Builder(HTMLParser):
     def __init__(self):
@@ -86,14 +104,15 @@ class _Builder(HTMLParser):
         self.cur.children.append(data)
 
 
-def parse_html(html: str) -> _Node:
+def parse_html(html: str) -> tuple[_Node, str | None]:
+    """(tree, error): malformed input gives what was read before the parser gave up, and why it did."""
     b = _Builder()
     try:
         b.feed(html or "")
         b.close()
-    except Exception:  # malformed input: keep what was built
-        pass
-    return b.root
+    except Exception as ex:  # the parser raises errors of several kinds; they become the page's outcome
+        return b.root, f"{type(ex).__name__}: {ex}"
+    return b.root, None
 
 
 def _class_matches(node, rx):
@@ -103,14 +122,14 @@ def _class_matches(node, rx):
 def postings_from_html(html: str, site_url: str, page_url: str | None = None,
                        link_pattern: str | None = rules.JOB_LINK_PATTERN,
                        title_tag: str | None = None):
-    """One page -> list of posting dicts (the per-row helper of E1).
+    """One page -> (list of posting dicts, parser error or None): the per-row helper of E1.
 
     With ``link_pattern`` (default): the first <a> of each <article> whose
     href matches (case-insensitive) gives title and URL; an article without
     one yields nothing. With ``link_pattern=None`` the first ``title_tag``
     element gives the title and the page URL is the posting URL.
     """
-    root = parse_html(html)
+    root, error = parse_html(html)
     link_rx = re.compile(link_pattern, re.I) if link_pattern else None
     loc_rx = re.compile(rules.LOCATION_CLASS_PATTERN, re.I)
     out = []
@@ -134,44 +153,73 @@ def postings_from_html(html: str, site_url: str, page_url: str | None = None,
             date = tm.attrs.get("datetime") or tm.text()
         out.append({"title": title, "url": url, "location": loc.text() if loc is not None else None,
                     "date_posted": date})
-    return out
+    return out, error
 
 
 def description_from_html(html: str):
-    """E8 helper: (description_text, description_tag) of a detail page."""
-    root = parse_html(html)
+    """E8 helper: (description_text, description_html, description_tag) of a detail page."""
+    root, _ = parse_html(html)
     rx = re.compile(rules.DESCRIPTION_CLASS_PATTERN, re.I)
     for tag in ("div", "section"):
         n = root.find(lambda x, t=tag: x.tag == t and "class" in x.attrs and _class_matches(x, rx))
         if n is not None:
-            return n.text("\n"), tag
+            return n.text("\n"), n.markup(), tag
     n = root.find(lambda x: x.tag == "article")
     if n is not None:
-        return n.text("\n"), "article"
-    return None, None
+        return n.text("\n"), n.markup(), "article"
+    return None, None, None
 
 
-_POSTING_SCHEMA = ("page_url string, site_url string, title string, url string, location string, "
-                   "date_posted string")
+_PARSED = ("page_url string, site_url string, title string, url string, location string, "
+           "date_posted string, postings int, error string")
 
 
-def extract_postings(pages: DataFrame, link_pattern: str | None = rules.JOB_LINK_PATTERN,
-                     title_tag: str | None = None, scraped_at=None) -> DataFrame:
-    """pages(url, site_url, html) -> postings.
+def parse_pages(pages: DataFrame, link_pattern: str | None = rules.JOB_LINK_PATTERN,
+                title_tag: str | None = None) -> DataFrame:
+    """One parse of pages(url, site_url, html): a row per posting, and a row per page with its outcome.
 
-    Output: title, url, job_id, location, company_url, company, scraped_at,
-    metadata map<string,string> (date_posted), description (null), page_url.
+    A page's row has ``postings`` (how many it gave) and ``error`` (why the parser gave up, else null); in posting
+    rows ``postings`` is null. Rows go out page by page, so a batch of pages never stands in memory as rows.
     """
+    limit_arrow_batches(pages.sparkSession)
+    names = [c.split()[0] for c in _PARSED.split(", ")]
+
     def parse(batches):
-        for pdf in batches:
+        for batch in batches:
             rows = []
-            for page_url, site_url, html in zip(pdf["url"], pdf["site_url"], pdf["html"]):
-                for p in postings_from_html(html, site_url, page_url, link_pattern, title_tag):
-                    rows.append((page_url, site_url, p["title"], p["url"], p["location"], p["date_posted"]))
-            yield pd.DataFrame(rows, columns=["page_url", "site_url", "title", "url", "location",
-                                              "date_posted"])
+            for page_url, site_url, html in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                found, error = postings_from_html(html, site_url, page_url, link_pattern, title_tag)
+                rows += [(page_url, site_url, p["title"], p["url"], p["location"], p["date_posted"], None, None)
+                         for p in found]
+                rows.append((page_url, site_url, None, None, None, None, len(found), error))
+                if len(rows) >= 10_000:
+                    yield _batch(rows, names)
+                    rows = []
+            yield _batch(rows, names)
+
+    return pages.select("url", "site_url", "html").mapInArrow(parse, _PARSED)
+
+
+def _batch(rows, names):
+    kinds = [pa.string()] * 6 + [pa.int32(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+
 
-    raw = pages.select("url", "site_url", "html").mapInPandas(parse, _POSTING_SCHEMA)
+def page_outcomes(parsed: DataFrame) -> DataFrame:
+    """(page_url, site_url, postings, error) of each page, from ``parse_pages``."""
+    return parsed.filter(F.col("postings").isNotNull()).select("page_url", "site_url", "postings", "error")
+
+
+def site_outcomes(outcomes: DataFrame, run_id: str) -> DataFrame:
+    """(run, company, success, error, stopped_early) of each site, from its pages: it fails if a page does."""
+    per = outcomes.groupBy(company_from_url(F.col("site_url")).alias("company")).agg(F.max("error").alias("error"))
+    return per.select(F.lit(run_id).alias("run"), "company", F.col("error").isNull().alias("success"), "error",
+                      F.lit(False).alias("stopped_early"))
+
+
+def postings_of(parsed: DataFrame, scraped_at=None) -> DataFrame:
+    """The postings of ``parse_pages``."""
+    raw = parsed.filter(F.col("postings").isNull())
     meta = F.when(F.col("date_posted").isNotNull(),
                   F.create_map(F.lit("date_posted"), F.col("date_posted"))) \
         .otherwise(F.create_map().cast("map<string,string>"))
@@ -183,20 +231,33 @@ def extract_postings(pages: DataFrame, link_pattern: str | None = rules.JOB_LINK
         "page_url")
 
 
+def extract_postings(pages: DataFrame, link_pattern: str | None = rules.JOB_LINK_PATTERN,
+                     title_tag: str | None = None, scraped_at=None) -> DataFrame:
+    """pages(url, site_url, html) -> postings.
+
+    Output: title, url, job_id, location, company_url, company, scraped_at,
+    metadata map<string,string> (date_posted), description (null), page_url.
+    """
+    return postings_of(parse_pages(pages, link_pattern, title_tag), scraped_at)
+
+
 def extract_descriptions(pages: DataFrame) -> DataFrame:
-    """(url, description_text, description_tag) per detail page."""
+    """(url, description_text, description_html, description_tag) per detail page."""
+    limit_arrow_batches(pages.sparkSession)
+    names = ["url", "description_text", "description_html", "description_tag"]
+
     def parse(batches):
-        for pdf in batches:
-            out = [(u, *description_from_html(h)) for u, h in zip(pdf["url"], pdf["html"])]
-            yield pd.DataFrame(out, columns=["url", "description_text", "description_tag"])
+        for batch in batches:
+            found = [description_from_html(h) for h in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *[pa.array([f[k] for f in found], pa.string()) for k in range(3)]], names=names)
 
-    return pages.select("url", "html").mapInPandas(
-        parse, "url string, description_text string, description_tag string")
+    return pages.select("url", "html").mapInArrow(parse, ", ".join(f"{n} string" for n in names))
 
 
 def attach_descriptions(postings: DataFrame, descriptions: DataFrame) -> DataFrame:
     """E8 join: postings left-joined with their detail-page descriptions on url."""
-    d = descriptions.select("url", F.col("description_text").alias("_d"))
+    d = descriptions.select("url", F.col("description_text").alias("_d"), "description_html")
     out = postings.join(d, "url", "left")
     return out.withColumn("description", F.coalesce("_d", "description")).drop("_d")
 

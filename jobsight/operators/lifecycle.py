@@ -3,11 +3,11 @@
 The state table ``jobs`` has one row per URL::
 
     url, company, title, location, job_id, first_seen, last_seen,
-    scrape_count, is_active
+    scrape_count, metadata, is_active
 
 A batch is a DataFrame of observations::
 
-    url, company, title, location, job_id, ts, seq, run
+    url, company, title, location, job_id, ts, seq, run [, metadata]
 
 ``seq`` orders observations of one URL inside a run (ties are impossible when
 it is unique), ``run`` orders runs (a crawl cycle: day, run id...). A batch may
@@ -15,7 +15,9 @@ hold several runs; the closed forms below give the same result as applying
 the runs one after another, each run doing: upsert every observation in seq
 order, then deactivate the active URLs of the run's sites that were not seen.
 A site is a company: a company with no observation in a run is not scraped
-in that run and deactivates nothing.
+in that run and deactivates nothing. A run of a company that is named as
+incomplete (it failed, or stopped before its last page) adds and refreshes
+URLs but deactivates none: what it did not see waits for the next complete run.
 
 Skew: per-company run ranks are computed on the distinct (company, run)
 table, never with a window over all rows of a company; the fold is a hash
@@ -31,31 +33,39 @@ from pyspark.sql import functions as F
 from jobsight.session import checkpoint_dir
 
 STATE_COLS = ["url", "company", "title", "location", "job_id", "first_seen",
-              "last_seen", "scrape_count", "is_active"]
+              "last_seen", "scrape_count", "metadata", "is_active"]
 
 
 def empty_state(spark) -> DataFrame:
     return spark.createDataFrame(
         [], "url string, company string, title string, location string, job_id string, "
-            "first_seen timestamp, last_seen timestamp, scrape_count bigint, is_active boolean")
+            "first_seen timestamp, last_seen timestamp, scrape_count bigint, metadata map<string,string>, "
+            "is_active boolean")
 
 
-def company_runs(batch: DataFrame) -> DataFrame:
-    """(company, run, crank): rank of a run among the runs that scraped the company.
+def company_runs(batch: DataFrame, incomplete: DataFrame | None = None) -> DataFrame:
+    """(company, run, complete, done_before, done_upto): the company's complete runs before and up to each run.
 
     Built on the distinct (company, run) pairs, a table of #sites x #runs
     rows, so a company holding most of the observations costs nothing extra.
+    ``incomplete`` names (company, run) pairs.
     """
     pairs = batch.select("company", "run").distinct()
+    if incomplete is None:
+        pairs = pairs.withColumn("complete", F.lit(True))
+    else:
+        named = incomplete.select("company", "run").distinct().withColumn("_open", F.lit(True))
+        pairs = pairs.join(named, ["company", "run"], "left").select("company", "run", F.col("_open").isNull().alias("complete"))
     w = Window.partitionBy("company").orderBy("run")
-    return pairs.withColumn("crank", F.dense_rank().over(w))
+    done = F.col("complete").cast("int")
+    return pairs.withColumn("done_upto", F.sum(done).over(w)).withColumn("done_before", F.col("done_upto") - done)
 
 
-def _ranked(batch: DataFrame) -> DataFrame:
-    return batch.join(company_runs(batch), ["company", "run"])
+def _ranked(batch: DataFrame, incomplete: DataFrame | None) -> DataFrame:
+    return batch.join(company_runs(batch, incomplete), ["company", "run"])
 
 
-def classify_changes(jobs: DataFrame, batch: DataFrame) -> DataFrame:
+def classify_changes(jobs: DataFrame, batch: DataFrame, incomplete: DataFrame | None = None) -> DataFrame:
     """L1 + L4: one action per observation: new / updated / unchanged.
 
     updated = title or location differ (null-safe) from the row as stored just
@@ -67,19 +77,19 @@ def classify_changes(jobs: DataFrame, batch: DataFrame) -> DataFrame:
     URL's previous run (a max_by aggregate per (url, run), then a window over
     one row per run of the URL) or else the stored state row.
     """
-    b = _ranked(batch)
+    b = _ranked(batch, incomplete)
     w_in = Window.partitionBy("url", "run").orderBy("seq")
     b = (b.withColumn("p_title", F.lag("title").over(w_in))
          .withColumn("p_location", F.lag("location").over(w_in))
          .withColumn("first_in_run", F.lag("seq").over(w_in).isNull()))
     last = b.groupBy("url", "run").agg(F.max_by("title", "seq").alias("l_title"),
                                        F.max_by("location", "seq").alias("l_location"),
-                                       F.max("crank").alias("l_crank"))
+                                       F.max("done_upto").alias("l_upto"))
     w_runs = Window.partitionBy("url").orderBy("run")
     prev_run = last.select(
         "url", "run", F.lag("l_title").over(w_runs).alias("r_title"),
         F.lag("l_location").over(w_runs).alias("r_location"),
-        F.lag("l_crank").over(w_runs).alias("r_crank"),
+        F.lag("l_upto").over(w_runs).alias("r_upto"),
         F.lag("run").over(w_runs).isNotNull().alias("has_prev_run"))
     known = (jobs.join(batch.select("url").distinct(), "url", "left_semi")
              .select("url", F.col("title").alias("s_title"), F.col("location").alias("s_location"),
@@ -93,8 +103,8 @@ def classify_changes(jobs: DataFrame, batch: DataFrame) -> DataFrame:
                      .otherwise(F.col("s_location")))
     seen_before = inside | from_run | F.coalesce(F.col("s_exists"), F.lit(False))
     active_before = (F.when(inside, F.lit(True))
-                     .when(from_run, F.col("crank") - F.col("r_crank") == 1)
-                     .otherwise(F.coalesce(F.col("s_active"), F.lit(False)) & (F.col("crank") == 1)))
+                     .when(from_run, F.col("done_before") == F.col("r_upto"))
+                     .otherwise(F.coalesce(F.col("s_active"), F.lit(False)) & (F.col("done_before") == 0)))
     changed = (~F.col("title").eqNullSafe(prev_title) | ~F.col("location").eqNullSafe(prev_location)
                | ~active_before)
     action = (F.when(~seen_before, F.lit("new")).when(changed, F.lit("updated"))
@@ -104,25 +114,30 @@ def classify_changes(jobs: DataFrame, batch: DataFrame) -> DataFrame:
                       "action", (F.col("action") != "unchanged").alias("changed"))
 
 
-def upsert(jobs: DataFrame, batch: DataFrame) -> DataFrame:
+def upsert(jobs: DataFrame, batch: DataFrame, incomplete: DataFrame | None = None) -> DataFrame:
     """L2 + L3 folded: the state after applying every run of the batch.
 
     Observations of one URL are folded with a hash aggregate (count, min/max
     ts, last value by (run, seq)); the state is merged by a full outer join
-    on url. ``now`` of the source is the observation's ts.
+    on url. ``now`` of the source is the observation's ts. Title, location,
+    job id and metadata are those of the last sighting.
     """
     okey = F.struct("run", "seq")
+    if "metadata" not in batch.columns:
+        batch = batch.withColumn("metadata", F.lit(None).cast("map<string,string>"))
     folded = batch.groupBy("url").agg(
         F.count(F.lit(1)).alias("n_obs"),
         F.min("ts").alias("b_first"),
         F.max("ts").alias("b_last"),
-        F.max_by("title", okey).alias("b_title"),
-        F.max_by("location", okey).alias("b_location"),
-        F.max_by("job_id", okey).alias("b_job_id"),
+        # a map cannot be compared, so it travels as a value, never in a key
+        *[F.max_by(c, okey).alias("b_" + c) for c in ("title", "location", "job_id", "metadata")],
         F.min_by("company", okey).alias("b_company"),
         F.max("run").alias("b_run"))
-    # the last run of every scraped company; a URL belongs to the company it is stored under
-    last_run = batch.groupBy("company").agg(F.max("run").alias("c_run"))
+    # the last complete run of every scraped company; a URL belongs to the company it is stored under
+    scraped = batch.select("company", "run").distinct()
+    if incomplete is not None:
+        scraped = scraped.join(incomplete.select("company", "run"), ["company", "run"], "left_anti")
+    last_run = scraped.groupBy("company").agg(F.max("run").alias("c_run"))
     s = jobs.alias("s")
     f = folded.alias("f")
     merged = s.join(f, F.col("s.url") == F.col("f.url"), "full_outer")
@@ -130,9 +145,8 @@ def upsert(jobs: DataFrame, batch: DataFrame) -> DataFrame:
     merged = merged.select(
         F.coalesce(F.col("s.url"), F.col("f.url")).alias("url"),
         F.coalesce(F.col("s.company"), F.col("f.b_company")).alias("company"),
-        F.when(inb, F.col("f.b_title")).otherwise(F.col("s.title")).alias("title"),
-        F.when(inb, F.col("f.b_location")).otherwise(F.col("s.location")).alias("location"),
-        F.when(inb, F.col("f.b_job_id")).otherwise(F.col("s.job_id")).alias("job_id"),
+        *[F.when(inb, F.col("f.b_" + c)).otherwise(F.col("s." + c)).alias(c)
+          for c in ("title", "location", "job_id", "metadata")],
         F.coalesce(F.col("s.first_seen"), F.col("f.b_first")).alias("first_seen"),
         F.when(inb, F.col("f.b_last")).otherwise(F.col("s.last_seen")).alias("last_seen"),
         (F.coalesce(F.col("s.scrape_count"), F.lit(0))
@@ -145,49 +159,70 @@ def upsert(jobs: DataFrame, batch: DataFrame) -> DataFrame:
     return merged.select(*STATE_COLS[:-1], is_active.alias("is_active"))
 
 
-def deactivations(jobs: DataFrame, batch: DataFrame) -> DataFrame:
+def deactivations(jobs: DataFrame, batch: DataFrame, incomplete: DataFrame | None = None) -> DataFrame:
     """L3: (run, company, url) for every URL a run switched to inactive.
 
-    Active at the end of a company's previous run = seen in that run (or, for
-    the company's first run in the batch, active in the stored state); those
-    not seen in the current run are deactivated: a left-anti join.
+    Active when a company's complete run begins = seen since its last complete
+    run began (or, for the first one in the batch, active in the stored
+    state); those not seen in the run itself are deactivated: a left-anti join.
     """
-    ranks = company_runs(batch)
-    seen = _ranked(batch).select("company", "crank", "url").distinct()
-    carried = seen.select("company", (F.col("crank") + 1).alias("crank"), "url")
-    firsts = ranks.filter(F.col("crank") == 1).select("company", "crank")
-    from_state = (jobs.filter(F.col("is_active")).select("company", "url")
-                  .join(firsts, "company"))
-    before = carried.unionByName(from_state.select("company", "crank", "url"))
-    gone = before.join(seen, ["company", "crank", "url"], "left_anti")
-    return gone.join(ranks, ["company", "crank"]).select("run", "company", "url")
-
-
-def mark_inactive(jobs: DataFrame, seen: DataFrame, company: str | None = None) -> DataFrame:
+    ranks = company_runs(batch, incomplete)
+    # the complete run that decides on a sighting: the run itself does not, the next complete one does
+    seen = _ranked(batch, incomplete).select("company", "done_upto", "complete", "url").distinct()
+    carried = seen.select("company", (F.col("done_upto") + 1).alias("nth"), "url").distinct()
+    firsts = ranks.filter(F.col("complete") & (F.col("done_upto") == 1)).select("company", F.lit(1).cast("long").alias("nth"))
+    from_state = jobs.filter(F.col("is_active")).select("company", "url").join(firsts, "company")
+    before = carried.unionByName(from_state.select("company", "nth", "url")).distinct()
+    now = seen.filter("complete").select("company", F.col("done_upto").alias("nth"), "url")
+    deciding = ranks.filter("complete").select("company", "run", F.col("done_upto").alias("nth"))
+    gone = before.join(now, ["company", "nth", "url"], "left_anti")
+    return gone.join(deciding, ["company", "nth"]).select("run", "company", "url")
+
+
+def mark_inactive(jobs: DataFrame, seen: DataFrame, company: str | None = None,
+                  incomplete: DataFrame | None = None) -> DataFrame:
     """L3 for one run: active rows of the company (or all) not in ``seen``.
 
     ``seen`` holds a ``url`` column; when it is empty every active row in
-    scope is deactivated. Returns the new state; the affected count is
-    ``count_deactivated(old, new)``.
+    scope is deactivated. Companies in ``incomplete`` (company) keep theirs.
+    Returns the new state.
     """
     scope = F.col("is_active") & (F.col("company") == F.lit(company) if company else F.lit(True))
     hit = jobs.join(seen.select("url").distinct().withColumn("_seen", F.lit(True)), "url", "left")
+    if incomplete is not None:
+        hit = hit.join(incomplete.select("company").distinct().withColumn("_open", F.lit(True)), "company", "left")
+        scope = scope & F.col("_open").isNull()
     new_active = F.when(scope & F.col("_seen").isNull(), F.lit(False)).otherwise(F.col("is_active"))
     return hit.select(*[new_active.alias(c) if c == "is_active" else F.col(c) for c in STATE_COLS])
 
 
-def site_stats(actions: DataFrame, deactivated: DataFrame) -> DataFrame:
-    """Per (run, site) counters."""
+COUNTERS = ["jobs_found", "jobs_new", "jobs_updated", "jobs_unchanged", "jobs_deactivated"]
+
+
+def site_stats(actions: DataFrame, deactivated: DataFrame, outcomes: DataFrame | None = None) -> DataFrame:
+    """Per (run, site) counters, with the outcome of the crawl.
+
+    ``outcomes`` (run, company, success, error, stopped_early) has a row for
+    each attempted site, those without postings included; they are joined
+    from both sides, so a failed or empty site counts with zeros and a site
+    without an outcome row counts as a success.
+    """
     acts = actions.groupBy("run", "company").agg(
         F.count(F.lit(1)).alias("jobs_found"),
         F.count_if(F.col("action") == "new").alias("jobs_new"),
         F.count_if(F.col("action") == "updated").alias("jobs_updated"),
         F.count_if(F.col("action") == "unchanged").alias("jobs_unchanged"))
     deac = deactivated.groupBy("run", "company").agg(F.count(F.lit(1)).alias("jobs_deactivated"))
-    return (acts.join(deac, ["run", "company"], "left")
-            .select("run", "company", "jobs_found", "jobs_new", "jobs_updated", "jobs_unchanged",
-                    F.coalesce("jobs_deactivated", F.lit(0)).cast("bigint").alias("jobs_deactivated"),
-                    F.lit(True).alias("success")))
+    stats = acts.join(deac, ["run", "company"], "left")
+    if outcomes is None:
+        how = {"success": F.lit(True), "error": F.lit(None).cast("string"), "stopped_early": F.lit(False)}
+    else:
+        stats = stats.join(outcomes.select("run", "company", "success", "error", "stopped_early"),
+                           ["run", "company"], "full_outer")
+        how = {"success": F.coalesce("success", F.lit(True)), "error": F.col("error"),
+               "stopped_early": F.coalesce("stopped_early", F.lit(False))}
+    return stats.select("run", "company", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in COUNTERS],
+                        *[v.alias(k) for k, v in how.items()])
 
 
 def run_totals(stats: DataFrame) -> DataFrame:
@@ -197,15 +232,15 @@ def run_totals(stats: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("sites_scraped"),
         F.count_if(ok).alias("sites_succeeded"),
         F.count_if(~ok).alias("sites_failed"),
-        *[F.sum(F.when(ok, F.col(c)).otherwise(0)).cast("bigint").alias(c)
-          for c in ["jobs_found", "jobs_new", "jobs_updated", "jobs_unchanged", "jobs_deactivated"]])
+        *[F.sum(F.when(ok, F.col(c)).otherwise(0)).cast("bigint").alias(c) for c in COUNTERS])
 
 
 def run_ledger(totals: DataFrame, batch: DataFrame) -> DataFrame:
     """One completed ledger row per run (start/finish = first/last observation)."""
     times = batch.groupBy("run").agg(F.min("ts").alias("started_at"),
                                      F.max("ts").alias("completed_at"))
-    return times.join(totals, "run").select(
+    # a run whose sites all failed has no observations and no times
+    return times.join(totals, "run", "right").select(
         F.col("run").cast("string").alias("run_id"), "started_at", "completed_at",
         "sites_scraped", "jobs_found", "jobs_new", "jobs_updated", "jobs_unchanged",
         "jobs_deactivated", F.lit("completed").alias("status"),
@@ -288,17 +323,22 @@ def smart_stop(listing: DataFrame, active: DataFrame, n: int = 5, max_pages: int
         F.col("stop_page").isNotNull().alias("stopped_early"))
 
 
-def ingest(jobs: DataFrame, batch: DataFrame):
+def ingest(jobs: DataFrame, batch: DataFrame, outcomes: DataFrame | None = None, complete_only: bool = False):
     """One batch (one or more runs) -> (new_state, actions, deactivated, site_stats, ledger).
 
     The batch is read once; actions and deactivations are cut with checkpoint(), as the counters, the ledger and
-    the report all read them.
+    the report all read them. A site that failed in a run (``outcomes``, see ``site_stats``) deactivates nothing
+    there; with ``complete_only`` neither does one that stopped early.
     """
     checkpoint_dir(batch.sparkSession)
     batch = batch.checkpoint()
-    actions = classify_changes(jobs, batch).checkpoint()
-    gone = deactivations(jobs, batch).checkpoint()
-    state = upsert(jobs, batch)
-    stats = site_stats(actions, gone)
+    incomplete = None
+    if outcomes is not None:
+        unfinished = ~F.col("success") | (F.col("stopped_early") if complete_only else F.lit(False))
+        incomplete = outcomes.filter(unfinished).select("company", "run")
+    actions = classify_changes(jobs, batch, incomplete).checkpoint()
+    gone = deactivations(jobs, batch, incomplete).checkpoint()
+    state = upsert(jobs, batch, incomplete)
+    stats = site_stats(actions, gone, outcomes)
     ledger = run_ledger(run_totals(stats), batch)
     return state, actions, gone, stats, ledger

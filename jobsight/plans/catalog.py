@@ -32,6 +32,7 @@ def _load_all():
     from jobsight.plans import q_normalize  # noqa: F401
     from jobsight.plans import q_lifecycle  # noqa: F401
     from jobsight.plans import q_pages  # noqa: F401
+    from jobsight.plans import q_listings  # noqa: F401
     from jobsight.plans import q_dedup  # noqa: F401
     from jobsight.plans import q_stream  # noqa: F401
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from jobsight.operators import lifecycle as L
 from jobsight.operators import queries as Q
 from jobsight.plans.catalog import register
-from jobsight.sources.views import observations, with_views
+from jobsight.sources.views import crawl_outcomes, observations, with_views
 
 AS_OF = dt.datetime(2024, 1, 31, 0, 0, 0, tzinfo=dt.timezone.utc)
 RECENT_DAYS = 7
@@ -28,53 +28,66 @@ def _us(c):
 
 # ---- SQL building blocks ----------------------------------------------------------
 
-_BASE = """
-, cr AS (SELECT company, run, dense_rank() OVER (PARTITION BY company ORDER BY run) AS crank
-         FROM (SELECT DISTINCT company, run FROM observations))
-, b AS (SELECT o.*, cr.crank FROM observations o JOIN cr USING (company, run))"""
+def _base(complete="1"):
+    """Runs of each company with the complete ones counted; ``complete`` says which are (1 or 0)."""
+    return f"""
+, cr AS (SELECT company, run, complete, upto, upto - complete AS before
+         FROM (SELECT company, run, complete, sum(complete) OVER (PARTITION BY company ORDER BY run) AS upto
+               FROM (SELECT company, run, {complete} AS complete FROM (SELECT DISTINCT company, run FROM observations))))
+, b AS (SELECT o.*, cr.complete, cr.upto, cr.before FROM observations o JOIN cr USING (company, run))"""
+
+
+_BASE = _base()
+_FINISHED = _base("CASE WHEN (company, run) IN (SELECT (company, run) FROM crawl_outcomes WHERE NOT success) THEN 0 ELSE 1 END")
+_WHOLE = _base("CASE WHEN (company, run) IN (SELECT (company, run) FROM crawl_outcomes WHERE NOT success OR stopped_early)"
+               " THEN 0 ELSE 1 END")
 
 _ACTS = """
 , w AS (SELECT b.*, lag(url) OVER win AS p_url, lag(title) OVER win AS p_title,
-               lag(location) OVER win AS p_loc, lag(run) OVER win AS p_run, lag(crank) OVER win AS p_crank
+               lag(location) OVER win AS p_loc, lag(run) OVER win AS p_run, lag(upto) OVER win AS p_upto
         FROM b WINDOW win AS (PARTITION BY url ORDER BY run, seq))
 , acts AS (SELECT url, company, seq, run,
                   CASE WHEN p_url IS NULL THEN 'new'
                        WHEN title IS DISTINCT FROM p_title OR location IS DISTINCT FROM p_loc
-                            OR NOT (p_run = run OR crank - p_crank = 1) THEN 'updated'
+                            OR NOT (p_run = run OR before = p_upto) THEN 'updated'
                        ELSE 'unchanged' END AS action
            FROM w)"""
 
 _GONE = """
-, seen AS (SELECT DISTINCT company, crank, url FROM b)
-, gone AS (SELECT cr.run, s.company, s.url FROM seen s
-           JOIN cr ON cr.company = s.company AND cr.crank = s.crank + 1
-           WHERE NOT EXISTS (SELECT 1 FROM seen t WHERE t.company = s.company
-                             AND t.crank = s.crank + 1 AND t.url = s.url))"""
+, seen AS (SELECT DISTINCT company, complete, upto, url FROM b)
+, gone AS (SELECT cr.run, s.company, s.url FROM (SELECT DISTINCT company, upto + 1 AS nth, url FROM seen) s
+           JOIN cr ON cr.company = s.company AND cr.complete = 1 AND cr.upto = s.nth
+           WHERE NOT EXISTS (SELECT 1 FROM seen t WHERE t.company = s.company AND t.complete = 1
+                             AND t.upto = s.nth AND t.url = s.url))"""
 
 _STATS = """
 , site_stats AS (
-    SELECT a.run, a.company, a.jobs_found, a.jobs_new, a.jobs_updated, a.jobs_unchanged,
-           CAST(coalesce(d.n, 0) AS BIGINT) AS jobs_deactivated, true AS success
+    SELECT run, company, coalesce(a.jobs_found, 0) AS jobs_found, coalesce(a.jobs_new, 0) AS jobs_new,
+           coalesce(a.jobs_updated, 0) AS jobs_updated, coalesce(a.jobs_unchanged, 0) AS jobs_unchanged,
+           CAST(coalesce(d.n, 0) AS BIGINT) AS jobs_deactivated, coalesce(o.success, true) AS success, o.error,
+           coalesce(o.stopped_early, false) AS stopped_early
     FROM (SELECT run, company, CAST(count(*) AS BIGINT) AS jobs_found,
                  CAST(count(*) FILTER (WHERE action = 'new') AS BIGINT) AS jobs_new,
                  CAST(count(*) FILTER (WHERE action = 'updated') AS BIGINT) AS jobs_updated,
                  CAST(count(*) FILTER (WHERE action = 'unchanged') AS BIGINT) AS jobs_unchanged
           FROM acts GROUP BY run, company) a
-    LEFT JOIN (SELECT run, company, count(*) AS n FROM gone GROUP BY run, company) d USING (run, company))
+    LEFT JOIN (SELECT run, company, count(*) AS n FROM gone GROUP BY run, company) d USING (run, company)
+    FULL JOIN crawl_outcomes o USING (run, company))
 , run_totals AS (
     SELECT run, CAST(count(*) AS BIGINT) AS sites_scraped,
            CAST(count(*) FILTER (WHERE success) AS BIGINT) AS sites_succeeded,
            CAST(count(*) FILTER (WHERE NOT success) AS BIGINT) AS sites_failed,
-           CAST(sum(jobs_found) AS BIGINT) AS jobs_found, CAST(sum(jobs_new) AS BIGINT) AS jobs_new,
-           CAST(sum(jobs_updated) AS BIGINT) AS jobs_updated,
-           CAST(sum(jobs_unchanged) AS BIGINT) AS jobs_unchanged,
-           CAST(sum(jobs_deactivated) AS BIGINT) AS jobs_deactivated
+           CAST(coalesce(sum(jobs_found) FILTER (WHERE success), 0) AS BIGINT) AS jobs_found,
+           CAST(coalesce(sum(jobs_new) FILTER (WHERE success), 0) AS BIGINT) AS jobs_new,
+           CAST(coalesce(sum(jobs_updated) FILTER (WHERE success), 0) AS BIGINT) AS jobs_updated,
+           CAST(coalesce(sum(jobs_unchanged) FILTER (WHERE success), 0) AS BIGINT) AS jobs_unchanged,
+           CAST(coalesce(sum(jobs_deactivated) FILTER (WHERE success), 0) AS BIGINT) AS jobs_deactivated
     FROM site_stats GROUP BY run)
 , ledger AS (
     SELECT t.run AS run_id, epoch_us(x.s) AS started_at_us, epoch_us(x.c) AS completed_at_us,
            t.sites_scraped, t.jobs_found, t.jobs_new, t.jobs_updated, t.jobs_unchanged, t.jobs_deactivated,
            'completed' AS status, CAST(NULL AS VARCHAR) AS error_message
-    FROM run_totals t JOIN (SELECT run, min(ts) AS s, max(ts) AS c FROM observations GROUP BY run) x
+    FROM run_totals t LEFT JOIN (SELECT run, min(ts) AS s, max(ts) AS c FROM observations GROUP BY run) x
          USING (run))"""
 
 _STATE = """
@@ -83,15 +96,21 @@ _STATE = """
                          FROM b) WHERE rn = 1)
 , fst AS (SELECT * FROM (SELECT b.*, row_number() OVER (PARTITION BY url ORDER BY run, seq) AS rn
                          FROM b) WHERE rn = 1)
-, cl AS (SELECT company, max(crank) AS c_last FROM cr GROUP BY company)
+, cl AS (SELECT company, max(run) AS c_run FROM cr WHERE complete = 1 GROUP BY company)
 , job_state AS (
     SELECT f.url, fst.company, lst.title, lst.location, lst.job_id, f.first_ts, f.last_ts,
-           CAST(f.n AS BIGINT) AS scrape_count, lst.crank = cl.c_last AS is_active
-    FROM f JOIN lst USING (url) JOIN fst USING (url) JOIN cl ON cl.company = fst.company)"""
+           CAST(f.n AS BIGINT) AS scrape_count, lst.metadata, coalesce(lst.run >= cl.c_run, true) AS is_active
+    FROM f JOIN lst USING (url) JOIN fst USING (url) LEFT JOIN cl ON cl.company = fst.company)"""
 
 
 def _sql(tail: str, *blocks: str) -> str:
-    return with_views("".join(blocks) + "\n" + tail, "observations")
+    return with_views("".join(blocks) + "\n" + tail, "observations", "crawl_outcomes")
+
+
+def plain_ledger_sql():
+    """The ledger of a crawl without outcome rows: every site is a success."""
+    return _sql("SELECT * FROM ledger", _BASE, _ACTS, _GONE, _STATS.replace(
+        "    FULL JOIN crawl_outcomes o USING (run, company))", "    LEFT JOIN (SELECT * FROM crawl_outcomes WHERE false) o USING (run, company))"))
 
 
 # ---- Spark building blocks --------------------------------------------------------
@@ -100,9 +119,9 @@ def _obs(spark, sf_dir):
     return observations(spark, sf_dir)
 
 
-def _ingest(spark, sf_dir):
+def _ingest(spark, sf_dir, complete_only=False):
     obs = _obs(spark, sf_dir)
-    return L.ingest(L.empty_state(spark), obs), obs
+    return L.ingest(L.empty_state(spark), obs, crawl_outcomes(spark, sf_dir), complete_only), obs
 
 
 def _state(spark, sf_dir):
@@ -121,9 +140,17 @@ def _ledger_us(df):
                      "error_message")
 
 
-def _state_us(df, with_active=True):
+def _metadata_text():
+    """The metadata map as text: key=value, sorted."""
+    pairs = F.transform(F.map_entries("metadata"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return F.array_join(F.array_sort(pairs), ";").alias("metadata")
+
+
+def _state_us(df, with_active=True, with_metadata=False):
     cols = ["url", "company", "title", "location", "job_id", _us("first_seen").alias("first_seen_us"),
             _us("last_seen").alias("last_seen_us"), "scrape_count"]
+    if with_metadata:
+        cols.append(_metadata_text())
     return df.select(*cols, *(["is_active"] if with_active else []))
 
 
@@ -136,9 +163,30 @@ def change_actions(spark, sf_dir):
 
 @register("job_state", _sql("""
     SELECT url, company, title, location, job_id, epoch_us(first_ts) AS first_seen_us,
-           epoch_us(last_ts) AS last_seen_us, scrape_count, is_active FROM job_state""", _BASE, _STATE))
+           epoch_us(last_ts) AS last_seen_us, scrape_count, metadata, is_active FROM job_state""", _BASE, _STATE))
 def job_state(spark, sf_dir):
-    return _state_us(_state(spark, sf_dir))
+    return _state_us(_state(spark, sf_dir), with_metadata=True)
+
+
+@register("job_state_complete_only", _sql("""
+    SELECT url, company, title, location, job_id, epoch_us(first_ts) AS first_seen_us,
+           epoch_us(last_ts) AS last_seen_us, scrape_count, metadata, is_active FROM job_state""", _WHOLE, _STATE))
+def job_state_complete_only(spark, sf_dir):
+    """L2 / L3 where sites that failed or stopped early in a run deactivate nothing."""
+    (state, _, _, _, _), _ = _ingest(spark, sf_dir, complete_only=True)
+    return _state_us(state, with_metadata=True)
+
+
+@register("deactivated_complete_only", _sql("SELECT run, company, url FROM gone", _WHOLE, _GONE))
+def deactivated_complete_only(spark, sf_dir):
+    (_, _, gone, _, _), _ = _ingest(spark, sf_dir, complete_only=True)
+    return gone
+
+
+@register("change_actions_complete_only", _sql("SELECT url, seq, run, action FROM acts", _WHOLE, _ACTS))
+def change_actions_complete_only(spark, sf_dir):
+    (_, actions, _, _, _), _ = _ingest(spark, sf_dir, complete_only=True)
+    return actions.select("url", "seq", "run", "action")
 
 
 @register("deactivated_jobs", _sql("SELECT run, company, url FROM gone", _BASE, _GONE))
@@ -146,32 +194,32 @@ def deactivated_jobs(spark, sf_dir):
     return L.deactivations(L.empty_state(spark), _obs(spark, sf_dir))
 
 
-@register("site_stats", _sql("SELECT * FROM site_stats", _BASE, _ACTS, _GONE, _STATS))
+@register("site_stats", _sql("SELECT * FROM site_stats", _FINISHED, _ACTS, _GONE, _STATS))
 def site_stats(spark, sf_dir):
     (_, _, _, stats, _), _ = _ingest(spark, sf_dir)
     return stats
 
 
-@register("run_totals", _sql("SELECT * FROM run_totals", _BASE, _ACTS, _GONE, _STATS))
+@register("run_totals", _sql("SELECT * FROM run_totals", _FINISHED, _ACTS, _GONE, _STATS))
 def run_totals(spark, sf_dir):
     (_, _, _, stats, _), _ = _ingest(spark, sf_dir)
     return L.run_totals(stats)
 
 
-@register("run_ledger", _sql("SELECT * FROM ledger", _BASE, _ACTS, _GONE, _STATS))
+@register("run_ledger", _sql("SELECT * FROM ledger", _FINISHED, _ACTS, _GONE, _STATS))
 def run_ledger(spark, sf_dir):
     return _ledger_us(_ledger(spark, sf_dir))
 
 
 @register("recent_runs", _sql("SELECT * FROM ledger ORDER BY started_at_us DESC, run_id DESC LIMIT 10",
-                              _BASE, _ACTS, _GONE, _STATS))
+                              _FINISHED, _ACTS, _GONE, _STATS))
 def recent_runs(spark, sf_dir):
     return _ledger_us(Q.recent_runs(_ledger(spark, sf_dir), 10))
 
 
 @register("last_completed_run", _sql(
     "SELECT * FROM ledger WHERE status = 'completed' ORDER BY started_at_us DESC, run_id DESC LIMIT 1",
-    _BASE, _ACTS, _GONE, _STATS))
+    _FINISHED, _ACTS, _GONE, _STATS))
 def last_completed_run(spark, sf_dir):
     return _ledger_us(Q.last_completed_run(_ledger(spark, sf_dir)))
 
@@ -232,7 +280,7 @@ def job_by_url(spark, sf_dir):
     SELECT CAST(count(*) AS BIGINT) AS total_jobs, CAST(count(*) FILTER (WHERE is_active) AS BIGINT) AS active_jobs,
            CAST(count(*) FILTER (WHERE NOT is_active) AS BIGINT) AS inactive_jobs,
            (SELECT CAST(count(*) AS BIGINT) FROM ledger) AS total_runs
-    FROM job_state""", _BASE, _ACTS, _GONE, _STATS, _STATE))
+    FROM job_state""", _FINISHED, _ACTS, _GONE, _STATS, _STATE))
 def job_stats(spark, sf_dir):
     (state, _, _, _, ledger), _ = _ingest(spark, sf_dir)
     return Q.job_stats(state, ledger)

@@ -1,8 +1,10 @@
 """Sources and sinks.
 
-Snapshots of the job-state table are versioned Parquet directories: a new
-version is written to a folder of its own, then a one-row pointer naming it
-is appended; readers take the highest published pointer. Nothing is ever
+Snapshots of the job-state table are versioned. The state lies in buckets by
+the hash of the URL; a version is a manifest that names a folder for each
+bucket, and a new version writes the buckets that changed and takes the other
+folders over from the version before. A one-row pointer to the new manifests
+publishes it; readers take the highest published pointer. Nothing is ever
 overwritten, so a failed or replayed write cannot corrupt what readers see.
 """
 
@@ -66,10 +68,13 @@ def write_report(lines: DataFrame, path: str, sort_col: str = "sort_key", mode:
 
 # ---- S7 versioned snapshots ------------------------------------------------------------
 #
-# base/data/<uuid>/state, .../ledger, .../open, .../tail   one folder per attempt, never written twice
-# base/_pointers                                           (version, batch_id, path, last_run) rows
+# base/data/<uuid>/<table>/bucket=<n>     the buckets that an attempt wrote
+# base/data/<uuid>/manifests              (part, bucket, folder) of whole tables, any attempt's folders
+# base/data/<uuid>/ledger, .../tail       plain tables published with it
+# base/_pointers                          (version, batch_id, path, last_run) rows
 
 _POINTER = "version int, batch_id long, path string, last_run string"
+BUCKETS = 64
 
 
 def _pointer_path(base: str) -> str:
@@ -101,25 +106,84 @@ def latest_pointer(spark: SparkSession, base: str):
     return (p["version"], p["batch_id"]) if p else (0, -1)
 
 
-def load_snapshot(spark: SparkSession, base: str, empty: DataFrame, part: str = "state") -> DataFrame:
-    """The newest published state table, or another part of the snapshot (``empty`` when none)."""
-    p = latest(spark, base)
+def bucket_of(url, buckets: int):
+    """The bucket of a URL column."""
+    return F.pmod(F.xxhash64(url), F.lit(buckets)).cast("int")
+
+
+class Manifest:
+    """A state table in buckets: the folder of each bucket that has rows, by the hash of ``url``."""
+
+    def __init__(self, spark: SparkSession, schema, buckets: int, folders: dict[int, str] | None = None):
+        self.spark, self.schema, self.buckets, self.folders = spark, schema, buckets, folders or {}
+
+    def read(self, only: set[int] | None = None) -> DataFrame:
+        """The whole table, or the rows of some buckets."""
+        paths = [f for k, f in sorted(self.folders.items()) if only is None or k in only]
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*paths)
+
+    def replace(self, rows: DataFrame, changed: set[int], path: str) -> "Manifest":
+        """A new version: ``rows`` are the whole new content of the ``changed`` buckets, written under ``path``."""
+        folders = {k: f for k, f in self.folders.items() if k not in changed}
+        if changed:
+            kept = rows.withColumn("bucket", bucket_of("url", self.buckets))
+            # one task and one file for each bucket
+            kept.repartition(len(changed), "bucket").write.mode("errorifexists").partitionBy("bucket").parquet(path)
+            root = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            listed = root.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(root)
+            names = [f.getPath().getName() for f in listed if f.isDirectory()]
+            folders |= {int(n.removeprefix("bucket=")): f"{path}/{n}" for n in names if n.startswith("bucket=")}
+        return Manifest(self.spark, self.schema, self.buckets, folders)
+
+
+def new_folder(base: str) -> str:
+    """A folder for one attempt to write a version."""
+    return f"{base.rstrip('/')}/data/{uuid.uuid4().hex}"
+
+
+_MANIFEST = "part string, bucket int, folder string, buckets int"
+
+
+def save_manifests(spark: SparkSession, path: str, **parts: Manifest) -> None:
+    """The manifests of a version, as one small table."""
+    rows = [(name, k, f, m.buckets) for name, m in parts.items() for k, f in [*sorted(m.folders.items()), (-1, None)]]
+    spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.parquet(f"{path}/manifests")
+
+
+def load_manifest(spark: SparkSession, pointer, empty: DataFrame, part: str = "state", buckets: int = BUCKETS) -> Manifest:
+    """A bucketed table of the version that ``pointer`` (see ``latest``) names; without one, a table without rows."""
+    if pointer is None:
+        return Manifest(spark, empty.schema, buckets)
+    rows = spark.read.schema(_MANIFEST).parquet(f"{pointer['path']}/manifests").filter(F.col("part") == part).collect()
+    return Manifest(spark, empty.schema, rows[0]["buckets"], {r["bucket"]: r["folder"] for r in rows if r["folder"]})
+
+
+def load_snapshot(spark: SparkSession, base: str, empty: DataFrame, part: str = "state", pointer=None) -> DataFrame:
+    """The newest published state table, or another table of the snapshot (``empty`` when none)."""
+    p = pointer or latest(spark, base)
     if p is None:
         return empty
+    if part in ("state", "open"):
+        return load_manifest(spark, p, empty, part).read()
     return spark.read.schema(empty.schema).parquet(f"{p['path']}/{part}")
 
 
-def save_snapshot(state: DataFrame, base: str, batch_id: int, last_run: str | None = None, **parts: DataFrame) -> int:
-    """Write version n+1 to a folder of its own, then publish its pointer; version n stays readable.
+def publish(spark: SparkSession, base: str, path: str, batch_id: int, last_run: str | None, version: int) -> int:
+    """Append the pointer row that makes the tables under ``path`` the newest version."""
+    row = spark.createDataFrame([(version, int(batch_id), path, last_run)], _POINTER)
+    row.coalesce(1).write.mode("append").parquet(_pointer_path(base))
+    return version
 
-    Nothing that exists is written again: a failed attempt leaves a folder no
-    pointer names. ``parts`` (ledger rows, ...) are published with the state.
-    """
+
+def save_snapshot(state: DataFrame, base: str, batch_id: int, last_run: str | None = None, buckets: int = BUCKETS,
+                  **parts: DataFrame) -> int:
+    """Write a whole state table as version n+1, with plain tables beside it; version n stays readable."""
     spark = state.sparkSession
-    version, _ = latest_pointer(spark, base)
-    path = f"{base.rstrip('/')}/data/{uuid.uuid4().hex}"
-    for name, df in {"state": state, **parts}.items():
+    path = new_folder(base)
+    whole = Manifest(spark, state.schema, buckets).replace(state, set(range(buckets)), f"{path}/state")
+    save_manifests(spark, path, state=whole, open=whole)
+    for name, df in parts.items():
         df.write.mode("errorifexists").parquet(f"{path}/{name}")
-    row = spark.createDataFrame([(version + 1, int(batch_id), path, last_run)], _POINTER)
-    row.write.mode("append").parquet(_pointer_path(base))
-    return version + 1
+    return publish(spark, base, path, batch_id, last_run, latest_pointer(spark, base)[0] + 1)

@@ -12,7 +12,11 @@ kept side by side so they cannot drift apart.
                 text, location = language segment of the path
 * observations  events -> one observation of URL 'job/<user_id>' per event;
                 company 'co<user_id % 6>', title = event_type, location =
-                props.k, run = calendar day, seq = (ts, event_id)
+                props.k, run = calendar day, seq = (ts, event_id), metadata = props
+* crawl_outcomes events -> one row per (calendar day, site 'co<user_id % 7>'):
+                every event is a fetched page, an 'error' one a failed page; a
+                site fails with 30 % failed pages or more and stops early if
+                its last event of the day is a 'view'. Site co6 has no postings
 """
 
 from __future__ import annotations
@@ -74,7 +78,20 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").cast("string").alias("job_id"),
         utc_instant(F.col("ts")).alias("ts"),
         F.col("event_id").alias("seq"),
-        F.date_format(F.col("ts"), "yyyy-MM-dd").alias("run"))
+        F.date_format(F.col("ts"), "yyyy-MM-dd").alias("run"),
+        F.from_json("props", "map<string,string>").alias("metadata"))
+
+
+def crawl_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    sites = e.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("run"),
+                      F.concat(F.lit("co"), (F.col("user_id") % 7).cast("string")).alias("company")).agg(
+        F.count(F.lit(1)).alias("pages"), F.count_if(F.col("event_type") == "error").alias("failed"),
+        F.max_by("event_type", "event_id").alias("last_type"))
+    ok = 10 * F.col("failed") < 3 * F.col("pages")
+    return sites.select("run", "company", ok.alias("success"),
+                        F.when(~ok, F.format_string("%d of %d pages failed", "failed", "pages")).alias("error"),
+                        (F.col("last_type") == "view").alias("stopped_early"))
 
 
 # ---- the same views as DuckDB SQL (CTE bodies) -------------------------------
@@ -105,8 +122,17 @@ SQL_VIEWS = {
                json_extract_string(props, '$.k') AS location,
                CAST(user_id AS VARCHAR) AS job_id,
                ts, event_id AS seq,
-               strftime(ts, '%Y-%m-%d') AS run
+               strftime(ts, '%Y-%m-%d') AS run,
+               'k=' || json_extract_string(props, '$.k') AS metadata
         FROM events""",
+    "crawl_outcomes": """
+        SELECT run, company, 10 * failed < 3 * pages AS success,
+               CASE WHEN 10 * failed >= 3 * pages THEN failed || ' of ' || pages || ' pages failed' END AS error,
+               last_type = 'view' AS stopped_early
+        FROM (SELECT strftime(ts, '%Y-%m-%d') AS run, 'co' || CAST(user_id % 7 AS VARCHAR) AS company,
+                     count(*) AS pages, count(*) FILTER (WHERE event_type = 'error') AS failed,
+                     arg_max(event_type, event_id) AS last_type
+              FROM events GROUP BY 1, 2)""",
 }
 
 
