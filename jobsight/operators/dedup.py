@@ -513,7 +513,7 @@ def duplicate_report(postings: DataFrame, duplicates: DataFrame) -> DataFrame:
     lines = dl.select(
         F.struct(F.col("co").alias("o"), F.lit(1).alias("k"), F.col("o").alias("d")).alias("sort_key"),
         F.format_string("  - %s | %s | similarity %.2f%% | %s", F.coalesce("title", F.lit("N/A")),
-                        F.coalesce("location", F.lit("N/A")), F.col("score") * 100,
+                        F.coalesce("location", F.lit("N/A")), F.round(F.col("score") * 100, 2),
                         F.col("duplicate_url")).alias("line"))
     # "No duplicates found." exactly when there is no duplicate: a constant row
     # anti-joined with one marker row of the duplicates

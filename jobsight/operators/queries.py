@@ -147,7 +147,9 @@ def run_report(ledger: DataFrame, stats: DataFrame, jobs: DataFrame,
                     F.when(F.col("jobs_found") > 0, F.col("jobs_new") / F.col("jobs_found"))
                     ).alias("value"))).alias("z"))
     run_part = run_part.select("section", F.col("z.ord").alias("ord"), F.col("z.key").alias("key"),
-                               F.round(F.col("z.value"), 6).cast("string").alias("value"))
+                               # a fixed form: engines print short and long fractions differently
+                               F.when(F.col("z.value").isNotNull(), F.format_string("%.6f", F.round(F.col("z.value"), 6)))
+                               .alias("value"))
     site_part = stats.select(
         F.concat(F.lit("site "), F.col("run").cast("string")).alias("section"),
         F.lit(100).alias("ord"), F.col("company").alias("key"),

@@ -174,12 +174,12 @@ def _exact_terms(spark, sf_dir):
     urls = r.select("k", "url")
     return (best.join(urls.select(F.col("k").alias("hi"), F.col("url").alias("duplicate_url")), "hi")
             .join(urls.select(F.col("k").alias("lo"), F.col("url").alias("canonical_url")), "lo")
-            .select("duplicate_url", "canonical_url", "company_key"))
+            .select("duplicate_url", "canonical_url", "company_key", F.col("jaccard").alias("score")))
 
 
 @register("deduplicated_exact_terms", _jaccard_graph_sql())
 def deduplicated_exact_terms(spark, sf_dir):
-    return _exact_terms(spark, sf_dir)
+    return _exact_terms(spark, sf_dir).drop("score")
 
 
 def _on_exact_terms(sql):
@@ -228,3 +228,43 @@ LEFT JOIN per ON per.company IS NOT DISTINCT FROM t.company"""))
 def company_dup_stats_terms(spark, sf_dir):
     """D8 on the key-term graph."""
     return D.company_dup_stats(doc_postings(spark, sf_dir), _exact_terms(spark, sf_dir))
+
+
+@register("duplicate_report_terms", _on_exact_terms("""
+, o2 AS (SELECT url, terms FROM t)
+, sims AS (SELECT dup.*, round(100 * len(list_intersect(a.terms, b.terms)) / len(list_distinct(list_concat(a.terms, b.terms))), 2) AS sim
+           FROM dup JOIN o2 a ON a.url = canonical_url JOIN o2 b ON b.url = duplicate_url)
+SELECT printf('## Group: %d duplicate(s) | canonical: %s | %s | %s | %s', g.n, coalesce(p.title, 'N/A'), coalesce(p.company, 'N/A'),
+              coalesce(p.location, 'N/A'), p.url) AS line
+FROM (SELECT canonical_url, count(*) AS n FROM dup GROUP BY canonical_url) g JOIN doc_postings p ON p.url = g.canonical_url
+UNION ALL
+SELECT printf('  - %s | %s | similarity %.2f%% | %s', coalesce(p.title, 'N/A'), coalesce(p.location, 'N/A'), s.sim, p.url)
+FROM sims s JOIN doc_postings p ON p.url = s.duplicate_url
+UNION ALL SELECT 'No duplicates found.' WHERE NOT EXISTS (SELECT 1 FROM dup)"""))
+def duplicate_report_terms(spark, sf_dir):
+    """D9 on the key-term graph, its Jaccard as the score."""
+    checkpoint_dir(spark)
+    dups = _exact_terms(spark, sf_dir).checkpoint()
+    return D.duplicate_report(doc_postings(spark, sf_dir), dups).select("line")
+
+
+@register("deactivated_terms", _on_exact_terms(
+    "SELECT url, url NOT IN (SELECT duplicate_url FROM dup) AS is_active FROM doc_postings"))
+def deactivated_terms(spark, sf_dir):
+    """D10 on the key-term graph: every posting as an active job, duplicates switched off."""
+    jobs = doc_postings(spark, sf_dir).withColumn("is_active", F.lit(True))
+    return D.deactivate_duplicates(jobs, _exact_terms(spark, sf_dir)).select("url", "is_active")
+
+
+@register("pruned_candidates")
+def pruned_candidates(spark, sf_dir):
+    """Pairs of representatives that all exact bounds leave to be scored, per company (tests compare all pairs)."""
+    checkpoint_dir(spark)
+    r = _reps(spark, sf_dir).filter((F.col("nt") != "") & (F.col("nl") != ""))
+    reps = D.numbered(r.groupBy("company_key", "nt", "nl").agg(F.min("ord").alias("ord")).withColumn("terms", T.key_terms("nt")))
+    compat = D.location_compat(reps, rules.LOCATION_THRESHOLD).checkpoint()
+    pairs = D.candidate_pairs(reps, compat, rules.TITLE_THRESHOLD)
+    of = pairs.join(reps.select(F.col("k").alias("i"), "company_key"), "i").groupBy("company_key").agg(
+        F.count(F.lit(1)).alias("candidates"))
+    return reps.groupBy("company_key").agg(F.count(F.lit(1)).alias("representatives")).join(of, "company_key", "left").select(
+        "company_key", "representatives", F.coalesce("candidates", F.lit(0)).cast("bigint").alias("candidates"))

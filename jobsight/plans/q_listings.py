@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from jobsight.functions import sql_text as S
 from jobsight.operators import extract as X
+from jobsight.operators import lifecycle as L
 from jobsight.operators import patterns as P
 from jobsight.operators import sites as C
 from jobsight.plans.catalog import register
-from jobsight.plans.cycle import summary_cycle
+from jobsight.plans.cycle import run_cycle, summary_cycle
 from jobsight.plans.q_pages import _CAND_SQL, _candidates, _host_sql, _pages
 from jobsight.session import checkpoint_dir
 from jobsight.sources import io
@@ -247,3 +248,23 @@ def summary_cycle_q(spark, sf_dir):
     for p in parts[1:]:
         both = both.unionByName(p)
     return both
+
+
+# ---- P1 ------------------------------------------------------------------------------
+
+@register("cycle_report_plain", expected("""
+    , per AS (SELECT company, CAST(count(*) AS BIGINT) AS n FROM listing_postings GROUP BY company)
+    , t AS (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS n, (SELECT count(DISTINCT s) FROM listing_docs) AS sites FROM per)
+    SELECT 'run run-1' AS section, CAST(k - 1 AS INTEGER) AS ord,
+           ['duration_s', 'jobs_found', 'jobs_new', 'jobs_updated', 'jobs_unchanged', 'jobs_deactivated', 'sites_scraped',
+            'jobs_per_second', 'new_rate'][k] AS key,
+           CASE k WHEN 8 THEN NULL WHEN 9 THEN '1.000000' ELSE printf('%.6f', [0, n, n, 0, 0, 0, sites][k]::DOUBLE) END AS value
+    FROM t, range(1, 10) r(k)
+    UNION ALL SELECT 'site run-1', 100, s, printf('found=%d new=%d updated=0 unchanged=0 deactivated=0', coalesce(n, 0), coalesce(n, 0))
+    FROM (SELECT DISTINCT s FROM listing_docs) LEFT JOIN per ON company = s
+    UNION ALL SELECT 'table', CAST(k - 1 AS INTEGER), ['total_jobs', 'active_jobs', 'inactive_jobs'][k],
+                     CAST([n, n, 0][k] AS VARCHAR) FROM t, range(1, 4) r(k)"""))
+def cycle_report_plain(spark, sf_dir):
+    """P1 over the listing pages, without the duplicate section: extract, outcomes, ingest as one run, report."""
+    out = run_cycle(_listing(spark, sf_dir), L.empty_state(spark), "run-1", dedup=False, scraped_at=dt.datetime(2024, 1, 1))
+    return out["report"]
