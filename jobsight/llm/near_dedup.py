@@ -13,12 +13,14 @@ shingles (as 64-bit hashes), or its whole word sequence as one if it has fewer w
 4. Within a band's bucket nothing is paired with everything. Members are compared with one centre and components are
    taken; as long as buckets hold many pairs across components, the members outside a bucket's largest component are
    compared with CENTRES of its members. What is left after CENTRE_ROUNDS rounds at most (members of one bucket in
-   different components) is compared exactly, each member outside the bucket's largest component with all others,
-   but for pairs that the triangle inequality of the Jaccard distance excludes. So no link between different texts
-   is lost, and a group of copies costs a few comparisons per member.
+   different components) meets inside the bucket, but for pairs that the triangle inequality of the Jaccard distance
+   excludes; the registers travel with the members, so that a pair is estimated inside the join and only survivors
+   leave it. Hot buckets are dealt to row and column blocks. So no link between different texts is lost, and a group
+   of copies costs a few comparisons per member.
 5. A comparison first estimates the similarity from registers, less the collisions that registers of different
    hashes have by chance; pairs more than 5 standard deviations under the threshold are dropped. All others are
-   confirmed on the full sets.
+   confirmed on the full sets. Only members with a measured distance to one centre skip the estimate: they are compared
+   on their full sets, in tiles.
 
 Edge cases: null or empty texts, and texts without words, have an empty set and link with nothing; rows that
 repeat an id are one document, represented by its smallest (set size, set hash) and reported once; rows without
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobsight.llm.components import components, salted_join
-from jobsight.llm.tables import arrow_rows, written
+from jobsight.llm.tables import arrow_rows, free_name, written
 from jobsight.llm.words import SPACED, Block, mix, shingles, word_blocks
 
 BUCKETS = 128
@@ -49,6 +51,8 @@ FAR = -1.0
 #: the last comparisons take sets of at most SMALL_SET shingles in tiles of TILE times TILE documents
 SMALL_SET = 2048
 TILE = 512
+#: members of a bucket in a row or column block of the last join
+HEAVY = 1000
 #: registers estimate a similarity s with variance s (1 - s) / BUCKETS
 MARGIN = 5 * (0.25 / BUCKETS) ** 0.5 * 0.8
 _MULTIPLIERS = mix(np.arange(1, BUCKETS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
@@ -180,14 +184,62 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.mapInArrow(run, f"u {kind}, v {kind}, nu long, nv long, s double")
 
 
+def _with_lanes(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with the registers as an array of numbers in place of their bytes (column ``registers``)."""
+    at = nodes.columns.index("registers")
+
+    def run(batches):
+        for batch in batches:
+            flat = np.frombuffer(b"".join(batch.column(at).to_pylist()), np.int16)
+            lanes = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * BUCKETS, pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], lanes, *batch.columns[at + 1:]], names=batch.schema.names)
+
+    schema = ", ".join(f"{f.name} {'array<short>' if f.name == 'registers' else f.dataType.simpleString()}"
+                       for f in nodes.schema)
+    return nodes.mapInArrow(run, schema)
+
+
+def _near_enough(x: str, y: str, least: float):
+    """Whether the estimate of two rows with registers as arrays reaches ``least``: ``estimate`` as a Column."""
+    n, m = F.col(f"{x}n").cast("double"), F.col(f"{y}n").cast("double")
+    chance = n * m / ((n + m) * (n + m)) * (2.0 ** -MANTISSA / (2 * float(np.log(2))))
+    equal = F.size(F.filter(F.zip_with(f"{x}registers", f"{y}registers", lambda a, b: a == b), lambda e: e)) / BUCKETS
+    return (equal - chance) / (1 - chance) >= least
+
+
+def _met(rows: DataFrame, key: str, held: str, outside, condition):
+    """Pairs (u, v, nu, nv) of ``rows`` with the same key that meet ``condition`` on their columns x_* and y_*; x rows
+    are ``outside``.
+
+    ``held`` says how many rows a key has. Those of a key with more than HEAVY fall into row blocks as x and into column
+    blocks as y, and every pair of blocks is a join key of its own.
+    """
+    blocks = F.ceil(F.col(held) / HEAVY).cast("int")
+    own, every = F.pmod(F.xxhash64("node"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
+
+    def side(df, name, mine, other):
+        placed = df.withColumn(mine, own).withColumn(other, every)
+        return placed.select(key, "row_block", "col_block",
+                             *[F.col(c).alias(f"{name}_{c}") for c in df.columns if c not in (key, held)])
+
+    x = side(rows if outside is None else rows.where(outside), "x", "row_block", "col_block")
+    y = side(rows, "y", "col_block", "row_block")
+    return x.join(y.hint("merge"), [key, "row_block", "col_block"]).where(condition).select(
+        F.col("x_node").alias("u"), F.col("y_node").alias("v"), F.col("x_n").alias("nu"), F.col("y_n").alias("nv"))
+
+
+def _exact(near: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v, common, united) from the full sets of pairs (u, v, nu, nv)."""
+    return (near.join(sets.withColumnsRenamed({"node": "u", "shingles": "x"}).hint("merge"), "u")
+            .join(sets.withColumnsRenamed({"node": "v", "shingles": "y"}).hint("merge"), "v")
+            .select("u", "v", F.size(F.array_intersect("x", "y")).cast("long").alias("common"), "nu", "nv")
+            .select("u", "v", "common", (F.col("nu") + F.col("nv") - F.col("common")).alias("united")))
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """(u, v, similarity): exact for pairs whose estimate reaches ``least``, else null."""
     est = written(_estimated(pairs, classes))
-    near = est.where(F.col("s") >= least).select("u", "v", "nu", "nv")
-    exact = (near.join(sets.withColumnsRenamed({"node": "u", "shingles": "x"}).hint("merge"), "u")
-             .join(sets.withColumnsRenamed({"node": "v", "shingles": "y"}).hint("merge"), "v")
-             .select("u", "v", F.size(F.array_intersect("x", "y")).cast("long").alias("common"), "nu", "nv")
-             .select("u", "v", "common", (F.col("nu") + F.col("nv") - F.col("common")).alias("united")))
+    exact = _exact(est.where(F.col("s") >= least).select("u", "v", "nu", "nv"), sets)
     far = est.where(F.col("s") < least).select("u", "v", F.lit(None).cast("long").alias("common"),
                                                F.lit(None).cast("long").alias("united"))
     return exact.union(far)
@@ -302,7 +354,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: int = 80
             .where(F.col("labels") > 1)
             .select("band", "c.label", "c.centres", "n", ((F.col("n") * F.col("n") - F.col("within")) / 2)
                     .alias("across")))
-        labelled = written(salted_join(labelled, top.select("band"), "band", "node"))
+        labelled = written(salted_join(labelled, top.select("band", F.col("n").alias("held")), "band", "node"))
         centres = top.select("band", F.col("label").alias("c_label"), "centres")
         n, across = top.agg(F.sum("n"), F.sum("across")).first()
         if not across or across <= 2 * n or (turn and across > last / 2):
@@ -315,42 +367,44 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: int = 80
     near = salted_join(first_turn, popular, "v", "u").groupBy("u").agg(F.max(F.struct(
         "popular", F.col("v").alias("centre"),
         F.coalesce(F.col("common") / F.col("united"), F.lit(FAR)).alias("s"))).alias("c"))
-    nodes = written(labelled.select("node", "label").distinct()
-             .join(near.select(F.col("u").alias("node"), "c.s", "c.centre").hint("merge"), "node", "left")
-             .join(classes.select("node", "n", keys.alias("keys")).hint("merge"), "node")
-             .join(sets.where(F.size("shingles") <= SMALL_SET).hint("merge"), "node", "left"))
-    sized = 100 * F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n")
-    known = nodes.where(F.col("s") > FAR).drop("keys")
+    nodes = written(_with_lanes(
+        labelled.select("node", "label").distinct()
+        .join(near.select(F.col("u").alias("node"), "c.s", "c.centre").hint("merge"), "node", "left")
+        .join(classes.select("node", "n", keys.alias("keys"), "registers").hint("merge"), "node")))
+    known = nodes.where(F.col("s") > FAR).drop("keys").join(
+        sets.where(F.size("shingles") <= SMALL_SET).hint("merge"), "node", "left")
     biggest = (known.groupBy("centre", "label").agg(F.count("*").alias("n")).groupBy("centre")
                .agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.max("n").alias("most"),
                     F.sum("n").alias("members"))
                .where("most < members")
-               .select("centre", "largest", F.ceil((F.col("members") - F.col("most")) / TILE).cast("int").alias("xs"),
+               .select("centre", "largest", "members", F.ceil((F.col("members") - F.col("most")) / TILE).cast("int").alias("xs"),
                        F.ceil(F.col("members") / TILE).cast("int").alias("ys")))
     known = written(salted_join(known, biggest, "centre", "node"))
     direct = _tile_links(known, threshold)
-    # distances to the centre that differ by more than the allowed distance exclude a link
-    x, y = known.where("label <> largest").drop("shingles"), known.drop("shingles")
-    both = [F.col("x.node").alias("u"), F.col("y.node").alias("v")]
-    big = (F.col("x.n") > SMALL_SET) | (F.col("y.n") > SMALL_SET)
-    rest = x.alias("x").join(y.alias("y").hint("merge"), (F.col("x.centre") == F.col("y.centre")) & big & sized
-                             & (F.col("x.label") != F.col("y.label"))
-                             & ((F.col("y.label") == F.col("y.largest")) | (F.col("x.node") < F.col("y.node")))
-                             & (F.abs(F.col("x.s") - F.col("y.s")) <= distance + 1e-9)).select(*both)
-
-    side = labelled.select("band", "node").join(nodes.drop("shingles").hint("merge"), "node")
-    x, y = side.alias("x"), side.alias("y")
-    met = F.coalesce((F.col("x.centre") == F.col("y.centre")) & (
-        ((F.col("x.s") > FAR) & (F.col("y.s") > FAR))
+    # the members of a centre with large sets, then those of an open bucket; distances to the centre that differ by more
+    # than the allowed distance exclude a link
+    least = threshold / 100 - MARGIN
+    sized = 100 * F.least("x_n", "y_n") >= threshold * F.greatest("x_n", "y_n")
+    big = (F.col("x_n") > SMALL_SET) | (F.col("y_n") > SMALL_SET)
+    rest = _met(known.drop("shingles", "xs", "ys"), "centre", "members", "label <> largest",
+                big & sized & (F.col("x_label") != F.col("y_label"))
+                & ((F.col("y_label") == F.col("y_largest")) | (F.col("x_node") < F.col("y_node")))
+                & (F.abs(F.col("x_s") - F.col("y_s")) <= distance + 1e-9) & _near_enough("x_", "y_", least))
+
+    inside = labelled.select("band", "held", "node").join(nodes.hint("merge"), "node")
+    met = F.coalesce((F.col("x_centre") == F.col("y_centre")) & (
+        ((F.col("x_s") > FAR) & (F.col("y_s") > FAR))
         # a similarity under 2 * threshold - 1 beside one of the threshold or more
-        | ((F.col("x.s") == FAR) & (F.col("y.s") >= 1 - distance))
-        | ((F.col("y.s") == FAR) & (F.col("x.s") >= 1 - distance))), F.lit(False))
-    same = F.zip_with("x.keys", "y.keys", lambda a, b: a == b)
-    first = F.col("x.keys")[(F.array_position(same, F.lit(True)) - 1).cast("int")] == F.col("x.band")
-    others = x.join(y.hint("merge"), (F.col("x.band") == F.col("y.band")) & (F.col("x.label") < F.col("y.label"))
-                    & sized & ~met & (F.col("x.centre").isNull() | (F.col("x.centre") != F.col("y.node")))
-                    & (F.col("y.centre").isNull() | (F.col("y.centre") != F.col("x.node"))) & first).select(*both)
-    found_last = _verified(rest.union(others).distinct(), classes, sets, threshold / 100 - MARGIN)
+        | ((F.col("x_s") == FAR) & (F.col("y_s") >= 1 - distance))
+        | ((F.col("y_s") == FAR) & (F.col("x_s") >= 1 - distance))), F.lit(False))
+    same = F.zip_with("x_keys", "y_keys", lambda a, b: a == b)
+    first = F.col("x_keys")[(F.array_position(same, F.lit(True)) - 1).cast("int")] == F.col("band")
+    others = _met(inside, "band", "held", None,
+                  (F.col("x_label") < F.col("y_label")) & sized & ~met
+                  & (F.col("x_centre").isNull() | (F.col("x_centre") != F.col("y_node")))
+                  & (F.col("y_centre").isNull() | (F.col("y_centre") != F.col("x_node")))
+                  & first & _near_enough("x_", "y_", least))
+    found_last = _exact(written(rest.union(others).distinct()), sets)
     groups = components(links.union(direct).union(_links(found_last, threshold)))
 
     by_class = written(classes.join(groups.hint("merge"), "node", "left")
@@ -374,21 +428,23 @@ def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: int
     named = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").select(
         *[F.col(f"`{c}`") for c in docs.columns])
     nameless = docs.where(F.col(id_col).isNull())
-    repeated = written(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n"))
-                       .where("n > 1").select(F.col(id_col).alias("again_id")))
+    # helper columns whose names the input does not have
+    again, best = (free_name(docs.columns, x) for x in ("again", "best"))
+    repeated = written(docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(again))
+                       .agg(F.count("*").alias("n")).where("n > 1").select(again))
     if repeated.isEmpty():
         return named.union(nameless)
     plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
-    again = docs.join(repeated, F.col(f"`{id_col}`") == F.col("again_id"), "left_semi").select(
+    among = F.col(f"`{id_col}`") == F.col(f"`{again}`")
+    rows = docs.join(repeated, among, "left_semi").select(
         F.struct(F.col(id_col).alias("id"), F.md5(text_col).alias("text"), F.xxhash64(*plain).alias("row")).alias("key"),
         F.col(text_col).alias("text"))
     with arrow_rows(docs.sparkSession, BATCH_ROWS):
-        found = written(signatures(again, shingle_words, "key", "text").select("id", "n", "a", "b"))
-    least = (found.groupBy(F.col("id.id").alias("best_id"))
-             .agg(F.min(F.struct("n", "a", "b", "id.text", "id.row")).alias("s"))
-             .select("best_id", F.col("s.text").alias("best_text"), F.col("s.row").alias("best_row")))
-    single = named.join(repeated, F.col(f"`{id_col}`") == F.col("again_id"), "left_anti")
-    own = (F.col(f"`{id_col}`") == F.col("best_id")) & F.md5(text_col).eqNullSafe(F.col("best_text")) & (
-        F.xxhash64(*plain) == F.col("best_row"))
+        found = written(signatures(rows, shingle_words, "key", "text").select("id", "n", "a", "b"))
+    least = (found.groupBy(F.col("id.id").alias("i")).agg(F.min(F.struct("n", "a", "b", "id.text", "id.row")).alias("s"))
+             .select(F.struct("i", F.col("s.text").alias("text"), F.col("s.row").alias("row")).alias(best)))
+    single = named.join(repeated, among, "left_anti")
+    own = (F.col(f"`{id_col}`") == F.col(f"{best}.i")) & F.md5(text_col).eqNullSafe(F.col(f"{best}.text")) & (
+        F.xxhash64(*plain) == F.col(f"{best}.row"))
     several = named.join(least, own, "left_semi").dropDuplicates([id_col])  # only equal rows are left under an id
     return single.union(several).union(nameless)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from contextlib import contextmanager
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 from jobsight.session import checkpoint_dir
@@ -22,6 +24,24 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def share(spark: SparkSession, value):
+    """Broadcast an object of this package's classes, with their code: workers need not have the package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shared_value(handle):
+    """What ``share`` was given, in a task."""
+    return pickle.loads(handle.value)
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, behind as many underscores as it takes to be no column of ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, n: int):
     """Arrow batches of ``n`` rows for what is written inside: 10,000 long texts at once are hundreds of MB."""

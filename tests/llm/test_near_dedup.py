@@ -79,6 +79,34 @@ def test_the_compared_row_of_an_id_stays(spark):
         assert got == sorted([(i, f"short{i} {i}") for i in range(40)] + [(50, "one row")])
 
 
+def test_clashing_names(spark):
+    """Columns with the names of helper columns, and a repeated id."""
+    names = ["doc_id", "text", "again", "again_id", "best", "best_id", "_best", "n", "label", "registers", "held"]
+    rows = [(1, "a b c d e f", *"pqrstuvwx"), (1, "x", *"pqrstuvwx"), (2, "a b c d e f", *"pqrstuvwx"), (3, "other", *"pqrstuvwx")]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names))
+    kept = near_dedup.drop_near_duplicates(df)
+    assert kept.columns == names and sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [
+        (1, "x"), (2, "a b c d e f"), (3, "other")]
+
+
+def test_bucket_of_unlike_members(spark, monkeypatch):
+    """Many documents share a passage that fills whole bands: they meet in one bucket, dealt to blocks, and only
+    those that are similar link."""
+    monkeypatch.setattr(near_dedup, "HEAVY", 7)
+    rnd = random.Random(9)
+    passage = [f"p{k}" for k in range(60)]
+    docs = []
+    for i in range(90):
+        own = [f"w{i}_{k}" for k in range(25)]
+        docs.append(" ".join(passage + own))
+        if i % 6 == 0:
+            docs.append(" ".join(passage + own[:-2] + ["new", "end"]))
+    rnd.shuffle(docs)
+    docs = list(enumerate(docs))
+    got = {r[0]: (r[1], r[2]) for r in _report(spark, docs, shingle_words=2)}
+    assert got == brute.near_groups(docs, 2)
+
+
 def test_empty_table_and_threshold(spark):
     assert _report(spark, []) == []
     with pytest.raises(ValueError):
