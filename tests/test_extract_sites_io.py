@@ -133,3 +133,32 @@ def test_invalidate_patterns(spark):
     pats = spark.createDataFrame([("s1", "/SearchJobs"), ("s2", "")], "site string, pattern string")
     assert [r["site"] for r in X.invalidate_patterns(pats, "s1").collect()] == ["s2"]
     assert X.invalidate_patterns(pats).count() == 0
+
+
+def test_page_outcomes(spark):
+    """A page that the parser gives up on keeps what was read, and says so."""
+    bad = TWO.replace("</body>", "<![wrong[ x ]]>")
+    p = pages_df(spark, [("p1", SITE, TWO), ("p2", SITE, bad), ("p3", SITE, ""), ("p4", "https://other.example.net", None)])
+    parsed = X.parse_pages(p).checkpoint()
+    got = {r["page_url"]: (r["postings"], r["error"] is None) for r in X.page_outcomes(parsed).collect()}
+    assert got == {"p1": (2, True), "p2": (2, False), "p3": (0, True), "p4": (0, True)}
+    sites = {r["company"]: r["success"] for r in X.site_outcomes(X.page_outcomes(parsed), "r").collect()}
+    assert sites == {"bloomberg": False, "other": True}
+    assert X.postings_of(parsed).count() == 4
+
+
+def test_pattern_cache_refresh(spark):
+    import datetime as dt
+
+    from jobsight.operators import patterns as P
+    day = lambda d: dt.datetime(2024, 1, d)
+    cache = spark.createDataFrame([("ok", "/A", day(1), day(20)), ("old", "/A", day(1), day(2)), ("wrong", "/A", day(1), day(20)),
+                                   ("unseen", "/A", day(1), day(20)), ("lost", "/A", day(1), day(2))], P.CACHE)
+    cand = spark.createDataFrame([("ok", "/A", True), ("ok", "", True), ("old", "/A", False), ("old", "/JobList", True),
+                                  ("wrong", "/A", False), ("wrong", "", True), ("new", "/SearchJobs", True), ("lost", "", False)],
+                                 "site string, pattern string, is_listing boolean")
+    got = {r["site"]: (r["pattern"], r["origin"], r["last_ok"]) for r in P.refresh(cache, cand, day(25)).collect()}
+    assert got == {"ok": ("/A", "cached", day(25)), "unseen": ("/A", "cached", day(20)), "old": ("/JobList", "detected", day(25)),
+                   "wrong": ("", "detected", day(25)), "new": ("/SearchJobs", "detected", day(25))}
+    stats = {r["pattern_name"]: (r["sites"], r["last_update"]) for r in P.cache_stats(P.refresh(cache, cand, day(25))).collect()}
+    assert stats["(all)"] == (5, day(25)) and stats["/A"] == (2, day(25))

@@ -171,17 +171,16 @@ def test_crash_before_the_pointer_and_replay(spark, tmpdir_fresh, monkeypatch):
     import pytest
     base = tmpdir_fresh + "/state"
     b = obs(spark, [A(url="1", seq=1), A(url="2", seq=2)])
-    real = io._pointer_path
+    real = io.publish
 
-    def crash(_):
+    def crash(*_):
         raise KeyboardInterrupt
 
     assert apply_batch(spark, obs(spark, [A(url="0", seq=0, run="r0")]), 0, base)
-    calls = []
-    monkeypatch.setattr(io, "_pointer_path", lambda p: crash(p) if len(calls) > 5 else calls.append(1) or real(p))
+    monkeypatch.setattr(io, "publish", crash)
     with pytest.raises(KeyboardInterrupt):
         apply_batch(spark, b, 1, base)  # state and ledger are written, the pointer is not
-    monkeypatch.setattr(io, "_pointer_path", real)
+    monkeypatch.setattr(io, "publish", real)
     assert io.latest_pointer(spark, base) == (1, 0)
     assert apply_batch(spark, b, 1, base)
     assert sorted(r["run_id"] for r in read_ledger(spark, base).collect()) == ["r0", "r1"]
@@ -207,3 +206,95 @@ def test_url_seen_under_another_company(spark):
     assert {r["url"]: (r["company"], r["is_active"]) for r in moved.collect()} == {"1": ("a", True), "2": ("a", True)}
     both = L.upsert(state, obs(spark, [A(url="1", seq=3, run="r2", company="b"), A(url="2", seq=4, run="r3", company="a")]))
     assert {r["url"]: r["is_active"] for r in both.collect()} == {"1": False, "2": True}
+
+
+# ---- incomplete runs, outcomes, metadata ------------------------------------------
+
+def _stepped(spark, rows, plan, incomplete):
+    """Run after run, each by the plain rules: upsert every sighting, then deactivate what a complete run missed."""
+    state, acts = {}, []
+    for run in plan:
+        own = [r for r in rows if r[7] == run]
+        for url, company, title, loc, job, ts, seq, _ in own:
+            old = state.get(url)
+            acts.append((seq, "new" if old is None else "updated" if [title, loc] != old[1:3] or not old[4] else "unchanged"))
+            state[url] = [company if old is None else old[0], title, loc, (old[3] if old else 0) + 1, True]
+        for company in {r[1] for r in own}:
+            if (company, run) not in incomplete:
+                seen = {r[0] for r in own}
+                for url, s in state.items():
+                    if s[0] == company and url not in seen:
+                        s[4] = False
+    return {u: tuple(s) for u, s in state.items()}, acts
+
+
+def test_incomplete_runs_deactivate_nothing(spark):
+    import random
+    rnd = random.Random(5)
+    plan = [f"r{k}" for k in range(7)]
+    home = {f"u{k}": rnd.choice(["a", "b"]) for k in range(12)}
+    rows, seq = [], 0
+    for run in plan:
+        for url in rnd.sample(sorted(home), rnd.randint(2, 7)):
+            seq += 1
+            rows.append((url, home[url], f"t{rnd.randint(0, 2)}", "x", url, t(seq % 60), seq, run))
+    incomplete = {("a", "r0"), ("a", "r2"), ("a", "r3"), ("b", "r4"), ("b", "r6")}
+    table = spark.createDataFrame(sorted(incomplete), "company string, run string")
+    want, want_acts = _stepped(spark, rows, plan, incomplete)
+    got = {r["url"]: (r["company"], r["title"], r["location"], r["scrape_count"], r["is_active"])
+           for r in L.upsert(L.empty_state(spark), obs(spark, rows), table).collect()}
+    assert got == want
+    acts = [(r["seq"], r["action"]) for r in L.classify_changes(L.empty_state(spark), obs(spark, rows), table).orderBy("seq").collect()]
+    assert acts == sorted(want_acts)
+    # in two batches, the second one against the stored state
+    first, second = [r for r in rows if r[7] < "r3"], [r for r in rows if r[7] >= "r3"]
+    half = L.upsert(L.empty_state(spark), obs(spark, first), table).checkpoint()
+    both = {r["url"]: r["is_active"] for r in L.upsert(half, obs(spark, second), table).collect()}
+    assert both == {u: s[4] for u, s in want.items()}
+    gone = L.deactivations(half, obs(spark, second), table).collect()
+    assert not {(g["company"], g["run"]) for g in gone} & incomplete
+
+
+def test_outcomes_count_failed_and_empty_sites(spark):
+    rows = [A(url="1", seq=1, company="a"), A(url="2", seq=2, company="b"), A(url="1", seq=3, run="r2", company="a")]
+    out = spark.createDataFrame([("r1", "a", True, None, False), ("r1", "c", True, None, False), ("r2", "a", False, "boom", False),
+                                 ("r3", "d", False, "down", False)],
+                                "run string, company string, success boolean, error string, stopped_early boolean")
+    state, _, gone, stats, ledger = L.ingest(L.empty_state(spark), obs(spark, rows), out)
+    got = {(r["run"], r["company"]): (r["jobs_found"], r["success"], r["error"]) for r in stats.collect()}
+    assert got == {("r1", "a"): (1, True, None), ("r1", "b"): (1, True, None), ("r1", "c"): (0, True, None),
+                   ("r2", "a"): (1, False, "boom"), ("r3", "d"): (0, False, "down")}
+    totals = {r["run"]: (r["sites_scraped"], r["sites_failed"], r["jobs_found"]) for r in L.run_totals(stats).collect()}
+    assert totals == {"r1": (3, 0, 2), "r2": (1, 1, 0), "r3": (1, 1, 0)}
+    assert gone.count() == 0 and ledger.count() == 3
+
+
+def test_metadata_of_the_last_sighting(spark):
+    rows = [(*A(url="1", seq=1), {"d": "x", "e": "y"}), (*A(url="1", seq=2), {"d": "z"}), (*A(url="2", seq=3), None)]
+    df = spark.createDataFrame(rows, OBS + ", metadata map<string,string>")
+    state = L.upsert(L.empty_state(spark), df).checkpoint()
+    assert {r["url"]: r["metadata"] for r in state.collect()} == {"1": {"d": "z"}, "2": None}
+    again = L.upsert(state, obs(spark, [A(url="2", seq=9, run="r2", company="other")]))
+    assert {r["url"]: r["metadata"] for r in again.collect()} == {"1": {"d": "z"}, "2": None}
+
+
+def test_a_small_batch_writes_a_small_part(spark, tmpdir_fresh):
+    """1 % of the URLs, of a site of their own: the buckets of these URLs are written, all others are taken over."""
+    import os
+    base = tmpdir_fresh + "/state"
+    site = F.when(F.col("id") < 200, "small").otherwise("large")
+    big = spark.range(20_000).select(
+        F.concat(F.lit("u"), "id").alias("url"), site.alias("company"), F.sha2(F.col("id").cast("string"), 256).alias("title"),
+        F.lit("x").alias("location"), F.col("id").cast("string").alias("job_id"), F.lit(t(1)).alias("ts"),
+        F.col("id").alias("seq"), F.lit("r1").alias("run"))
+    assert apply_batch(spark, big, 0, base, buckets=1024)
+    written = lambda: {f"{d}/{f}": os.path.getsize(f"{d}/{f}") for d, _, fs in os.walk(base + "/data") for f in fs}
+    before = written()
+    few = big.where("id < 200" if "id" in big.columns else "company = 'small'").withColumn("run", F.lit("r2"))
+    assert apply_batch(spark, few, 1, base)
+    new = sum(v for k, v in written().items() if k not in before and ("/state/" in k or "/open/" in k))
+    whole = sum(v for k, v in before.items() if "/state/" in k)
+    assert 0 < new < 0.25 * whole, (new, whole)
+    want = L.upsert(L.empty_state(spark), big.unionByName(few))
+    rows = lambda df: sorted((r["url"], r["company"], r["title"], r["scrape_count"], r["is_active"]) for r in df.collect())
+    assert rows(read_state(spark, base)) == rows(want)
