@@ -106,16 +106,16 @@ def latest_pointer(spark: SparkSession, base: str):
     return (p["version"], p["batch_id"]) if p else (0, -1)
 
 
-def bucket_of(url, buckets: int):
-    """The bucket of a URL column."""
-    return F.pmod(F.xxhash64(url), F.lit(buckets)).cast("int")
+def bucket_of(key, buckets: int):
+    """The bucket of a key column."""
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
 class Manifest:
-    """A state table in buckets: the folder of each bucket that has rows, by the hash of ``url``."""
+    """A state table in buckets: the folder of each bucket that has rows, by the hash of the column ``key``."""
 
-    def __init__(self, spark: SparkSession, schema, buckets: int, folders: dict[int, str] | None = None):
-        self.spark, self.schema, self.buckets, self.folders = spark, schema, buckets, folders or {}
+    def __init__(self, spark: SparkSession, schema, buckets: int, folders: dict[int, str] | None = None, key: str = "url"):
+        self.spark, self.schema, self.buckets, self.folders, self.key = spark, schema, buckets, folders or {}, key
 
     def read(self, only: set[int] | None = None) -> DataFrame:
         """The whole table, or the rows of some buckets."""
@@ -128,14 +128,14 @@ class Manifest:
         """A new version: ``rows`` are the whole new content of the ``changed`` buckets, written under ``path``."""
         folders = {k: f for k, f in self.folders.items() if k not in changed}
         if changed:
-            kept = rows.withColumn("bucket", bucket_of("url", self.buckets))
+            kept = rows.withColumn("bucket", bucket_of(self.key, self.buckets))
             # one task and one file for each bucket
             kept.repartition(len(changed), "bucket").write.mode("errorifexists").partitionBy("bucket").parquet(path)
             root = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             listed = root.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(root)
             names = [f.getPath().getName() for f in listed if f.isDirectory()]
             folders |= {int(n.removeprefix("bucket=")): f"{path}/{n}" for n in names if n.startswith("bucket=")}
-        return Manifest(self.spark, self.schema, self.buckets, folders)
+        return Manifest(self.spark, self.schema, self.buckets, folders, self.key)
 
 
 def new_folder(base: str) -> str:
@@ -152,12 +152,13 @@ def save_manifests(spark: SparkSession, path: str, **parts: Manifest) -> None:
     spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.parquet(f"{path}/manifests")
 
 
-def load_manifest(spark: SparkSession, pointer, empty: DataFrame, part: str = "state", buckets: int = BUCKETS) -> Manifest:
+def load_manifest(spark: SparkSession, pointer, empty: DataFrame, part: str = "state", buckets: int = BUCKETS,
+                  key: str = "url") -> Manifest:
     """A bucketed table of the version that ``pointer`` (see ``latest``) names; without one, a table without rows."""
     if pointer is None:
-        return Manifest(spark, empty.schema, buckets)
+        return Manifest(spark, empty.schema, buckets, key=key)
     rows = spark.read.schema(_MANIFEST).parquet(f"{pointer['path']}/manifests").filter(F.col("part") == part).collect()
-    return Manifest(spark, empty.schema, rows[0]["buckets"], {r["bucket"]: r["folder"] for r in rows if r["folder"]})
+    return Manifest(spark, empty.schema, rows[0]["buckets"], {r["bucket"]: r["folder"] for r in rows if r["folder"]}, key)
 
 
 def load_snapshot(spark: SparkSession, base: str, empty: DataFrame, part: str = "state", pointer=None) -> DataFrame:
