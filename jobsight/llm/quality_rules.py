@@ -15,13 +15,15 @@ every stratum loses at most a share ``alpha`` of its good documents to the cutof
 cutoffs keeps this; the one with the largest gap between rejected bad and rejected good documents is taken, of
 equals the most lenient. A stratum with too few labels to certify anything rejects nothing.
 
-All labels count: their histogram by (stratum, score, thousandth) is an aggregate, so the driver and a task see at
-most a few thousand numbers a stratum. The cutoff table has a row for each stratum; it is broadcast if there are at
+Each labelled document counts once, and so does each text of a stratum: the binomial bound is for independent draws,
+which repeated labels, repeated rows and exact copies are not. A document or text whose labels contradict each other
+counts as neither good nor bad. All others count: their histogram by (stratum, score, thousandth) is an aggregate, so
+the driver and a task see at most a few thousand numbers a stratum. The cutoff table has a row for each stratum; it is broadcast if there are at
 most MAX_BROADCAST_STRATA, and joined otherwise.
 
 Edge cases: a null text has no words and fails the base rule; a null stratum is a stratum of its own; rows of a
-repeated doc_id are judged one by one; labels that repeat, or are null, or meet no document do not count as good or
-bad more often than they join; without labels only the base rule holds. Other columns stay as they are.
+repeated doc_id are judged one by one, and as a holdout the one with the least text hash counts; labels that are null,
+or meet no document, do not count; without labels only the base rule holds. Other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobsight.llm.words import SPACED, Block, cut, mix, word_blocks
-from jobsight.session import checkpoint_dir
+from jobsight.session import checkpoint_dir, limit_arrow_batches
 
 SYMBOLS = b"#*$%&|<>"
 LINES = np.arange(256) != 0x0A
@@ -96,6 +98,7 @@ def measure(block: Block) -> list[np.ndarray]:
 def with_measures(docs: DataFrame, name: str, text_col: str = "text") -> DataFrame:
     """``docs`` with the base measures of the text in the struct column ``name``."""
     at = docs.columns.index(text_col)
+    limit_arrow_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -144,16 +147,20 @@ def choose(good: np.ndarray, bad: np.ndarray, a: float, d: float) -> int:
     return int(len(gap) - 1 - np.argmax(gap[::-1]))
 
 
-def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float, delta: float, stratum: str, name: str,
+def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float, delta: float, stratum: str, name: str, key_col: str,
             id_col: str = "doc_id", label_col: str = "quality") -> tuple[DataFrame, int]:
-    """((stratum, one cutoff per score), number of strata) from ``measured`` (id, stratum, measures) and labels."""
+    """((stratum, one cutoff per score), number of strata) from ``measured`` (id, stratum, hash of the text, measures) and
+    labels."""
     each = scores(F.col(name))
-    joined = (measured.where(~base_failed(F.col(name)))
-              .select(F.col(id_col).alias("id"), F.col(stratum).cast("string").alias("stratum"),
-                      F.array(*[F.struct(F.lit(s).alias("score"), c.alias("value")) for s, c in each.items()])
-                      .alias("each"))
-              .join(labels.where(F.col(label_col).isin(0, 1))
-                    .select(F.col(id_col).alias("id"), F.col(label_col).alias("good")), "id"))
+    agreed = [F.min("good").alias("good"), F.max("good").alias("most")]
+    one = (labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id"))
+           .agg(F.min(label_col).alias("good"), F.max(label_col).alias("most")).where("good = most").select("id", "good"))
+    rows = measured.where(~base_failed(F.col(name))).select(
+        F.col(id_col).alias("id"), F.col(stratum).cast("string").alias("stratum"), F.col(key_col).alias("key"),
+        F.array(*[F.struct(F.lit(s).alias("score"), c.alias("value")) for s, c in each.items()]).alias("each"))
+    # labelled documents alone are grouped: first by id, then by text
+    joined = (rows.join(one, "id").groupBy("id", "good").agg(F.min(F.struct("key", "stratum", "each")).alias("r"))
+              .groupBy("r.stratum", "r.key").agg(F.first("r.each").alias("each"), *agreed).where("good = most"))
     histogram = (joined.select("stratum", "good", F.explode("each").alias("e"))
                  .groupBy("stratum", F.col("e.score").alias("score"), F.col("e.value").alias("value"))
                  .agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad")).checkpoint())
@@ -198,15 +205,20 @@ def _free(docs: DataFrame) -> str:
     return name
 
 
+def _text_key(text_col: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+
+
 def quality_report(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05,
                    stratum: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, base measures, base_failed, failed, kept) of each document. One pass over the texts."""
     checkpoint_dir(docs.sparkSession)
     m = "m"
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(stratum).alias("stratum"), F.col(text_col).alias("text"))
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(stratum).alias("stratum"), F.col(text_col).alias("text"),
+                         _text_key(text_col).alias("key"))
     measured = with_measures(narrow, m).drop("text").checkpoint()
     labels = labels.withColumnRenamed(id_col, "id") if id_col != "id" else labels
-    chosen, strata = cutoffs(measured, labels, alpha, delta, "stratum", m, "id")
+    chosen, strata = cutoffs(measured, labels, alpha, delta, "stratum", m, "key", "id")
     out = judged(measured, chosen, strata, "stratum", m)
     return out.select(F.col("id").alias(id_col), "m.*", "m_verdict.*")
 
@@ -216,7 +228,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: fl
     """The documents that pass, with the columns of ``docs``; two passes over the texts, which are not shuffled."""
     checkpoint_dir(docs.sparkSession)
     m = _free(docs)
-    slim = docs.select(id_col, stratum, text_col)
-    chosen, strata = cutoffs(with_measures(slim, m, text_col).drop(text_col), labels, alpha, delta, stratum, m, id_col)
+    slim = docs.select(id_col, stratum, text_col, _text_key(text_col).alias(m + "_key"))
+    chosen, strata = cutoffs(with_measures(slim, m, text_col).drop(text_col), labels, alpha, delta, stratum, m, m + "_key",
+                             id_col)
     out = judged(with_measures(docs, m, text_col), chosen, strata, stratum, m)
     return out.where(F.col(f"{m}_verdict.kept")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -214,3 +214,74 @@ def test_risk_controlled_cutoffs(spark):
     assert {r[0] for r in kept.collect()} == {i for i, r in got.items() if r["kept"]}
     assert quality_rules.quality_report(df, lab.limit(0)).where("kept <> (not base_failed)").count() == 0
     assert quality_rules.quality_report(df.limit(0), lab).count() == 0
+
+
+# ---- quality cutoffs by brute force -------------------------------------------
+
+def _labelled(seed, n):
+    rnd = random.Random(seed)
+    docs = []
+    for i in range(n):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(60)]
+        bad = rnd.random() < 0.4
+        if bad or rnd.random() < 0.01:
+            words = [w + "$#" if rnd.random() < 0.3 else w for w in words]
+        docs.append((i, rnd.choice("xy"), " ".join(words), 0 if bad else 1))
+    return docs
+
+
+def _cutoffs(docs, alpha, delta):
+    """{stratum: cutoff of each score} from exact binomial sums over one label for each text."""
+    from fractions import Fraction
+    strata = sorted({s for _, s, _, _ in docs})
+    a, d = Fraction(alpha) / 4, Fraction(delta) / (4 * len(strata))
+    out = {}
+    for stratum in strata:
+        texts = {}
+        for _, s, t, good in docs:
+            if s == stratum:
+                texts.setdefault(t, set()).add(good)
+        rows = [(brute.quality(t), next(iter(g))) for t, g in texts.items() if len(g) == 1]
+        for name in quality_rules.SCORES:
+            def value(m):
+                n, chars, symbols, lines, dup, again = m
+                x, y, scale = {"symbols": (symbols, chars, 1000), "dup_lines": (dup, lines, 1000), "repeats": (again, n, 1000),
+                               "word_length": (chars, n, 50)}[name]
+                return min(1000, scale * x // y if y else 0)
+            good = [value(m) for m, g in rows if g == 1]
+            bad = [value(m) for m, g in rows if g == 0]
+            best, gap = 1000, Fraction(0)
+            for c in range(1000, -1, -1):
+                k = sum(v > c for v in good)
+                tail = sum(Fraction(math.comb(len(good), i)) * a ** i * (1 - a) ** (len(good) - i) for i in range(k + 1))
+                if tail > d:
+                    break
+                own = Fraction(sum(v > c for v in bad), len(bad)) - Fraction(k, len(good))
+                if own > gap:
+                    best, gap = c, own
+            out.setdefault(stratum, {})[name] = best
+    return out
+
+
+def test_cutoffs_by_exact_sums_and_repeated_labels(spark):
+    docs = _labelled(7, 900)
+    alpha, delta = 0.25, 0.25
+    want = _cutoffs(docs, alpha, delta)
+    assert any(c < 1000 for own in want.values() for c in own.values())
+    copies = [(10_000 + i, s, t, g) for i, s, t, g in docs[:50] for _ in range(1)]  # exact copies count once
+    df = spark.createDataFrame([(i, s, t, "z") for i, s, t, _ in docs + copies], "doc_id long, lang string, text string, quality_key string")
+    results = []
+    for times in (1, 32):
+        labels = spark.createDataFrame([(i, g) for i, _, _, g in docs + copies] * times + [(3, None), (None, 1)], "doc_id long, quality int")
+        got = quality_rules.quality_report(df, labels, alpha, delta).collect()
+        results.append({r["doc_id"]: (r["kept"], tuple(r["failed"])) for r in got})
+    assert results[0] == results[1]
+    for i, s, t, _ in docs:
+        n, chars, symbols, lines, dup, again = brute.quality(t)
+        scores = {"symbols": 1000 * symbols // chars, "dup_lines": 1000 * dup // lines, "repeats": 1000 * again // n,
+                  "word_length": min(1000, 50 * chars // n)}
+        failed = tuple(x for x in quality_rules.SCORES if scores[x] > want[s][x])
+        assert results[0][i] == (not failed, failed), i
+    # labels that contradict each other say nothing
+    both = spark.createDataFrame([(i, g) for i, _, _, _ in docs for g in (0, 1)], "doc_id long, quality int")
+    assert all(not r["failed"] for r in quality_rules.quality_report(df, both, alpha, delta).collect())
