@@ -99,7 +99,7 @@ def _hides(tag: str, attributes: str, in_article: bool) -> int:
 
 def _tokens(page: str) -> list[tuple[str, str, str]]:
     """Start tags as (<, tag, attributes), end tags as (/, tag, ..) and the texts between them."""
-    tokens, at = [], 0
+    tokens, at, missing = [], 0, set()  # end tags that were searched for and not found
     while True:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -112,7 +112,9 @@ def _tokens(page: str) -> list[tuple[str, str, str]]:
         if tag:
             tokens.append(("/" if m[1] else "<", tag, m[3]))
             if not m[1] and tag in _OPAQUE_END and not m[3].rstrip().endswith("/"):
-                end = _OPAQUE_END[tag].search(page, at)
+                end = None if tag in missing else _OPAQUE_END[tag].search(page, at)
+                if end is None:
+                    missing.add(tag)
                 at = end.end() if end else len(page) if tag in ("script", "style") else at
 
 

@@ -1,11 +1,16 @@
 """Token totals by source, language and tokenizer version, maintained by signed deltas.
 
-A ``RollupStore`` is a folder with a commit log. ``commit`` takes a batch of changes (doc_id, version, source, lang,
-n_tokens, kind) where kind is insert, delete or revise. Only documents of the batch are looked up in what was
-committed before; a change becomes signed rows (what is taken back with -1, what is added with +1), which move a
-document's tokens between groups too. The batch's signed rows are written to a folder named by the batch id, then
-the id goes to the log. So a batch that failed midway is written again as a whole, a batch whose id is in the log is
-skipped, and totals (a sum over logged batches, combined before the shuffle) count every batch once.
+A ``RollupStore`` is a folder. ``commit`` takes a batch of changes (doc_id, version, source, lang, n_tokens, kind) where
+kind is insert, delete or revise. What every document counts for lies in buckets by the hash of its id; a commit reads
+and writes the buckets that the batch touches and takes the others over from the version before. A change becomes signed
+rows (what is taken back with -1, what is added with +1), which move a document's tokens between groups too. Their sums,
+added to the stored totals, are the new totals: the cost of a commit follows the batch and the number of groups, and
+``totals`` reads one small table. The signed rows of each batch stay in a folder of their own.
+
+State and totals of an attempt go to a folder of its own, and one log file, created under the next number, publishes
+them. So a batch that failed midway is written again as a whole, a batch whose id is in the log is skipped, and of two
+writers one finds its number taken and fails (ConcurrentCommit), its batch to be committed again. A log file that a
+crash left empty must be removed by hand.
 
 Kinds: an insert or a revision replaces whatever the document had under that version; a delete takes it back; a
 delete of an unknown document changes nothing. If a batch names a document more than once, the greatest of (kind order
@@ -18,24 +23,31 @@ only additive aggregates; the lookup joins on (doc_id, version).
 
 from __future__ import annotations
 
-
+import uuid
 
 import pyarrow as pa
 import regex
 import tiktoken
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobsight.llm.bpe import read_ranks, shards, units
+from jobsight.llm.tables import written
+from jobsight.session import limit_arrow_batches
+from jobsight.sources import io
 
 KEY = ["source", "lang", "version"]
+BUCKETS = 64
+STATE = "doc_id long, version string, source string, lang string, n_tokens long"
+TOTALS = "source string, lang string, version string, n_docs long, n_tokens long"
 SIGNED = "doc_id long, version string, source string, lang string, n_docs long, n_tokens long"
 
 
 def count_tokens(docs: DataFrame, vocabularies: dict[str, str], pattern: str, id_col: str = "doc_id",
                  text_col: str = "text", keep: tuple[str, ...] = ("source", "lang")) -> DataFrame:
     """(doc_id, version, *keep, n_tokens): token counts of each text under each vocabulary {version: rank file}."""
+    limit_arrow_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast({v: read_ranks(p) for v, p in vocabularies.items()})
     names = sorted(vocabularies)
 
@@ -59,26 +71,43 @@ def count_tokens(docs: DataFrame, vocabularies: dict[str, str], pattern: str, id
     return out.select("k.doc_id", "version", *[f"k.{c}" for c in keep], "n_tokens")
 
 
+class ConcurrentCommit(RuntimeError):
+    """Another writer has published the version that this commit was to publish."""
+
+
 class RollupStore:
-    """Signed deltas in ``folder``/batches/<id>, committed ids in ``folder``/log/<id>."""
+    """``folder``/log/<number>, ``folder``/attempts/<uuid> (state buckets, manifest, totals), ``folder``/batches/<id>."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
+        self.spark, self.folder, self.buckets = spark, folder, buckets
 
     def _path(self, kind: str, batch: str) -> str:
         if not batch.replace("-", "").replace("_", "").isalnum():
             raise ValueError("a batch id holds letters, digits, - and _")
         return f"{self.folder}/{kind}/{batch}"
 
-    def committed(self) -> list[str]:
-        """Ids of committed batches: their number is that of the commits, not of the documents."""
-        try:
-            log = self.spark.read.schema("batch string").option("recursiveFileLookup", "true").parquet(f"{self.folder}/log")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
+    def _log(self) -> list[tuple[int, str, str]]:
+        """(number, batch, attempt) of each commit, in order: as many as there are commits, not documents."""
+        if not io.path_exists(self.spark, f"{self.folder}/log"):
             return []
-        return sorted({r[0] for r in log.collect()})
+        rows = [r[0].split("\t") for r in self.spark.read.text(f"{self.folder}/log").collect()]
+        return sorted((int(n), batch, attempt) for n, batch, attempt in rows)
+
+    def _publish(self, number: int, batch: str, attempt: str) -> None:
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/log/{number:09d}")
+        try:
+            out = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(path, False)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception):
+                raise ConcurrentCommit(f"version {number} of {self.folder} is taken") from e
+            raise
+        out.write(bytearray(f"{number}\t{batch}\t{attempt}\n".encode()))
+        out.close()
+
+    def committed(self) -> list[str]:
+        """Ids of committed batches."""
+        return [batch for _, batch, _ in self._log()]
 
     def signed(self) -> DataFrame:
         """All signed rows of committed batches."""
@@ -87,9 +116,15 @@ class RollupStore:
             return self.spark.createDataFrame([], SIGNED)
         return self.spark.read.schema(SIGNED).parquet(*[self._path("batches", b) for b in batches])
 
+    def _totals(self, log) -> DataFrame:
+        if not log:
+            return self.spark.createDataFrame([], TOTALS)
+        return self.spark.read.schema(TOTALS).parquet(f"{log[-1][2]}/totals")
+
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Apply a batch once. False if its id is in the log already; then nothing is read or written."""
-        if batch in self.committed():
+        log, signed_path = self._log(), self._path("batches", batch)
+        if batch in {b for _, b, _ in log}:
             return False
         new = changes.select(F.col("doc_id").cast("long").alias("doc_id"), "version", F.struct(
             F.when(F.col("kind") == "delete", 0).when(F.col("kind") == "insert", 1).when(F.col("kind") == "revise", 2)
@@ -97,27 +132,35 @@ class RollupStore:
             .alias("c")).withColumn("c", F.when(
                 F.col("doc_id").isNull() | F.col("version").isNull() | F.col("c.kind").isNull(),
                 F.raise_error(F.lit("a change needs doc_id, version and a known kind"))).otherwise(F.col("c")))
-        new = new.groupBy("doc_id", "version").agg(F.max("c").alias("c"))
-        add = new.where(F.col("c.kind") > 0).select(
-            "doc_id", "version", "c.source", "c.lang", F.lit(1).cast("long").alias("n_docs"), "c.n_tokens")
-        before = self.signed()
-        if before.isEmpty():
-            take = None
-        else:
-            touched = before.join(new.select("doc_id", "version"), ["doc_id", "version"], "left_semi")
-            take = (touched.groupBy("doc_id", "version", "source", "lang")
-                    .agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-                    .where("n_docs <> 0 or n_tokens <> 0")
-                    .select("doc_id", "version", "source", "lang", -F.col("n_docs"), -F.col("n_tokens")))
-        (add if take is None else add.union(take)).write.mode("overwrite").parquet(self._path("batches", batch))
-        (self.spark.createDataFrame([(batch,)], "batch string").coalesce(1)
-         .write.mode("overwrite").parquet(self._path("log", batch)))
+        new = written(new.groupBy("doc_id", "version").agg(F.max("c").alias("c")))
+        state = io.load_manifest(self.spark, {"path": log[-1][2]} if log else None, self.spark.createDataFrame([], STATE),
+                                 buckets=self.buckets, key="doc_id")
+        touched = {r[0] for r in new.select(io.bucket_of("doc_id", state.buckets)).distinct().collect()}
+        old = state.read(touched).select("doc_id", "version", F.struct("source", "lang", "n_tokens").alias("o"))
+        both = old.join(new, ["doc_id", "version"], "full_outer")
+        put = F.col("c.kind") > 0
+        after = both.select("doc_id", "version", F.when(F.col("c").isNull(), F.col("o")).when(
+            put, F.struct("c.source", "c.lang", "c.n_tokens")).alias("s")).where("s is not null").select("doc_id", "version", "s.*")
+
+        def row(when, s, sign):
+            return F.when(when, F.struct(F.col(f"{s}.source").alias("source"), F.col(f"{s}.lang").alias("lang"),
+                                         F.lit(sign).cast("long").alias("n_docs"), (sign * F.col(f"{s}.n_tokens")).alias("n_tokens")))
+
+        rows = F.array_compact(F.array(row(F.col("c").isNotNull() & F.col("o").isNotNull(), "o", -1), row(put, "c", 1)))
+        both.select("doc_id", "version", F.explode(rows).alias("r")).select("doc_id", "version", "r.*").write.mode(
+            "overwrite").parquet(signed_path)
+        signed = self.spark.read.schema(SIGNED).parquet(signed_path)
+        attempt = f"{self.folder}/attempts/{uuid.uuid4().hex}"
+        io.save_manifests(self.spark, attempt, state=state.replace(after, touched, f"{attempt}/state"))
+        (self._totals(log).union(signed.select("source", "lang", "version", "n_docs", "n_tokens")).groupBy(*KEY)
+         .agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
+         .write.parquet(f"{attempt}/totals"))
+        self._publish(len(log) + 1, batch, attempt)
         return True
 
     def totals(self) -> DataFrame:
         """(source, lang, version, n_docs, n_tokens) of what is there after all committed batches."""
-        return (self.signed().groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-                .where("n_docs <> 0 or n_tokens <> 0"))
+        return self._totals(self._log())
 
 
 def changes(counts: DataFrame, kind: str) -> DataFrame:

@@ -25,25 +25,30 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobsight.session import limit_arrow_batches
+
 VERSION = "WARC/1.1"
 CRLF = "\r\n"
 #: fields that describe a record itself and are not passed on as WARC-Source-*
 OWN_FIELDS = {"warc-type", "warc-record-id", "warc-target-uri", "warc-date", "content-length", "content-type"}
 SCHEMA = "record_id string, record_type string, refers_to string, headers map<string,string>, block string"
 
-_DROP = re.compile(r"<!--.*?-->|<(script|style|template|noscript)\b.*?</\1\s*>|<(?:head|title)\b.*?</(?:head|title)\s*>",
-                   re.S | re.I)
+#: elements whose content is no text, and what ends each of them
+_HIDDEN = re.compile(r"<!--|<(script|style|template|noscript|head|title)\b", re.I)
+_HIDDEN_END = {"": re.compile("-->")} | {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "template", "noscript")}
+_HIDDEN_END |= dict.fromkeys(("head", "title"), re.compile(r"</(?:head|title)\s*>", re.I))
 _BLOCK = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|td|th|table|h[1-6]|section|article|nav|footer|header|aside|main|form"
-                    r"|blockquote|pre|hr|dl|dt|dd|figure|figcaption|body|html)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>", re.I)
-_TAG = re.compile(r"<[/!?a-zA-Z](?:[^<>\"']|\"[^\"]*\"|'[^']*')*>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=", re.I)
+                    r"|blockquote|pre|hr|dl|dt|dd|figure|figcaption|body|html)\b", re.I)
+_MARK = re.compile("[\"'<>]")
+_LANG = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
+_HREF = re.compile(r"<a\b.*?\bhref\s*=", re.S | re.I)
 
 
 def digest(data: bytes) -> str:
@@ -64,13 +69,84 @@ def split_http(block: str) -> tuple[str, list[tuple[str, str]], str]:
     return status, [(k.strip(), v.strip()) for k, v in pairs if k.strip()], payload
 
 
+def visible(payload: str) -> str:
+    """The payload without comments and elements that hold no text. One that is never closed stays.
+
+    Linear: what ends an element is not searched again once it was not found.
+    """
+    out, at, pos, missing = [], 0, 0, set()
+    while m := _HIDDEN.search(payload, pos):
+        end = _HIDDEN_END[(m[1] or "").lower()]
+        close = None if end in missing else end.search(payload, m.end())
+        if close is None:
+            missing.add(end)
+            pos = m.end()
+            continue
+        out.append(payload[at:m.start()])
+        at = pos = close.end()
+    return "".join(out) + payload[at:]
+
+
+def tags(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of the tags: from < before a letter, /, ! or ? to the > that stands in no quotes, with no other < between.
+
+    A quote that never closes is an ordinary character. Linear, as what was passed is not looked at again but for the
+    stretch up to the next tag.
+    """
+    single = set()
+    start = text.find("<")
+    while 0 <= start < len(text) - 1:
+        at = start + 1
+        if not (text[at] in "/!?" or "a" <= text[at].lower() <= "z"):
+            start = text.find("<", at)
+            continue
+        while True:
+            m = _MARK.search(text, at)
+            if m is None:
+                return
+            if m[0] in "<>":
+                break
+            close = -1 if m[0] in single else text.find(m[0], m.end())
+            if close < 0:
+                single.add(m[0])
+            at = m.end() if close < 0 else close + 1
+        if m[0] == ">":
+            yield start, m.end()
+            start = text.find("<", m.end())
+        else:
+            start = m.start()
+
+
 def plain_text(payload: str) -> str:
     """The visible text: one line per block, character references decoded."""
-    text = _TAG.sub("", _BLOCK.sub("\n", _DROP.sub("", payload)))
-    lines = (" ".join(line.split()) for line in html.unescape(text).split("\n"))
+    source = visible(payload)
+    out, at = [], 0
+    for a, b in tags(source):
+        out.append(source[at:a])
+        if _BLOCK.match(source, a, b):
+            out.append("\n")
+        at = b
+    out.append(source[at:])
+    lines = (" ".join(line.split()) for line in html.unescape("".join(out)).split("\n"))
     return "\n".join(line for line in lines if line)
 
 
+def head_fields(payload: str) -> tuple[str, str, int]:
+    """(title, declared language, number of links) of a page."""
+    title = lang = ""
+    m = re.search(r"<title\b", payload, re.I)
+    begin = payload.find(">", m.end()) + 1 if m else 0
+    end = re.compile("</title", re.I).search(payload, begin) if begin else None
+    if end:
+        title = _one_line(html.unescape(payload[begin:end.start()]))
+    links = 0
+    for a, b in tags(payload):
+        if not lang and payload[a + 1:a + 5].lower() == "html" and (found := _LANG.search(payload, a + 5, b)):
+            lang = found[1]
+        links += bool(_HREF.match(payload, a, b))
+    return title, lang, links
+
+
 def _one_line(text: str) -> str:
     return " ".join(text.split())
 
@@ -83,9 +159,8 @@ def derivatives(headers: dict[str, str], block: str) -> list[tuple[str, str, str
     status, http, payload = split_http(block)
     kind = next((v for k, v in http if k.lower() == "content-type"), "text/html").lower()
     markup = "html" in kind or "xml" in kind
-    title, lang = (_TITLE.search(payload), _LANG.search(payload)) if markup else (None, None)
-    lines = [("title", _one_line(html.unescape(title[1])) if title else ""), ("language", lang[1] if lang else ""),
-             ("links", str(len(_LINK.findall(payload)) if markup else 0)), ("http-status", status)]
+    title, lang, links = head_fields(payload) if markup else ("", "", 0)
+    lines = [("title", title), ("language", lang), ("links", str(links)), ("http-status", status)]
     lines += [("http-" + k.lower(), v) for k, v in http]
     metadata = "".join(f"{k}: {v}{CRLF}" for k, v in lines if v)
     text = plain_text(payload) if markup else payload
@@ -102,13 +177,22 @@ def derivatives(headers: dict[str, str], block: str) -> list[tuple[str, str, str
     return out
 
 
+def is_response(headers) -> bool:
+    return all((v or "response").strip().lower() == "response" for k, v in headers if k.lower() == "warc-type")
+
+
 def derive(responses: DataFrame, headers_col: str = "headers", block_col: str = "block") -> DataFrame:
-    """Two records (record_id, record_type, refers_to, headers, block) for each response."""
+    """Two records (record_id, record_type, refers_to, headers, block) for each response.
+
+    Records whose WARC-Type is given and not ``response`` (requests, metadata, warcinfo, ...) have no derivatives.
+    """
+    limit_arrow_batches(responses.sparkSession)
+
     def run(batches):
         kinds = [pa.string()] * 3 + [pa.map_(pa.string(), pa.string()), pa.string()]
         for batch in batches:
             rows = [r for h, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-                    for r in derivatives(dict(h or ()), b or "")]
+                    if is_response(h or ()) for r in derivatives(dict(h or ()), b or "")]
             columns = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array([list(x.items()) for x in c] if i == 3 else list(c), k)
@@ -120,6 +204,8 @@ def derive(responses: DataFrame, headers_col: str = "headers", block_col: str =
 
 def page_responses(pages: DataFrame, date: str, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Response records (headers, block) for crawled pages: the HTTP message, its ids and digests."""
+    limit_arrow_batches(pages.sparkSession)
+
     def run(batches):
         for batch in batches:
             heads, blocks = [], []
@@ -149,31 +235,82 @@ def write_warc(records: DataFrame, path: str) -> None:
      .write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path))
 
 
-def parse(data: bytes) -> list[tuple[list[tuple[str, str]], str]]:
-    """(header fields, block) of each record of an uncompressed WARC file; Content-Length says where a block ends."""
-    out, at = [], 0
-    while (at := data.find(VERSION.encode(), at)) >= 0:
-        gap = data.find(b"\r\n\r\n", at)
-        if gap < 0:
-            break
-        lines = data[at:gap].decode("utf-8", "replace").split(CRLF)[1:]
+def inflated(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
+    """The content of a gzip file, one member after the other, in pieces of about ``step`` bytes."""
+    at = 0
+    while at < len(data):
+        member = zlib.decompressobj(16 + zlib.MAX_WBITS)
+        while not member.eof and at < len(data):
+            packed = data[at:at + step]
+            at += len(packed)
+            while packed and not member.eof:
+                yield member.decompress(packed, step)
+                packed = member.unconsumed_tail
+        at -= len(member.unused_data)
+
+
+def records(pieces: Iterable[bytes]) -> Iterator[tuple[list[tuple[str, str]], str]]:
+    """(header fields, block) of each record; Content-Length says where a block ends. One record is held at a time.
+
+    What stands between records and is no record is passed over; a file that ends within a block gives what is there.
+    """
+    held, pieces = bytearray(), iter(pieces)
+
+    def more() -> bool:
+        piece = next(pieces, None)
+        held.extend(piece or b"")
+        return piece is not None
+
+    mark = VERSION.encode()
+    while True:
+        while (begin := held.find(mark)) < 0:
+            del held[:max(0, len(held) - len(mark))]
+            if not more():
+                return
+        del held[:begin]
+        seen = 0
+        while (gap := held.find(b"\r\n\r\n", seen)) < 0:
+            seen = max(0, len(held) - 3)
+            if not more():
+                return
+        lines = bytes(held[:gap]).decode("utf-8", "replace").split(CRLF)[1:]
         fields = [(k.strip(), v.strip()) for k, v in (x.partition(":")[::2] for x in lines)]
         size = int(next((v for k, v in fields if k.lower() == "content-length"), "0"))
-        out.append((fields, data[gap + 4:gap + 4 + size].decode("utf-8", "replace")))
-        at = gap + 4 + size
-    return out
+        while len(held) < gap + 4 + size and more():
+            pass
+        yield fields, bytes(held[gap + 4:gap + 4 + size]).decode("utf-8", "replace")
+        del held[:gap + 4 + size]
+
+
+def parse(data: bytes) -> list[tuple[list[tuple[str, str]], str]]:
+    """The records of an uncompressed WARC file."""
+    return list(records([data]))
+
+
+def read_warc(spark: SparkSession, path: str, rows: int = 100) -> DataFrame:
+    """(headers, block) of the records in gzip WARC files.
 
+    A task holds one compressed file (2 GB at most, the limit of the reader) and unpacks it member by member, ``rows``
+    records at a time. A field that repeats within a record's header keeps its first value.
+    """
+    def batch_of(held):
+        heads = [list({k: v for k, v in reversed(r[0])}.items()) for r in held]
+        return pa.RecordBatch.from_arrays([pa.array(heads, pa.map_(pa.string(), pa.string())),
+                                           pa.array([r[1] for r in held], pa.string())], names=["headers", "block"])
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(headers, block) of the records in gzip WARC files; a task holds one file."""
     def run(batches):
-        import gzip
         for batch in batches:
             for content in batch.column(0):
-                rows = parse(gzip.decompress(content.as_py()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.map_(pa.string(), pa.string())),
-                     pa.array([r[1] for r in rows], pa.string())], names=["headers", "block"])
+                held, size = [], 0
+                for record in records(inflated(content.as_py())):
+                    held.append(record)
+                    size += len(record[1])
+                    if len(held) >= rows or size >= 1 << 24:
+                        yield batch_of(held)
+                        held, size = [], 0
+                if held:
+                    yield batch_of(held)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    limit_arrow_batches(spark)
     return files.mapInArrow(run, "headers map<string,string>, block string")

@@ -7,7 +7,9 @@ import random
 import tempfile
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 import tiktoken
 
 from jobsight.llm import html_extract, language_id, license_scan, token_rollups, warc
@@ -372,3 +374,112 @@ def test_count_tokens(spark):
                                "doc_id long, text string, source string, lang string, n_tokens int")
     got = {r["doc_id"]: r["n_tokens"] for r in token_rollups.count_tokens(df, {"v": path}, public_tokenizers.PATTERN).collect()}
     assert got == {i: len(coder.encode_ordinary(t or "")) for i, t in enumerate(texts)}
+
+
+# ---- edited full texts -------------------------------------------------------
+
+def _found_in_library(text):
+    index = license_scan.Index(license_scan.library())
+    b = next(license_scan.word_blocks(pa.array([text], pa.large_string()), license_scan.ALNUM, True))
+    return license_scan.find(index, b.hashes, 0.8)
+
+
+@pytest.mark.parametrize("name", ["GPL-3.0", "Apache-2.0", "MPL-2.0", "BSD-3-Clause"])
+def test_edited_full_texts_are_found_whole(name):
+    """Twenty words out, twenty in, some everywhere, and the text twice: one find for each copy."""
+    words = max((t for n, t in license_scan.library() if n == name), key=len).split()
+    n, h = len(words), len(words) // 2
+    new = [f"n{k}" for k in range(20)]
+    edits = {"same": words, "in": words[:h] + new + words[h:], "out": words[:h] + words[h + 20:],
+             "both": words[:h // 2] + new + words[h // 2:h] + words[h + 20:],
+             "often": [x for k, w in enumerate(words) for x in ([w] if k % 150 else [*new[:9], w])]}
+    for label, own in edits.items():
+        got = _found_in_library(" ".join(["before"] * 30 + own + ["after"] * 30))
+        assert [g[0] for g in got] == [name], label
+        _, coverage, matched, a, b = got[0]
+        lost = 20 if label in ("out", "both") else 0
+        assert coverage >= (n - lost) / n - 0.005 and a >= 30 and b - a >= matched, label
+    twice = _found_in_library(" ".join(edits["both"] + ["between"] * 40 + edits["in"]))
+    assert [g[0] for g in twice] == [name, name] and twice[0][4] <= twice[1][3]
+
+
+# ---- hostile pages, streamed WARC files, stored totals -------------------------
+
+HOSTILE = ["<script>", "<title>", "<textarea>", '<a "', "<a '", '<a ">" ', "<html ", "<a ", "<!--", "<head><title ", "<p", "&", "<style>x</style "]
+
+
+@pytest.mark.parametrize("unit", HOSTILE)
+def test_hostile_megabyte_pages_take_linear_time(unit):
+    import time
+    page = unit * (1_000_000 // len(unit))
+    begin = time.process_time()
+    warc.plain_text(page)
+    warc.head_fields(page)
+    assert time.process_time() - begin < 2
+
+
+def test_plain_text_by_small_cases():
+    for page, text in (("a<script>b</script>c", "ac"), ("a<script>b", "ab"), ("<p>a<p title='>'>b", "a\nb"), ("1 < 2 <b>x</b>", "1 < 2 x"),
+                       ("<head><title>t</title>rest</head>x", "restx"), ("a<!-- b --><!-- c", "a<!-- c"), ("<a 'x>y</a>", "y"), ("", "")):
+        assert warc.plain_text(page) == text, page
+
+
+def test_only_responses_have_derivatives(spark):
+    heads = [{"WARC-Type": "request"}, {"WARC-Type": "warcinfo"}, {"WARC-Type": "Response"}, {}, None]
+    rows = [(h, "HTTP/1.1 200 OK\r\n\r\n<p>x", "z") for h in heads]
+    df = spark.createDataFrame(rows, "headers map<string,string>, block string, record_id string")
+    assert warc.derive(df).count() == 6
+    assert warc.derive(df.limit(0)).count() == 0
+
+
+def test_warc_files_are_read_member_by_member(spark):
+    def member(k, body):
+        return gzip.compress(f"WARC/1.1\r\nWARC-Type: response\r\nX: a\r\nX: b\r\nN: {k}\r\nContent-Length: {len(body)}\r\n\r\n".encode()
+                             + body + b"\r\n\r\n")
+    bodies = [b"", b"x" * 3_000_000, "é\r\n\r\nWARC/1.1 inside".encode()] + [b"b%d" % k for k in range(300)]
+    data = b"".join(member(k, b) for k, b in enumerate(bodies))
+    for step in (1000, 1 << 20):
+        got = list(warc.records(warc.inflated(data, step)))
+        assert [b.encode() for _, b in got] == bodies
+    folder = tempfile.mkdtemp(prefix="warc-")
+    with open(f"{folder}/a.warc.gz", "wb") as f:
+        f.write(data)
+    back = warc.read_warc(spark, folder, rows=7).collect()
+    assert sorted(int(r["headers"]["N"]) for r in back) == list(range(len(bodies)))
+    assert {r["headers"]["X"] for r in back} == {"a"}
+    with open(f"{folder}/b.warc.gz", "wb") as f:
+        f.write(gzip.compress(b""))
+    assert warc.read_warc(spark, folder).count() == len(bodies)
+
+
+def test_rollup_totals_are_stored_and_writers_collide(spark):
+    import os
+    folder = tempfile.mkdtemp(prefix="rollups-")
+    store = token_rollups.RollupStore(spark, folder, buckets=256)
+    load = spark.range(5000).select("id", F.lit("v").alias("version"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"),
+                                    F.lit("en").alias("lang"), F.lit(2).alias("n_tokens"), F.lit("insert").alias("kind"))
+    assert store.commit("load", load.withColumnRenamed("id", "doc_id"))
+    sizes = lambda: {f"{d}/{f}": os.path.getsize(f"{d}/{f}") for d, _, fs in os.walk(folder) for f in fs if "/state/" in d}
+    before = sizes()
+    few = spark.createDataFrame([(k, "v", "s9", "de", 7, "revise") for k in range(25)], SCHEMA)
+    # another writer publishes the same version in between
+    other, real = token_rollups.RollupStore(spark, folder, buckets=256), store._publish
+    store._publish = lambda *a: (other.commit("other", few.limit(0)), real(*a))
+    with pytest.raises(token_rollups.ConcurrentCommit):
+        store.commit("few", few)
+    store._publish = real
+    assert store.committed() == ["load", "other"]
+    middle = sizes()
+    assert store.commit("few", few)
+    new = sum(v for k, v in sizes().items() if k not in middle)
+    assert 0 < new < 0.25 * sum(before.values())
+    got = {(r["source"], r["lang"]): (r["n_docs"], r["n_tokens"]) for r in store.totals().collect()}
+    assert got[("s9", "de")] == (25, 175) and sum(n for n, _ in got.values()) == 5000
+    # the stored totals are those of the signed rows of all batches
+    again = store.signed().groupBy("source", "lang").agg(F.sum("n_docs").alias("n"), F.sum("n_tokens").alias("t")).where("n <> 0")
+    assert {(r["source"], r["lang"]): (r["n"], r["t"]) for r in again.collect()} == got
+
+
+def test_main_text_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "page_id long, url string, html string, text int, n_chars string")
+    assert html_extract.main_text(df).count() == 0
