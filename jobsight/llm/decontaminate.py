@@ -28,8 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobsight.llm.fm_index import FmIndex
+from jobsight.llm.tables import share, shared_value
 from jobsight.llm.words import ALNUM, word_blocks
-from jobsight.session import checkpoint_dir
+from jobsight.session import checkpoint_dir, limit_arrow_batches
 
 BLOCK_BYTES = 16 << 20
 SHARD_SYMBOLS = 1 << 20
@@ -147,7 +148,7 @@ class _Shard:
 
 def _scan(batches: Iterator[pa.RecordBatch], text: int, shared):
     """(batch, n_words, spans by row, items by row) of each stretch of rows that makes a shard."""
-    p, ids = shared.value
+    p, ids = shared_value(shared)
     for batch in batches:
         column = batch.column(text)
         shard, lo, size = _Shard(), 0, 0
@@ -160,14 +161,16 @@ def _scan(batches: Iterator[pa.RecordBatch], text: int, shared):
                 shard, lo, size = _Shard(), block.hi, 0
 
 
-def _blocks(benchmark: DataFrame, window: int, item_col: str, text_col: str):
-    """Broadcast phrase tables, one for each block of items."""
+def _n_blocks(benchmark: DataFrame, text_col: str) -> int:
     total = benchmark.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    n = -(-total // BLOCK_BYTES) or 1
+    return -(-total // BLOCK_BYTES) or 1
+
+
+def _block(benchmark: DataFrame, k: int, n: int, window: int, item_col: str, text_col: str):
+    """The phrase table of block ``k`` of ``n`` of the items, broadcast. The driver holds one block at a time."""
     at = F.pmod(F.xxhash64(F.col(item_col), F.col(text_col)), F.lit(n))
-    for k in range(n):
-        rows = benchmark.where(at == k).select(item_col, text_col).collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(phrases_of([tuple(r) for r in rows], window))
+    rows = benchmark.where(at == k).select(item_col, text_col).collect()
+    return share(benchmark.sparkSession, phrases_of([tuple(r) for r in rows], window))
 
 
 def _merge(spans: list) -> list:
@@ -194,13 +197,14 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_c
                    text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, n_words, n_hit, items, spans): spans in word numbers and UTF-8 byte positions [start, end)."""
     checkpoint_dir(docs.sparkSession)
+    limit_arrow_batches(docs.sparkSession)
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     schema = f"id {kind}, text string, n_words long, items array<string>, spans {_SPAN_SQL}"
     df = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"),
                      F.array().cast("array<string>").alias("items"), F.array().cast(_SPAN_SQL).alias("spans"))
-    blocks = list(_blocks(benchmark, window, item_col, item_text_col))
-    for k, shared in enumerate(blocks):
-        last = k == len(blocks) - 1
+    blocks = _n_blocks(benchmark, item_text_col)
+    for k in range(blocks):
+        shared, last = _block(benchmark, k, blocks, window, item_col, item_text_col), k == blocks - 1
 
         def run(batches, shared=shared, last=last):
             for batch, n_words, spans, items in _scan(batches, 1, shared):
@@ -217,6 +221,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_c
         df = df.mapInArrow(run, schema)
         if not last:
             df = df.checkpoint()
+            shared.unpersist()
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["n_words"])
     return df.select(F.col("id").alias(id_col), "n_words", hit.alias("n_hit"), "items", "spans")
 
@@ -225,13 +230,14 @@ def remove_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, te
                      item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``docs`` with every occurrence of a benchmark phrase cut out of the text; rows and columns as they were."""
     checkpoint_dir(docs.sparkSession)
+    limit_arrow_batches(docs.sparkSession)
     at, name = docs.columns.index(text_col), "spans"
     while name in docs.columns:
         name = "_" + name
     df = docs.withColumn(name, F.array().cast(_SPAN_SQL))
-    blocks = list(_blocks(benchmark, window, item_col, item_text_col))
-    for k, shared in enumerate(blocks):
-        last = k == len(blocks) - 1
+    blocks = _n_blocks(benchmark, item_text_col)
+    for k in range(blocks):
+        shared, last = _block(benchmark, k, blocks, window, item_col, item_text_col), k == blocks - 1
 
         def run(batches, shared=shared, last=last):
             for batch, _, spans, _ in _scan(batches, at, shared):
@@ -253,4 +259,5 @@ def remove_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, te
         df = df.mapInArrow(run, docs.schema if last else df.schema)
         if not last:
             df = df.checkpoint()
+            shared.unpersist()
     return df

@@ -4,13 +4,21 @@ Words are maximal runs of letters, digits and non-ASCII characters, A-Z in lower
 GRAM consecutive words; of every WINNOW consecutive ones the least is kept (the rightmost of equals), so a template
 and a document that share GRAM + WINNOW - 1 words in a row share a fingerprint. The templates' fingerprints form an
 inverted index, fingerprint -> (template, position). A document's hits name candidate templates and, by the difference
-of positions, places. Hits of a template whose places lie within BAND words belong together, and each such place is
-aligned once: word by word, match 1, mismatch and gap -1, in a band of BAND words around the diagonal, with the
-document's ends free. The alignment gives coverage (matched words / words of the template) and the span. A place where
-too few of the template's words occur in the band at all is left out before. Templates of at most NOTICE words must be
+of positions, places. An alignment goes word by word, match 1, mismatch and gap -1, in a band of BAND words around the
+diagonal of a place, with the document's ends free; it gives coverage (matched words / words of the template) and the
+span. A place where too few of the template's words occur in the band at all is left out before.
+
+Templates of at most NOTICE words are aligned once at each place (hits within BAND words are one place). They must be
 found with all their deciding words (names, NC/SA/ND, versions), and with none that make another license of them, so
 that a notice of a license without a template is not reported as its sibling.
 
+Longer templates are full texts, which people cut and extend: words that are put in or left out move all that follows to
+another place. Their hits are gathered into runs (the same place, no more than RUN words apart), and the best chain of runs
+that follow each other in the template and in the document is taken, a run counting its hits less the change of place
+from the one before. Each run is aligned with its own part of the template, in its own band; the matched words add up,
+and words put in between the runs count against the template's coverage only in deciding whether it is found. A
+document may hold the text again before or after a chain, so what is left of the hits there is chained anew.
+
 The registered query takes ``library()``: short notices and, in the folder ``licenses``, full texts. "BSD" is a notice
 that does not say which BSD license is meant.
 
@@ -33,11 +41,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobsight.llm.tables import share, shared_value
 from jobsight.llm.words import ALNUM, shingles, word_blocks
+from jobsight.session import limit_arrow_batches
 
 GRAM = 3
 WINNOW = 3
 BAND = 6
+#: words between two hits of one run
+RUN = 50
 MAX_WORDS = 1 << 20
 
 #: fixed values: the usual short notices and opening paragraphs of public licenses, as (name, text)
@@ -208,25 +220,111 @@ class Index:
                 near[lo:hi] |= words[lo + shift:hi + shift] == template[lo:hi]
         return int(near.sum()) >= need
 
-    def candidates(self, words: np.ndarray) -> list[tuple[int, int]]:
-        """(template, place of its first word in the document), hits within BAND words taken as one place."""
-        found = []
+    def prints(self, words: np.ndarray) -> np.ndarray:
+        """(template, place, position in the document) of each hit, sorted; the place is that of the first word."""
+        parts = []
         for size in self.sizes:
             if len(words) < size:
                 continue
             g = shingles(words, size)
             at = winnow(g) if size == GRAM else np.arange(len(g))
             lo, hi = np.searchsorted(self.hashes, g[at], "left"), np.searchsorted(self.hashes, g[at], "right")
-            for p, a, b in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
-                found += [(int(self.template[i]), p - int(self.position[i])) for i in range(a, b)]
-        found.sort()
+            n = hi - lo
+            held = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            p = np.repeat(at, n)
+            parts.append(np.stack((self.template[held], p - self.position[held], p), axis=1))
+        found = np.concatenate(parts) if parts else np.zeros((0, 3), np.int64)
+        return found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
+
+    def candidates(self, words: np.ndarray) -> list[tuple[int, int]]:
+        """(template, place), hits within BAND words taken as one place, for the templates of at most NOTICE words."""
         out = []
-        for t, place in found:
-            if not out or out[-1][0] != t or place - out[-1][1] > BAND:
+        for t, place, _ in self.prints(words).tolist():
+            if len(self.words[t]) <= NOTICE and (not out or out[-1][0] != t or place - out[-1][1] > BAND):
                 out.append((t, place))
         return out
 
 
+def runs(found: np.ndarray) -> np.ndarray:
+    """Hits (place, position) of one template, sorted, as runs (place, first position, last position, hits)."""
+    new = (np.diff(found[:, 0]) != 0) | (np.diff(found[:, 1]) > RUN)
+    begin = np.concatenate(([0], np.flatnonzero(new) + 1))
+    end = np.concatenate((begin[1:], [len(found)]))
+    out = np.stack((found[begin, 0], found[begin, 1], found[end - 1, 1], end - begin), axis=1)
+    return out[np.lexsort((out[:, 0], out[:, 1]))]
+
+
+def chain(found: np.ndarray) -> list[int]:
+    """The best chain of runs: they follow each other in document and template; hits less changes of place."""
+    place, first, last, hits_of = found.T
+    score, before = hits_of.astype(float), np.full(len(found), -1)
+    for k in range(1, len(found)):
+        ok = (first[:k] < first[k]) & (last[:k] < last[k]) & (first[:k] - place[:k] < first[k] - place[k])
+        if ok.any():
+            # stray hits may lengthen a run past the next one's beginning: what overlaps does not count twice
+            own = np.clip((last[k] - np.maximum(first[k] - 1, last[:k])) / (last[k] - first[k] + 1), 0, 1)
+            gain = np.where(ok, score[:k] + own * hits_of[k] - 2 - np.abs(place[:k] - place[k]) / 4, -np.inf)
+            j = int(np.argmax(gain))
+            if gain[j] > score[k]:
+                score[k], before[k] = gain[j], j
+    k, out = int(np.argmax(score)), []
+    while k >= 0:
+        out.append(k)
+        k = int(before[k])
+    return out[::-1]
+
+
+def align_chain(template: np.ndarray, words: np.ndarray, parts: np.ndarray, need: float) -> tuple[int, int, int, int]:
+    """(matched words, words put in between, first word, end word) of a chain of runs; (0, 0, 0, 0) under ``need``."""
+    n = len(template)
+    places = parts[:, 0].tolist()
+    begins, ends = [0], []
+    for (d, first_1, last_1, _), (e, first_2, last_2, _) in zip(parts.tolist(), parts[1:].tolist()):
+        # from one run's template part to the next one's: the cut with the most equal words on both sides
+        lo = max(begins[-1] + 1, min(first_2 - e, last_1 - d) - RUN)
+        hi = max(lo, min(n - 1, max(first_2 - e, last_1 - d) + RUN))
+        at = np.arange(lo, hi + 1)
+        gone = max(0, d - e)  # template words that the document leaves out
+
+        def equal(place, q):
+            p = q + place
+            ok = (q < n) & (p >= 0) & (p < len(words))
+            return ok & (template[np.minimum(q, n - 1)] == words[np.clip(p, 0, len(words) - 1)])
+
+        before = np.concatenate(([0], np.cumsum(equal(d, at))[:-1]))
+        after = np.cumsum(equal(e, at + gone)[::-1])[::-1]
+        cut = lo + int(np.argmax(before + after))
+        ends.append(cut)
+        begins.append(min(n, cut + gone))
+    ends.append(n)
+    cuts, at = begins, [q + p for q, p in zip(begins, places)]
+    limits = [*at[1:], len(words)]
+    # at most as many words match as occur in their bands at all
+    possible = 0
+    for q, end, p in zip(cuts, ends, at):
+        near = np.zeros(end - q, bool)
+        for shift in range(p - BAND, p + BAND + 1):
+            lo, hi = max(0, -shift), min(end - q, len(words) - shift)
+            if lo < hi:
+                near[lo:hi] |= words[shift + lo:shift + hi] == template[q + lo:q + hi]
+        possible += int(near.sum())
+    if possible < need:
+        return 0, 0, 0, 0
+    total, put_in, begin, done = 0, 0, None, 0
+    for q, end, p, limit in zip(cuts, ends, at, limits):
+        late = max(0, done - p)  # template words that would stand before the words that are left
+        q, p = q + late, p + late
+        got, a, b = align(template[q:min(end, q + limit - p)], words[done:limit], p - done)
+        if got:
+            a, b = a + done, b + done
+            if begin is None:
+                begin = a
+            else:
+                put_in += max(0, a - done)
+            total, done = total + got, b
+    return total, put_in, begin or 0, done
+
+
 def align(template: np.ndarray, words: np.ndarray, place: int) -> tuple[int, int, int]:
     """(matched words, first word, end word) of the best alignment in the band around ``place``.
 
@@ -265,6 +363,24 @@ def hits(index: Index, words: np.ndarray, least: float) -> list[tuple[int, float
         got, a, b = align(index.words[t], words, place)
         if got >= least * len(index.words[t]) and b > a and index.decided(t, words, a, b):
             found.append((-got, -got / len(index.words[t]), index.names[t], a, b))
+    prints = index.prints(words)
+    for t in np.unique(prints[:, 0]).tolist():
+        n = len(index.words[t])
+        # fewer fingerprints than this cannot cover the words that are needed: each stands for GRAM + WINNOW words at most
+        enough = least * n / (GRAM + WINNOW) / 2
+        own = prints[prints[:, 0] == t][:, 1:]
+        open_parts = [own] if n > NOTICE else []
+        while open_parts:
+            own = open_parts.pop()
+            if len(own) < enough:
+                continue
+            parts = runs(own)
+            parts = parts[chain(parts)]
+            got, put_in, a, b = align_chain(index.words[t], words, parts, least * n)
+            if got >= least * (n + put_in):
+                found.append((-got, -got / n, index.names[t], a, b))
+            lo, hi = (a, b) if got else (int(parts[0, 1]), int(parts[-1, 2]) + 1)
+            open_parts += [own[own[:, 1] < lo], own[own[:, 1] >= hi]]
     return found
 
 
@@ -287,6 +403,7 @@ def scan(docs: DataFrame, templates: DataFrame, least: float = 0.8, id_col: str
     """(id, license, coverage, matched, start_word, end_word, start, end): a row for each notice found; start and end
     are positions in the UTF-8 bytes of the text. Documents without a notice have no row."""
     spark = docs.sparkSession
+    limit_arrow_batches(spark)
     size = templates.agg(F.sum(F.octet_length(template_col))).first()[0] or 0
     n = size // (4 * MAX_WORDS) + 1  # a word and its gap take four bytes or more, as a rule
     kind = docs.select(id_col).schema[0].dataType.simpleString()
@@ -300,8 +417,8 @@ def scan(docs: DataFrame, templates: DataFrame, least: float = 0.8, id_col: str
     out = None
     for k in range(n):
         rows = templates.where(F.pmod(F.xxhash64(name_col, template_col), F.lit(n)) == k)
-        index = Index(sorted((str(a), b) for a, b in rows.select(name_col, template_col).collect() if b is not None))
-        shared = spark.sparkContext.broadcast(index)
+        shared = share(spark, Index(sorted((str(a), b) for a, b in rows.select(name_col, template_col).collect()
+                                           if b is not None)))
 
         def texts(column, own):
             """(row, [hit with its bytes]) of each text with a hit."""
@@ -317,9 +434,10 @@ def scan(docs: DataFrame, templates: DataFrame, least: float = 0.8, id_col: str
                         yield b.lo + d, found
 
         def run(batches, shared=shared):
+            index = shared_value(shared)
             for batch in batches:
                 keys, found = [], []
-                for row, own in texts(batch.column(1), shared.value):
+                for row, own in texts(batch.column(1), index):
                     for x in resolve(own):
                         keys.append(row)
                         found.append(_row(x))
@@ -328,8 +446,9 @@ def scan(docs: DataFrame, templates: DataFrame, least: float = 0.8, id_col: str
         def run_block(batches, shared=shared, k=k):
             kind_of = pa.list_(pa.struct(list(zip(("negative", "minus", "license", "a", "b", "start", "end"),
                                                   [pa.int64(), pa.float64(), pa.string()] + [pa.int64()] * 4))))
+            index = shared_value(shared)
             for batch in batches:
-                found = list(texts(batch.column(1), shared.value))
+                found = list(texts(batch.column(1), index))
                 at = pa.array([row for row, _ in found], pa.int64())
                 keys = ("negative", "minus", "license", "a", "b", "start", "end")
                 yield pa.RecordBatch.from_arrays(
