@@ -295,10 +295,11 @@ def score_pairs(pairs: DataFrame, reps: DataFrame, compat: DataFrame,
 def numbered(postings: DataFrame) -> DataFrame:
     """``postings`` (company_key, ord, ...) with ``k``, which rises with the order inside every company_key.
 
-    One range sort; the number is the place in the sorted partitions, written before anything reads it.
+    One range sort; the number is the place in the sorted partitions, written before anything reads it. The rows are
+    written before, too: a range sort looks at its input twice, and titles are costly to normalize.
     """
     checkpoint_dir(postings.sparkSession)
-    return postings.orderBy("company_key", "ord").withColumn("k", F.monotonically_increasing_id()).checkpoint()
+    return postings.checkpoint().orderBy("company_key", "ord").withColumn("k", F.monotonically_increasing_id()).checkpoint()
 
 
 def _scan(edges: pa.Table) -> pa.Table:
