@@ -19,10 +19,12 @@ nothing extra. The vocabulary (at most MAX_RANKS ranks, checked) is read by the
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
 from collections import defaultdict
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain, count, islice
 
 import numpy as np
@@ -95,6 +97,14 @@ def _add(index: dict, heap: list, ranks: np.ndarray, places: np.ndarray) -> None
             heapq.heappush(heap, r)
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Ascending, without repeats. Sorting is quicker here than the hash table of np.unique: stretches are in order."""
+    values = np.sort(values, kind="stable")
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return values[new]
+
+
 def replay(words: list[bytes], m: Merges) -> tuple[np.ndarray, np.ndarray]:
     """(ids, bounds): the ids of word i are ids[bounds[i]:bounds[i + 1]]."""
     lengths = np.fromiter((len(w) for w in words), np.int64, len(words))
@@ -124,7 +134,7 @@ def replay(words: list[bytes], m: Merges) -> tuple[np.ndarray, np.ndarray]:
     while heap:
         r = heapq.heappop(heap)
         found = index.pop(r)
-        left = found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+        left = found[0] if len(found) == 1 else _distinct(np.concatenate(found))
         left = left[pair[left] == r]
         if not len(left):
             continue
@@ -152,7 +162,7 @@ def replay(words: list[bytes], m: Merges) -> tuple[np.ndarray, np.ndarray]:
         before = prv[left]
         touched = np.concatenate((left, before[before < n]))
         if len(left) > 1:
-            touched = np.unique(touched)
+            touched = _distinct(touched)
         right = nxt[touched]
         new = np.where(right < n, m.rank_of(sym[touched], sym[right]), NONE).astype(np.int32)
         pair[touched] = new
@@ -220,6 +230,18 @@ def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[s
             yield batch.column(0).slice(lo), [t or "" for t in texts.slice(lo).to_pylist()]
 
 
+@contextmanager
+def no_cycle_search():
+    """Without Python's search for reference cycles: a shard's lists hold none, and it walks all of them many times."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def _merges(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(read_ranks(path))
 
@@ -266,7 +288,9 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     def run(batches):
         m, cut = _table(shared), regex.compile(pattern)
         for key, texts in shards(batches):
-            yield shard(key, texts, m, cut)  # a shard's tables go before the next one's are made
+            with no_cycle_search():
+                out = shard(key, texts, m, cut)  # a shard's tables go before the next one's are made
+            yield out
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     out = docs.select(id_col, text_col).mapInArrow(
@@ -300,7 +324,9 @@ def encode_digest(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     def run(batches):
         m, cut = _table(shared), regex.compile(pattern)
         for key, texts in shards(batches):
-            yield shard(key, texts, m, cut)  # a shard's tables go before the next one's are made
+            with no_cycle_search():
+                out = shard(key, texts, m, cut)  # a shard's tables go before the next one's are made
+            yield out
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     out = docs.select(id_col, text_col).mapInArrow(

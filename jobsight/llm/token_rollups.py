@@ -32,7 +32,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobsight.llm.bpe import read_ranks, shards, units
+from jobsight.llm.bpe import no_cycle_search, read_ranks, shards, units
 from jobsight.llm.tables import written
 from jobsight.session import limit_arrow_batches
 from jobsight.sources import io
@@ -56,8 +56,9 @@ def count_tokens(docs: DataFrame, vocabularies: dict[str, str], pattern: str, id
                                     special_tokens={}).encode_ordinary for v in names]
         cut = regex.compile(pattern)
         for key, texts in shards(batches):
-            pieces, pretokens = units(texts, cut)
-            joined = ["".join(p) for p in pretokens]
+            with no_cycle_search():
+                pieces, pretokens = units(texts, cut)
+                joined = ["".join(p) for p in pretokens]
             for v, code in zip(names, coders):
                 sizes = [len(code(x)) for x in joined]
                 n = [sum([sizes[u] for u in d]) for d in pieces]
