@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from jobsight import rules
+from jobsight.functions.plain_text import plain_terms, plain_title
 
 _CASED = r"\p{Lu}\p{Ll}\p{Lt}"
 _WS = r"(?U)\s+"
@@ -56,8 +57,11 @@ def _empty_to_blank(c: Column, result: Column) -> Column:
 
 
 def normalize_title(c) -> Column:
-    """Strip, title-case, expand abbreviations in rule order, clean up."""
-    c = _col(c)
+    """Strip, title-case, expand abbreviations in rule order, clean up; plain texts in one pass."""
+    return F.coalesce(plain_title(_col(c)), _title_by_rules(_col(c)))
+
+
+def _title_by_rules(c: Column) -> Column:
     t = py_title(strip_ws(c))
     for pattern, repl in rules.TITLE_RULES:
         t = F.regexp_replace(t, "(?iU)" + pattern, repl)
@@ -110,7 +114,10 @@ def key_terms_of_normalized(t) -> Column:
 
     Returned as a sorted array so that equal sets compare equal.
     """
-    t = _col(t)
+    return F.coalesce(plain_terms(_col(t)), _terms_by_rules(_col(t)))
+
+
+def _terms_by_rules(t: Column) -> Column:
     for name, _ in rules.SENIORITY_LEVELS:
         t = F.regexp_replace(t, r"(?iU)\b" + rules.regex_escape(name) + r"\b", "")
     words = F.split(strip_ws(F.lower(t)), _WS)

@@ -53,3 +53,24 @@ def test_key_terms_and_similarity(spark):
     assert ratio_py("Software Engineer", "Data Scientist") < 0.5
     assert ratio_py("Software Engineer", "Software Engineering") > 0.8
     assert ratio_py("tide", "diet") != ratio_py("diet", "tide")
+
+
+def test_plain_texts_agree_with_the_rules(spark):
+    """The one-pass helpers against the Catalyst rules, and null for what is not plain."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from jobsight.functions import plain_text as P
+    rnd = random.Random(5)
+    parts = ["sr", "Sr.", "dev.", "VP", "evp", "IT", "be", "em", "api", "qa/qc", "entry level", "c-level", "3dev", "_it", "o'it",
+             "executive vice president", "senior vice  president", "intern", "in.tern", "mid", "straße", "ßa", "l'été", "\t",
+             "\xa0", "(be)", "Sr.Dev", "Dev.Sr", "Eng.It", "dev.vp", "«it»", "×a"]
+    texts = ["".join(rnd.choice(parts) + rnd.choice([" ", " ", "", "-", ".", "  "]) for _ in range(rnd.randint(0, 6))) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select("t", T._title_by_rules(F.col("t")).alias("n"), T._terms_by_rules(F.col("t")).alias("k")).collect()
+    for r in rows:
+        assert P.plain_title_py(r["t"]) == r["n"], r["t"]
+        assert P.plain_terms_py(r["t"]) == r["k"], r["t"]
+    for t in ("\x1cit", "m²", "µm", "日本", "ÿ", "opſ", None):
+        assert P.plain_title_py(t) is None and P.plain_terms_py(t) is None
