@@ -29,10 +29,11 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 
 
 class _Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
+    # no link to the parent: a tree without cycles goes as soon as its page is done
+    __slots__ = ("tag", "attrs", "children")
 
-    def __init__(self, tag, attrs, parent):
-        self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
+    def __init__(self, tag, attrs):
+        self.tag, self.attrs, self.children = tag, attrs, []
 
     def iter(self):
         stack = [self]
@@ -81,27 +82,26 @@ class _Node:
 class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = _Node("#root", {}, None)
-        self.cur = self.root
+        self.root = _Node("#root", {})
+        self.open = [self.root]
 
     def handle_starttag(self, tag, attrs):
-        node = _Node(tag, {k: (v or "") for k, v in attrs}, self.cur)
-        self.cur.children.append(node)
+        node = _Node(tag, {k: (v or "") for k, v in attrs})
+        self.open[-1].children.append(node)
         if tag not in _VOID:
-            self.cur = node
+            self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
-        self.cur.children.append(_Node(tag, {k: (v or "") for k, v in attrs}, self.cur))
+        self.open[-1].children.append(_Node(tag, {k: (v or "") for k, v in attrs}))
 
     def handle_endtag(self, tag):
-        n = self.cur
-        while n is not None and n.tag != tag:
-            n = n.parent
-        if n is not None and n.parent is not None:
-            self.cur = n.parent
+        for k in range(len(self.open) - 1, 0, -1):
+            if self.open[k].tag == tag:
+                del self.open[k:]
+                return
 
     def handle_data(self, data):
-        self.cur.children.append(data)
+        self.open[-1].children.append(data)
 
 
 def parse_html(html: str) -> tuple[_Node, str | None]:
