@@ -41,13 +41,18 @@ def stream_ledger(spark, sf_dir):
 
 
 def by_day(obs):
-    """The observations dealt by run, and the runs in order (calendar days)."""
+    """The observations in a folder for each run, and the runs in order (calendar days)."""
+    spark = obs.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/jobsight-days-{uuid.uuid4().hex}"
+    obs.write.partitionBy("run").parquet(path)
+    obs = spark.read.schema(obs.schema).parquet(path)
     days = [r["run"] for r in obs.select("run").distinct().orderBy("run").collect()]
-    return obs.repartition("run").checkpoint(), days
+    return obs, days
 
 
 def write_days(obs, days, path):
-    """One file for each run, written in the order of the runs: the stream takes files by their time."""
+    """One file for each run, written in the order of the runs: the stream takes files by their time. Each reads its
+    own folder only."""
     for day in days:
         obs.where(F.col("run") == day).coalesce(1).write.mode("append").parquet(path)
 
