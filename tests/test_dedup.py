@@ -222,3 +222,28 @@ def test_a_hot_key_is_dealt(spark):
     assert {(r["i"], r["j"]) for r in near.collect()} == {(i, i + d) for i in range(2000) for d in (1, 2) if i + d < 2000}
     sizes = sorted(r["count"] for r in dealt_join(left, right, ["key"], "i", "j", 100).groupBy(F.spark_partition_id()).count().collect())
     assert sum(sizes) == 2000 * 2000 + 1 and sizes[-1] <= 5 * sizes[len(sizes) // 2]
+
+
+def test_copies_of_key_terms_make_no_links(spark, tmp_path, monkeypatch):
+    """300 postings of one key-term set: the same rows as the plain scan, and the copies are not paired."""
+    from jobsight.plans import q_dedup as Q
+    common = "Alpha Beta Gamma Delta Epsilon Zeta Eta Theta Iota"
+    text = "\n".join([common + " Kappa"] * 150 + [common] * 150 + ["Nothing Alike Here"])
+    spark.createDataFrame([(1, text, "en", "src"), (2, common, "fr", "src"), (2, common, "fr", "src"), (None, common, "en", "src")],
+                          "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+    links = Q._jaccard_links
+
+    def counted(*args):
+        out = links(*args)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(Q, "_jaccard_links", counted)
+    rows = [(r["duplicate_url"], r["canonical_url"], r["score"]) for r in Q._exact_terms(spark, str(tmp_path)).collect()]
+    assert seen == [1]
+    # in (company, title, url) order the posting without a URL, then those of the shorter title
+    first, = {c for u, c, _ in rows if u != "doc/2/1"}
+    assert first in (None, "doc/1/151") and len(rows) == 300 + 1
+    assert [(u, c, s) for u, c, s in rows if u == "doc/2/1"] == [("doc/2/1", "doc/2/1", 1.0)]
+    assert sorted(s for _, _, s in rows) == pytest.approx([0.9] * 150 + [1.0] * 151)
