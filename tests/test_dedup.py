@@ -247,3 +247,35 @@ def test_copies_of_key_terms_make_no_links(spark, tmp_path, monkeypatch):
     assert first in (None, "doc/1/151") and len(rows) == 300 + 1
     assert [(u, c, s) for u, c, s in rows if u == "doc/2/1"] == [("doc/2/1", "doc/2/1", 1.0)]
     assert sorted(s for _, _, s in rows) == pytest.approx([0.9] * 150 + [1.0] * 151)
+
+
+def test_rows_by_bitmap(spark):
+    """Wanted ids and keys as bitmaps: the same rows as the plain joins, ids of several partitions, nulls and repeats."""
+    from jobsight.operators.joins import likely_rows, rows_of
+    rows = spark.range(0, 70_000, 1, 3).select(F.monotonically_increasing_id().alias("k"), F.when(
+        F.col("id") % 1000 > 0, F.concat(F.lit("u"), F.col("id") % 50_000)).alias("url")).localCheckpoint()
+    for share in (0, 7919):
+        wanted = rows.filter(F.col("k") % share == 0 if share else F.lit(False))
+        got = rows_of(rows, "k", wanted.select("k"))
+        assert sorted(r["k"] for r in got.collect()) == sorted(r["k"] for r in wanted.collect())
+        assert "Exchange hashpartitioning(k" not in got._jdf.queryExecution().toString()
+        likely, rest = likely_rows(rows, "url", wanted.select("url"))
+        urls = {r["url"] for r in wanted.collect()}
+        assert likely.count() + rest.count() == 70_000
+        assert not urls & {r["url"] for r in rest.select("url").collect()}
+        assert sum(r["url"] not in urls for r in likely.collect()) <= 70_000 * len(urls) / (1 << 24)
+
+
+def test_single_postings_are_stored_once(spark, tmp_path):
+    """Postings without any similar one: titles and key terms are written once, not with every step of the graph."""
+    from jobsight.plans import q_dedup as Q
+    rnd = random.Random(5)
+    texts = [" ".join("".join(rnd.choice("abcdefghij") for _ in range(8)) for _ in range(60)) for _ in range(1200)]
+    spark.createDataFrame([(i, "\n".join(texts[i::40]), "en", "src") for i in range(40)],
+                          "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    local = checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(local))
+    assert Q.deduplicated_terms_last(spark, str(tmp_path)).count() == 1200
+    written = sum(os.path.getsize(os.path.join(d, f)) for top in set(os.listdir(local)) - before
+                  for d, _, files in os.walk(f"{local}/{top}") for f in files)
+    assert written < 2 * sum(map(len, texts))
