@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from jobsight.session import limit_arrow_batches
 
 MAX_RANKS = 1 << 20
-SHARD_BYTES = 10 << 20
+SHARD_BYTES = 4 << 20
 NONE = np.int32(2 ** 31 - 1)
 
 
@@ -207,7 +207,10 @@ def encode_shard(texts: list[str], m: Merges, pattern) -> tuple[list[list[int]],
     docs, pretokens = units(texts, pattern)
     number = defaultdict(count().__next__)
     parts = [list(map(number.__getitem__, p)) for p in pretokens]
-    ids, bounds = replay([w.encode("utf-8", "surrogatepass") for w in number], m)
+    words = [w.encode("utf-8", "surrogatepass") for w in number]
+    del pretokens, number  # each takes several times the bytes of the texts, and the replay needs none
+    ids, bounds = replay(words, m)
+    del words
     each, cuts = ids.tolist(), bounds.tolist()
     spans = [each[a:b] for a, b in zip(cuts, cuts[1:])]
     return docs, [spans[p[0]] if len(p) == 1 else list(chain.from_iterable([spans[w] for w in p])) for p in parts]

@@ -285,3 +285,14 @@ def test_cutoffs_by_exact_sums_and_repeated_labels(spark):
     # labels that contradict each other say nothing
     both = spark.createDataFrame([(i, g) for i, _, _, _ in docs for g in (0, 1)], "doc_id long, quality int")
     assert all(not r["failed"] for r in quality_rules.quality_report(df, both, alpha, delta).collect())
+
+
+def test_a_shard_of_the_replay_is_small():
+    """Its tables take many times the bytes of its texts, in every worker of an executor."""
+    import pyarrow as pa
+    from jobsight.llm import bpe
+    texts = [f"{n} " * (1 << 18) for n in range(10, 34)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    found = [part for _, part in bpe.shards(iter([batch]))]
+    assert [t for part in found for t in part] == texts
+    assert max(sum(map(len, part)) for part in found) <= 4 << 20
