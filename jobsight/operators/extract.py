@@ -218,7 +218,7 @@ def site_outcomes(outcomes: DataFrame, run_id: str) -> DataFrame:
 
 
 def postings_of(parsed: DataFrame, scraped_at=None) -> DataFrame:
-    """The postings of ``parse_pages``."""
+    """The postings of ``parse_pages``, with the column ``seq`` if ``parsed`` has one."""
     raw = parsed.filter(F.col("postings").isNull())
     meta = F.when(F.col("date_posted").isNotNull(),
                   F.create_map(F.lit("date_posted"), F.col("date_posted"))) \
@@ -228,7 +228,7 @@ def postings_of(parsed: DataFrame, scraped_at=None) -> DataFrame:
         "title", "url", job_id_from_url(F.col("url")).alias("job_id"), "location",
         F.col("site_url").alias("company_url"), company_from_url(F.col("site_url")).alias("company"),
         ts.alias("scraped_at"), meta.alias("metadata"), F.lit(None).cast("string").alias("description"),
-        "page_url")
+        "page_url", *[c for c in parsed.columns if c == "seq"])
 
 
 def extract_postings(pages: DataFrame, link_pattern: str | None = rules.JOB_LINK_PATTERN,

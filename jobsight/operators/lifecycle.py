@@ -30,10 +30,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobsight.session import checkpoint_dir
+from jobsight.session import stored
 
 STATE_COLS = ["url", "company", "title", "location", "job_id", "first_seen",
               "last_seen", "scrape_count", "metadata", "is_active"]
+ACTION_COLS = ["url", "company", "title", "location", "job_id", "ts", "seq", "run", "action", "changed"]
 
 
 def empty_state(spark) -> DataFrame:
@@ -77,6 +78,11 @@ def classify_changes(jobs: DataFrame, batch: DataFrame, incomplete: DataFrame |
     URL's previous run (a max_by aggregate per (url, run), then a window over
     one row per run of the URL) or else the stored state row.
     """
+    return _classified(jobs, batch, incomplete).select(*ACTION_COLS)
+
+
+def _classified(jobs: DataFrame, batch: DataFrame, incomplete: DataFrame | None) -> DataFrame:
+    """The rows of ``batch`` with action and changed; url, run, seq, company, title and location are looked at."""
     b = _ranked(batch, incomplete)
     w_in = Window.partitionBy("url", "run").orderBy("seq")
     b = (b.withColumn("p_title", F.lag("title").over(w_in))
@@ -110,8 +116,7 @@ def classify_changes(jobs: DataFrame, batch: DataFrame, incomplete: DataFrame |
     action = (F.when(~seen_before, F.lit("new")).when(changed, F.lit("updated"))
               .otherwise(F.lit("unchanged")))
     out = x.withColumn("action", action)
-    return out.select("url", "company", "title", "location", "job_id", "ts", "seq", "run",
-                      "action", (F.col("action") != "unchanged").alias("changed"))
+    return out.select(*batch.columns, "action", (F.col("action") != "unchanged").alias("changed"))
 
 
 def upsert(jobs: DataFrame, batch: DataFrame, incomplete: DataFrame | None = None) -> DataFrame:
@@ -326,19 +331,30 @@ def smart_stop(listing: DataFrame, active: DataFrame, n: int = 5, max_pages: int
 def ingest(jobs: DataFrame, batch: DataFrame, outcomes: DataFrame | None = None, complete_only: bool = False):
     """One batch (one or more runs) -> (new_state, actions, deactivated, site_stats, ledger).
 
-    The batch is read once; actions and deactivations are cut with checkpoint(), as the counters, the ledger and
-    the report all read them. A site that failed in a run (``outcomes``, see ``site_stats``) deactivates nothing
-    there; with ``complete_only`` neither does one that stopped early.
+    The batch is read once and written, with a number for each row; actions and deactivations are written, too, as the
+    counters, the ledger and the report all read them. Titles and locations are compared by a digest, so texts are not
+    shuffled, and the actions are kept by number and meet their rows again where the rows are wanted. A site that
+    failed in a run (``outcomes``, see ``site_stats``) deactivates nothing there; with ``complete_only`` neither does one
+    that stopped early.
     """
-    checkpoint_dir(batch.sparkSession)
-    batch = batch.checkpoint()
+    batch = stored(batch.withColumn("_at", F.monotonically_increasing_id()))
     incomplete = None
     if outcomes is not None:
         unfinished = ~F.col("success") | (F.col("stopped_early") if complete_only else F.lit(False))
         incomplete = outcomes.filter(unfinished).select("company", "run")
-    actions = classify_changes(jobs, batch, incomplete).checkpoint()
-    gone = deactivations(jobs, batch, incomplete).checkpoint()
-    state = upsert(jobs, batch, incomplete)
-    stats = site_stats(actions, gone, outcomes)
+    slim = batch.select("_at", "url", "company", "run", "seq", *_content())
+    known = jobs.select("url", "is_active", *_content())
+    found = stored(_classified(known, slim, incomplete).select("_at", "company", "run", "action", "changed"))
+    batch_rows = batch.select("_at", *[c for c in ACTION_COLS if c in batch.columns])
+    actions = found.select("_at", "action", "changed").join(batch_rows, "_at").select(*ACTION_COLS)
+    gone = stored(deactivations(jobs, batch, incomplete))
+    state = upsert(jobs, batch.drop("_at"), incomplete)
+    stats = site_stats(found, gone, outcomes)
     ledger = run_ledger(run_totals(stats), batch)
     return state, actions, gone, stats, ledger
+
+
+def _content():
+    """For title and location, 16 bytes that tell pairs of them apart, nulls too, and an empty column."""
+    both = F.concat(*[F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in ("title", "location")])
+    return [F.substring(F.unhex(F.sha2(both, 256)), 1, 16).alias("title"), F.lit(None).cast("binary").alias("location")]
